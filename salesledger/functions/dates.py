@@ -10,29 +10,42 @@ from pyspark.sql import functions as F
 from salesledger.functions._col import as_col
 from salesledger.functions.text import strip_ws
 
-# The date layouts accepted by default, tried in this order.
-# Month-first for slashed dates.  Pass a one-element list for strict parsing.
+# The date layouts accepted by default, tried in this order,
+# each with the text shape it can match.  Month-first for slashed dates.
+# The shape test is a cheap anchored regex; the parser only runs on text of
+# the right shape (a failed parse costs an exception inside the parser).
 DEFAULT_DATE_FORMATS = (
-    "yyyy-M-d",
-    "yyyy-M-d H:m:s",
-    "yyyy-M-d'T'H:m:s",
-    "yyyy-M-d H:m:s.SSSSSS",
-    "yyyy-M-d'T'H:m:s.SSSSSS",
-    "yyyy/M/d",
-    "M/d/yyyy",
-    "M/d/yyyy H:m:s",
-    "d MMM yyyy",
-    "MMM d, yyyy",
+    ("yyyy-M-d", r"^[0-9]{4}-[0-9]{1,2}-[0-9]{1,2}$"),
+    ("yyyy-M-d H:m:s", r"^[0-9]{4}-[0-9]{1,2}-[0-9]{1,2} [0-9]{1,2}:[0-9]{1,2}:[0-9]{1,2}$"),
+    ("yyyy-M-d'T'H:m:s", r"^[0-9]{4}-[0-9]{1,2}-[0-9]{1,2}T[0-9]{1,2}:[0-9]{1,2}:[0-9]{1,2}$"),
+    ("yyyy-M-d H:m:s.SSSSSS", r"^[0-9]{4}-[0-9]{1,2}-[0-9]{1,2} [0-9]{1,2}:[0-9]{1,2}:[0-9]{1,2}\.[0-9]{1,6}$"),
+    ("yyyy-M-d'T'H:m:s.SSSSSS", r"^[0-9]{4}-[0-9]{1,2}-[0-9]{1,2}T[0-9]{1,2}:[0-9]{1,2}:[0-9]{1,2}\.[0-9]{1,6}$"),
+    ("yyyy/M/d", r"^[0-9]{4}/[0-9]{1,2}/[0-9]{1,2}$"),
+    ("M/d/yyyy", r"^[0-9]{1,2}/[0-9]{1,2}/[0-9]{4}$"),
+    ("M/d/yyyy H:m:s", r"^[0-9]{1,2}/[0-9]{1,2}/[0-9]{4} [0-9]{1,2}:[0-9]{1,2}:[0-9]{1,2}$"),
+    ("d MMM yyyy", r"^[0-9]{1,2} [A-Za-z]{3} [0-9]{4}$"),
+    ("MMM d, yyyy", r"^[A-Za-z]{3} [0-9]{1,2}, [0-9]{4}$"),
 )
 
+DateFormat = str | tuple[str, str]
 
-def coerce_timestamp(c: Column | str, formats: Sequence[str] = DEFAULT_DATE_FORMATS) -> Column:
-    """Parse text with the first layout that fits; null when none does."""
+
+def coerce_timestamp(c: Column | str, formats: Sequence[DateFormat] = DEFAULT_DATE_FORMATS) -> Column:
+    """Parse text with the first layout that fits; null when none does.
+
+    A layout is a datetime pattern, or ``(pattern, shape_regex)`` to skip
+    the parser on text that cannot match.
+    """
     s = strip_ws(as_col(c).cast("string"))
-    return F.coalesce(*[F.try_to_timestamp(s, F.lit(f)) for f in formats])
+    attempts = []
+    for f in formats:
+        pattern, shape = (f, None) if isinstance(f, str) else f
+        parsed = F.try_to_timestamp(s, F.lit(pattern))
+        attempts.append(F.when(s.rlike(shape), parsed) if shape else parsed)
+    return F.coalesce(*attempts)
 
 
-def coerce_date(c: Column | str, formats: Sequence[str] = DEFAULT_DATE_FORMATS, typed_input: bool = False) -> Column:
+def coerce_date(c: Column | str, formats: Sequence[DateFormat] = DEFAULT_DATE_FORMATS, typed_input: bool = False) -> Column:
     """Like ``coerce_timestamp`` but truncated to a calendar date.  Typed
     (date/timestamp) input is cast directly."""
     if typed_input:

@@ -23,6 +23,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from salesledger.sources.tables import read_table
+
+# Tables whose rows carry the work; dimension tables are never rebalanced.
+FACT_TABLES = ("lineitem", "orders", "events")
+
 LINE_ORDER_COLS = (
     "l_orderkey",
     "l_partkey",
@@ -39,17 +44,22 @@ LINE_ORDER_COLS = (
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
+    return read_table(spark, f"{sf_dir.rstrip('/')}/{name}.parquet", rebalance=name in FACT_TABLES)
+
+
+def _geo(spark: SparkSession, sf_dir: str) -> DataFrame:
+    n = table(spark, sf_dir, "nation").select("n_nationkey", "n_regionkey")
+    r = table(spark, sf_dir, "region").select("r_regionkey", "r_name")
+    return n.join(r, n.n_regionkey == r.r_regionkey).select("n_nationkey", "r_name")
 
 
 def _order_region(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """orders ⋈ customer ⋈ (nation ⋈ region), fact first (star order)."""
     o = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderdate", "o_totalprice", "o_orderpriority")
     c = table(spark, sf_dir, "customer").select("c_custkey", "c_nationkey", "c_mktsegment")
-    n = table(spark, sf_dir, "nation").select("n_nationkey", "n_regionkey")
-    r = table(spark, sf_dir, "region").select("r_regionkey", "r_name")
-    geo = n.join(r, n.n_regionkey == r.r_regionkey).select("n_nationkey", "r_name")
-    cust = c.join(geo, c.c_nationkey == geo.n_nationkey).select("c_custkey", "c_mktsegment", "r_name")
-    return o.join(cust, o.o_custkey == cust.c_custkey)
+    oc = o.join(c, o.o_custkey == c.c_custkey)
+    geo = _geo(spark, sf_dir)
+    return oc.join(geo, oc.c_nationkey == geo.n_nationkey)
 
 
 def sales_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -67,10 +77,15 @@ def sales_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """lineitem ⋈ orders ⋈ part ⋈ customer ⋈ (nation ⋈ region)."""
     li = table(spark, sf_dir, "lineitem").select(*LINE_ORDER_COLS)
+    o = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderdate")
     p = table(spark, sf_dir, "part").select("p_partkey", "p_name", "p_type")
-    orders = _order_region(spark, sf_dir).select("o_orderkey", "o_orderdate", "r_name")
-    return li.join(orders, li.l_orderkey == orders.o_orderkey).join(p, li.l_partkey == p.p_partkey)
+    c = table(spark, sf_dir, "customer").select("c_custkey", "c_nationkey")
+    geo = _geo(spark, sf_dir)
+    df = li.join(o, li.l_orderkey == o.o_orderkey).join(p, li.l_partkey == p.p_partkey)
+    df = df.join(c, df.o_custkey == c.c_custkey)
+    return df.join(geo, df.c_nationkey == geo.n_nationkey)
 
 
 def sales_lines(spark: SparkSession, sf_dir: str, with_seq: bool = False) -> DataFrame:
