@@ -45,10 +45,8 @@ def refresh_rates(current: DataFrame, feed: DataFrame) -> DataFrame:
     return joined.select("currency", new_rate.alias("rate"))
 
 
-def _as_currency(c: str | Column) -> Column:
-    if isinstance(c, Column):
-        return c
-    return F.lit(c) if c in KNOWN_CURRENCIES else F.col(c)
+def _is_code(c: str | Column) -> bool:
+    return isinstance(c, str) and c in KNOWN_CURRENCIES
 
 
 def convert(
@@ -60,21 +58,28 @@ def convert(
     out_col: str = "converted",
 ) -> DataFrame:
     """``amount / rate[from] * rate[to]``; null for a missing or ≤ 0 amount
-    or an unknown currency.  Two broadcast hash joins on the bounded rate
-    table; the fact side is not shuffled."""
+    or an unknown currency.
+
+    A currency given as a code is one rate: a scalar subquery on the rate
+    table, no join.  A currency given as a column is a broadcast hash join
+    on the bounded rate table; the fact side is not shuffled.
+    """
     r = rates.filter(F.col("currency").isin(list(KNOWN_CURRENCIES)))
-    rf = F.broadcast(r.select(F.col("currency").alias("_from"), F.col("rate").alias("_rate_from")))
-    rt = F.broadcast(r.select(F.col("currency").alias("_to"), F.col("rate").alias("_rate_to")))
-    out = (
-        df.withColumn("_from", _as_currency(from_currency))
-        .withColumn("_to", _as_currency(to_currency))
-        .join(rf, "_from", "left")
-        .join(rt, "_to", "left")
-    )
+    out = df
+    rate_cols = {}
+    for side, cur in (("from", from_currency), ("to", to_currency)):
+        name = f"_rate_{side}"
+        if _is_code(cur):
+            rate_cols[side] = r.filter(F.col("currency") == F.lit(cur)).select(F.max("rate")).scalar()
+        else:
+            key = f"_{side}"
+            lookup = F.broadcast(r.select(F.col("currency").alias(key), F.col("rate").alias(name)))
+            out = out.withColumn(key, cur if isinstance(cur, Column) else F.col(cur)).join(lookup, key, "left").drop(key)
+            rate_cols[side] = F.col(name)
     amt = F.col(amount_col).cast("double")
-    valid = amt.isNotNull() & (amt > 0) & (F.col("_rate_from") > 0)
-    value = F.when(valid, amt / F.col("_rate_from") * F.col("_rate_to"))
-    return out.withColumn(out_col, value).drop("_from", "_to", "_rate_from", "_rate_to")
+    valid = amt.isNotNull() & (amt > 0) & (rate_cols["from"] > 0)
+    value = F.when(valid, amt / rate_cols["from"] * rate_cols["to"])
+    return out.withColumn(out_col, value).drop("_rate_from", "_rate_to")
 
 
 def rates_grid(rates: DataFrame, base_amount: float = 100.0) -> DataFrame:

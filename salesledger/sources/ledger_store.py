@@ -17,6 +17,7 @@ from __future__ import annotations
 import os
 from collections.abc import Sequence
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import DateType, DoubleType, LongType, StringType, StructField, StructType
@@ -42,10 +43,12 @@ def _join(base: str, name: str) -> str:
 
 
 def _exists(spark: SparkSession, path: str) -> bool:
-    jvm = spark.sparkContext._jvm
-    p = jvm.org.apache.hadoop.fs.Path(path)
-    fs = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    return bool(fs.exists(p))
+    """Whether a Parquet dataset is readable at ``path`` (schema only, no job)."""
+    try:
+        spark.read.parquet(path).schema  # noqa: B018
+        return True
+    except AnalysisException:
+        return False
 
 
 class LedgerTable:
