@@ -66,6 +66,16 @@ def q_sales_top_products_with_total(spark, d):
     return with_total_row(S.top_products(A.sales_lines(spark, d)), "product", ["revenue", "quantity_sold", "orders"])
 
 
+def q_sales_monthly_with_total(spark, d):
+    return with_total_row(S.monthly_trend(A.sales_orders(spark, d)), "month", ["revenue", "orders", "quantity_sold"])
+
+
+def q_sales_regional_with_total(spark, d):
+    return with_total_row(
+        S.regional_sales(A.sales_orders(spark, d)), "region", ["revenue", "orders", "revenue_share_pct"]
+    )
+
+
 def _clean(spark, d):
     return clean_sales(A.messy_sales_text(spark, d), order_cols=["row_seq"])
 
@@ -203,6 +213,8 @@ QUERIES: dict[str, Query] = {
     "sales_first_line_per_order": q_sales_first_line_per_order,
     "sales_top5_chart": q_sales_top5_chart,
     "sales_top_products_with_total": q_sales_top_products_with_total,
+    "sales_monthly_with_total": q_sales_monthly_with_total,
+    "sales_regional_with_total": q_sales_regional_with_total,
     "sales_clean": q_sales_clean,
     "sales_clean_regional_share": q_sales_clean_regional_share,
     "sales_clean_kpis": q_sales_clean_kpis,
@@ -234,22 +246,22 @@ QUERIES: dict[str, Query] = {
 
 
 # ------------------------------------------------------------ SQL twins ---
-def _regional(src_ctes: str) -> str:
+def _regional_body() -> str:
     return (
-        O.with_(
-            src_ctes,
-            """
-g as (select region, """
-            + O.money_sum("revenue")
-            + """ as rev_exact, count(order_id) as orders from sales group by region)""",
-        )
-        + """select region, cast(rev_exact as double) as revenue, orders, """
+        """with g as (select region, """
+        + O.money_sum("revenue")
+        + """ as rev_exact, count(order_id) as orders from sales group by region)
+select region, cast(rev_exact as double) as revenue, orders, """
         + O.share("cast(rev_exact as double)", "(select sum(rev_exact) from g)")
         + """ as revenue_share_pct
 from g order by revenue desc, region"""
     )
 
 
+def _regional(src_ctes: str) -> str:
+    return O.with_(src_ctes) + "select * from (" + _regional_body() + ")"
+
+
 def _kpis(src_ctes: str) -> str:
     return (
         O.with_(src_ctes)
@@ -265,10 +277,9 @@ from sales"""
     )
 
 
-def _monthly(src_ctes: str) -> str:
+def _monthly_body() -> str:
     return (
-        O.with_(src_ctes)
-        + """select strftime(date, '%Y-%m') as month, cast("""
+        """select strftime(date, '%Y-%m') as month, cast("""
         + O.money_sum("revenue")
         + """ as double) as revenue,
        count(order_id) as orders, cast(sum(quantity) as bigint) as quantity_sold
@@ -276,6 +287,10 @@ from sales group by 1 order by 1"""
     )
 
 
+def _monthly(src_ctes: str) -> str:
+    return O.with_(src_ctes) + _monthly_body()
+
+
 def _top_products_body(limit: int) -> str:
     return (
         """select product, cast("""
@@ -319,6 +334,17 @@ ORACLE: dict[str, str] = {
 union all
 select 'Total', coalesce(cast(sum(cast(revenue as decimal(28,4))) as double), 0.0),
        cast(coalesce(sum(quantity_sold), 0) as bigint), cast(coalesce(sum(orders), 0) as bigint), 'total' from top""",
+    "sales_monthly_with_total": O.with_(O.SALES_ORDERS, "\nm as (" + _monthly_body() + ")")
+    + """select month, revenue, orders, quantity_sold, 'row' as row_kind from m
+union all
+select 'Total', coalesce(cast(sum(cast(revenue as decimal(28,4))) as double), 0.0),
+       cast(coalesce(sum(orders), 0) as bigint), cast(coalesce(sum(quantity_sold), 0) as bigint), 'total' from m""",
+    "sales_regional_with_total": O.with_(O.SALES_ORDERS, "\nr as (" + _regional_body() + ")")
+    + """select region, revenue, orders, revenue_share_pct, 'row' as row_kind from r
+union all
+select 'Total', coalesce(cast(sum(cast(revenue as decimal(28,4))) as double), 0.0),
+       cast(coalesce(sum(orders), 0) as bigint),
+       coalesce(cast(sum(cast(revenue_share_pct as decimal(28,4))) as double), 0.0), 'total' from r""",
     "sales_clean": O.with_(O.MESSY) + "select " + SALES_COLS + " from cleaned",
     "sales_clean_regional_share": _regional(CLEANED_AS_SALES),
     "sales_clean_kpis": _kpis(CLEANED_AS_SALES),
