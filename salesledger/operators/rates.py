@@ -28,7 +28,9 @@ GRID_CURRENCIES = ("USD", "EUR", "GBP", "AED", "SGD", "JPY", "CAD")
 
 
 def base_rates(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame(list(BASE_RATES), "currency string, rate double")
+    """The fallback rate table, built on the JVM side (no Python rows)."""
+    rows = [F.struct(F.lit(c).alias("currency"), F.lit(float(r)).alias("rate")) for c, r in BASE_RATES]
+    return spark.range(1).select(F.inline(F.array(*rows)))
 
 
 def refresh_rates(current: DataFrame, feed: DataFrame) -> DataFrame:

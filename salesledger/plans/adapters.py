@@ -43,8 +43,10 @@ LINE_ORDER_COLS = (
 )
 
 
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return read_table(spark, f"{sf_dir.rstrip('/')}/{name}.parquet", rebalance=name in FACT_TABLES)
+def table(spark: SparkSession, sf_dir: str, name: str, probe: bool = True) -> DataFrame:
+    """``probe=False`` for a table read as the small side of a join, where a
+    rebalance would only add a shuffle before the broadcast."""
+    return read_table(spark, f"{sf_dir.rstrip('/')}/{name}.parquet", rebalance=probe and name in FACT_TABLES)
 
 
 def _geo(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -79,7 +81,7 @@ def sales_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """lineitem ⋈ orders ⋈ part ⋈ customer ⋈ (nation ⋈ region)."""
     li = table(spark, sf_dir, "lineitem").select(*LINE_ORDER_COLS)
-    o = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderdate")
+    o = table(spark, sf_dir, "orders", probe=False).select("o_orderkey", "o_custkey", "o_orderdate")
     p = table(spark, sf_dir, "part").select("p_partkey", "p_name", "p_type")
     c = table(spark, sf_dir, "customer").select("c_custkey", "c_nationkey")
     geo = _geo(spark, sf_dir)

@@ -15,12 +15,15 @@ from salesledger.operators import ledger as L
 from salesledger.operators import sales as S
 from salesledger.operators.cleaning import clean_sales
 from salesledger.operators.quality import quality_metrics
+from salesledger.session import ensure_checkpoint_dir
 from salesledger.sources.sinks import json_document, records
 
 
 def sales_dashboard_json(raw: DataFrame, order_cols: Sequence[str | Column] = ("row_seq",)) -> DataFrame:
     """Cleaning metrics, KPIs and the three sales tables of one raw input."""
-    cleaned = clean_sales(raw, order_cols=order_cols)
+    ensure_checkpoint_dir(raw.sparkSession)
+    # four aggregations read the cleaned rows: freeze them once
+    cleaned = clean_sales(raw, order_cols=order_cols).checkpoint(eager=True)
     analysis = S.run_analysis(cleaned, check_empty=False)
     metrics = quality_metrics(raw, order_cols=order_cols)
     head = analysis.kpis.select(

@@ -30,7 +30,9 @@ EMPTY_EXPORT_ROW = (0, 0.0, "None", "No expenses recorded", dt.date(2026, 6, 14)
 
 def export_tables(ledger: DataFrame) -> dict[str, DataFrame]:
     spark = ledger.sparkSession
-    placeholder = spark.createDataFrame([EMPTY_EXPORT_ROW], LEDGER_SCHEMA)
+    placeholder = spark.range(1).select(
+        *[F.lit(v).cast(f.dataType).alias(f.name) for v, f in zip(EMPTY_EXPORT_ROW, LEDGER_SCHEMA.fields)]
+    )
     # the placeholder only survives when the ledger is empty
     has_rows = ledger.select(F.count(F.lit(1))).scalar() > 0
     src = ledger.unionByName(placeholder.filter(~has_rows))
