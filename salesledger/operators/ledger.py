@@ -44,6 +44,7 @@ def _category_totals(df: DataFrame, with_count: bool = True) -> DataFrame:
 def category_breakdown(df: DataFrame, digits: int = 2) -> DataFrame:
     """category, total_spent, count, share_pct; largest first."""
     g = with_share(_category_totals(df), "total_spent", "share_pct", digits, total_col="_total_exact")
+    g = g.filter(F.col("category").isNotNull())
     return g.select("category", "total_spent", "count", "share_pct").orderBy(
         F.desc("total_spent"), F.asc("category")
     )
@@ -54,6 +55,7 @@ def export_category_summary(df: DataFrame, digits: int = 2) -> DataFrame:
     g = with_share(
         _category_totals(df, with_count=False), "total_spent", "share_pct", digits, total_col="_total_exact"
     )
+    g = g.filter(F.col("category").isNotNull())
     return g.select("category", "total_spent", "share_pct").orderBy(F.desc("total_spent"), F.asc("category"))
 
 
@@ -61,7 +63,7 @@ def highest_category(df: DataFrame) -> DataFrame:
     """One row: the category with the largest total (ties: first by name);
     ``'None'`` for an empty ledger.  ``min_by`` is a partial aggregate, so
     this is one small pass over the grouped table."""
-    g = _category_totals(df, with_count=False)
+    g = _category_totals(df, with_count=False).filter(F.col("category").isNotNull())
     pick = F.min_by("category", F.struct((-F.col("_total_exact")).alias("neg"), F.col("category").alias("c")))
     return g.agg(F.coalesce(pick, F.lit("None")).alias("highest_category"))
 
@@ -71,6 +73,7 @@ def daily_trend(df: DataFrame) -> DataFrame:
     return (
         df.groupBy("date")
         .agg(F.sum(money("amount")).cast("double").alias("amount"))
+        .filter(F.col("date").isNotNull())
         .orderBy("date")
         .select(day_str("date").alias("date_str"), "amount")
     )

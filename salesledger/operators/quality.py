@@ -10,9 +10,9 @@ Two families:
 * exact per-rule counts (``null_key_rows``, ``duplicate_rows``,
   ``bad_date_rows``), which add up to ``raw_rows - cleaned_rows``.
 
-Raw-side counts are one aggregation over the scan; the rest is one
-aggregation over the de-duplicated rows.  They are combined with scalar
-subqueries, so there is no join and nothing goes through the driver.
+All counts come from one pass: rows grouped by (id, null-key flag), then
+one small aggregation over those groups.  No join, nothing through the
+driver.
 """
 
 from __future__ import annotations
@@ -52,41 +52,39 @@ def quality_metrics(
     df = add_missing_sales_columns(df)
     key_null = F.col("order_id").isNull() | F.col("revenue").isNull()
 
-    raw_stats = df.agg(
-        F.count(F.lit(1)).alias("raw_rows"),
-        F.count_if(key_null).alias("null_key_rows"),
-        F.count_if(F.col("_compat_null")).alias("_compat_null_rows"),
-    )
-
-    kept = df.filter(~key_null).withColumn("order_id", strip_ws(F.col("order_id").cast("string")))
+    # One pass: group every row by (stripped id, null-key flag).  Partial
+    # aggregation collapses hot ids (and the null-key rows) in the map tasks;
+    # the second aggregation runs over one row per id.
     order_fields = [(F.col(c) if isinstance(c, str) else c).alias(f"_o{i}") for i, c in enumerate(order_cols)]
-    firsts = kept.groupBy("order_id").agg(
-        F.min(F.struct(*order_fields, F.col("date").alias("_date"))).alias("_first"),
-        F.count(F.lit(1)).alias("_copies"),
+    per_id = (
+        df.withColumn("_key_null", key_null)
+        .withColumn("order_id", strip_ws(F.col("order_id").cast("string")))
+        .groupBy("order_id", "_key_null")
+        .agg(
+            F.count(F.lit(1)).alias("_n"),
+            F.count_if(F.col("_compat_null")).alias("_compat"),
+            F.min(F.struct(*order_fields, F.col("date").alias("_date"))).alias("_first"),
+        )
     )
+    kept = ~F.col("_key_null")
     first_date = coerce_date(F.col("_first._date"), date_formats)
-    dedup_stats = firsts.agg(
-        F.coalesce(F.sum("_copies"), F.lit(0)).alias("_after_nulls"),
-        F.count(F.lit(1)).alias("_distinct_ids"),
-        F.count_if(first_date.isNull()).alias("bad_date_rows"),
+    stats = per_id.agg(
+        F.coalesce(F.sum("_n"), F.lit(0)).alias("raw_rows"),
+        F.coalesce(F.sum(F.when(~kept, F.col("_n"))), F.lit(0)).alias("null_key_rows"),
+        F.coalesce(F.sum("_compat"), F.lit(0)).alias("_compat_null_rows"),
+        F.coalesce(F.sum(F.when(kept, F.col("_n"))), F.lit(0)).alias("_after_nulls"),
+        F.count_if(kept).alias("_distinct_ids"),
+        F.count_if(kept & first_date.isNull()).alias("bad_date_rows"),
     )
-
-    # one scalar subquery carrying all three counts
-    stats = dedup_stats.select(F.struct("_after_nulls", "_distinct_ids", "bad_date_rows")).scalar()
-    after_nulls = stats.getField("_after_nulls")
-    distinct_ids = stats.getField("_distinct_ids")
-    bad_dates = stats.getField("bad_date_rows")
-
-    out = raw_stats.select(
+    cleaned = F.col("_distinct_ids") - F.col("bad_date_rows")
+    out = stats.select(
         "raw_rows",
-        (distinct_ids - bad_dates).alias("cleaned_rows"),
+        cleaned.alias("cleaned_rows"),
         F.greatest(F.lit(0), F.col("_compat_null_rows")).alias("nulls_removed"),
-        F.greatest(F.lit(0), F.col("raw_rows") - F.col("_compat_null_rows") - (distinct_ids - bad_dates)).alias(
-            "duplicates_removed"
-        ),
+        F.greatest(F.lit(0), F.col("raw_rows") - F.col("_compat_null_rows") - cleaned).alias("duplicates_removed"),
         "null_key_rows",
-        (after_nulls - distinct_ids).alias("duplicate_rows"),
-        bad_dates.alias("bad_date_rows"),
+        (F.col("_after_nulls") - F.col("_distinct_ids")).alias("duplicate_rows"),
+        "bad_date_rows",
     )
     return out.withColumn(
         "retention_pct",

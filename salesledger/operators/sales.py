@@ -34,10 +34,15 @@ def sales_kpis(df: DataFrame) -> DataFrame:
 
 
 def product_totals(df: DataFrame) -> DataFrame:
-    return df.groupBy("product").agg(
-        F.sum(money("revenue")).cast("double").alias("revenue"),
-        F.sum("quantity").alias("quantity_sold"),
-        F.count("order_id").alias("orders"),
+    """Per product; a null product forms no group (as in a pandas groupby)."""
+    return (
+        df.groupBy("product")
+        .agg(
+            F.sum(money("revenue")).cast("double").alias("revenue"),
+            F.sum("quantity").alias("quantity_sold"),
+            F.count("order_id").alias("orders"),
+        )
+        .filter(F.col("product").isNotNull())
     )
 
 
@@ -56,20 +61,26 @@ def monthly_trend(df: DataFrame) -> DataFrame:
             F.count("order_id").alias("orders"),
             F.sum("quantity").alias("quantity_sold"),
         )
+        .filter(F.col("month").isNotNull())
         .select("month", "revenue", "orders", "quantity_sold")
         .orderBy("month")
     )
 
 
 def regional_sales(df: DataFrame, digits: int = 2) -> DataFrame:
-    """region, revenue, orders, revenue_share_pct; by revenue descending."""
+    """region, revenue, orders, revenue_share_pct; by revenue descending.
+
+    The share's total is all revenue, rows without a region included, while
+    such rows form no group (pandas groupby semantics): the null group is
+    kept through the total and dropped from the output.
+    """
     grouped = df.groupBy("region").agg(
         _money_total("revenue", "_revenue_exact"),
         F.count("order_id").alias("orders"),
     )
     grouped = grouped.withColumn("revenue", F.col("_revenue_exact").cast("double"))
     shared = with_share(grouped, "revenue", "revenue_share_pct", digits, total_col="_revenue_exact")
-    return shared.select("region", "revenue", "orders", "revenue_share_pct").orderBy(
+    return shared.filter(F.col("region").isNotNull()).select("region", "revenue", "orders", "revenue_share_pct").orderBy(
         F.desc("revenue"), F.asc("region")
     )
 

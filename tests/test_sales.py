@@ -162,3 +162,13 @@ def test_quality_compat_null_headers(spark):
 def test_normalize_headers_passthrough(spark):
     df = spark.createDataFrame([("1", "x")], "`Order ID` string, notes string")
     assert normalize_headers(df).columns == ["order_id", "notes"]
+
+
+def test_null_keys_form_no_group_but_count_in_total(spark):
+    df = spark.createDataFrame(
+        [("1", "2026-01-01", "A", "c", 1, 1.0, 30.0, "East"), ("2", "2026-01-01", "B", "c", 1, 1.0, 70.0, None)],
+        "order_id string, date string, product string, category string, quantity long, unit_price double, "
+        "revenue double, region string",
+    ).withColumn("date", F.col("date").cast("date"))
+    rows = S.regional_sales(df).collect()
+    assert [(r.region, r.revenue_share_pct) for r in rows] == [("East", 30.0)]
