@@ -72,8 +72,9 @@ def title_case(c: Column | str) -> Column:
     return F.array_join(F.transform(runs, lambda r: F.initcap(r)), "")
 
 
-def null_tokens_to_null(c: Column | str, tokens: Iterable[str] = DEFAULT_NULL_TOKENS) -> Column:
-    """Whole-cell null tokens (``NA``, ``N/A``, ``None``, ``null`` …) → null."""
+def null_tokens_to_null(c: Column | str, tokens: Iterable[str | Column] = DEFAULT_NULL_TOKENS) -> Column:
+    """Whole-cell null tokens (``NA``, ``N/A``, ``None``, ``null`` …) → null.
+    ``tokens`` may be literal columns, to share them across many columns."""
     col = as_col(c)
     return F.when(col.isin(list(tokens)), F.lit(None).cast("string")).otherwise(col)
 

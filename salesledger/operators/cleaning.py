@@ -55,7 +55,8 @@ def null_tokens_pass(df: DataFrame, tokens: Iterable[str] | None = DEFAULT_NULL_
     """Turn whole-cell null tokens into nulls in every string column."""
     if tokens is None:
         return df
-    tokens = list(tokens)
+    # literal columns built once and shared by every column's IN list
+    tokens = [F.lit(t) for t in tokens]
     return df.withColumns(
         {f.name: null_tokens_to_null(F.col(f"`{f.name}`"), tokens) for f in df.schema if isinstance(f.dataType, StringType)}
     )
@@ -120,18 +121,25 @@ def clean_sales(
     keep = [c for c in SALES_COLUMNS] + [c for c in order_names if c not in SALES_COLUMNS]
     df = df.select(*keep)
     df = keep_first(df, "order_id", order_cols)
+    df = finish_sales(df, date_formats)
+    out = list(SALES_COLUMNS) + ([c for c in order_names if c not in SALES_COLUMNS] if keep_order_cols else [])
+    return df.select(*out)
+
+
+def finish_sales(df: DataFrame, date_formats: Sequence[str] = DEFAULT_DATE_FORMATS) -> DataFrame:
+    """The rules that follow de-duplication, row by row: dates parsed (rows
+    whose date does not parse are dropped), text standardised, numbers
+    coerced with their defaults."""
     df = parse_dates(df, "date", date_formats)
     df = standardize_text(df, ("product", "region", "category"))
     numeric = {n: _is_typed(df, n, (NumericType,)) for n in ("revenue", "quantity", "unit_price")}
-    df = df.withColumns(
+    return df.withColumns(
         {
             "revenue": coerce_number("revenue", 0.0, numeric["revenue"]),
             "quantity": coerce_int("quantity", SALES_QUANTITY_DEFAULT, numeric["quantity"]),
             "unit_price": coerce_number("unit_price", 0.0, numeric["unit_price"]),
         }
     )
-    out = list(SALES_COLUMNS) + ([c for c in order_names if c not in SALES_COLUMNS] if keep_order_cols else [])
-    return df.select(*out)
 
 
 def clean_expenses(

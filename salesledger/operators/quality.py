@@ -1,6 +1,7 @@
-"""Data-quality counts for a sales cleaning run.
+"""Data-quality counts for a sales cleaning run, and the one grouped pass
+that both the counts and the cleaned table come from.
 
-Two families:
+Two families of counts:
 
 * the dashboard-compatible metrics (``raw_rows``, ``cleaned_rows``,
   ``nulls_removed``, ``duplicates_removed``): ``nulls_removed`` only looks
@@ -10,9 +11,13 @@ Two families:
 * exact per-rule counts (``null_key_rows``, ``duplicate_rows``,
   ``bad_date_rows``), which add up to ``raw_rows - cleaned_rows``.
 
-All counts come from one pass: rows grouped by (id, null-key flag), then
-one small aggregation over those groups.  No join, nothing through the
-driver.
+``sales_groups`` groups every raw row by (stripped id, null-key flag) and
+keeps each group's row count and first row.  Partial aggregation collapses
+hot ids (and all null-key rows) in the map tasks, so no group travels whole
+to one task.  The counts are one small aggregation over the groups; the
+cleaned table is the complete-key groups with the remaining row rules
+applied.  A report that needs both reads and shuffles the raw rows once
+(``clean_with_metrics``).
 """
 
 from __future__ import annotations
@@ -21,26 +26,39 @@ from collections.abc import Iterable, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DateType, TimestampNTZType, TimestampType
 
 from salesledger.functions import DEFAULT_DATE_FORMATS, DEFAULT_NULL_TOKENS, coerce_date, round_half_up, strip_ws
-from salesledger.operators.cleaning import add_missing_sales_columns, null_tokens_pass
+from salesledger.operators.cleaning import (
+    SALES_COLUMNS,
+    add_missing_sales_columns,
+    fill_sales_text,
+    finish_sales,
+    null_tokens_pass,
+)
 from salesledger.operators.headers import SALES_ALIASES, SALES_REQUIRED, normalize_headers, require_columns, sales_header_key
+from salesledger.session import ensure_checkpoint_dir
 
 # Raw header keys the dashboard null count looks at.
 COMPAT_NULL_HEADER_KEYS = ("orderid", "id", "revenue", "sales")
 
+SALES_PAYLOAD = tuple(c for c in SALES_COLUMNS if c != "order_id")
+
 
 def _compat_key(name: str) -> str:
     return str(name).lower().replace("_", "").replace(" ", "")
 
 
-def quality_metrics(
+def sales_groups(
     raw: DataFrame,
     order_cols: Sequence[str | Column] = ("row_seq",),
     null_tokens: Iterable[str] | None = DEFAULT_NULL_TOKENS,
-    date_formats: Sequence[str] = DEFAULT_DATE_FORMATS,
+    payload: Sequence[str] = SALES_PAYLOAD,
 ) -> DataFrame:
-    """One row of cleaning counts for ``raw`` (the reader's output)."""
+    """One row per (stripped ``order_id``, ``_key_null``) of raw sales rows:
+    ``_n`` rows, ``_compat`` rows the dashboard counts as null, and the
+    ``payload`` columns of the group's first row by ``order_cols`` (ties
+    broken by the payload, so the choice is deterministic)."""
     compat_cols = [c for c in raw.columns if _compat_key(c) in COMPAT_NULL_HEADER_KEYS]
     tokened = null_tokens_pass(raw, null_tokens)
     compat_null = F.lit(False)
@@ -49,26 +67,35 @@ def quality_metrics(
 
     df = normalize_headers(tokened.withColumn("_compat_null", compat_null), SALES_ALIASES, sales_header_key)
     require_columns(df, SALES_REQUIRED)
-    df = add_missing_sales_columns(df)
+    df = fill_sales_text(add_missing_sales_columns(df))
     key_null = F.col("order_id").isNull() | F.col("revenue").isNull()
+    df = df.withColumn("_key_null", key_null).withColumn("order_id", strip_ws(F.col("order_id").cast("string")))
 
-    # One pass: group every row by (stripped id, null-key flag).  Partial
-    # aggregation collapses hot ids (and the null-key rows) in the map tasks;
-    # the second aggregation runs over one row per id.
     order_fields = [(F.col(c) if isinstance(c, str) else c).alias(f"_o{i}") for i, c in enumerate(order_cols)]
-    per_id = (
-        df.withColumn("_key_null", key_null)
-        .withColumn("order_id", strip_ws(F.col("order_id").cast("string")))
-        .groupBy("order_id", "_key_null")
-        .agg(
-            F.count(F.lit(1)).alias("_n"),
-            F.count_if(F.col("_compat_null")).alias("_compat"),
-            F.min(F.struct(*order_fields, F.col("date").alias("_date"))).alias("_first"),
-        )
+    first = F.min(F.struct(*order_fields, F.struct(*[F.col(f"`{c}`") for c in payload]).alias("_row")))
+    grouped = df.groupBy("order_id", "_key_null").agg(
+        F.count(F.lit(1)).alias("_n"),
+        F.count_if(F.col("_compat_null")).alias("_compat"),
+        first.alias("_first"),
     )
+    return grouped.select(
+        "order_id", "_key_null", "_n", "_compat", *[F.col("_first._row").getField(c).alias(c) for c in payload]
+    )
+
+
+def cleaned_from_groups(groups: DataFrame, date_formats: Sequence[str] = DEFAULT_DATE_FORMATS) -> DataFrame:
+    """The cleaned sales table: first rows of complete-key groups, with the
+    date, text and number rules applied."""
+    kept = groups.filter(~F.col("_key_null")).select(*SALES_COLUMNS)
+    return finish_sales(kept, date_formats).select(*SALES_COLUMNS)
+
+
+def metrics_from_groups(groups: DataFrame, date_formats: Sequence[str] = DEFAULT_DATE_FORMATS) -> DataFrame:
+    """One row of cleaning counts from ``sales_groups`` output."""
     kept = ~F.col("_key_null")
-    first_date = coerce_date(F.col("_first._date"), date_formats)
-    stats = per_id.agg(
+    typed = isinstance(groups.schema["date"].dataType, (DateType, TimestampType, TimestampNTZType))
+    first_date = coerce_date(F.col("date"), date_formats, typed_input=typed)
+    stats = groups.agg(
         F.coalesce(F.sum("_n"), F.lit(0)).alias("raw_rows"),
         F.coalesce(F.sum(F.when(~kept, F.col("_n"))), F.lit(0)).alias("null_key_rows"),
         F.coalesce(F.sum("_compat"), F.lit(0)).alias("_compat_null_rows"),
@@ -92,3 +119,35 @@ def quality_metrics(
             F.lit(100.0)
         ),
     )
+
+
+def quality_metrics(
+    raw: DataFrame,
+    order_cols: Sequence[str | Column] = ("row_seq",),
+    null_tokens: Iterable[str] | None = DEFAULT_NULL_TOKENS,
+    date_formats: Sequence[str] = DEFAULT_DATE_FORMATS,
+) -> DataFrame:
+    """One row of cleaning counts for ``raw`` (the reader's output).  Only
+    the first row's date is carried through the grouping."""
+    groups = sales_groups(raw, order_cols, null_tokens, payload=("date",))
+    return metrics_from_groups(groups, date_formats)
+
+
+def clean_with_metrics(
+    raw: DataFrame,
+    order_cols: Sequence[str | Column] = ("row_seq",),
+    null_tokens: Iterable[str] | None = DEFAULT_NULL_TOKENS,
+    date_formats: Sequence[str] = DEFAULT_DATE_FORMATS,
+    freeze: bool = True,
+) -> tuple[DataFrame, DataFrame]:
+    """(cleaned table, quality counts) from one grouped pass over ``raw``.
+
+    With ``freeze`` the groups (one row per distinct id) are checkpointed to
+    the shared checkpoint folder, so the counts, the cleaned table and
+    everything computed from it read that copy instead of the raw input.
+    """
+    groups = sales_groups(raw, order_cols, null_tokens)
+    if freeze:
+        ensure_checkpoint_dir(raw.sparkSession)
+        groups = groups.checkpoint(eager=True)
+    return cleaned_from_groups(groups, date_formats), metrics_from_groups(groups, date_formats)

@@ -28,6 +28,21 @@ from salesledger.sources.tables import read_table
 # Tables whose rows carry the work; dimension tables are never rebalanced.
 FACT_TABLES = ("lineitem", "orders", "events")
 
+# The driver tables' schemas, declared so that reads skip
+# schema inference.
+TABLE_SCHEMAS = {
+    "region": "r_regionkey INT, r_name STRING",
+    "nation": "n_nationkey INT, n_name STRING, n_regionkey INT",
+    "customer": "c_custkey BIGINT, c_name STRING, c_nationkey INT, c_acctbal DOUBLE, c_mktsegment STRING",
+    "part": "p_partkey BIGINT, p_name STRING, p_brand STRING, p_type STRING, p_size INT, p_retailprice DOUBLE",
+    "orders": "o_orderkey BIGINT, o_custkey BIGINT, o_orderstatus STRING, o_totalprice DOUBLE, "
+    "o_orderdate TIMESTAMP_NTZ, o_orderpriority STRING",
+    "lineitem": "l_orderkey BIGINT, l_partkey BIGINT, l_suppkey BIGINT, l_linenumber INT, l_quantity DOUBLE, "
+    "l_extendedprice DOUBLE, l_discount DOUBLE, l_tax DOUBLE, l_returnflag STRING, l_linestatus STRING, "
+    "l_shipdate TIMESTAMP_NTZ",
+    "events": "event_id BIGINT, ts TIMESTAMP_NTZ, user_id BIGINT, event_type STRING, value DOUBLE, props STRING",
+}
+
 LINE_ORDER_COLS = (
     "l_orderkey",
     "l_partkey",
@@ -46,7 +61,12 @@ LINE_ORDER_COLS = (
 def table(spark: SparkSession, sf_dir: str, name: str, probe: bool = True) -> DataFrame:
     """``probe=False`` for a table read as the small side of a join, where a
     rebalance would only add a shuffle before the broadcast."""
-    return read_table(spark, f"{sf_dir.rstrip('/')}/{name}.parquet", rebalance=probe and name in FACT_TABLES)
+    return read_table(
+        spark,
+        f"{sf_dir.rstrip('/')}/{name}.parquet",
+        rebalance=probe and name in FACT_TABLES,
+        schema=TABLE_SCHEMAS.get(name),
+    )
 
 
 def _geo(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -13,19 +13,16 @@ from pyspark.sql import functions as F
 
 from salesledger.operators import ledger as L
 from salesledger.operators import sales as S
-from salesledger.operators.cleaning import clean_sales
-from salesledger.operators.quality import quality_metrics
-from salesledger.session import ensure_checkpoint_dir
+from salesledger.operators.quality import clean_with_metrics
 from salesledger.sources.sinks import json_document, records
 
 
 def sales_dashboard_json(raw: DataFrame, order_cols: Sequence[str | Column] = ("row_seq",)) -> DataFrame:
     """Cleaning metrics, KPIs and the three sales tables of one raw input."""
-    ensure_checkpoint_dir(raw.sparkSession)
-    # four aggregations read the cleaned rows: freeze them once
-    cleaned = clean_sales(raw, order_cols=order_cols).checkpoint(eager=True)
+    # one grouped pass over the raw rows, frozen: the counts and the four
+    # analyses all read that copy
+    cleaned, metrics = clean_with_metrics(raw, order_cols=order_cols)
     analysis = S.run_analysis(cleaned, check_empty=False)
-    metrics = quality_metrics(raw, order_cols=order_cols)
     head = analysis.kpis.select(
         F.lit("success").alias("status"),
         metrics.select(F.struct("raw_rows", "cleaned_rows", "nulls_removed", "duplicates_removed")).scalar().alias(

@@ -1,14 +1,14 @@
 """Sales report, batch: CSV files → clean → analyse → report tables.
 
     raw      = read_csv_text(paths)                 (S1, text + row_seq)
-    cleaned  = clean_sales(raw)                     (P1–P11, one shuffle)
+    cleaned, metrics = clean_with_metrics(raw)      (P1–P11, A11, A12, A15: one shuffle)
     analysis = run_analysis(cleaned)                (A1–A4)
-    metrics  = quality_metrics(raw)                 (A11, A12, A15)
     write_report({...}, root, report_id)            (S9)
 
-The cleaned table feeds four aggregations and a write, so it is frozen once
-with a reliable checkpoint (shared checkpoint folder) instead of being
-recomputed by each of them.
+Cleaning and the quality counts share one grouped pass over the raw rows
+(one row per distinct id), frozen once with a reliable checkpoint (shared
+checkpoint folder); the counts, four aggregations and the writes read that
+copy instead of the raw input.
 """
 
 from __future__ import annotations
@@ -19,11 +19,9 @@ from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
 
-from salesledger.operators.cleaning import clean_sales
-from salesledger.operators.quality import quality_metrics
+from salesledger.operators.quality import clean_with_metrics
 from salesledger.operators.sales import SalesAnalysis, chart_series, run_analysis
 from salesledger.operators.totals import with_total_row
-from salesledger.session import ensure_checkpoint_dir
 from salesledger.sources.csv import SEQ_COL, read_csv_text
 from salesledger.sources.sinks import write_report
 
@@ -51,14 +49,13 @@ class SalesReport:
 
 
 def build_sales_report(spark: SparkSession, raw: DataFrame, report_id: str | None = None) -> SalesReport:
-    ensure_checkpoint_dir(spark)
-    cleaned = clean_sales(raw).checkpoint(eager=True)
+    cleaned, metrics = clean_with_metrics(raw)
     return SalesReport(
         report_id=report_id or f"report_{uuid.uuid4().hex[:10]}",
         raw=raw,
         cleaned=cleaned,
         analysis=run_analysis(cleaned),
-        metrics=quality_metrics(raw),
+        metrics=metrics,
     )
 
 

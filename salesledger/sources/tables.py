@@ -13,15 +13,21 @@ copies (a hash of the values would send them all to one task), repeatable
 on retry (Spark sorts before a round-robin shuffle), and transparent to
 predicate pushdown (filters move below it into the scan; partitioning on a
 row-position id would stop them).
+
+A known ``schema`` skips schema inference (a footer-reading job per read).
 """
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql.types import StructType
 
 
-def read_table(spark: SparkSession, path: str, rebalance: bool = True) -> DataFrame:
-    df = spark.read.parquet(path)
+def read_table(
+    spark: SparkSession, path: str, rebalance: bool = True, schema: StructType | str | None = None
+) -> DataFrame:
+    reader = spark.read if schema is None else spark.read.schema(schema)
+    df = reader.parquet(path)
     if not rebalance:
         return df
     slots = spark.sparkContext.defaultParallelism

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from salesledger.operators import sales as S
 from salesledger.operators.cleaning import clean_sales
 from salesledger.operators.headers import header_mapping, normalize_headers, sales_header_key, SALES_ALIASES
-from salesledger.operators.quality import quality_metrics
+from salesledger.operators.quality import clean_with_metrics, quality_metrics
 from salesledger.sources import read_csv_text
 from tests import model
 
@@ -150,6 +150,15 @@ def test_quality_metrics(raw):
     assert m.retention_pct == round(len(want) / len(ROWS) * 100, 1)
 
 
+def test_clean_with_metrics_is_one_pass_of_both(raw):
+    cleaned, metrics = clean_with_metrics(raw)
+    assert sorted(cleaned.collect()) == sorted(clean_sales(raw).collect())
+    assert metrics.first() == quality_metrics(raw).first()
+    # the raw rows are grouped once; counts and cleaned rows read the frozen groups
+    plan = metrics.unionByName(metrics)._jdf.queryExecution().executedPlan().toString()
+    assert "FileScan csv" not in plan
+
+
 def test_quality_compat_null_headers(spark):
     df = spark.createDataFrame(
         [("1", "2026-01-01", "5"), (None, "2026-01-01", "5"), ("2", "2026-01-01", None), ("1", "x", "5")],
