@@ -2,30 +2,67 @@
 ids of a change set that do not exist.
 
 Single-row edits are the one-row case of these.  Joins are on the unique
-``id`` key.  A change set is broadcast only after a bounded row probe says
-it is small; beyond that Spark shuffles both sides (and AQE may still pick
-a broadcast at run time from measured sizes).
+``id`` key.  A change set is broadcast only after a measuring pass proves
+its rows and bytes small; beyond that Spark shuffles both sides (and AQE
+may still pick a broadcast at run time from measured sizes).
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, BinaryType, MapType, StringType, StructType
 
 from salesledger.functions import strip_ws
 
 LEDGER_FIELDS = ("id", "amount", "category", "description", "date")
 BROADCAST_MAX_ROWS = 1_000_000
-
-
-def bounded_broadcast(df: DataFrame, max_rows: int = BROADCAST_MAX_ROWS) -> DataFrame:
-    """``broadcast(df)`` if it has at most ``max_rows`` rows, else ``df``.
-
-    The probe reads at most ``max_rows + 1`` rows' worth of a count, so its
-    cost is bounded too.
+_DEFAULT_BROADCAST_BYTES = 10 * 1024 * 1024
+
+
+def _row_bytes(df: DataFrame) -> Column:
+    """Data size of a row: text and binary by their length, nested values
+    by their JSON text, other values as 8 bytes."""
+    parts = []
+    for f in df.schema:
+        c = F.col(f"`{f.name}`")
+        if isinstance(f.dataType, StringType):
+            parts.append(F.coalesce(F.octet_length(c), F.lit(0)))
+        elif isinstance(f.dataType, BinaryType):
+            parts.append(F.coalesce(F.length(c), F.lit(0)))
+        elif isinstance(f.dataType, (ArrayType, MapType, StructType)):
+            parts.append(F.coalesce(F.octet_length(F.to_json(c)), F.lit(0)))
+        else:
+            parts.append(F.lit(8))
+    return reduce(lambda a, b: a + b, parts, F.lit(8)).cast("bigint")
+
+
+def broadcast_threshold(spark) -> int:
+    """The session's broadcast size limit in bytes (≤ 0: never broadcast)."""
+    v = spark.conf.get("spark.sql.autoBroadcastJoinThreshold", str(_DEFAULT_BROADCAST_BYTES))
+    try:
+        return int(v)
+    except ValueError:  # a size string such as '10MB'
+        return int(spark.sparkContext._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(v))
+
+
+def bounded_broadcast(df: DataFrame, max_rows: int = BROADCAST_MAX_ROWS, max_bytes: int | None = None) -> DataFrame:
+    """``broadcast(df)`` when a measuring pass proves it small: at most
+    ``max_rows`` rows and ``max_bytes`` of data (default: the session's
+    ``spark.sql.autoBroadcastJoinThreshold``).  Otherwise ``df`` unchanged,
+    and Spark's planner and AQE choose the join from sizes.
+
+    The pass is one aggregation: every task counts its own rows and bytes
+    and one row per task reaches the final sum, so no data funnels through
+    a single task whatever the size of ``df``.
     """
-    n = df.limit(max_rows + 1).count()
-    return F.broadcast(df) if n <= max_rows else df
+    limit = broadcast_threshold(df.sparkSession) if max_bytes is None else max_bytes
+    if limit <= 0:
+        return df
+    n, size = df.agg(F.count(F.lit(1)), F.sum(_row_bytes(df))).first()
+    return F.broadcast(df) if n <= max_rows and (size or 0) <= limit else df
 
 
 def normalize_changes(changes: DataFrame) -> DataFrame:

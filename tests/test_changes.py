@@ -6,7 +6,14 @@ import os
 
 from pyspark.sql import functions as F
 
-from salesledger.operators.changes import apply_updates, delete_ids, existing_ids, insert_rows, missing_ids
+from salesledger.operators.changes import (
+    apply_updates,
+    bounded_broadcast,
+    delete_ids,
+    existing_ids,
+    insert_rows,
+    missing_ids,
+)
 from salesledger.operators.cleaning import clean_expenses
 from salesledger.operators.ids import assign_ids
 from salesledger.sources import LedgerTable, read_csv_text
@@ -43,6 +50,24 @@ def test_update_delete_missing(spark):
     assert sorted(r.id for r in delete_ids(led, ids).collect()) == [2, 3]
 
 
+def _hinted(df):
+    return "broadcast" in df._jdf.queryExecution().analyzed().toString().lower()
+
+
+def test_bounded_broadcast_checks_rows_and_bytes(spark):
+    led = _ledger(spark)
+    assert _hinted(bounded_broadcast(led))
+    assert not _hinted(bounded_broadcast(led, max_rows=2))  # 3 rows
+    # 3 rows of 5 fields: 5 × 8 bytes per row + text, well over 64 bytes
+    assert not _hinted(bounded_broadcast(led, max_bytes=64))
+    assert _hinted(bounded_broadcast(led, max_bytes=1024))
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        assert not _hinted(bounded_broadcast(led))
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
 def test_update_then_delete_same_ids_is_original_minus_ids(spark):
     led = _ledger(spark)
     changes = spark.createDataFrame([(1, 99.0, "X", "y", D(2026, 5, 5))], SCHEMA)
