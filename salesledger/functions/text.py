@@ -47,9 +47,11 @@ DEFAULT_NULL_TOKENS = (
     "null",
 )
 
-# A run of letters or a run of non-letters; title case capitalises the first
-# character of every letter run.
-_WORD_OR_GAP = r"(\p{L}+|[^\p{L}]+)"
+# A run of cased characters (upper, lower or title case, as Unicode's Cased
+# property) or a run of anything else; title case capitalises the first
+# character of every cased run.  Uncased letters (CJK, for one) end a word.
+_CASED = r"\p{IsLowercase}\p{IsUppercase}\p{IsTitlecase}"
+_WORD_OR_GAP = rf"([{_CASED}]+|[^{_CASED}]+)"
 
 
 def strip_ws(c: Column | str) -> Column:
@@ -62,10 +64,10 @@ def strip_ws(c: Column | str) -> Column:
 
 
 def title_case(c: Column | str) -> Column:
-    """``str.title()``: upper-case the first letter after any non-letter,
+    """``str.title()``: upper-case the first letter after any uncased character,
     lower-case the rest (``Men'S T-Shirt``, ``Usa 3D``).
 
-    ``initcap`` only breaks words at spaces, so split into letter / non-letter
+    ``initcap`` only breaks words at spaces, so split into cased / uncased
     runs and ``initcap`` each run.
     """
     runs = F.regexp_extract_all(as_col(c), F.lit(_WORD_OR_GAP), 1)

@@ -21,8 +21,11 @@ def strip(x: str) -> str:
 
 
 def title(x: str) -> str:
+    # runs of cased letters (RE2 has no Other_Lowercase/Other_Uppercase
+    # classes; the twins' inputs hold none of those characters)
     return (
-        f"array_to_string(list_transform(regexp_extract_all({x}, '(\\p{{L}}+|[^\\p{{L}}]+)', 1), "
+        f"array_to_string(list_transform(regexp_extract_all({x}, "
+        "'([\\p{Lu}\\p{Ll}\\p{Lt}]+|[^\\p{Lu}\\p{Ll}\\p{Lt}]+)', 1), "
         "lambda w: upper(w[1]) || lower(w[2:])), '')"
     )
 

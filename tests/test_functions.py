@@ -22,6 +22,12 @@ from salesledger.functions import (
 )
 
 TITLE_SAMPLES = [
+    "ab中cd",
+    "日本abc",
+    "ⓐbc def",
+    "ⅰv",
+    "ǆemal",
+    "ΣΑΣ σας",
     "men's t-shirt",
     "usa 3d printer",
     "  élan vital ",
