@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from salesledger.functions import day_str
 from salesledger.operators import ledger as L
 from salesledger.operators import sales as S
-from salesledger.operators.changes import apply_updates, delete_ids, insert_rows, missing_ids
+from salesledger.operators.changes import apply_updates, delete_ids, existing_ids, insert_rows, missing_ids
 from salesledger.operators.cleaning import clean_expenses, clean_sales
 from salesledger.operators.dedup import keep_first
 from salesledger.operators.ids import assign_ids
@@ -144,6 +144,10 @@ def q_ledger_search(spark, d):
     return L.search(A.ledger(spark, d), SEARCH_TEXT, SEARCH_CATEGORY)
 
 
+def q_ledger_search_all(spark, d):
+    return L.search(A.ledger(spark, d), SEARCH_TEXT, "all")
+
+
 def q_ledger_page(spark, d):
     return L.page(A.ledger(spark, d), PAGE_NO, L.PAGE_SIZE)
 
@@ -196,6 +200,10 @@ def q_ledger_missing_ids(spark, d):
     return missing_ids(A.ledger_changes(spark, d), A.ledger(spark, d))
 
 
+def q_ledger_existing_ids(spark, d):
+    return existing_ids(A.ledger_changes(spark, d), A.ledger(spark, d))
+
+
 def q_ledger_batch_delete(spark, d):
     led = A.ledger(spark, d)
     return delete_ids(led, led.filter(F.col("category") == "view").select("id"))
@@ -230,6 +238,7 @@ QUERIES: dict[str, Query] = {
     "ledger_export_summary": q_ledger_export_summary,
     "ledger_export_log": q_ledger_export_log,
     "ledger_search": q_ledger_search,
+    "ledger_search_all": q_ledger_search_all,
     "ledger_page": q_ledger_page,
     "ledger_lookup": q_ledger_lookup,
     "ledger_budget_status": q_ledger_budget_status,
@@ -240,6 +249,7 @@ QUERIES: dict[str, Query] = {
     "ledger_after_import": q_ledger_after_import,
     "ledger_batch_update": q_ledger_batch_update,
     "ledger_missing_ids": q_ledger_missing_ids,
+    "ledger_existing_ids": q_ledger_existing_ids,
     "ledger_batch_delete": q_ledger_batch_delete,
     "ledger_summary_json": q_ledger_summary_json,
 }
@@ -408,6 +418,12 @@ select 'Total', null, coalesce(cast("""
     + "')) and category = '"
     + SEARCH_CATEGORY
     + "'",
+    "ledger_search_all": O.with_(O.LEDGER)
+    + "select * from ledger where contains(lower(coalesce(description, '')), '"
+    + SEARCH_TEXT
+    + "') or contains(lower(category), '"
+    + SEARCH_TEXT
+    + "')",
     "ledger_page": O.with_(O.LEDGER)
     + f"""select *, (select count(*) from ledger) as page_total,
        case when (select count(*) from ledger) > {(PAGE_NO - 1) * L.PAGE_SIZE} then {(PAGE_NO - 1) * L.PAGE_SIZE + 1} else 0 end as page_start,
@@ -450,6 +466,8 @@ from (select strftime(date, '%Y-%m') as month, coalesce(cast("""
 from ledger l left join changes c on l.id = c.id""",
     "ledger_missing_ids": O.with_(O.LEDGER, O.CHANGES)
     + "select distinct id from changes where id not in (select id from ledger)",
+    "ledger_existing_ids": O.with_(O.LEDGER, O.CHANGES)
+    + "select distinct id from changes where id in (select id from ledger)",
     "ledger_batch_delete": O.with_(O.LEDGER)
     + "select * from ledger where id not in (select id from ledger where category = 'view')",
 }
