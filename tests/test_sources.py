@@ -59,3 +59,20 @@ def test_json_document_orders_records(spark):
     doc = json_document(head, {"rows": records(tbl, [("v", False), ("k", True)])}).first().json
     parsed = json.loads(doc)
     assert parsed["total"] == 3.5 and [r["k"] for r in parsed["rows"]] == ["y", "z", "x"]
+
+
+def test_read_table_rebalances_only_small_under_split_inputs(spark, tmp_dir, monkeypatch):
+    from salesledger.sources import tables
+
+    path = os.path.join(tmp_dir, "t.parquet")
+    spark.range(1000).coalesce(1).write.parquet(path)
+
+    def plan(df):
+        return df._jdf.queryExecution().executedPlan().toString()
+
+    df = tables.read_table(spark, path, schema="id BIGINT")
+    assert "RoundRobinPartitioning" in plan(df)
+    # a filter still reaches the Parquet scan under the rebalance
+    assert "PushedFilters: [IsNotNull(id), EqualTo(id,7)]" in plan(df.filter(F.col("id") == 7))
+    monkeypatch.setattr(tables, "REBALANCE_MAX_SPLITS", 0)
+    assert "RoundRobinPartitioning" not in plan(tables.read_table(spark, path))
