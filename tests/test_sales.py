@@ -181,3 +181,25 @@ def test_null_keys_form_no_group_but_count_in_total(spark):
     ).withColumn("date", F.col("date").cast("date"))
     rows = S.regional_sales(df).collect()
     assert [(r.region, r.revenue_share_pct) for r in rows] == [("East", 30.0)]
+
+
+def test_hot_id_holding_a_third_of_rows(spark):
+    # 3000 rows over 8 partitions; id "HOT" holds 1000 of them, in no order
+    n = 3000
+    base = spark.range(n, numPartitions=8).select(
+        F.when(F.col("id") % 3 == 0, F.lit("HOT")).otherwise(F.concat(F.lit("ID"), F.col("id").cast("string"))).alias(
+            "Order ID"
+        ),
+        F.lit("2026-01-05").alias("Date"),
+        F.concat(F.lit("p"), (F.col("id") % 7).cast("string")).alias("Product"),
+        F.col("id").cast("string").alias("Revenue"),
+        ((F.col("id") * 7919) % n).alias("row_seq"),
+    )
+    cleaned, metrics = clean_with_metrics(base)
+    hot = cleaned.filter(F.col("order_id") == "HOT").collect()
+    # the first HOT row in row_seq order: id ≡ 0 (mod 3) with the smallest (id * 7919) % n
+    first = min((i * 7919 % n, i) for i in range(0, n, 3))[1]
+    assert [r.revenue for r in hot] == [float(first)]
+    m = metrics.first()
+    assert (m.raw_rows, m.cleaned_rows, m.duplicate_rows, m.null_key_rows) == (n, 2001, 999, 0)
+    assert cleaned.count() == 2001
