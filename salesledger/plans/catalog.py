@@ -58,7 +58,7 @@ def q_sales_first_line_per_order(spark, d):
     return keep_first(A.sales_lines(spark, d, with_seq=True), "order_id", ["row_seq"]).drop("row_seq")
 
 
-def q_sales_top5_chart(spark, d):
+def q_sales_chart_series(spark, d):
     return S.chart_series(S.top_products(A.sales_lines(spark, d)), n=5)
 
 
@@ -219,7 +219,7 @@ QUERIES: dict[str, Query] = {
     "sales_monthly_trend": q_sales_monthly_trend,
     "sales_top_products": q_sales_top_products,
     "sales_first_line_per_order": q_sales_first_line_per_order,
-    "sales_top5_chart": q_sales_top5_chart,
+    "sales_chart_series": q_sales_chart_series,
     "sales_top_products_with_total": q_sales_top_products_with_total,
     "sales_monthly_with_total": q_sales_monthly_with_total,
     "sales_regional_with_total": q_sales_regional_with_total,
@@ -335,7 +335,7 @@ ORACLE: dict[str, str] = {
     + " from sales qualify row_number() over (partition by order_id order by "
     + O.LINE_ORDER
     + ") = 1",
-    "sales_top5_chart": O.with_(O.SALES_LINES, "\ntop as (" + _top_products_body(5) + ")")
+    "sales_chart_series": O.with_(O.SALES_LINES, "\ntop as (" + _top_products_body(5) + ")")
     + "select product, revenue, quantity_sold, orders, revenue / 1000.0 as revenue_k, "
     + O.share("revenue", "(select sum(cast(revenue as decimal(28,4))) from top)", 1)
     + " as share_pct from top",
