@@ -12,7 +12,6 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from salesledger.functions import day_str
 from salesledger.operators import ledger as L
 from salesledger.operators import sales as S
 from salesledger.operators.changes import apply_updates, delete_ids, existing_ids, insert_rows, missing_ids
@@ -25,6 +24,7 @@ from salesledger.operators.totals import with_total_row
 from salesledger.plans import adapters as A
 from salesledger.plans import oracle as O
 from salesledger.plans.dashboards import ledger_dashboard_json, sales_dashboard_json
+from salesledger.sources.sinks import render_rows
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -134,9 +134,7 @@ def q_ledger_export_summary(spark, d):
 
 
 def q_ledger_export_log(spark, d):
-    log = A.ledger(spark, d).orderBy("date", "id").select(
-        day_str("date").alias("date"), "category", "amount", F.coalesce("description", F.lit("")).alias("description")
-    )
+    log = render_rows(A.ledger(spark, d).orderBy("date", "id").select("date", "category", "amount", "description"))
     return with_total_row(log, "date", ["amount"])
 
 

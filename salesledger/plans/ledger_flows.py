@@ -16,13 +16,12 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from salesledger.functions import day_str
 from salesledger.operators import ledger as L
 from salesledger.operators.cleaning import clean_expenses
 from salesledger.operators.totals import with_total_row
 from salesledger.sources.csv import SEQ_COL, read_csv_text
 from salesledger.sources.ledger_store import LEDGER_SCHEMA, LedgerTable
-from salesledger.sources.sinks import write_report
+from salesledger.sources.sinks import render_rows, write_report
 
 # The placeholder row of an empty export.
 EMPTY_EXPORT_ROW = (0, 0.0, "None", "No expenses recorded", dt.date(2026, 6, 14))
@@ -36,12 +35,7 @@ def export_tables(ledger: DataFrame) -> dict[str, DataFrame]:
     # the placeholder only survives when the ledger is empty
     has_rows = ledger.select(F.count(F.lit(1))).scalar() > 0
     src = ledger.unionByName(placeholder.filter(~has_rows))
-    log = src.select(
-        day_str("date").alias("date"),
-        "category",
-        "amount",
-        F.coalesce("description", F.lit("")).alias("description"),
-    )
+    log = render_rows(src.select("date", "category", "amount", "description"))
     return {
         "expense_log": with_total_row(log, "date", ["amount"]),
         "category_breakdown": with_total_row(L.export_category_summary(src), "category", ["total_spent", "share_pct"]),

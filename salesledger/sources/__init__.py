@@ -1,6 +1,6 @@
 from salesledger.sources.csv import SEQ_COL, read_csv_text
 from salesledger.sources.ledger_store import LEDGER_SCHEMA, LedgerTable
-from salesledger.sources.sinks import json_document, records, write_csv, write_report
+from salesledger.sources.sinks import json_document, records, render_rows, write_csv, write_report
 
 __all__ = [
     "LEDGER_SCHEMA",
@@ -9,6 +9,7 @@ __all__ = [
     "json_document",
     "read_csv_text",
     "records",
+    "render_rows",
     "write_csv",
     "write_report",
 ]

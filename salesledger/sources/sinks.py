@@ -8,6 +8,7 @@ from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DateType, StringType, TimestampNTZType, TimestampType
 
 
 def write_csv(df: DataFrame, path: str, mode: str = "overwrite") -> None:
@@ -15,6 +16,22 @@ def write_csv(df: DataFrame, path: str, mode: str = "overwrite") -> None:
     df.write.mode(mode).option("header", True).option("escape", '"').csv(path)
 
 
+def render_rows(df: DataFrame, date_format: str = "yyyy-MM-dd") -> DataFrame:
+    """Rows as an export sheet shows them, by column type: dates and
+    timestamps as ``date_format`` text, missing text as ''; other values
+    unchanged (a missing number is an empty cell in the sink)."""
+    cols = []
+    for f in df.schema:
+        c = F.col(f"`{f.name}`")
+        if isinstance(f.dataType, (DateType, TimestampType, TimestampNTZType)):
+            cols.append(F.coalesce(F.date_format(c, date_format), F.lit("")).alias(f.name))
+        elif isinstance(f.dataType, StringType):
+            cols.append(F.coalesce(c, F.lit("")).alias(f.name))
+        else:
+            cols.append(c)
+    return df.select(*cols)
+
+
 def write_report(tables: Mapping[str, DataFrame], root: str, report_id: str, fmt: str = "parquet") -> dict[str, str]:
     """One table per report sheet under ``root/report_id=<id>/<name>``."""
     paths = {}

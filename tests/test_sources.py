@@ -76,3 +76,16 @@ def test_read_table_rebalances_only_small_under_split_inputs(spark, tmp_dir, mon
     assert "PushedFilters: [IsNotNull(id), EqualTo(id,7)]" in plan(df.filter(F.col("id") == 7))
     monkeypatch.setattr(tables, "REBALANCE_MAX_SPLITS", 0)
     assert "RoundRobinPartitioning" not in plan(tables.read_table(spark, path))
+
+
+def test_render_rows_by_column_type(spark):
+    import datetime as dt
+
+    from salesledger.sources import render_rows
+
+    df = spark.createDataFrame(
+        [(1, None, "a", dt.date(2026, 1, 2), dt.datetime(2026, 1, 3, 4, 5)), (2, 2.5, None, None, None)],
+        "id long, amount double, note string, d date, ts timestamp",
+    )
+    rows = [tuple(r) for r in render_rows(df).orderBy("id").collect()]
+    assert rows == [(1, None, "a", "2026-01-02", "2026-01-03"), (2, 2.5, "", "", "")]
