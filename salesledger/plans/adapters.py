@@ -75,13 +75,19 @@ def _geo(spark: SparkSession, sf_dir: str) -> DataFrame:
     return n.join(r, n.n_regionkey == r.r_regionkey).select("n_nationkey", "r_name")
 
 
+def _customer_region(spark: SparkSession, sf_dir: str, *extra: str) -> DataFrame:
+    """customer ⋈ (nation ⋈ region): one row per customer with its region
+    name.  The 25-row geography side is broadcast at any scale."""
+    c = table(spark, sf_dir, "customer").select("c_custkey", "c_nationkey", *extra)
+    geo = _geo(spark, sf_dir)
+    return c.join(geo, c.c_nationkey == geo.n_nationkey).select("c_custkey", "r_name", *extra)
+
+
 def _order_region(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """orders ⋈ customer ⋈ (nation ⋈ region), fact first (star order)."""
+    """orders ⋈ (customer ⋈ nation ⋈ region)."""
     o = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderdate", "o_totalprice", "o_orderpriority")
-    c = table(spark, sf_dir, "customer").select("c_custkey", "c_nationkey", "c_mktsegment")
-    oc = o.join(c, o.o_custkey == c.c_custkey)
-    geo = _geo(spark, sf_dir)
-    return oc.join(geo, oc.c_nationkey == geo.n_nationkey)
+    cr = _customer_region(spark, sf_dir, "c_mktsegment")
+    return o.join(cr, o.o_custkey == cr.c_custkey)
 
 
 def sales_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -99,15 +105,20 @@ def sales_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """lineitem ⋈ orders ⋈ part ⋈ customer ⋈ (nation ⋈ region)."""
+    """lineitem ⋈ (orders ⋈ customer ⋈ nation ⋈ region) ⋈ part.
+
+    Each order gets its region first, on the orders side.  When orders,
+    customer and part are too large to broadcast, the line-sized rows are
+    then shuffled twice (by order key, by part key); joining customer onto
+    the line rows instead would shuffle them a third time.
+    """
     li = table(spark, sf_dir, "lineitem").select(*LINE_ORDER_COLS)
     o = table(spark, sf_dir, "orders", probe=False).select("o_orderkey", "o_custkey", "o_orderdate")
+    cr = _customer_region(spark, sf_dir)
+    orders_geo = o.join(cr, o.o_custkey == cr.c_custkey).select("o_orderkey", "o_orderdate", "r_name")
     p = table(spark, sf_dir, "part").select("p_partkey", "p_name", "p_type")
-    c = table(spark, sf_dir, "customer").select("c_custkey", "c_nationkey")
-    geo = _geo(spark, sf_dir)
-    df = li.join(o, li.l_orderkey == o.o_orderkey).join(p, li.l_partkey == p.p_partkey)
-    df = df.join(c, df.o_custkey == c.c_custkey)
-    return df.join(geo, df.c_nationkey == geo.n_nationkey)
+    df = li.join(orders_geo, li.l_orderkey == orders_geo.o_orderkey)
+    return df.join(p, df.l_partkey == p.p_partkey)
 
 
 def sales_lines(spark: SparkSession, sf_dir: str, with_seq: bool = False) -> DataFrame:

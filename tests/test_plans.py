@@ -51,3 +51,15 @@ def test_lookup_pushes_filter_and_prunes(spark, qs):
 def test_regional_share_reads_facts_once(spark, qs):
     plan = plan_text(qs["sales_regional_share"](spark, SF))
     assert plan.count("orders.parquet") == 0  # frozen grouped rows, no fact rescan in the subquery
+
+
+def test_line_rows_shuffle_twice_when_nothing_is_broadcast(spark):
+    # as at scale, where orders, customer and part are too large to broadcast
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plan = plan_text(A.sales_lines(spark, SF))
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    keys = re.findall(r"Exchange hashpartitioning\((\w+)#", plan)
+    line_keys = sorted(k for k in keys if k.startswith("l_"))
+    assert line_keys == ["l_orderkey", "l_partkey"], keys
