@@ -5,7 +5,8 @@
   Parquet reader).
 * ``import_rows`` numbers new rows after the high-water mark and appends
   them; ids are never reused, even after deletes, because the mark is kept
-  in a small side log (``_hwm``, ignored by table scans as a hidden path).
+  in a small side log.  Side logs live next to the table (``<path>_meta``),
+  not inside it: an overwrite of the table deletes its whole folder.
 * ``replace`` rewrites the table (batch update, batch delete).  A table
   cannot be overwritten by a plan that reads it, so the new content is
   checkpointed first (reliable checkpoint in the shared
@@ -55,7 +56,8 @@ class LedgerTable:
     def __init__(self, spark: SparkSession, path: str):
         self.spark = spark
         self.path = path
-        self.hwm_path = _join(path, "_hwm")
+        self.meta_path = f"{path.rstrip('/')}_meta"
+        self.hwm_path = _join(self.meta_path, "hwm")
 
     # -- declaration and scans -------------------------------------------
     def create_if_absent(self) -> LedgerTable:
@@ -100,10 +102,11 @@ class LedgerTable:
 
     def replace(self, new_content: DataFrame) -> None:
         ensure_checkpoint_dir(self.spark)
-        hwm = self.read().select(F.max("id")).first()[0]
+        # the mark over the current rows and every id handed out before
+        hwm = self.spark.range(1).select(self.high_water_mark()).first()[0]
         frozen = new_content.select(*LEDGER_FIELDS).checkpoint(eager=True)
         frozen.write.mode("overwrite").parquet(self.path)
-        if hwm is not None:
+        if hwm:
             self._record_hwm(hwm)
 
     def update(self, changes: DataFrame) -> None:

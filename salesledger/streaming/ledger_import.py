@@ -29,7 +29,7 @@ def upload_schema(headers=TEMPLATE_HEADERS) -> StructType:
 
 
 def _batches_path(table: LedgerTable) -> str:
-    return f"{table.path.rstrip('/')}/_batches"
+    return f"{table.meta_path}/batches"
 
 
 def _committed(spark: SparkSession, table: LedgerTable, batch_id: int) -> bool:

@@ -116,3 +116,18 @@ def test_insert_rows_union(spark):
     led = _ledger(spark)
     new = spark.createDataFrame([(4, 1.0, "A", "", D(2026, 1, 4))], SCHEMA)
     assert insert_rows(led, new).count() == 4
+
+
+def test_ids_not_reused_after_successive_deletes(spark, tmp_dir):
+    path = os.path.join(tmp_dir, "ledger2")
+    table = LedgerTable(spark, path).create_if_absent()
+    rows = spark.createDataFrame(
+        [(float(i), "Food", "x", D(2026, 1, i), i) for i in range(1, 6)],
+        "amount double, category string, description string, date date, seq long",
+    )
+    assert table.import_rows(rows, ["seq"]) == 5
+    table.delete(spark.createDataFrame([(5,)], "id long"))
+    table.delete(spark.createDataFrame([(4,)], "id long"))
+    table.update(spark.createDataFrame([(1, 9.0, "Rent", "y", D(2026, 2, 1))], SCHEMA))
+    table.import_rows(rows.limit(1), ["seq"])
+    assert sorted(r.id for r in table.read().collect()) == [1, 2, 3, 6]
