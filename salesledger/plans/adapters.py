@@ -104,25 +104,35 @@ def sales_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def _lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """lineitem ⋈ (orders ⋈ customer ⋈ nation ⋈ region) ⋈ part.
+def order_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """lineitem ⋈ (orders ⋈ customer ⋈ nation ⋈ region): the line columns
+    plus ``o_orderdate`` and ``r_name``.
 
     Each order gets its region first, on the orders side.  When orders,
     customer and part are too large to broadcast, the line-sized rows are
-    then shuffled twice (by order key, by part key); joining customer onto
-    the line rows instead would shuffle them a third time.
+    shuffled by order key here and by part key in ``with_part``; joining
+    customer onto the line rows instead would shuffle them a third time.
     """
     li = table(spark, sf_dir, "lineitem").select(*LINE_ORDER_COLS)
     o = table(spark, sf_dir, "orders", probe=False).select("o_orderkey", "o_custkey", "o_orderdate")
     cr = _customer_region(spark, sf_dir)
     orders_geo = o.join(cr, o.o_custkey == cr.c_custkey).select("o_orderkey", "o_orderdate", "r_name")
+    return li.join(orders_geo, li.l_orderkey == orders_geo.o_orderkey)
+
+
+def with_part(spark: SparkSession, sf_dir: str, lines: DataFrame) -> DataFrame:
+    """``lines`` ⋈ part on the part key (adds ``p_name``, ``p_type``)."""
     p = table(spark, sf_dir, "part").select("p_partkey", "p_name", "p_type")
-    df = li.join(orders_geo, li.l_orderkey == orders_geo.o_orderkey)
-    return df.join(p, df.l_partkey == p.p_partkey)
+    return lines.join(p, lines.l_partkey == p.p_partkey)
 
 
-def sales_lines(spark: SparkSession, sf_dir: str, with_seq: bool = False) -> DataFrame:
-    df = _lines(spark, sf_dir)
+def _lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """lineitem ⋈ (orders ⋈ customer ⋈ nation ⋈ region) ⋈ part."""
+    return with_part(spark, sf_dir, order_lines(spark, sf_dir))
+
+
+def sales_line_columns(df: DataFrame, with_seq: bool = False) -> DataFrame:
+    """The sales shape of joined line rows."""
     cols = [
         F.col("l_orderkey").cast("string").alias("order_id"),
         F.col("o_orderdate").cast("date").alias("date"),
@@ -138,6 +148,10 @@ def sales_lines(spark: SparkSession, sf_dir: str, with_seq: bool = False) -> Dat
     return df.select(*cols)
 
 
+def sales_lines(spark: SparkSession, sf_dir: str, with_seq: bool = False) -> DataFrame:
+    return sales_line_columns(_lines(spark, sf_dir), with_seq)
+
+
 def messy_sales_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     df = _lines(spark, sf_dir)
     disc, tax = F.col("l_discount"), F.col("l_tax")

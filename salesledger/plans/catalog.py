@@ -55,7 +55,23 @@ def q_sales_top_products(spark, d):
 
 
 def q_sales_first_line_per_order(spark, d):
-    return keep_first(A.sales_lines(spark, d, with_seq=True), "order_id", ["row_seq"]).drop("row_seq")
+    # Keep-first by the numeric order key straight after the orders join: it
+    # reuses that join's partitioning when the join shuffles (no shuffle of
+    # its own), and the part join then sees one row per order.  The text id
+    # is the key's decimal form, so the groups are the same as by order_id;
+    # rows tied on every line column also share their part.
+    lines = A.order_lines(spark, d).select(
+        "l_orderkey",
+        F.struct(*A.LINE_ORDER_COLS).alias("row_seq"),
+        "l_partkey",
+        "l_quantity",
+        "l_extendedprice",
+        "l_discount",
+        "o_orderdate",
+        "r_name",
+    )
+    first = keep_first(lines, "l_orderkey", ["row_seq"])
+    return A.sales_line_columns(A.with_part(spark, d, first))
 
 
 def q_sales_chart_series(spark, d):

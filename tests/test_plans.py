@@ -63,3 +63,15 @@ def test_line_rows_shuffle_twice_when_nothing_is_broadcast(spark):
     keys = re.findall(r"Exchange hashpartitioning\((\w+)#", plan)
     line_keys = sorted(k for k in keys if k.startswith("l_"))
     assert line_keys == ["l_orderkey", "l_partkey"], keys
+
+
+def test_first_line_dedup_reuses_the_order_join_partitioning(spark, qs):
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plan = plan_text(qs["sales_first_line_per_order"](spark, SF))
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    keys = re.findall(r"Exchange hashpartitioning\((\w+)#", plan)
+    # line rows are shuffled once, by order key; the dedup adds no shuffle
+    assert sorted(k for k in keys if k.startswith("l_")) == ["l_orderkey", "l_partkey"], keys
+    assert "order_id" not in keys
