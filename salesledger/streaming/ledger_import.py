@@ -4,13 +4,21 @@ cleaned and appended to the ledger table, one micro-batch at a time.
 This is the upload route expressed with Structured Streaming: the file
 source tracks which files were processed (in the query's checkpoint), and
 ``foreachBatch`` runs the same batch import (clean → number after the
-high-water mark in file order → append).  A batch id is recorded after its
-rows are written and a replayed batch whose id is already recorded is
-skipped; a failure between the two leaves that one batch to be replayed.
+high-water mark in file order → append).
+
+A replayed micro-batch (after a driver restart) is imported once: before
+writing, the batch records the id mark it starts from; after writing, it
+records that it is done.  A replay of a done batch is skipped.  A replay of
+a started batch first drops the rows above its starting mark (rows a
+failed attempt may have appended; only this stream writes between the two
+records) and then imports again.  Ids of dropped rows are not reused.
+Task failures and lost executors need none of this: Spark retries tasks and
+commits each write job's files once.
 """
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
@@ -28,16 +36,42 @@ def upload_schema(headers=TEMPLATE_HEADERS) -> StructType:
     return StructType([StructField(h, StringType(), True) for h in headers])
 
 
-def _batches_path(table: LedgerTable) -> str:
-    return f"{table.meta_path}/batches"
+def _log_path(table: LedgerTable, name: str) -> str:
+    return f"{table.meta_path}/{name}"
 
 
-def _committed(spark: SparkSession, table: LedgerTable, batch_id: int) -> bool:
+def _read_log(spark: SparkSession, table: LedgerTable, name: str, schema: str) -> DataFrame | None:
     try:
-        log = spark.read.schema("batch_id long").parquet(_batches_path(table))
-    except Exception:  # noqa: BLE001 - no log yet
-        return False
-    return log.filter(F.col("batch_id") == batch_id).limit(1).count() > 0
+        return spark.read.schema(schema).parquet(_log_path(table, name))
+    except AnalysisException:  # no log yet
+        return None
+
+
+def _append_log(spark: SparkSession, table: LedgerTable, name: str, row: tuple, schema: str) -> None:
+    spark.createDataFrame([row], schema).write.mode("append").parquet(_log_path(table, name))
+
+
+def import_upload_batch(spark: SparkSession, table: LedgerTable, batch: DataFrame, batch_id: int) -> int:
+    """Import one micro-batch of upload rows (template columns plus
+    ``_file``, ``_block``) exactly once; returns the rows written."""
+    done = _read_log(spark, table, "batches_done", "batch_id long")
+    if done is not None and done.filter(F.col("batch_id") == batch_id).limit(1).count() > 0:
+        return 0
+    started = _read_log(spark, table, "batches_started", "batch_id long, start_mark long")
+    prior = None if started is None else started.filter(F.col("batch_id") == batch_id).select(F.max("start_mark")).first()[0]
+    if prior is not None:
+        # an earlier attempt of this batch may have appended rows
+        table.replace(table.read().filter(F.col("id") <= prior))
+    else:
+        mark = spark.range(1).select(table.high_water_mark()).first()[0]
+        _append_log(spark, table, "batches_started", (int(batch_id), int(mark)), "batch_id long, start_mark long")
+    # position in file: the micro-batch is a plain scan here, so the id
+    # follows read order within each split (not allowed on the stream)
+    seq = F.struct(F.col("_file").alias("file"), F.col("_block").alias("block"), F.monotonically_increasing_id().alias("pos"))
+    rows = batch.withColumn(SEQ_COL, seq).drop("_file", "_block")
+    n = table.import_rows(clean_expenses(rows, passthrough=[SEQ_COL]), [SEQ_COL])
+    _append_log(spark, table, "batches_done", (int(batch_id),), "batch_id long")
+    return n
 
 
 def start_ledger_import_stream(
@@ -59,16 +93,7 @@ def start_ledger_import_stream(
     )
 
     def import_batch(batch: DataFrame, batch_id: int) -> None:
-        if _committed(spark, table, batch_id):
-            return
-        # position in file: the micro-batch is a plain scan here, so the id
-        # follows read order within each split (not allowed on the stream)
-        seq = F.struct(F.col("_file").alias("file"), F.col("_block").alias("block"),
-                       F.monotonically_increasing_id().alias("pos"))
-        batch = batch.withColumn(SEQ_COL, seq).drop("_file", "_block")
-        cleaned = clean_expenses(batch, passthrough=[SEQ_COL])
-        table.import_rows(cleaned, [SEQ_COL])
-        spark.createDataFrame([(int(batch_id),)], "batch_id long").write.mode("append").parquet(_batches_path(table))
+        import_upload_batch(spark, table, batch, batch_id)
 
     writer = stream.writeStream.foreachBatch(import_batch).option("checkpointLocation", checkpoint_location)
     writer = writer.trigger(availableNow=True) if available_now else writer.trigger(processingTime="10 seconds")

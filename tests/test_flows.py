@@ -62,3 +62,22 @@ def test_import_csv_and_stream(spark, tmp_dir):
     q.awaitTermination(120)
     rows = {r.id: r for r in table.read().collect()}
     assert sorted(rows) == [1, 2, 3, 4, 5] and rows[5].category == "Fun"
+
+
+def test_replayed_upload_batch_is_imported_once(spark, tmp_dir):
+    from salesledger.streaming.ledger_import import import_upload_batch
+
+    table = LedgerTable(spark, os.path.join(tmp_dir, "ledger_replay")).create_if_absent()
+    batch = spark.createDataFrame(
+        [("2026-06-01", "food", "10", "a", "f.csv", 0), ("2026-06-02", "rent", "20", "b", "f.csv", 0)],
+        "Date string, Category string, Amount string, Description string, _file string, _block long",
+    )
+    assert import_upload_batch(spark, table, batch, 7) == 2
+    # a driver crash after the rows were appended but before the batch was
+    # recorded as done: the restarted query replays batch 7
+    spark.createDataFrame([], "batch_id long").write.mode("overwrite").parquet(table.meta_path + "/batches_done")
+    assert import_upload_batch(spark, table, batch, 7) == 2
+    got = sorted((r.id, r.category) for r in table.read().collect())
+    assert got == [(3, "Food"), (4, "Rent")]  # once; ids 1-2 of the lost attempt are not reused
+    assert import_upload_batch(spark, table, batch, 7) == 0  # done: skipped
+    assert table.read().count() == 2
