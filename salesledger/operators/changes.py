@@ -9,6 +9,7 @@ may still pick a broadcast at run time from measured sizes).
 
 from __future__ import annotations
 
+import re
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -39,13 +40,17 @@ def _row_bytes(df: DataFrame) -> Column:
     return reduce(lambda a, b: a + b, parts, F.lit(8)).cast("bigint")
 
 
+# Size suffixes of Spark's byte-size settings ('10MB', '512k').
+_SIZE_UNITS = {"": 1, "b": 1, "k": 1 << 10, "m": 1 << 20, "g": 1 << 30, "t": 1 << 40, "p": 1 << 50}
+
+
 def broadcast_threshold(spark) -> int:
     """The session's broadcast size limit in bytes (≤ 0: never broadcast)."""
-    v = spark.conf.get("spark.sql.autoBroadcastJoinThreshold", str(_DEFAULT_BROADCAST_BYTES))
-    try:
-        return int(v)
-    except ValueError:  # a size string such as '10MB'
-        return int(spark.sparkContext._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(v))
+    v = str(spark.conf.get("spark.sql.autoBroadcastJoinThreshold", str(_DEFAULT_BROADCAST_BYTES)))
+    m = re.fullmatch(r"\s*(-?\d+)\s*([kmgtp]?)b?\s*", v.lower())
+    if m is None:
+        raise ValueError(f"unreadable size setting: {v!r}")
+    return int(m.group(1)) * _SIZE_UNITS[m.group(2)]
 
 
 def bounded_broadcast(df: DataFrame, max_rows: int = BROADCAST_MAX_ROWS, max_bytes: int | None = None) -> DataFrame:
