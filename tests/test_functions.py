@@ -83,6 +83,12 @@ def test_coerce_number_matches_pandas(spark):
     assert got == want
 
 
+def test_coerce_number_non_finite_text_is_unparseable(spark):
+    # deliberate: money is summed as exact decimals, which have no infinity
+    df = _one_col(spark, ["inf", "-Infinity", "NaN", "nan"])
+    assert [r[0] for r in df.select(coerce_number("v", 0.0)).collect()] == [0.0, 0.0, 0.0, 0.0]
+
+
 def test_coerce_int_truncates(spark):
     df = _one_col(spark, ["2.9", "-2.9", "x", None, " 4 "])
     got = [r[0] for r in df.select(coerce_int("v", 1)).collect()]
