@@ -106,13 +106,29 @@ def delete_ids(ledger: DataFrame, ids: DataFrame, max_broadcast_rows: int = BROA
     return ledger.join(bounded_broadcast(ids.select("id").distinct(), max_broadcast_rows), "id", "left_anti")
 
 
-def missing_ids(changes: DataFrame, ledger: DataFrame) -> DataFrame:
-    """Ids named by a change set that the ledger does not hold."""
-    return changes.select(F.col("id").cast("bigint").alias("id")).distinct().join(ledger.select("id"), "id", "left_anti")
+def _change_ids(changes: DataFrame) -> DataFrame:
+    return changes.select(F.col("id").cast("bigint").alias("id")).distinct()
 
 
-def existing_ids(changes: DataFrame, ledger: DataFrame) -> DataFrame:
-    return changes.select(F.col("id").cast("bigint").alias("id")).distinct().join(ledger.select("id"), "id", "left_semi")
+def existing_ids(changes: DataFrame, ledger: DataFrame, max_broadcast_rows: int = BROADCAST_MAX_ROWS) -> DataFrame:
+    """Ids named by a change set that the ledger holds.
+
+    A left semi or anti join can only build its right side, so with the
+    change set on the left the ledger would be shuffled.  When the change
+    ids are proven small they are broadcast instead and the ledger is
+    semi-joined against them where it lies (no shuffle of the ledger).
+    """
+    ids = _change_ids(changes)
+    small = bounded_broadcast(ids, max_broadcast_rows)
+    if small is ids:
+        return ids.join(ledger.select("id"), "id", "left_semi")
+    return ledger.select(F.col("id").cast("bigint").alias("id")).join(small, "id", "left_semi").distinct()
+
+
+def missing_ids(changes: DataFrame, ledger: DataFrame, max_broadcast_rows: int = BROADCAST_MAX_ROWS) -> DataFrame:
+    """Ids named by a change set that the ledger does not hold: the change
+    ids minus ``existing_ids`` (both at most the size of the change set)."""
+    return _change_ids(changes).join(existing_ids(changes, ledger, max_broadcast_rows), "id", "left_anti")
 
 
 def insert_rows(ledger: DataFrame, new_rows: DataFrame) -> DataFrame:

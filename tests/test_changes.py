@@ -131,3 +131,15 @@ def test_ids_not_reused_after_successive_deletes(spark, tmp_dir):
     table.update(spark.createDataFrame([(1, 9.0, "Rent", "y", D(2026, 2, 1))], SCHEMA))
     table.import_rows(rows.limit(1), ["seq"])
     assert sorted(r.id for r in table.read().collect()) == [1, 2, 3, 6]
+
+
+def test_existence_checks_broadcast_small_change_sets(spark):
+    led = _ledger(spark)
+    changes = spark.createDataFrame([(2, 1.0, "x", None, D(2026, 1, 1)), (9, 1.0, "x", None, D(2026, 1, 1))], SCHEMA)
+    plan = existing_ids(changes, led)._jdf.queryExecution().analyzed().toString().lower()
+    assert "broadcast" in plan  # the ledger is semi-joined where it lies
+    assert [r.id for r in existing_ids(changes, led).collect()] == [2]
+    assert [r.id for r in missing_ids(changes, led).collect()] == [9]
+    # not provably small: the plain join (the ledger side is shuffled)
+    assert [r.id for r in existing_ids(changes, led, max_broadcast_rows=1).collect()] == [2]
+    assert [r.id for r in missing_ids(changes, led, max_broadcast_rows=1).collect()] == [9]
