@@ -89,3 +89,16 @@ def test_render_rows_by_column_type(spark):
     )
     rows = [tuple(r) for r in render_rows(df).orderBy("id").collect()]
     assert rows == [(1, None, "a", "2026-01-02", "2026-01-03"), (2, 2.5, "", "", "")]
+
+
+def test_checkpoints_use_the_session_folder(spark, tmp_dir):
+    from salesledger.operators.shares import with_share
+    from salesledger.session import ensure_checkpoint_dir
+
+    assert ensure_checkpoint_dir(spark) == spark.conf.get("spark.checkpoint.dir")
+    before = set(os.listdir(spark.conf.get("spark.checkpoint.dir")))
+    g = spark.createDataFrame([("a", 1.0), ("b", 3.0)], "k string, v double")
+    assert sorted(r.share_pct for r in with_share(g, "v").collect()) == [25.0, 75.0]
+    # the frozen grouped table was written under the session's folder
+    after = set(os.listdir(spark.conf.get("spark.checkpoint.dir")))
+    assert before <= after and os.listdir(spark.conf.get("spark.checkpoint.dir"))
