@@ -84,7 +84,8 @@ def null_tokens_to_null(c: Column | str, tokens: Iterable[str | Column] = DEFAUL
 def strip_replacement_chars(c: Column | str) -> Column:
     """Undecodable input bytes become U+FFFD in Spark's reader; decoding with
     ``errors='ignore'`` semantics drops them instead."""
-    return F.regexp_replace(as_col(c), "\\x{FFFD}", "")
+    # a character map, not a regex: this runs on every text cell of an upload
+    return F.translate(as_col(c), "\ufffd", "")
 
 
 def contains_ci(haystack: Column | str, needle: str) -> Column:
