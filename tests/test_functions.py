@@ -122,3 +122,26 @@ def test_coerce_date_strict_single_layout(spark):
     df = _one_col(spark, ["2026-01-01", "01/02/2026"])
     got = [r[0] for r in df.select(coerce_date("v", ["yyyy-M-d"])).collect()]
     assert str(got[0]) == "2026-01-01" and got[1] is None
+
+
+@settings(max_examples=15, deadline=None)
+@given(
+    st.lists(
+        st.tuples(st.sampled_from(["a", "b", "c", None]), st.integers(0, 5), st.text(alphabet="xyz", max_size=2)),
+        min_size=1,
+        max_size=40,
+    )
+)
+def test_keep_first_matches_pandas(spark, rows):
+    from salesledger.operators.dedup import keep_first
+
+    # a unique, shuffled file position per row, as the reader's row_seq
+    data = [(k, v, t, (i * 7) % 41) for i, (k, v, t) in enumerate(rows)]
+    df = spark.createDataFrame(data, "k string, v long, t string, pos long").repartition(3)
+    def canon(rows):  # None keys sort first
+        return sorted((tuple(r) for r in rows), key=lambda r: [(x is not None, x if x is not None else "") for x in r])
+
+    got = canon(keep_first(df, "k", ["pos"]).select("k", "v", "t", "pos").collect())
+    pdf = pd.DataFrame(data, columns=["k", "v", "t", "pos"]).sort_values("pos")
+    want = pdf.drop_duplicates(subset=["k"], keep="first").astype(object).where(pdf.notna(), None)
+    assert got == canon(want.itertuples(index=False))
