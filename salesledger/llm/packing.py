@@ -14,16 +14,20 @@ plan has for that length and rank.
 
 from __future__ import annotations
 
+import os
 import re
+import struct
 import sys
 import types
 import zlib
 from collections import defaultdict
 from collections.abc import Iterator
+from itertools import islice
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -37,8 +41,10 @@ RATE = 0.5
 #: A configuration of the program fills this part of a sequence at least.
 FULL = 0.998
 #: Words whose ids a worker keeps, and the longest (bytes) that it keeps.
-CACHE_WORDS = 600_000
+CACHE_WORDS = 1_200_000
 CACHE_BYTES = 64
+#: Text that a worker encodes at once.
+GATHER_BYTES = 16 << 20
 
 
 def knapsack(price: np.ndarray, capacity: int) -> np.ndarray:
@@ -138,36 +144,51 @@ def _places(spark: SparkSession, found: list[tuple[dict[int, int], int]]) -> Dat
     return nth.selectExpr("length", "first + nth as rank", "base + nth div each as sequence_id", "offset + (nth % each) * length as offset")
 
 
-#: A full stop or comma between a letter and white space is a token sequence of
-#: its own for the tokenizer; split off, it does not make a new word.
-MARK = re.compile(rb"(?:(?<=[a-z])|(?<=\xc3[\x80-\x96\x98-\xb6\xb8-\xbf]))([.,])(?=[\x20\x09-\x0d]|$)")
+#: An ASCII letter or one of Latin-1 in UTF-8, then one full stop or comma: the
+#: mark is a token sequence of its own for the tokenizer.
+MARKED = re.compile(rb"(?:[a-z]|\xc3[\x80-\x96\x98-\xb6\xb8-\xbf])[.,]\Z")
 
 
-class WordIds(dict):
+class WordIds:
     """Token ids of words, as little-endian 32-bit bytes, for a tokenizer that
-    lower-cases and splits texts at white space. Keys are UTF-8 words; those
-    beyond ``CACHE_WORDS`` are kept for their batch alone."""
+    lower-cases and splits texts at white space. Words beyond ``CACHE_WORDS``
+    are kept for their batch alone."""
 
     def __init__(self, path: str):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # the task has one core
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.batch: dict[bytes, bytes] = {}
+        self.kept: dict[bytes, bytes] = {}
+        self.marks = dict(zip((b".", b","), self._packed([b".", b","]), strict=True))
 
     def _packed(self, words: list[bytes]) -> list[bytes]:
         found = self.tokenizer.encode_batch_fast([w.decode() for w in words], add_special_tokens=False)
-        return [np.array(x.ids, "<u4").tobytes() for x in found]
-
-    def __missing__(self, word: bytes) -> bytes:
-        return self.batch[word]
-
-    def encode(self, texts: list[bytes]) -> list[bytes]:
-        split = [MARK.sub(rb" \1", x.lower()).split() for x in texts]
-        new = list(set().union(*split) - self.keys())
-        self.batch = dict(zip(new, self._packed(new), strict=True))
-        room = CACHE_WORDS - len(self)
-        self.update([(w, ids) for w, ids in self.batch.items() if len(w) <= CACHE_BYTES][:room])
-        return [b"".join(map(self.__getitem__, words)) for words in split]
+        return [struct.pack(f"<{len(x.ids)}I", *x.ids) for x in found]
+
+    def _ids(self, names: list[bytes]) -> list[bytes]:
+        ids = dict(zip(names, map(self.kept.get, names), strict=True))
+        new = [w for w, known in ids.items() if known is None]
+        marked = [w for w in new if MARKED.search(w, max(0, len(w) - 3))]
+        plain = list(set(new).difference(marked).union(x[:-1] for x in marked if ids.get(x[:-1]) is None))
+        ids.update(zip(plain, self._packed(plain), strict=True))
+        ids.update([(w, ids[w[:-1]] + self.marks[w[-1:]]) for w in marked])
+        room = max(0, CACHE_WORDS - len(self.kept))
+        self.kept.update(islice(((w, ids[w]) for w in [*plain, *marked] if len(w) <= CACHE_BYTES), room))
+        return [ids[w] for w in names]
+
+    def encode(self, texts: pa.StringArray) -> list[bytes]:
+        """The ids of each text; null has none. Arrow splits and gathers, so
+        that Python sees each word of a batch once."""
+        split = pc.ascii_split_whitespace(pc.ascii_lower(pc.fill_null(texts, "")))
+        words = split.flatten().dictionary_encode()
+        packed = pa.array(self._ids(words.dictionary.cast(pa.binary()).to_pylist()), pa.binary()).take(words.indices)
+        if not len(packed):
+            return [b""] * len(texts)
+        _, offsets, data = packed.buffers()
+        ends = np.frombuffer(offsets, np.int32)[packed.offset :][np.asarray(split.offsets) - split.offsets[0].as_py()].tolist()
+        raw = memoryview(data) if data is not None else memoryview(b"")
+        return [bytes(raw[a:b]) for a, b in zip(ends[:-1], ends[1:], strict=True)]
 
 
 def worker_words(path: str) -> WordIds:
@@ -178,6 +199,20 @@ def worker_words(path: str) -> WordIds:
     return kept[path]
 
 
+def _gathered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Batches joined until they hold ``GATHER_BYTES``: the more texts at once,
+    the fewer words to look up for each."""
+    held, size = [], 0
+    for batch in batches:
+        held.append(batch)
+        size += batch.nbytes
+        if size >= GATHER_BYTES:
+            yield pa.concat_batches(held)
+            held, size = [], 0
+    if held:
+        yield pa.concat_batches(held)
+
+
 def pieces(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY) -> DataFrame:
     """(doc_id, piece, start, length, ids_crc32): every text as token ids and
     an end id, cut where longer than ``capacity``."""
@@ -187,10 +222,9 @@ def pieces(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY) -> Da
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = worker_words(tokenizer_path)
-        for batch in batches:
-            texts = [x or b"" for x in batch.column("text").cast(pa.binary()).to_pylist()]
+        for batch in _gathered(batches):
             out: list[tuple] = []
-            for doc_id, ids in zip(batch.column("doc_id").to_pylist(), words.encode(texts), strict=True):
+            for doc_id, ids in zip(batch.column("doc_id").to_pylist(), words.encode(batch.column("text")), strict=True):
                 ids += end
                 out += [(doc_id, k, at // 4, len(cut := ids[at : at + size]) // 4, zlib.crc32(cut)) for k, at in enumerate(range(0, len(ids), size))]
             columns = zip(*out, strict=True) if out else ([],) * 5
