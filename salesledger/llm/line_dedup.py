@@ -88,7 +88,8 @@ def remove_repeated_runs(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFra
     keyed = docs.drop("n_lines", "removed_lines").withColumn("_rid", F.xxhash64(text))
     gone = repeated_lines(keyed.select(F.col("doc_id"), F.col("_rid").alias("rid"), text.alias("text")), min_words)
     gone = freeze(gone.select(F.col("doc_id").alias("_gone_id"), F.col("rid").alias("_gone_rid"), F.col("gone").alias("_gone")))
-    joined = keyed.join(gone, F.col("doc_id").eqNullSafe(F.col("_gone_id")) & (F.col("_rid") == F.col("_gone_rid")), "left")
+    # merge: the same plan at every size, whatever the planner takes ``gone`` to be
+    joined = keyed.join(gone.hint("merge"), F.col("doc_id").eqNullSafe(F.col("_gone_id")) & (F.col("_rid") == F.col("_gone_rid")), "left")
     return _without(joined, docs.columns)
 
 
