@@ -31,7 +31,7 @@ DATE = "2024-01-01T00:00:00Z"
 #: Payloads under this size are always written in full.
 REVISIT_BYTES = 100
 ROLL_BYTES = 128 << 20
-RANGE_BYTES = (4 << 20, 1 << 30)
+RANGE_BYTES = (4 << 20, 256 << 20)
 RANGE_BUCKETS = 4096
 LEVEL = 6
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
@@ -194,7 +194,7 @@ def write_archives(pages: DataFrame, out: str, roll_bytes: int = ROLL_BYTES, rev
     both = rows.withColumn("first", F.lit(None).cast("long")).select(*columns).unionByName(revisits.withColumns({"url": F.lit(None).cast("string"), "payload": F.lit(None).cast("binary")}).select(*columns))
     dealt = both.withColumn("part", part(F.coalesce("page_id", F.lit(-(1 << 63)).cast("long"))))
     order = ["part", "page_id", "digest", F.col("payload").isNotNull()]
-    written = dealt.repartition(len(cuts) + 1, "part").sortWithinPartitions(*order).mapInArrow(_writer(out, roll_bytes), FILE)
+    written = dealt.repartitionById(len(cuts) + 1, F.col("part")).sortWithinPartitions(*order).mapInArrow(_writer(out, roll_bytes), FILE)
     manifest = freeze(written)
     moved = manifest.mapInArrow(_mover(out), FILE).select("file", "records", "bytes", "sha256")
     moved.write.parquet(f"{out}/_manifest")
