@@ -41,10 +41,10 @@ RATE = 0.5
 #: A configuration of the program fills this part of a sequence at least.
 FULL = 0.998
 #: Words whose ids a worker keeps, and the longest (bytes) that it keeps.
-CACHE_WORDS = 1_200_000
+CACHE_WORDS = 800_000
 CACHE_BYTES = 64
 #: Text that a worker encodes at once.
-GATHER_BYTES = 16 << 20
+GATHER_BYTES = 8 << 20
 
 
 def knapsack(price: np.ndarray, capacity: int) -> np.ndarray:
