@@ -35,10 +35,10 @@ FOLDS, HELD_OUT = 3, 1
 SAMPLE = {1: 4000, 0: 8000}
 #: Entries: most that are looked at, least toxic documents with one, least
 #: log-odds, most that the classifier and the label model use.
-CANDIDATES = 60_000
+CANDIDATES = 30_000
 MIN_SUPPORT = 3
 MIN_ODDS = 2.5
-ENTRIES = 1500
+ENTRIES = 1000
 VOTERS = 128
 #: A toxic document counts as covered once it has so many voters.
 COVER = 3
@@ -93,6 +93,11 @@ def _documents_with(docs: DataFrame, wanted: set[str] | None) -> DataFrame:
     return docs.mapInArrow(lambda batches: _count(batches, wanted), "entry string, n long").groupBy("entry").agg(F.sum("n").alias("n"))
 
 
+def _as_dict(counts: DataFrame) -> dict[str, int]:
+    table = counts.toArrow()
+    return dict(zip(table.column("entry").to_pylist(), table.column("n").to_pylist(), strict=True))
+
+
 def _sample(docs: DataFrame, labels: DataFrame) -> tuple[DataFrame, dict[int, int]]:
     """(text, toxic) of the bounded sample, and how many labels there are."""
     known = labels.where(fold(F.col("doc_id")) != HELD_OUT).groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic")).where("doc_id is not null and toxic in (0, 1)")
@@ -105,13 +110,13 @@ def _sample(docs: DataFrame, labels: DataFrame) -> tuple[DataFrame, dict[int, in
 
 def _voters(has: np.ndarray, toxic: np.ndarray, odds: np.ndarray) -> list[int]:
     """Entries chosen one by one for the toxic documents they still cover."""
-    left = np.full(int(toxic.sum()), COVER)
-    pos, chosen = has[toxic == 1], []
+    left = np.full(int(toxic.sum()), COVER, np.float32)
+    pos, chosen = has[toxic == 1].astype(np.float32), []
     free = np.ones(has.shape[1], bool)
     while len(chosen) < VOTERS and free.any():
-        gain = (pos * (left > 0)[:, None]).sum(axis=0) * odds * free
+        gain = ((left > 0).astype(np.float32) @ pos) * odds * free
         best = int(gain.argmax())
-        if (pos[:, best] & (left > 0)).sum() < MIN_SUPPORT:
+        if pos[left > 0, best].sum() < MIN_SUPPORT:
             break
         chosen.append(best)
         free[best] = False
@@ -142,18 +147,25 @@ def label_model(votes: np.ndarray, weight: np.ndarray, rounds: int = 30) -> tupl
 
 
 def linear(x: np.ndarray, y: np.ndarray, weight: np.ndarray, ridge: float = 0.02, steps: int = 300) -> tuple[np.ndarray, float]:
-    """Weights and constant of a logistic regression, by accelerated descent."""
-    x = np.hstack([x, np.ones((len(x), 1))]).astype(np.float64)
-    w = np.zeros(x.shape[1])
-    w[-1] = -3.0
-    ahead, rate = w.copy(), 4.0 / max(1.0, np.linalg.norm(x * np.sqrt(weight / weight.sum())[:, None], 2) ** 2)
-    keep = np.append(np.full(x.shape[1] - 1, ridge), 0) / len(x)
+    """Weights and constant of a logistic regression on float32 rows, by
+    accelerated descent."""
+    share = (weight / weight.sum()).astype(np.float32)
+    direction = np.ones(x.shape[1], np.float32)
+    for _ in range(20):  # the steepest curve, by power iteration; the constant adds at most 1
+        direction = x.T @ (share * (x @ direction))
+        steepest = float(np.linalg.norm(direction)) or 1.0
+        direction /= steepest
+    rate = 4.0 / (steepest + 1.0)
+    w, constant = np.zeros(x.shape[1]), -3.0
+    ahead, ahead_constant = w.copy(), constant
     for step in range(1, steps + 1):
-        p = 1 / (1 + np.exp(-np.clip(x @ ahead, -30, 30)))
-        slope = x.T @ (weight * (p - y)) / weight.sum() + keep * ahead
-        new = ahead - rate * slope
-        ahead, w = new + step / (step + 3) * (new - w), new
-    return w[:-1], float(w[-1])
+        p = 1 / (1 + np.exp(-np.clip(x @ ahead.astype(np.float32) + ahead_constant, -30, 30)))
+        off = share * (p - y)
+        new, new_constant = ahead - rate * (off @ x + ridge / len(x) * ahead), ahead_constant - rate * float(off.sum())
+        push = step / (step + 3)
+        ahead, ahead_constant = new + push * (new - w), new_constant + push * (new_constant - constant)
+        w, constant = new, new_constant
+    return w, constant
 
 
 def train(docs: DataFrame, labels: DataFrame) -> Model:
@@ -164,29 +176,29 @@ def train(docs: DataFrame, labels: DataFrame) -> Model:
     n_pos, n_neg = toxic_docs.count(), sample.where("toxic = 0").count()
     if not n_pos:
         return Model()
-    common = _documents_with(toxic_docs, None).where(F.col("n") >= min(MIN_SUPPORT, n_pos)).orderBy(F.desc("n"), "entry").limit(CANDIDATES).collect()
-    positive = {r["entry"]: r["n"] for r in common} | {w: 0 for w in LEXICON if w not in {r["entry"] for r in common}}
+    common = _documents_with(toxic_docs, None).where(F.col("n") >= min(MIN_SUPPORT, n_pos)).orderBy(F.desc("n"), "entry").limit(CANDIDATES)
+    positive = dict.fromkeys(LEXICON, 0) | _as_dict(common)
     wanted = set(positive)
-    negative = {r["entry"]: r["n"] for r in _documents_with(sample.where("toxic = 0"), wanted).collect()}  # at most CANDIDATES
+    negative = _as_dict(_documents_with(sample.where("toxic = 0"), wanted))  # at most CANDIDATES and the fixed list
     odds = {e: np.log((n + 0.5) / (n_pos + 1)) - np.log((negative.get(e, 0) + 0.5) / (n_neg + 1)) for e, n in positive.items()}
     ranked = sorted((e for e, v in odds.items() if v >= MIN_ODDS), key=lambda e: (-odds[e] * positive[e] ** 0.5, e))[:ENTRIES]
     entries = sorted(set(ranked) | set(LEXICON))
     probe = Model(0.0, dict.fromkeys(entries, 1.0))
+    at = {e: k for k, e in enumerate(entries)}
 
     def hits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [sorted(probe.hits(x)) for x in batch.column("text").to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column("toxic"), pa.array(found, pa.list_(pa.string()))], ["toxic", "found"])
-
-    rows = sample.mapInArrow(hits, "toxic int, found array<string>").collect()  # entries of at most sum(SAMPLE) documents
-    at = {e: k for k, e in enumerate(entries)}
-    has = np.zeros((len(rows), len(entries)), bool)
-    for k, r in enumerate(rows):
-        has[k, [at[e] for e in r["found"]]] = True
-    toxic = np.array([r["toxic"] for r in rows])
+            found = [sorted(at[e] for e in probe.hits(x)) for x in batch.column("text").to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column("toxic"), pa.array(found, pa.list_(pa.int32()))], ["toxic", "found"])
+
+    rows = sample.mapInArrow(hits, "toxic int, found array<int>").toArrow()  # entries of at most sum(SAMPLE) documents
+    has = np.zeros((rows.num_rows, len(entries)), bool)
+    found = rows.column("found").combine_chunks()
+    has[np.repeat(np.arange(len(has)), np.diff(np.asarray(found.offsets))), found.flatten().to_numpy()] = True
+    toxic = rows.column("toxic").to_numpy()
     chosen = _voters(has, toxic, np.array([max(0.0, odds.get(e, 0.0)) for e in entries]))
     fixed = has[:, [at[w] for w in LEXICON]].any(axis=1)
-    number = has[:, chosen].sum(axis=1) if chosen else np.zeros(len(rows))
+    number = has[:, chosen].sum(axis=1) if chosen else np.zeros(len(has))
     votes = np.column_stack([has[:, chosen], fixed, number >= 2, number >= 4]).astype(np.float64)
     # the sample's classes weigh as in all labelled rows
     weight = np.where(toxic == 1, counts.get(1, 0) / max(1, n_pos), counts.get(0, 0) / max(1, n_neg))
