@@ -79,7 +79,7 @@ def remove_repeated_runs(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFra
 
     A run is consecutive lines with ``min_words`` words or more, equal after
     trimming white space; lines without words neither match nor break a
-    run, and go with the run that they stand in.
+    run; inside a window that goes they go with it.
     The first copy by (doc_id, then a hash of the text, then position) stays;
     null doc_ids come first. A null text stays null with zero lines; a text may
     become empty, its row stays. Rows that repeat doc_id and text count as one
