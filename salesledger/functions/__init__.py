@@ -11,7 +11,7 @@ from salesledger.functions.numeric import (
     MONEY_DECIMAL,
     coerce_int,
     coerce_number,
-    money,
+    money_total,
     money_sum,
     round_half_even,
     round_half_up,
@@ -37,7 +37,7 @@ __all__ = [
     "coerce_timestamp",
     "contains_ci",
     "day_str",
-    "money",
+    "money_total",
     "money_sum",
     "month_key",
     "null_tokens_to_null",

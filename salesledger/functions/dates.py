@@ -25,7 +25,22 @@ DEFAULT_DATE_FORMATS = (
     ("M/d/yyyy H:m:s", r"^[0-9]{1,2}/[0-9]{1,2}/[0-9]{4} [0-9]{1,2}:[0-9]{1,2}:[0-9]{1,2}$"),
     ("d MMM yyyy", r"^[0-9]{1,2} [A-Za-z]{3} [0-9]{4}$"),
     ("MMM d, yyyy", r"^[A-Za-z]{3} [0-9]{1,2}, [0-9]{4}$"),
+    ("yyyy-M-d H:m", r"^[0-9]{4}-[0-9]{1,2}-[0-9]{1,2} [0-9]{1,2}:[0-9]{1,2}$"),
+    ("yyyy-M-d'T'H:m", r"^[0-9]{4}-[0-9]{1,2}-[0-9]{1,2}T[0-9]{1,2}:[0-9]{1,2}$"),
+    ("yyyyMMdd", r"^[0-9]{8}$"),
+    ("yyyy-M", r"^[0-9]{4}-[0-9]{1,2}$"),
+    ("yyyy.M.d", r"^[0-9]{4}\.[0-9]{1,2}\.[0-9]{1,2}$"),
+    ("M-d-yyyy", r"^[0-9]{1,2}-[0-9]{1,2}-[0-9]{4}$"),
+    ("d-M-yyyy", r"^[0-9]{1,2}-[0-9]{1,2}-[0-9]{4}$"),
+    ("d/M/yyyy", r"^[0-9]{1,2}/[0-9]{1,2}/[0-9]{4}$"),
+    ("M/d/yyyy h:m:s a", r"^[0-9]{1,2}/[0-9]{1,2}/[0-9]{4} [0-9]{1,2}:[0-9]{1,2}:[0-9]{1,2} [APap][Mm]$"),
+    ("yyyy-M-d h:m:s a", r"^[0-9]{4}-[0-9]{1,2}-[0-9]{1,2} [0-9]{1,2}:[0-9]{1,2}:[0-9]{1,2} [APap][Mm]$"),
+    ("d-MMM-yyyy", r"^[0-9]{1,2}-[A-Za-z]{3}-[0-9]{4}$"),
+    ("MMMM d, yyyy", r"^[A-Za-z]{4,9} [0-9]{1,2}, [0-9]{4}$"),
+    ("d MMMM yyyy", r"^[0-9]{1,2} [A-Za-z]{4,9} [0-9]{4}$"),
 )
+# Fixed value: a zone or offset after a time of day; the text's own clock counts.
+ZONE = r"(?<=[0-9]:[0-9]{2})(\.[0-9]+)?(Z|[+-][0-9]{2}:?[0-9]{2})$"
 
 DateFormat = str | tuple[str, str]
 
@@ -36,7 +51,7 @@ def coerce_timestamp(c: Column | str, formats: Sequence[DateFormat] = DEFAULT_DA
     A layout is a datetime pattern, or ``(pattern, shape_regex)`` to skip
     the parser on text that cannot match.
     """
-    s = strip_ws(as_col(c).cast("string"))
+    s = F.regexp_replace(strip_ws(as_col(c).cast("string")), ZONE, "$1")
     attempts = []
     for f in formats:
         pattern, shape = (f, None) if isinstance(f, str) else f

@@ -20,6 +20,8 @@ NUMBER_SHAPE = r"^[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?$"
 # and accumulated as a decimal, so totals do not depend on partitioning or
 # on the order in which executors add them up.
 MONEY_DECIMAL = "decimal(28,4)"
+# What of an amount beyond 4 places is a double's own rounding.
+NOISE = 1e-12
 
 
 def coerce_number(c: Column | str, default: float | None = None, numeric_input: bool = False) -> Column:
@@ -35,6 +37,7 @@ def coerce_number(c: Column | str, default: float | None = None, numeric_input:
     else:
         s = strip_ws(col.cast("string"))
         parsed = F.when(s.rlike(NUMBER_SHAPE), s.try_cast("double"))
+    parsed = F.when(F.abs(parsed) < F.lit(float("inf")), parsed)  # '1e999' is no number either
     return parsed if default is None else F.coalesce(parsed, F.lit(float(default)))
 
 
@@ -74,12 +77,20 @@ def share_pct(part: Column | str, total: Column | str, digits: int = 2) -> Colum
     )
 
 
-def money(c: Column | str) -> Column:
-    """An amount as an exact decimal, ready to be summed."""
-    return as_col(c).cast(MONEY_DECIMAL)
+def money_total(c: Column | str) -> Column:
+    """Sum of amounts as double; null for no rows.
+
+    The part of each amount that fits ``MONEY_DECIMAL`` is summed exactly, so
+    ordinary totals do not depend on order; what does not fit (beyond its
+    range, or finer than 4 places) is added as double, so nothing is lost.
+    """
+    x = as_col(c).cast("double")
+    exact = x.try_cast(MONEY_DECIMAL)
+    off = F.coalesce(x - exact.cast("double"), x)
+    rest = F.when(F.abs(off) > F.abs(x) * NOISE, off).otherwise(F.when(x.isNotNull(), F.lit(0.0)))
+    return F.coalesce(F.sum(exact).cast("double"), F.lit(0.0)) + F.sum(rest)
 
 
 def money_sum(c: Column | str) -> Column:
-    """Exact, order-independent sum of amounts, returned as double; 0.0 for
-    no rows (a SQL ``sum`` of nothing is null)."""
-    return F.coalesce(F.sum(money(c)).cast("double"), F.lit(0.0))
+    """``money_total``, 0.0 for no rows."""
+    return F.coalesce(money_total(c), F.lit(0.0))

@@ -2,78 +2,25 @@
 ids of a change set that do not exist.
 
 Single-row edits are the one-row case of these.  Joins are on the unique
-``id`` key.  A change set is broadcast only after a measuring pass proves
-its rows and bytes small; beyond that Spark shuffles both sides (and AQE
-may still pick a broadcast at run time from measured sizes).
+``id`` key; Spark and AQE choose each join from measured sizes.
 """
 
 from __future__ import annotations
 
-import re
-from functools import reduce
-
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, BinaryType, MapType, StringType, StructType
 
 from salesledger.functions import strip_ws
 
 LEDGER_FIELDS = ("id", "amount", "category", "description", "date")
-BROADCAST_MAX_ROWS = 1_000_000
-_DEFAULT_BROADCAST_BYTES = 10 * 1024 * 1024
-
-
-def _row_bytes(df: DataFrame) -> Column:
-    """Data size of a row: text and binary by their length, nested values
-    by their JSON text, other values as 8 bytes."""
-    parts = []
-    for f in df.schema:
-        c = F.col(f"`{f.name}`")
-        if isinstance(f.dataType, StringType):
-            parts.append(F.coalesce(F.octet_length(c), F.lit(0)))
-        elif isinstance(f.dataType, BinaryType):
-            parts.append(F.coalesce(F.length(c), F.lit(0)))
-        elif isinstance(f.dataType, (ArrayType, MapType, StructType)):
-            parts.append(F.coalesce(F.octet_length(F.to_json(c)), F.lit(0)))
-        else:
-            parts.append(F.lit(8))
-    return reduce(lambda a, b: a + b, parts, F.lit(8)).cast("bigint")
-
-
-# Size suffixes of Spark's byte-size settings ('10MB', '512k').
-_SIZE_UNITS = {"": 1, "b": 1, "k": 1 << 10, "m": 1 << 20, "g": 1 << 30, "t": 1 << 40, "p": 1 << 50}
-
-
-def broadcast_threshold(spark) -> int:
-    """The session's broadcast size limit in bytes (≤ 0: never broadcast)."""
-    v = str(spark.conf.get("spark.sql.autoBroadcastJoinThreshold", str(_DEFAULT_BROADCAST_BYTES)))
-    m = re.fullmatch(r"\s*(-?\d+)\s*([kmgtp]?)b?\s*", v.lower())
-    if m is None:
-        raise ValueError(f"unreadable size setting: {v!r}")
-    return int(m.group(1)) * _SIZE_UNITS[m.group(2)]
-
-
-def bounded_broadcast(df: DataFrame, max_rows: int = BROADCAST_MAX_ROWS, max_bytes: int | None = None) -> DataFrame:
-    """``broadcast(df)`` when a measuring pass proves it small: at most
-    ``max_rows`` rows and ``max_bytes`` of data (default: the session's
-    ``spark.sql.autoBroadcastJoinThreshold``).  Otherwise ``df`` unchanged,
-    and Spark's planner and AQE choose the join from sizes.
-
-    The pass is one aggregation: every task counts its own rows and bytes
-    and one row per task reaches the final sum, so no data funnels through
-    a single task whatever the size of ``df``.
-    """
-    limit = broadcast_threshold(df.sparkSession) if max_bytes is None else max_bytes
-    if limit <= 0:
-        return df
-    n, size = df.agg(F.count(F.lit(1)), F.sum(_row_bytes(df))).first()
-    return F.broadcast(df) if n <= max_rows and (size or 0) <= limit else df
 
 
-def normalize_changes(changes: DataFrame) -> DataFrame:
+def normalize_changes(changes: DataFrame, order_col: str | None = None) -> DataFrame:
     """Write-side rules: text stripped, amount as double, missing
-    description as ''."""
+    description as ''.  ``order_col`` is kept as ``_order``."""
+    kept = [F.col(order_col).alias("_order")] if order_col else []
     return changes.select(
+        *kept,
         F.col("id").cast("bigint").alias("id"),
         F.col("amount").cast("double").alias("amount"),
         strip_ws(F.col("category").cast("string")).alias("category"),
@@ -87,13 +34,27 @@ def valid_changes(changes: DataFrame) -> DataFrame:
     return changes.filter((F.col("amount") > 0) & F.col("category").isNotNull() & F.col("date").isNotNull())
 
 
-def apply_updates(ledger: DataFrame, changes: DataFrame, max_broadcast_rows: int = BROADCAST_MAX_ROWS) -> DataFrame:
+def latest_changes(changes: DataFrame, order_col: str | None = None) -> DataFrame:
+    """One change per id: the last by ``order_col``, as if applied in turn.
+
+    Without an order a repeated id has no last change; the greatest of its
+    rows by (date, amount, category, description) stands then, so that the
+    result does not depend on partitioning.
+    """
+    rows = normalize_changes(changes) if order_col is None else normalize_changes(changes, order_col)
+    order = [F.col("_order")] if order_col else []
+    last = F.max(F.struct(*order, "date", "amount", "category", "description")).alias("_last")
+    return rows.groupBy("id").agg(last).select("id", *[F.col(f"_last.{c}").alias(c) for c in LEDGER_FIELDS if c != "id"])
+
+
+def apply_updates(ledger: DataFrame, changes: DataFrame, order_col: str | None = None, only_valid: bool = False) -> DataFrame:
     """Rows of ``ledger`` whose id is in ``changes`` take the new values;
-    unknown ids are ignored (see ``missing_ids``).  ``changes`` must hold one
-    row per id."""
-    ch = normalize_changes(changes)
+    unknown ids are ignored (see ``missing_ids``).  Of several changes for an
+    id the last counts (see ``latest_changes``).  ``only_valid`` leaves out
+    what an edit form would not accept.  Spark picks the join from sizes."""
+    ch = latest_changes(valid_changes(changes) if only_valid else changes, order_col)
     ch = ch.select("id", F.lit(True).alias("_hit"), *[F.col(c).alias(f"_new_{c}") for c in LEDGER_FIELDS if c != "id"])
-    joined = ledger.join(bounded_broadcast(ch, max_broadcast_rows), "id", "left")
+    joined = ledger.join(ch, "id", "left")
     hit = F.col("_hit").isNotNull()
     return joined.select(
         "id",
@@ -101,34 +62,23 @@ def apply_updates(ledger: DataFrame, changes: DataFrame, max_broadcast_rows: int
     )
 
 
-def delete_ids(ledger: DataFrame, ids: DataFrame, max_broadcast_rows: int = BROADCAST_MAX_ROWS) -> DataFrame:
+def delete_ids(ledger: DataFrame, ids: DataFrame) -> DataFrame:
     """``ledger`` without the rows whose id is in ``ids``."""
-    return ledger.join(bounded_broadcast(ids.select("id").distinct(), max_broadcast_rows), "id", "left_anti")
+    return ledger.join(ids.select("id").distinct(), "id", "left_anti")
 
 
 def _change_ids(changes: DataFrame) -> DataFrame:
     return changes.select(F.col("id").cast("bigint").alias("id")).distinct()
 
 
-def existing_ids(changes: DataFrame, ledger: DataFrame, max_broadcast_rows: int = BROADCAST_MAX_ROWS) -> DataFrame:
-    """Ids named by a change set that the ledger holds.
-
-    A left semi or anti join can only build its right side, so with the
-    change set on the left the ledger would be shuffled.  When the change
-    ids are proven small they are broadcast instead and the ledger is
-    semi-joined against them where it lies (no shuffle of the ledger).
-    """
-    ids = _change_ids(changes)
-    small = bounded_broadcast(ids, max_broadcast_rows)
-    if small is ids:
-        return ids.join(ledger.select("id"), "id", "left_semi")
-    return ledger.select(F.col("id").cast("bigint").alias("id")).join(small, "id", "left_semi").distinct()
+def existing_ids(changes: DataFrame, ledger: DataFrame) -> DataFrame:
+    """Ids named by a change set that the ledger holds."""
+    return _change_ids(changes).join(ledger.select("id"), "id", "left_semi")
 
 
-def missing_ids(changes: DataFrame, ledger: DataFrame, max_broadcast_rows: int = BROADCAST_MAX_ROWS) -> DataFrame:
-    """Ids named by a change set that the ledger does not hold: the change
-    ids minus ``existing_ids`` (both at most the size of the change set)."""
-    return _change_ids(changes).join(existing_ids(changes, ledger, max_broadcast_rows), "id", "left_anti")
+def missing_ids(changes: DataFrame, ledger: DataFrame) -> DataFrame:
+    """Ids named by a change set that the ledger does not hold: one anti join."""
+    return _change_ids(changes).join(ledger.select("id"), "id", "left_anti")
 
 
 def insert_rows(ledger: DataFrame, new_rows: DataFrame) -> DataFrame:

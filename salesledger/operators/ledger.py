@@ -13,7 +13,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from salesledger.functions import contains_ci, day_str, money, month_key, round_half_up, safe_ratio
+from salesledger.functions import contains_ci, day_str, money_sum, money_total, month_key, round_half_up, safe_ratio
 from salesledger.operators.shares import with_share
 
 # Budget defaults and status thresholds (percent spent).
@@ -26,7 +26,7 @@ PAGE_SIZE = 10
 def ledger_kpis(df: DataFrame) -> DataFrame:
     """total, count, distinct days present, daily_avg = total / days."""
     agg = df.agg(
-        F.coalesce(F.sum(money("amount")).cast("double"), F.lit(0.0)).alias("total"),
+        money_sum("amount").alias("total"),
         F.count("id").alias("count"),
         F.count_distinct("date").alias("days"),
     )
@@ -34,7 +34,7 @@ def ledger_kpis(df: DataFrame) -> DataFrame:
 
 
 def _category_totals(df: DataFrame, with_count: bool = True) -> DataFrame:
-    aggs = [F.sum(money("amount")).alias("_total_exact")]
+    aggs = [money_total("amount").alias("_total_exact")]
     if with_count:
         aggs.append(F.count("id").alias("count"))
     g = df.groupBy("category").agg(*aggs)
@@ -72,7 +72,7 @@ def daily_trend(df: DataFrame) -> DataFrame:
     """date_str, amount per calendar day, ascending."""
     return (
         df.groupBy("date")
-        .agg(F.sum(money("amount")).cast("double").alias("amount"))
+        .agg(money_total("amount").alias("amount"))
         .filter(F.col("date").isNotNull())
         .orderBy("date")
         .select(day_str("date").alias("date_str"), "amount")
@@ -93,7 +93,7 @@ def budget_status(
     if budget is None or budget <= 0:
         raise ValueError("budget must be positive")
     b = F.lit(float(budget))
-    spent = F.coalesce(F.sum(money("amount")).cast("double"), F.lit(0.0)).alias("spent")
+    spent = money_sum("amount").alias("spent")
     agg = df.groupBy(month_key("date").alias("month")).agg(spent) if by_month else df.agg(spent)
     pct = F.least(F.lit(100.0), F.col("spent") / b * F.lit(100.0))
     out = (

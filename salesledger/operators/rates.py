@@ -35,16 +35,15 @@ def base_rates(spark: SparkSession) -> DataFrame:
 
 def refresh_rates(current: DataFrame, feed: DataFrame) -> DataFrame:
     """Known currencies only; take the feed's rate where it is set and
-    non-zero, else keep the current one."""
+    non-zero (the highest of several), else keep the current one."""
     feed = feed.select(F.col("currency"), F.col("rate").alias("_feed_rate")).filter(
         F.col("currency").isin(list(KNOWN_CURRENCIES))
     )
     cur = current.filter(F.col("currency").isin(list(KNOWN_CURRENCIES)))
-    joined = cur.join(F.broadcast(feed), "currency", "left")
-    new_rate = F.when(
-        F.col("_feed_rate").isNotNull() & ~F.isnan("_feed_rate") & (F.col("_feed_rate") != 0), F.col("_feed_rate")
-    ).otherwise(F.col("rate"))
-    return joined.select("currency", new_rate.alias("rate"))
+    # one row per code, so at most len(KNOWN_CURRENCIES) rows are broadcast
+    usable = feed.filter(~F.isnan("_feed_rate") & (F.col("_feed_rate") != 0)).groupBy("currency").agg(F.max("_feed_rate").alias("_feed_rate"))
+    joined = cur.join(F.broadcast(usable), "currency", "left")
+    return joined.select("currency", F.coalesce("_feed_rate", "rate").alias("rate"))
 
 
 def _is_code(c: str | Column) -> bool:
@@ -66,12 +65,14 @@ def convert(
     table, no join.  A currency given as a column is a broadcast hash join
     on the bounded rate table; the fact side is not shuffled.
     """
-    r = rates.filter(F.col("currency").isin(list(KNOWN_CURRENCIES)))
+    r = rates.filter(F.col("currency").isin(list(KNOWN_CURRENCIES))).groupBy("currency").agg(F.max("rate").alias("rate"))
     out = df
     rate_cols = {}
     for side, cur in (("from", from_currency), ("to", to_currency)):
         name = f"_rate_{side}"
-        if _is_code(cur):
+        if isinstance(cur, str) and not _is_code(cur) and cur not in df.columns:
+            rate_cols[side] = F.lit(None).cast("double")  # an unknown code has no rate
+        elif _is_code(cur):
             rate_cols[side] = r.filter(F.col("currency") == F.lit(cur)).select(F.max("rate")).scalar()
         else:
             key = f"_{side}"

@@ -13,21 +13,21 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from salesledger.functions import money, month_key, safe_ratio
+from salesledger.functions import money_sum, money_total, month_key, safe_ratio
 from salesledger.operators.shares import with_share
 
 TOP_PRODUCTS_N = 10
 
 
 def _money_total(col: str, name: str):
-    """Exact decimal sum kept next to the double output, for exact shares."""
-    return F.sum(money(col)).alias(name)
+    """The group's total, kept apart from the output for the shares."""
+    return money_total(col).alias(name)
 
 
 def sales_kpis(df: DataFrame) -> DataFrame:
     """One row: total_revenue, total_orders (distinct ids), average_order_value."""
     agg = df.agg(
-        F.coalesce(F.sum(money("revenue")).cast("double"), F.lit(0.0)).alias("total_revenue"),
+        money_sum("revenue").alias("total_revenue"),
         F.count_distinct("order_id").alias("total_orders"),
     )
     return agg.withColumn("average_order_value", safe_ratio("total_revenue", "total_orders"))
@@ -38,7 +38,7 @@ def product_totals(df: DataFrame) -> DataFrame:
     return (
         df.groupBy("product")
         .agg(
-            F.sum(money("revenue")).cast("double").alias("revenue"),
+            money_total("revenue").alias("revenue"),
             F.sum("quantity").alias("quantity_sold"),
             F.count("order_id").alias("orders"),
         )
@@ -57,7 +57,7 @@ def monthly_trend(df: DataFrame) -> DataFrame:
     return (
         df.groupBy(month_key("date").alias("month"))
         .agg(
-            F.sum(money("revenue")).cast("double").alias("revenue"),
+            money_total("revenue").alias("revenue"),
             F.count("order_id").alias("orders"),
             F.sum("quantity").alias("quantity_sold"),
         )
@@ -90,7 +90,7 @@ def chart_series(top: DataFrame, n: int = 5, scale: float = 1000.0, digits: int
     of the shown rows to ``digits`` decimals (chart labels)."""
     head = top.orderBy(F.desc("revenue"), F.asc("product")).limit(n)
     head = head.withColumn("revenue_k", F.col("revenue") / F.lit(scale)).withColumn(
-        "_rev_exact", money("revenue")
+        "_rev_exact", F.col("revenue")
     )
     return with_share(head, "revenue", "share_pct", digits, total_col="_rev_exact").drop("_rev_exact")
 

@@ -13,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from salesledger.functions import share_pct
+from salesledger.functions import money_total, share_pct
 from salesledger.session import ensure_checkpoint_dir
 
 
@@ -27,12 +27,12 @@ def with_share(
 ) -> DataFrame:
     """Add ``out_col`` = part / grand total × 100, half-even rounded.
 
-    ``total_col`` names an exact (decimal) column to total; by default the
-    part column itself.  Totals ≤ 0 give 0.0.
+    ``total_col`` names the column to total; by default the part column
+    itself.  Totals ≤ 0 give 0.0.
     """
     src = total_col or part_col
     if freeze:
         ensure_checkpoint_dir(grouped.sparkSession)
         grouped = grouped.checkpoint(eager=True)
-    total = grouped.select(F.sum(src)).scalar()
+    total = grouped.select(money_total(src)).scalar()
     return grouped.withColumn(out_col, share_pct(F.col(part_col), total, digits))

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DecimalType, DoubleType, FloatType
 
-from salesledger.functions import money
+from salesledger.functions import money_total
 
 
 def with_total_row(df: DataFrame, label_col: str, sum_cols: Sequence[str], label: str = "Total") -> DataFrame:
@@ -20,7 +20,7 @@ def with_total_row(df: DataFrame, label_col: str, sum_cols: Sequence[str], label
     aggs = []
     for c in sum_cols:
         if isinstance(types[c], (DoubleType, FloatType, DecimalType)):
-            aggs.append(F.coalesce(F.sum(money(c)).cast(types[c]), F.lit(0).cast(types[c])).alias(c))
+            aggs.append(F.coalesce(money_total(c).cast(types[c]), F.lit(0).cast(types[c])).alias(c))
         else:
             aggs.append(F.coalesce(F.sum(c), F.lit(0)).cast(types[c]).alias(c))
     total = df.agg(*aggs)

@@ -26,7 +26,6 @@ from pyspark.sql import functions as F
 from salesledger.sources.tables import read_table
 
 # Tables whose rows carry the work; dimension tables are never rebalanced.
-FACT_TABLES = ("lineitem", "orders", "events")
 
 # The driver tables' schemas, declared so that reads skip
 # schema inference.
@@ -58,15 +57,8 @@ LINE_ORDER_COLS = (
 )
 
 
-def table(spark: SparkSession, sf_dir: str, name: str, probe: bool = True) -> DataFrame:
-    """``probe=False`` for a table read as the small side of a join, where a
-    rebalance would only add a shuffle before the broadcast."""
-    return read_table(
-        spark,
-        f"{sf_dir.rstrip('/')}/{name}.parquet",
-        rebalance=probe and name in FACT_TABLES,
-        schema=TABLE_SCHEMAS.get(name),
-    )
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return read_table(spark, f"{sf_dir.rstrip('/')}/{name}.parquet", schema=TABLE_SCHEMAS.get(name))
 
 
 def _geo(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -114,7 +106,7 @@ def order_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     customer onto the line rows instead would shuffle them a third time.
     """
     li = table(spark, sf_dir, "lineitem").select(*LINE_ORDER_COLS)
-    o = table(spark, sf_dir, "orders", probe=False).select("o_orderkey", "o_custkey", "o_orderdate")
+    o = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderdate")
     cr = _customer_region(spark, sf_dir)
     orders_geo = o.join(cr, o.o_custkey == cr.c_custkey).select("o_orderkey", "o_orderdate", "r_name")
     return li.join(orders_geo, li.l_orderkey == orders_geo.o_orderkey)

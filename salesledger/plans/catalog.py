@@ -24,7 +24,7 @@ from salesledger.operators.totals import with_total_row
 from salesledger.plans import adapters as A
 from salesledger.plans import oracle as O
 from salesledger.plans.dashboards import ledger_dashboard_json, sales_dashboard_json
-from salesledger.sources.sinks import render_rows
+from salesledger.plans.ledger_flows import expense_log
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -150,8 +150,7 @@ def q_ledger_export_summary(spark, d):
 
 
 def q_ledger_export_log(spark, d):
-    log = render_rows(A.ledger(spark, d).orderBy("date", "id").select("date", "category", "amount", "description"))
-    return with_total_row(log, "date", ["amount"])
+    return expense_log(A.ledger(spark, d))
 
 
 def q_ledger_search(spark, d):
@@ -418,7 +417,7 @@ union all
 select 'Total', coalesce(cast(sum(cast(total_spent as decimal(28,4))) as double), 0.0),
        coalesce(cast(sum(cast(share_pct as decimal(28,4))) as double), 0.0), 'total' from summ""",
     "ledger_export_log": O.with_(O.LEDGER)
-    + """select strftime(date, '%Y-%m-%d') as date, category, amount, coalesce(description, '') as description,
+    + """select strftime(date, '%Y-%m-%d') as "Date", category as "Category", amount as "Amount", coalesce(description, '') as "Description",
        'row' as row_kind from ledger
 union all
 select 'Total', null, coalesce(cast("""

@@ -23,10 +23,18 @@ from salesledger.sources.csv import SEQ_COL, read_csv_text
 from salesledger.sources.ledger_store import LEDGER_SCHEMA, LedgerTable
 from salesledger.sources.sinks import render_rows, write_report
 
+# The headers of the log sheet.
+LOG_HEADERS = ("Date", "Category", "Amount", "Description")
 # The placeholder row of an empty export.
 EMPTY_EXPORT_ROW = (0, 0.0, "None", "No expenses recorded", dt.date(2026, 6, 14))
 
 
+def expense_log(ledger: DataFrame) -> DataFrame:
+    """The export's log sheet: oldest first, under the sheet's headers."""
+    rows = render_rows(ledger.orderBy("date", "id").select("date", "category", "amount", "description"))
+    return with_total_row(rows.toDF(*LOG_HEADERS), LOG_HEADERS[0], ["Amount"])
+
+
 def export_tables(ledger: DataFrame) -> dict[str, DataFrame]:
     spark = ledger.sparkSession
     placeholder = spark.range(1).select(
@@ -35,9 +43,8 @@ def export_tables(ledger: DataFrame) -> dict[str, DataFrame]:
     # the placeholder only survives when the ledger is empty
     has_rows = ledger.select(F.count(F.lit(1))).scalar() > 0
     src = ledger.unionByName(placeholder.filter(~has_rows))
-    log = render_rows(src.select("date", "category", "amount", "description"))
     return {
-        "expense_log": with_total_row(log, "date", ["amount"]),
+        "expense_log": expense_log(src),
         "category_breakdown": with_total_row(L.export_category_summary(src), "category", ["total_spent", "share_pct"]),
         "daily_trend": L.daily_trend(src),
     }

@@ -15,49 +15,68 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType
+from pyspark.sql.types import StringType, StructField, StructType
 
 from salesledger.functions import strip_replacement_chars
 
 SEQ_COL = "row_seq"
+BAD_COL = "_bad_record"
 
 
 def read_csv_text(
     spark: SparkSession,
     paths: str | Sequence[str],
     csv_only: bool = True,
-    multiline: bool = False,
+    multiline: bool = True,
     with_seq: bool = True,
 ) -> DataFrame:
-    """Read one file, a folder, or a list of either.
+    """Read one file, a folder, or a list of either; nothing is lost silently.
 
-    ``csv_only`` keeps only ``*.csv`` names in folders.  ``multiline``
-    allows quoted newlines but makes each file one task, so leave it off for
-    large inputs.  Bytes that are not UTF-8 are dropped.
+    ``csv_only`` keeps only ``*.csv`` names in folders.  Quoted newlines are
+    part of their cell; ``multiline=False`` reads splits of large files in
+    parallel, for input known to have none.  Files whose header differs from
+    the first one's raise (``read_csv_groups`` reads those), and so does a row
+    with more cells than the header; missing cells at the end are null.  Bytes
+    that are not UTF-8 are dropped.
     """
     reader = (
         spark.read.option("header", True)
         .option("inferSchema", False)
+        .option("enforceSchema", False)
         .option("encoding", "UTF-8")
         .option("escape", '"')
-        .option("mode", "PERMISSIVE")
         .option("multiLine", multiline)
     )
     if csv_only:
         reader = reader.option("pathGlobFilter", "*.csv")
+    where = list(paths) if not isinstance(paths, str) else paths
     try:
-        df = reader.csv(list(paths) if not isinstance(paths, str) else paths)
-    except Exception as exc:  # noqa: BLE001 - surface a uniform error
-        raise ValueError(f"Failed to ingest CSV data: {exc}") from exc
-    cols = {
-        f.name: strip_replacement_chars(F.col(f"`{f.name}`"))
-        for f in df.schema
-        if isinstance(f.dataType, StringType)
-    }
+        header = reader.csv(where).schema
+        checked = StructType([*header.fields, StructField(BAD_COL, StringType())])
+        df = reader.schema(checked).option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", BAD_COL).csv(where)
+    except Exception as exc:  # noqa: BLE001 - one kind of error for every unreadable input
+        raise ValueError(f"cannot read CSV text from {paths}: {exc}") from exc
+    # a bad record is a row with too few or too many cells; commas outside quotes tell which
+    commas = F.regexp_count(F.regexp_replace(BAD_COL, '"(?:[^"]|"")*"', ""), F.lit(","))
+    too_long = F.col(BAD_COL).isNotNull() & (commas >= len(header.fields))
+    message = F.concat(F.lit(f"a row has more than the header's {len(header.fields)} cells: "), F.col(BAD_COL))
+    first = header.fields[0].name
+    cols = {f.name: strip_replacement_chars(F.col(f"`{f.name}`")) for f in header if isinstance(f.dataType, StringType)}
+    cols[first] = F.when(too_long, F.raise_error(message).cast("string")).otherwise(cols[first])
     if with_seq:
         cols[SEQ_COL] = F.struct(
             F.col("_metadata.file_path").alias("file"),
             F.col("_metadata.file_block_start").alias("block"),
             F.monotonically_increasing_id().alias("pos"),
         )
-    return df.withColumns(cols)
+    return df.withColumns(cols).drop(BAD_COL)
+
+
+def read_csv_groups(spark: SparkSession, paths: Sequence[str], multiline: bool = True) -> list[DataFrame]:
+    """One table per distinct header among the files ``paths``: read each
+    with its own header, normalize the names, then ``unionByName``."""
+    groups: dict[tuple[str, ...], list[str]] = {}
+    for path in paths:  # a header line per file, not its rows
+        names = spark.read.option("header", True).option("escape", '"').csv(path).columns
+        groups.setdefault(tuple(names), []).append(path)
+    return [read_csv_text(spark, files, multiline=multiline) for files in groups.values()]

@@ -109,8 +109,9 @@ class LedgerTable:
         if hwm:
             self._record_hwm(hwm)
 
-    def update(self, changes: DataFrame) -> None:
-        self.replace(apply_updates(self.read(), changes))
+    def update(self, changes: DataFrame, order_col: str | None = None) -> None:
+        """Changes that an edit form would accept, the last per id."""
+        self.replace(apply_updates(self.read(), changes, order_col, only_valid=True))
 
     def delete(self, ids: DataFrame) -> None:
         self.replace(delete_ids(self.read(), ids))

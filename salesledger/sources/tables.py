@@ -1,47 +1,13 @@
-"""Parquet table reader.
-
-``read_table`` is a plain ``spark.read.parquet`` (filters and projections
-reach the scan), plus one guard for inputs that plan only a handful of
-scan tasks (a few files with a single row group each): those are
-rebalanced round-robin so the work before the first shuffle is not done by
-one or two tasks.  The check happens at planning time.  It never fires for
-an input with more than ``REBALANCE_MAX_SPLITS`` splits, however many task
-slots the cluster has: such a scan already runs in many tasks, and a
-shuffle of the whole input would cost more than it saves.  The rebalance
-shuffle is therefore bounded by that many splits' worth of data.
-
-The rebalance is round-robin: balanced even when many rows are identical
-copies (a hash of the values would send them all to one task), repeatable
-on retry (Spark sorts before a round-robin shuffle), and transparent to
-predicate pushdown (filters move below it into the scan; partitioning on a
-row-position id would stop them).  Filters that Parquet cannot evaluate
-move below it as well, into the scan tasks; with many scan tasks that is
-the plan we want (rows are dropped before any shuffle).
-
-A known ``schema`` skips schema inference (a footer-reading job per read).
-"""
+"""Parquet table reader: a plain scan, so that filters and projections reach
+Parquet.  A known ``schema`` skips schema inference (a footer-reading job per
+read)."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.types import StructType
 
-# Inputs planned into more splits than this are never rebalanced.
-REBALANCE_MAX_SPLITS = 32
-# A rebalanced input gets up to this many partitions per split (and never
-# more than the cluster's task slots).
-PARTITIONS_PER_SPLIT = 8
-
 
-def read_table(
-    spark: SparkSession, path: str, rebalance: bool = True, schema: StructType | str | None = None
-) -> DataFrame:
+def read_table(spark: SparkSession, path: str, schema: StructType | str | None = None) -> DataFrame:
     reader = spark.read if schema is None else spark.read.schema(schema)
-    df = reader.parquet(path)
-    if not rebalance:
-        return df
-    slots = spark.sparkContext.defaultParallelism
-    splits = df.rdd.getNumPartitions()
-    if splits < slots and splits <= REBALANCE_MAX_SPLITS:
-        return df.repartition(min(slots, splits * PARTITIONS_PER_SPLIT))
-    return df
+    return reader.parquet(path)

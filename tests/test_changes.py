@@ -8,7 +8,6 @@ from pyspark.sql import functions as F
 
 from salesledger.operators.changes import (
     apply_updates,
-    bounded_broadcast,
     delete_ids,
     existing_ids,
     insert_rows,
@@ -50,22 +49,16 @@ def test_update_delete_missing(spark):
     assert sorted(r.id for r in delete_ids(led, ids).collect()) == [2, 3]
 
 
-def _hinted(df):
-    return "broadcast" in df._jdf.queryExecution().analyzed().toString().lower()
-
-
-def test_bounded_broadcast_checks_rows_and_bytes(spark):
+def test_last_change_per_id_counts_and_invalid_ones_do_not(spark):
     led = _ledger(spark)
-    assert _hinted(bounded_broadcast(led))
-    assert not _hinted(bounded_broadcast(led, max_rows=2))  # 3 rows
-    # 3 rows of 5 fields: 5 × 8 bytes per row + text, well over 64 bytes
-    assert not _hinted(bounded_broadcast(led, max_bytes=64))
-    assert _hinted(bounded_broadcast(led, max_bytes=1024))
-    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
-    try:
-        assert not _hinted(bounded_broadcast(led))
-    finally:
-        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    changes = spark.createDataFrame(
+        [(1, 10.0, "A", "one", D(2026, 5, 5), 1), (1, 20.0, "B", "two", D(2026, 5, 4), 2), (2, -5.0, "C", "x", D(2026, 5, 5), 3), (2, 5.0, None, "x", D(2026, 5, 5), 4)],
+        SCHEMA + ", seq int",
+    )
+    up = [tuple(r) for r in apply_updates(led, changes, "seq", only_valid=True).collect()]
+    assert len(up) == led.count()
+    assert [r for r in up if r[0] == 1] == [(1, 20.0, "B", "two", D(2026, 5, 4))]
+    assert [r for r in up if r[0] == 2] == [tuple(r) for r in led.filter("id = 2").collect()]
 
 
 def test_update_then_delete_same_ids_is_original_minus_ids(spark):
@@ -133,13 +126,8 @@ def test_ids_not_reused_after_successive_deletes(spark, tmp_dir):
     assert sorted(r.id for r in table.read().collect()) == [1, 2, 3, 6]
 
 
-def test_existence_checks_broadcast_small_change_sets(spark):
+def test_existence_checks(spark):
     led = _ledger(spark)
-    changes = spark.createDataFrame([(2, 1.0, "x", None, D(2026, 1, 1)), (9, 1.0, "x", None, D(2026, 1, 1))], SCHEMA)
-    plan = existing_ids(changes, led)._jdf.queryExecution().analyzed().toString().lower()
-    assert "broadcast" in plan  # the ledger is semi-joined where it lies
+    changes = spark.createDataFrame([(2, 1.0, "x", None, D(2026, 1, 1)), (9, 1.0, "x", None, D(2026, 1, 1)), (9, 2.0, "x", None, D(2026, 1, 1))], SCHEMA)
     assert [r.id for r in existing_ids(changes, led).collect()] == [2]
     assert [r.id for r in missing_ids(changes, led).collect()] == [9]
-    # not provably small: the plain join (the ledger side is shuffled)
-    assert [r.id for r in existing_ids(changes, led, max_broadcast_rows=1).collect()] == [2]
-    assert [r.id for r in missing_ids(changes, led, max_broadcast_rows=1).collect()] == [9]

@@ -1,4 +1,4 @@
-"""End-to-end flows: sales report, ledger export/import, streaming import."""
+"""End-to-end flows: sales report, ledger export and import."""
 
 import csv
 import datetime as dt
@@ -8,7 +8,6 @@ from salesledger.plans.ledger_flows import export_tables, import_csv
 from salesledger.plans.sales_report import run_sales_report
 from salesledger.sources import LedgerTable
 from salesledger.sources.ledger_store import LEDGER_SCHEMA
-from salesledger.streaming.ledger_import import start_ledger_import_stream
 from tests.test_sales import HEADERS, ROWS, _write
 
 
@@ -30,12 +29,13 @@ def test_export_tables_and_empty_placeholder(spark):
     empty = spark.createDataFrame([], LEDGER_SCHEMA)
     t = export_tables(empty)
     log = t["expense_log"].collect()
-    assert [r.description for r in log if r.row_kind == "row"] == ["No expenses recorded"]
+    assert [r.Description for r in log if r.row_kind == "row"] == ["No expenses recorded"]
     led = spark.createDataFrame([(1, 5.0, "A", None, dt.date(2026, 1, 2)), (2, 7.0, "B", "x", dt.date(2026, 1, 1))],
                                 LEDGER_SCHEMA)
     t = export_tables(led)
     rows = t["expense_log"].collect()
-    assert len(rows) == 3 and [r.amount for r in rows if r.row_kind == "total"] == [12.0]
+    assert [r.Date for r in rows] == ["2026-01-01", "2026-01-02", "Total"]  # oldest first
+    assert len(rows) == 3 and [r.Amount for r in rows if r.row_kind == "total"] == [12.0]
     cb = {r.category: r for r in t["category_breakdown"].collect()}
     assert cb["Total"].share_pct == 100.0
 
@@ -47,37 +47,13 @@ def _upload(path, rows):
         w.writerows(rows)
 
 
-def test_import_csv_and_stream(spark, tmp_dir):
+def test_import_csv(spark, tmp_dir):
     table = LedgerTable(spark, os.path.join(tmp_dir, "ledger")).create_if_absent()
     up = os.path.join(tmp_dir, "upload")
     os.makedirs(up)
     _upload(os.path.join(up, "a.csv"), [["2026-06-01", "food", "10", "x"], ["2026-06-02", "rent", "20", ""]])
     assert import_csv(spark, table, os.path.join(up, "a.csv")) == 2
-    q = start_ledger_import_stream(spark, up, table, os.path.join(tmp_dir, "stream_ckpt"))
-    q.awaitTermination(120)
-    # the stream imports a.csv again (the folder is new to it): ids continue
-    assert sorted(r.id for r in table.read().collect()) == [1, 2, 3, 4]
     _upload(os.path.join(up, "b.csv"), [["2026-06-03", "fun", "5", "y"]])
-    q = start_ledger_import_stream(spark, up, table, os.path.join(tmp_dir, "stream_ckpt"))
-    q.awaitTermination(120)
+    assert import_csv(spark, table, os.path.join(up, "b.csv")) == 1  # ids continue
     rows = {r.id: r for r in table.read().collect()}
-    assert sorted(rows) == [1, 2, 3, 4, 5] and rows[5].category == "Fun"
-
-
-def test_replayed_upload_batch_is_imported_once(spark, tmp_dir):
-    from salesledger.streaming.ledger_import import import_upload_batch
-
-    table = LedgerTable(spark, os.path.join(tmp_dir, "ledger_replay")).create_if_absent()
-    batch = spark.createDataFrame(
-        [("2026-06-01", "food", "10", "a", "f.csv", 0), ("2026-06-02", "rent", "20", "b", "f.csv", 0)],
-        "Date string, Category string, Amount string, Description string, _file string, _block long",
-    )
-    assert import_upload_batch(spark, table, batch, 7) == 2
-    # a driver crash after the rows were appended but before the batch was
-    # recorded as done: the restarted query replays batch 7
-    spark.createDataFrame([], "batch_id long").write.mode("overwrite").parquet(table.meta_path + "/batches_done")
-    assert import_upload_batch(spark, table, batch, 7) == 2
-    got = sorted((r.id, r.category) for r in table.read().collect())
-    assert got == [(3, "Food"), (4, "Rent")]  # once; ids 1-2 of the lost attempt are not reused
-    assert import_upload_batch(spark, table, batch, 7) == 0  # done: skipped
-    assert table.read().count() == 2
+    assert sorted(rows) == [1, 2, 3] and rows[3].category == "Fun"

@@ -145,3 +145,23 @@ def test_keep_first_matches_pandas(spark, rows):
     pdf = pd.DataFrame(data, columns=["k", "v", "t", "pos"]).sort_values("pos")
     want = pdf.drop_duplicates(subset=["k"], keep="first").astype(object).where(pdf.notna(), None)
     assert got == canon(want.itertuples(index=False))
+
+
+def test_more_date_layouts(spark):
+    from salesledger.functions.dates import coerce_date
+
+    texts = ["2026-01-05T10:00:00Z", "2026-01-05T10:00:00+00:00", "2026-01-05 10:30", "20260105", "5-Jan-2026", "January 5, 2026", "1/5/2026", "01-05-2026",
+             "2026.01.05", "2026-01-05 10:30:00 PM", "2026-01-05 10:00:00.25+02:00", "5 January 2026"]
+    rows = spark.createDataFrame([(t,) for t in [*texts, "31/12/2026", "2026-01", "junk", "2026-13-01"]], "t string").select(coerce_date("t").alias("d")).collect()
+    assert [str(r.d) for r in rows] == ["2026-01-05"] * len(texts) + ["2026-12-31", "2026-01-01", "None", "None"]
+
+
+def test_money_totals_lose_nothing(spark):
+    from pyspark.sql import functions as F
+
+    from salesledger.functions import coerce_number, money_sum
+
+    total = lambda xs: spark.createDataFrame([(x,) for x in xs], "x double").agg(money_sum("x").alias("t")).first().t
+    assert total([1e30, 1.0]) == 1e30 and total([0.1] * 10) == 1.0 and total([]) == 0.0
+    assert abs(total([0.00004] * 1000) - 0.04) < 1e-12
+    assert spark.range(1).select(coerce_number(F.lit("1e999"), 0.0).alias("v")).first().v == 0.0

@@ -33,3 +33,17 @@ def test_rates_grid_and_refresh(spark):
     new = {r.currency: r.rate for r in refresh_rates(base_rates(spark), feed).collect()}
     assert new["USD"] == 0.013 and new["EUR"] == 0.011 and new["GBP"] == 0.0095 and "XYZ" not in new
     assert len(new) == 8
+
+
+def test_repeated_feed_rows_and_unknown_codes(spark):
+    from salesledger.operators.rates import refresh_rates
+
+    feed = spark.createDataFrame([("USD", 0.5), ("USD", 0.25), ("XYZ", 9.0), ("EUR", 0.0)], "currency string, rate double")
+    rates = refresh_rates(base_rates(spark), feed)
+    got = {r.currency: r.rate for r in rates.collect()}
+    assert len(got) == rates.count() == 8 and got["USD"] == 0.5 and got["EUR"] == 0.011
+    facts = spark.createDataFrame([(1, 2.0)], "id int, amount double")
+    assert convert(facts, base_rates(spark), to_currency="XYZ").first().converted is None
+    doubled = base_rates(spark).unionByName(base_rates(spark))
+    cols = facts.withColumn("c", __import__("pyspark").sql.functions.lit("USD"))
+    assert convert(cols, doubled, "amount", "c", "INR").count() == 1

@@ -3,6 +3,7 @@
 import json
 import os
 
+import pytest
 from pyspark.sql import functions as F
 
 from salesledger.operators.dedup import keep_first
@@ -23,7 +24,7 @@ def test_row_seq_follows_file_order_across_splits(spark, tmp_dir):
     old = spark.conf.get("spark.sql.files.maxPartitionBytes")
     spark.conf.set("spark.sql.files.maxPartitionBytes", "8192")
     try:
-        raw = read_csv_text(spark, tmp_dir)
+        raw = read_csv_text(spark, tmp_dir, multiline=False)  # splits of a file in parallel
         assert raw.rdd.getNumPartitions() > 3
         assert dict(raw.dtypes)["line"] == "string"
         # file order: a.csv lines 0..2999, b.csv 3000..5999, c.csv 6000..8999
@@ -61,21 +62,39 @@ def test_json_document_orders_records(spark):
     assert parsed["total"] == 3.5 and [r["k"] for r in parsed["rows"]] == ["y", "z", "x"]
 
 
-def test_read_table_rebalances_only_small_under_split_inputs(spark, tmp_dir, monkeypatch):
+def test_read_table_is_a_plain_scan(spark, tmp_dir):
     from salesledger.sources import tables
 
     path = os.path.join(tmp_dir, "t.parquet")
     spark.range(1000).coalesce(1).write.parquet(path)
+    plan = tables.read_table(spark, path, schema="id BIGINT").filter(F.col("id") == 7)._jdf.queryExecution().executedPlan().toString()
+    assert "PushedFilters: [IsNotNull(id), EqualTo(id,7)]" in plan and "Exchange" not in plan
+
+
+def test_csv_rows_are_never_lost_silently(spark, tmp_dir):
+    from salesledger.sources.csv import read_csv_groups, read_csv_text
+
+    def put(name, text):
+        path = os.path.join(tmp_dir, name)
+        with open(path, "w") as f:
+            f.write(text)
+        return path
+
+    a = put("a.csv", 'Order ID,Date,Revenue,Region\n1,2026-01-01,5,"We\nst"\n2,2026-01-02,6\n')
+    b = put("b.csv", "Region,Revenue,Date,Order ID\nEast,7,2026-01-03,3\n")
+    rows = {r["Order ID"]: r for r in read_csv_text(spark, a).collect()}
+    assert rows["1"]["Region"] == "We\nst" and rows["2"]["Region"] is None and rows["2"]["Revenue"] == "6"
+    with pytest.raises(Exception, match="header|Header|HEADER"):
+        read_csv_text(spark, [a, b]).collect()
+    parts = [p.drop("row_seq") for p in read_csv_groups(spark, [a, b])]
+    both = parts[0].unionByName(parts[1]).collect()
+    assert {(r["Order ID"], r["Revenue"]) for r in both} == {("1", "5"), ("2", "6"), ("3", "7")}
+    long = put("c.csv", 'Order ID,Date,Revenue\n1,2026-01-01,1,234.5\n')
+    with pytest.raises(Exception, match="more than the header's 3 cells"):
+        read_csv_text(spark, long).select("Revenue", "Order ID").collect()
+    quoted = put("d.csv", 'Order ID,Date,Revenue\n1,"a, ""b"", c"\n')
+    assert read_csv_text(spark, quoted).first()["Date"] == 'a, "b", c'
 
-    def plan(df):
-        return df._jdf.queryExecution().executedPlan().toString()
-
-    df = tables.read_table(spark, path, schema="id BIGINT")
-    assert "RoundRobinPartitioning" in plan(df)
-    # a filter still reaches the Parquet scan under the rebalance
-    assert "PushedFilters: [IsNotNull(id), EqualTo(id,7)]" in plan(df.filter(F.col("id") == 7))
-    monkeypatch.setattr(tables, "REBALANCE_MAX_SPLITS", 0)
-    assert "RoundRobinPartitioning" not in plan(tables.read_table(spark, path))
 
 
 def test_render_rows_by_column_type(spark):
