@@ -36,7 +36,8 @@ def shared_dir(spark: SparkSession) -> str:
     named = spark.conf.get(CHECKPOINT_CONF, None)
     if named:
         return named.rstrip("/")
-    if not spark.sparkContext.master.startswith("local["):
+    master = spark.sparkContext.master
+    if master != "local" and not master.startswith("local["):
         raise ValueError(f"set {CHECKPOINT_CONF} to a folder that all executors share")
     named = tempfile.mkdtemp(prefix="llm-shared-")
     spark.conf.set(CHECKPOINT_CONF, named)
