@@ -11,7 +11,9 @@ from salesledger.functions.numeric import (
     MONEY_DECIMAL,
     coerce_int,
     coerce_number,
+    money_parts,
     money_total,
+    total_of_parts,
     money_sum,
     round_half_even,
     round_half_up,
@@ -37,7 +39,9 @@ __all__ = [
     "coerce_timestamp",
     "contains_ci",
     "day_str",
+    "money_parts",
     "money_total",
+    "total_of_parts",
     "money_sum",
     "month_key",
     "null_tokens_to_null",

@@ -77,6 +77,21 @@ def share_pct(part: Column | str, total: Column | str, digits: int = 2) -> Colum
     )
 
 
+def money_parts(c: Column | str) -> tuple[Column, Column]:
+    """The sums that make up a total: exactly summed decimals, and as double
+    what does not fit them.  Parts of groups add up (``total_of_parts``)."""
+    x = as_col(c).cast("double")
+    exact = x.try_cast(MONEY_DECIMAL)
+    off = F.coalesce(x - exact.cast("double"), x)
+    rest = F.when(F.abs(off) > F.abs(x) * NOISE, off).otherwise(F.when(x.isNotNull(), F.lit(0.0)))
+    return F.sum(exact), F.sum(rest)
+
+
+def total_of_parts(exact: Column | str, rest: Column | str) -> Column:
+    """The total of groups whose ``money_parts`` are in two columns."""
+    return F.coalesce(F.sum(exact).cast("double"), F.lit(0.0)) + F.sum(rest)
+
+
 def money_total(c: Column | str) -> Column:
     """Sum of amounts as double; null for no rows.
 
@@ -84,11 +99,8 @@ def money_total(c: Column | str) -> Column:
     ordinary totals do not depend on order; what does not fit (beyond its
     range, or finer than 4 places) is added as double, so nothing is lost.
     """
-    x = as_col(c).cast("double")
-    exact = x.try_cast(MONEY_DECIMAL)
-    off = F.coalesce(x - exact.cast("double"), x)
-    rest = F.when(F.abs(off) > F.abs(x) * NOISE, off).otherwise(F.when(x.isNotNull(), F.lit(0.0)))
-    return F.coalesce(F.sum(exact).cast("double"), F.lit(0.0)) + F.sum(rest)
+    exact, rest = money_parts(c)
+    return F.coalesce(exact.cast("double"), F.lit(0.0)) + rest
 
 
 def money_sum(c: Column | str) -> Column:

@@ -89,8 +89,11 @@ def standardize_text(df: DataFrame, cols: Sequence[str]) -> DataFrame:
     return df.withColumns({c: title_case(strip_ws(F.col(c).cast("string"))) for c in cols})
 
 
-def parse_dates(df: DataFrame, col: str = "date", formats: Sequence[str] = DEFAULT_DATE_FORMATS) -> DataFrame:
-    """Parse to a date and drop rows whose date does not parse.
+def parse_dates(
+    df: DataFrame, col: str = "date", formats: Sequence[str] = DEFAULT_DATE_FORMATS, drop_bad: bool = True
+) -> DataFrame:
+    """Parse to a date and drop rows whose date does not parse (with
+    ``drop_bad=False`` they stay, with a null date).
 
     Text is parsed once per row: the parsed value leaves through a
     one-element ``explode`` and rows whose value is null are dropped after
@@ -103,9 +106,10 @@ def parse_dates(df: DataFrame, col: str = "date", formats: Sequence[str] = DEFAU
     typed = _is_typed(df, col, (DateType, TimestampType, TimestampNTZType))
     parsed = coerce_date(col, formats, typed_input=typed)
     if typed:
-        return df.withColumn(col, parsed).filter(F.col(col).isNotNull())
-    cols = [F.explode(F.array(parsed)).alias(col) if c == col else F.col(f"`{c}`") for c in df.columns]
-    return df.select(*cols).filter(F.col(col).isNotNull())
+        out = df.withColumn(col, parsed)
+    else:
+        out = df.select(*[F.explode(F.array(parsed)).alias(col) if c == col else F.col(f"`{c}`") for c in df.columns])
+    return out.filter(F.col(col).isNotNull()) if drop_bad else out
 
 
 def clean_sales(
@@ -139,11 +143,11 @@ def clean_sales(
     return df.select(*out)
 
 
-def finish_sales(df: DataFrame, date_formats: Sequence[str] = DEFAULT_DATE_FORMATS) -> DataFrame:
+def finish_sales(df: DataFrame, date_formats: Sequence[str] = DEFAULT_DATE_FORMATS, drop_bad: bool = True) -> DataFrame:
     """The rules that follow de-duplication, row by row: dates parsed (rows
-    whose date does not parse are dropped), text standardised, numbers
-    coerced with their defaults."""
-    df = parse_dates(df, "date", date_formats)
+    whose date does not parse are dropped, unless ``drop_bad`` is off), text
+    standardised, numbers coerced with their defaults."""
+    df = parse_dates(df, "date", date_formats, drop_bad)
     df = standardize_text(df, ("product", "region", "category"))
     numeric = {n: _is_typed(df, n, (NumericType,)) for n in ("revenue", "quantity", "unit_price")}
     return df.withColumns(

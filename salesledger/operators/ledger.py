@@ -10,11 +10,22 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from salesledger.functions import contains_ci, day_str, money_sum, money_total, month_key, round_half_up, safe_ratio
+from salesledger.functions import (
+    contains_ci,
+    day_str,
+    money_parts,
+    money_sum,
+    money_total,
+    month_key,
+    round_half_up,
+    safe_ratio,
+    total_of_parts,
+)
 from salesledger.operators.shares import with_share
+from salesledger.session import written_once
 
 # Budget defaults and status thresholds (percent spent).
 DEFAULT_BUDGET = 40000.0
@@ -25,18 +36,35 @@ PAGE_SIZE = 10
 
 def ledger_kpis(df: DataFrame) -> DataFrame:
     """total, count, distinct days present, daily_avg = total / days."""
+    total, count = _measures(df)
     agg = df.agg(
-        money_sum("amount").alias("total"),
-        F.count("id").alias("count"),
+        F.coalesce(total, F.lit(0.0)).alias("total"),
+        F.coalesce(count, F.lit(0)).cast("bigint").alias("count"),
         F.count_distinct("date").alias("days"),
     )
     return agg.withColumn("daily_avg", safe_ratio("total", "days"))
 
 
+def day_category_totals(df: DataFrame) -> DataFrame:
+    """One row per (date, category) with the parts of its total (``_exact``,
+    ``_rest``) and its row count (``_n``).  The analyses take this table in
+    place of the ledger, so that several of them need one scan of the facts."""
+    exact, rest = money_parts("amount")
+    return df.groupBy("date", "category").agg(exact.alias("_exact"), rest.alias("_rest"), F.count("id").alias("_n"))
+
+
+def _measures(df: DataFrame) -> tuple[Column, Column]:
+    """Total and row count of a ledger or of its ``day_category_totals``."""
+    if "_exact" in df.columns:
+        return total_of_parts("_exact", "_rest"), F.sum("_n")
+    return money_total("amount"), F.count("id")
+
+
 def _category_totals(df: DataFrame, with_count: bool = True) -> DataFrame:
-    aggs = [money_total("amount").alias("_total_exact")]
+    total, count = _measures(df)
+    aggs = [total.alias("_total_exact")]
     if with_count:
-        aggs.append(F.count("id").alias("count"))
+        aggs.append(count.alias("count"))
     g = df.groupBy("category").agg(*aggs)
     return g.withColumn("total_spent", F.col("_total_exact").cast("double"))
 
@@ -72,38 +100,48 @@ def daily_trend(df: DataFrame) -> DataFrame:
     """date_str, amount per calendar day, ascending."""
     return (
         df.groupBy("date")
-        .agg(money_total("amount").alias("amount"))
+        .agg(_measures(df)[0].alias("amount"))
         .filter(F.col("date").isNotNull())
         .orderBy("date")
         .select(day_str("date").alias("date_str"), "amount")
     )
 
 
+def month_totals(df: DataFrame) -> DataFrame:
+    """month (yyyy-MM), spent."""
+    return df.groupBy(month_key("date").alias("month")).agg(money_sum("amount").alias("spent"))
+
+
 def budget_status(
     df: DataFrame,
-    budget: float = DEFAULT_BUDGET,
+    budget: float | Column = DEFAULT_BUDGET,
     by_month: bool = False,
 ) -> DataFrame:
     """spent, remaining = max(0, budget − spent), percent = min(100, spent /
     budget × 100), percent_label (1 decimal), status danger / warning / ok.
 
     By default the budget is compared with the all-time total; ``by_month``
-    gives one row per ``yyyy-MM``.
+    gives one row per ``yyyy-MM``.  A budget may be a Column (a scalar
+    subquery); one that is not positive then gives nulls.
     """
-    if budget is None or budget <= 0:
+    if isinstance(budget, Column):
+        b = F.when(budget > 0, budget.cast("double"))
+    elif budget is None or budget <= 0:
         raise ValueError("budget must be positive")
-    b = F.lit(float(budget))
-    spent = money_sum("amount").alias("spent")
-    agg = df.groupBy(month_key("date").alias("month")).agg(spent) if by_month else df.agg(spent)
-    pct = F.least(F.lit(100.0), F.col("spent") / b * F.lit(100.0))
+    else:
+        b = F.lit(float(budget))
+    agg = month_totals(df) if by_month else df.agg(money_sum("amount").alias("spent"))
+    pct = F.when(b.isNotNull(), F.least(F.lit(100.0), F.col("spent") / b * F.lit(100.0)))
     out = (
         agg.withColumn("budget", b)
-        .withColumn("remaining", F.greatest(F.lit(0.0), b - F.col("spent")))
+        .withColumn("remaining", F.when(b.isNotNull(), F.greatest(F.lit(0.0), b - F.col("spent"))))
         .withColumn("percent", pct)
         .withColumn("percent_label", round_half_up("percent", 1))
         .withColumn(
             "status",
-            F.when(F.col("percent") >= DANGER_PCT, "danger").when(F.col("percent") >= WARNING_PCT, "warning").otherwise("ok"),
+            F.when(F.col("percent") >= DANGER_PCT, "danger")
+            .when(F.col("percent") >= WARNING_PCT, "warning")
+            .when(F.col("percent").isNotNull(), "ok"),
         )
     )
     return out.orderBy("month") if by_month else out
@@ -166,11 +204,13 @@ class LedgerSummary:
 
 
 def ledger_summary(df: DataFrame) -> LedgerSummary:
-    """KPIs, category breakdown, highest category and daily trend.  An empty
-    ledger gives zeros, 'None' and empty tables."""
+    """KPIs, category breakdown, highest category and daily trend, all from
+    one grouped scan of the facts, written once.  An empty ledger gives zeros,
+    'None' and empty tables."""
+    cells = written_once(day_category_totals(df))
     return LedgerSummary(
-        kpis=ledger_kpis(df),
-        breakdown=category_breakdown(df),
-        highest=highest_category(df),
-        trends=daily_trend(df),
+        kpis=ledger_kpis(cells),
+        breakdown=category_breakdown(cells),
+        highest=highest_category(cells),
+        trends=daily_trend(cells),
     )

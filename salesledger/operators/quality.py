@@ -16,8 +16,8 @@ keeps each group's row count and first row.  Partial aggregation collapses
 hot ids (and all null-key rows) in the map tasks, so no group travels whole
 to one task.  The counts are one small aggregation over the groups; the
 cleaned table is the complete-key groups with the remaining row rules
-applied.  A report that needs both reads and shuffles the raw rows once
-(``clean_with_metrics``).
+applied.  A report that needs both reads, shuffles and cleans the raw rows
+once and reads the written result (``clean_with_metrics``).
 """
 
 from __future__ import annotations
@@ -37,7 +37,7 @@ from salesledger.operators.cleaning import (
     null_tokens_pass,
 )
 from salesledger.operators.headers import SALES_ALIASES, SALES_REQUIRED, normalize_headers, require_columns, sales_header_key
-from salesledger.session import ensure_checkpoint_dir
+from salesledger.session import written_once
 
 # Raw header keys the dashboard null count looks at.
 COMPAT_NULL_HEADER_KEYS = ("orderid", "id", "revenue", "sales")
@@ -83,11 +83,10 @@ def sales_groups(
     )
 
 
-def cleaned_from_groups(groups: DataFrame, date_formats: Sequence[str] = DEFAULT_DATE_FORMATS) -> DataFrame:
-    """The cleaned sales table: first rows of complete-key groups, with the
-    date, text and number rules applied."""
-    kept = groups.filter(~F.col("_key_null")).select(*SALES_COLUMNS)
-    return finish_sales(kept, date_formats).select(*SALES_COLUMNS)
+def cleaned_from_groups(finished: DataFrame) -> DataFrame:
+    """The cleaned sales table: first rows of complete-key groups whose date
+    parsed, from groups that ``finish_sales`` went over."""
+    return finished.filter(~F.col("_key_null") & F.col("date").isNotNull()).select(*SALES_COLUMNS)
 
 
 def metrics_from_groups(groups: DataFrame, date_formats: Sequence[str] = DEFAULT_DATE_FORMATS) -> DataFrame:
@@ -142,12 +141,12 @@ def clean_with_metrics(
 ) -> tuple[DataFrame, DataFrame]:
     """(cleaned table, quality counts) from one grouped pass over ``raw``.
 
-    With ``freeze`` the groups (one row per distinct id) are checkpointed to
-    the shared checkpoint folder, so the counts, the cleaned table and
-    everything computed from it read that copy instead of the raw input.
+    The groups (one row per distinct id) are cleaned row by row, bad dates
+    kept as null.  With ``freeze`` that table is written once as Parquet in the
+    shared folder: counts and analyses read the columns they need of it, and
+    no date or text is cleaned twice.
     """
-    groups = sales_groups(raw, order_cols, null_tokens)
+    finished = finish_sales(sales_groups(raw, order_cols, null_tokens), date_formats, drop_bad=False)
     if freeze:
-        ensure_checkpoint_dir(raw.sparkSession)
-        groups = groups.checkpoint(eager=True)
-    return cleaned_from_groups(groups, date_formats), metrics_from_groups(groups, date_formats)
+        finished = written_once(finished)
+    return cleaned_from_groups(finished), metrics_from_groups(finished, date_formats)

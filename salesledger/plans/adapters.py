@@ -25,8 +25,6 @@ from pyspark.sql import functions as F
 
 from salesledger.sources.tables import read_table
 
-# Tables whose rows carry the work; dimension tables are never rebalanced.
-
 # The driver tables' schemas, declared so that reads skip
 # schema inference.
 TABLE_SCHEMAS = {
@@ -194,6 +192,14 @@ def messy_sales_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def sparse_sales_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The required columns of ``messy_sales_text`` alone, under headers that
+    the dashboard's null count looks at."""
+    return messy_sales_text(spark, sf_dir).select(
+        F.col("Transaction_ID").alias("Order_ID"), F.col("`order-date`").alias("Date"), F.col("`Total Sales`").alias("Revenue"), "row_seq"
+    )
+
+
 def ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
     ev = table(spark, sf_dir, "events")
     return ev.select(
@@ -253,3 +259,38 @@ def ledger_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("ts").cast("date").alias("date"),
     )
     return fixes.unionByName(ghosts)
+
+
+def ledger_change_log(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``ledger_changes`` as a log (``seq``): every 'error' row is edited a second
+    time, by an edit that a form refuses where the value is at most 20."""
+    first = ledger_changes(spark, sf_dir).withColumn("seq", F.lit(1))
+    ev = table(spark, sf_dir, "events").filter(F.col("event_type") == "error")
+    second = ev.select(
+        F.col("event_id").alias("id"),
+        (F.col("value") - F.lit(20.0)).alias("amount"),
+        F.lit("Second Fix").alias("category"),
+        F.lit(None).cast("string").alias("description"),
+        F.col("ts").cast("date").alias("date"),
+        F.lit(2).alias("seq"),
+    )
+    return first.unionByName(second)
+
+
+def ledger_in_currencies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ledger with a ``currency`` per row: known codes, one that is not
+    known, and null."""
+    t = F.col("category")
+    code = F.when(t == "view", "USD").when(t == "click", "JPY").when(t == "purchase", "INR").when(t == "error", "XYZ")
+    return ledger(spark, sf_dir).withColumn("currency", code)
+
+
+def order_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders as ledger rows: many months."""
+    return table(spark, sf_dir, "orders").select(
+        F.col("o_orderkey").alias("id"),
+        F.col("o_totalprice").alias("amount"),
+        F.col("o_orderpriority").alias("category"),
+        F.lit(None).cast("string").alias("description"),
+        F.col("o_orderdate").cast("date").alias("date"),
+    )

@@ -1,8 +1,7 @@
 """Registered queries: name → (Spark callable, SQL twin or None).
 
 Every query reads the driver's test tables (through ``adapters``) in full.
-The SQL twins (DuckDB dialect) restate the same semantics independently;
-queries whose output is a JSON document have no twin.
+The SQL twins (DuckDB dialect) restate the same semantics independently.
 """
 
 from __future__ import annotations
@@ -35,6 +34,7 @@ PAGE_NO = 3
 LOOKUP_ID = 42
 BUDGET = L.DEFAULT_BUDGET
 B = f"cast({BUDGET} as double)"
+BUDGET_OF_BEST_MONTH = 1.02
 
 
 # ---------------------------------------------------------------- sales ---
@@ -120,6 +120,14 @@ def q_sales_quality_metrics(spark, d):
     return quality_metrics(A.messy_sales_text(spark, d), order_cols=["row_seq"])
 
 
+def q_sales_sparse_clean(spark, d):
+    return clean_sales(A.sparse_sales_text(spark, d), order_cols=["row_seq"])
+
+
+def q_sales_sparse_quality(spark, d):
+    return quality_metrics(A.sparse_sales_text(spark, d), order_cols=["row_seq"])
+
+
 def q_sales_dashboard_json(spark, d):
     return sales_dashboard_json(A.messy_sales_text(spark, d), order_cols=["row_seq"])
 
@@ -177,6 +185,16 @@ def q_ledger_budget_by_month(spark, d):
     return L.budget_status(A.ledger(spark, d), BUDGET, by_month=True)
 
 
+def q_ledger_budget_months(spark, d):
+    orders = A.order_ledger(spark, d)
+    best = L.month_totals(orders).agg(F.max("spent") * F.lit(BUDGET_OF_BEST_MONTH)).scalar()
+    return L.budget_status(orders, best, by_month=True)
+
+
+def q_ledger_convert_each(spark, d):
+    return convert(A.ledger_in_currencies(spark, d), base_rates(spark), "amount", "currency", "EUR", "amount_eur")
+
+
 def q_ledger_convert_usd(spark, d):
     return convert(A.ledger(spark, d), base_rates(spark), "amount", "INR", "USD", "amount_usd")
 
@@ -209,6 +227,10 @@ def q_ledger_batch_update(spark, d):
     return apply_updates(A.ledger(spark, d), A.ledger_changes(spark, d))
 
 
+def q_ledger_change_log(spark, d):
+    return apply_updates(A.ledger(spark, d), A.ledger_change_log(spark, d), "seq", only_valid=True)
+
+
 def q_ledger_missing_ids(spark, d):
     return missing_ids(A.ledger_changes(spark, d), A.ledger(spark, d))
 
@@ -242,6 +264,8 @@ QUERIES: dict[str, Query] = {
     "sales_clean_top_products": q_sales_clean_top_products,
     "sales_clean_monthly_trend": q_sales_clean_monthly_trend,
     "sales_quality_metrics": q_sales_quality_metrics,
+    "sales_sparse_clean": q_sales_sparse_clean,
+    "sales_sparse_quality": q_sales_sparse_quality,
     "sales_dashboard_json": q_sales_dashboard_json,
     "ledger_newest_first": q_ledger_newest_first,
     "ledger_kpis": q_ledger_kpis,
@@ -256,11 +280,14 @@ QUERIES: dict[str, Query] = {
     "ledger_lookup": q_ledger_lookup,
     "ledger_budget_status": q_ledger_budget_status,
     "ledger_budget_by_month": q_ledger_budget_by_month,
+    "ledger_budget_months": q_ledger_budget_months,
     "ledger_convert_usd": q_ledger_convert_usd,
+    "ledger_convert_each": q_ledger_convert_each,
     "ledger_import": q_ledger_import,
     "ledger_import_positive": q_ledger_import_positive,
     "ledger_after_import": q_ledger_after_import,
     "ledger_batch_update": q_ledger_batch_update,
+    "ledger_change_log": q_ledger_change_log,
     "ledger_missing_ids": q_ledger_missing_ids,
     "ledger_existing_ids": q_ledger_existing_ids,
     "ledger_batch_delete": q_ledger_batch_delete,
@@ -285,10 +312,9 @@ def _regional(src_ctes: str) -> str:
     return O.with_(src_ctes) + "select * from (" + _regional_body() + ")"
 
 
-def _kpis(src_ctes: str) -> str:
+def _kpis_body() -> str:
     return (
-        O.with_(src_ctes)
-        + """select coalesce(cast("""
+        """select coalesce(cast("""
         + O.money_sum("revenue")
         + """ as double), 0.0) as total_revenue,
        count(distinct order_id) as total_orders,
@@ -300,6 +326,10 @@ from sales"""
     )
 
 
+def _kpis(src_ctes: str) -> str:
+    return O.with_(src_ctes) + _kpis_body()
+
+
 def _monthly_body() -> str:
     return (
         """select strftime(date, '%Y-%m') as month, cast("""
@@ -329,6 +359,65 @@ def _top_products(src_ctes: str, limit: int = 10) -> str:
     return O.with_(src_ctes) + _top_products_body(limit)
 
 
+def _section(name: str, key: str, source: str, **fields: str) -> str:
+    return f"select '{name}' as section, {key} as key, {O.json_fields(**fields)} as json from ({source})"
+
+
+def _quality(cleaned: str, compat_nulls: str) -> str:
+    """The quality counts over the CTEs of ``O.MESSY``."""
+    return (
+        """select raw_rows, cleaned_rows, compat as nulls_removed,
+       greatest(0, raw_rows - compat - cleaned_rows) as duplicates_removed,
+       null_key_rows, after_nulls - distinct_ids as duplicate_rows, bad_date_rows,
+       case when raw_rows > 0 then round(cleaned_rows / raw_rows * 100.0, 1) else 100.0 end as retention_pct
+from (select (select count(*) from tok) as raw_rows, (select count(*) from """
+        + cleaned
+        + ") as cleaned_rows, "
+        + compat_nulls
+        + """ as compat,
+             (select count(*) from tok where order_id is null or revenue is null) as null_key_rows,
+             (select count(*) from kept) as after_nulls,
+             (select count(distinct order_id) from kept) as distinct_ids,
+             (select count(*) from firsts where """
+        + O.parse_date("date")
+        + " is null) as bad_date_rows)"
+    )
+
+
+def _ledger_kpis_body() -> str:
+    return (
+        """select coalesce(cast("""
+        + O.money_sum("amount")
+        + """ as double), 0.0) as total, count(id) as count, count(distinct date) as days,
+       case when count(distinct date) > 0 then coalesce(cast("""
+        + O.money_sum("amount")
+        + """ as double), 0.0) / cast(count(distinct date) as double) else 0.0 end as daily_avg
+from ledger"""
+    )
+
+
+def _breakdown_body() -> str:
+    return (
+        "select category, cast(total_exact as double) as total_spent, cnt as count, "
+        + O.share("cast(total_exact as double)", "(select sum(total_exact) from cats)")
+        + " as share_pct from cats"
+    )
+
+
+def _trend_body() -> str:
+    return "select strftime(date, '%Y-%m-%d') as date_str, cast(" + O.money_sum("amount") + " as double) as amount from ledger group by date"
+
+
+def _budget_columns(budget: str) -> str:
+    pct = f"least(100.0, spent / {budget} * 100.0)"
+    return f"""spent, {budget} as budget, greatest(0.0, {budget} - spent) as remaining, {pct} as percent,
+       round({pct}, 1) as percent_label,
+       case when {pct} >= 95.0 then 'danger' when {pct} >= 75.0 then 'warning' else 'ok' end as status"""
+
+
+HIGHEST = "coalesce((select category from cats order by total_exact desc, category limit 1), 'None')"
+NULL_KEYS = "(select count(*) from tok where order_id is null or revenue is null)"
+
 CLEANED_AS_SALES = O.MESSY + """,
 sales as (select * from cleaned)"""
 
@@ -373,38 +462,32 @@ select 'Total', coalesce(cast(sum(cast(revenue as decimal(28,4))) as double), 0.
     "sales_clean_kpis": _kpis(CLEANED_AS_SALES),
     "sales_clean_top_products": _top_products(CLEANED_AS_SALES),
     "sales_clean_monthly_trend": _monthly(CLEANED_AS_SALES),
-    "sales_quality_metrics": O.with_(O.MESSY)
-    + """select raw_rows, cleaned_rows, 0 as nulls_removed,
-       greatest(0, raw_rows - cleaned_rows) as duplicates_removed,
-       null_key_rows, after_nulls - distinct_ids as duplicate_rows, bad_date_rows,
-       case when raw_rows > 0 then round(cleaned_rows / raw_rows * 100.0, 1) else 100.0 end as retention_pct
-from (select (select count(*) from tok) as raw_rows,
-             (select count(*) from cleaned) as cleaned_rows,
-             (select count(*) from tok where order_id is null or revenue is null) as null_key_rows,
-             (select count(*) from kept) as after_nulls,
-             (select count(distinct order_id) from kept) as distinct_ids,
-             (select count(*) from firsts where """
-    + O.parse_date("date")
-    + """ is null) as bad_date_rows)""",
+    "sales_quality_metrics": O.with_(O.MESSY) + _quality("cleaned", "0"),
+    "sales_sparse_clean": O.with_(O.SPARSE) + "select " + SALES_COLS + " from sparse",
+    "sales_sparse_quality": O.with_(O.SPARSE) + _quality("sparse", NULL_KEYS),
+    "sales_dashboard_json": O.with_(CLEANED_AS_SALES)
+    + "\nunion all ".join(
+        [
+            _section("metrics", "''", _quality("cleaned", "0"), raw_rows="int", cleaned_rows="int", nulls_removed="int", duplicates_removed="int"),
+            _section("kpis", "''", _kpis_body(), total_revenue="number", total_orders="int", average_order_value="number"),
+            _section("top_products", "product", _top_products_body(10), product="text", revenue="number", quantity_sold="int", orders="int"),
+            _section("monthly_trends", "month", _monthly_body(), month="text", revenue="number", orders="int", quantity_sold="int"),
+            _section("regional_sales", "region", _regional_body(), region="text", revenue="number", orders="int", revenue_share_pct="number"),
+        ]
+    ),
     "ledger_newest_first": O.with_(O.LEDGER) + "select * from ledger order by date desc, id desc",
-    "ledger_kpis": O.with_(O.LEDGER)
-    + """select coalesce(cast("""
-    + O.money_sum("amount")
-    + """ as double), 0.0) as total, count(id) as count, count(distinct date) as days,
-       case when count(distinct date) > 0 then coalesce(cast("""
-    + O.money_sum("amount")
-    + """ as double), 0.0) / cast(count(distinct date) as double) else 0.0 end as daily_avg
-from ledger""",
-    "ledger_category_breakdown": O.with_(LEDGER_CATS)
-    + "select category, cast(total_exact as double) as total_spent, cnt as count, "
-    + O.share("cast(total_exact as double)", "(select sum(total_exact) from cats)")
-    + " as share_pct from cats order by total_spent desc, category",
-    "ledger_highest_category": O.with_(LEDGER_CATS)
-    + "select coalesce((select category from cats order by total_exact desc, category limit 1), 'None') as highest_category",
-    "ledger_daily_trend": O.with_(O.LEDGER)
-    + "select strftime(date, '%Y-%m-%d') as date_str, cast("
-    + O.money_sum("amount")
-    + " as double) as amount from ledger group by date order by date",
+    "ledger_kpis": O.with_(O.LEDGER) + _ledger_kpis_body(),
+    "ledger_category_breakdown": O.with_(LEDGER_CATS) + _breakdown_body() + " order by total_spent desc, category",
+    "ledger_highest_category": O.with_(LEDGER_CATS) + f"select {HIGHEST} as highest_category",
+    "ledger_daily_trend": O.with_(O.LEDGER) + _trend_body() + " order by date",
+    "ledger_summary_json": O.with_(LEDGER_CATS)
+    + "\nunion all ".join(
+        [
+            _section("summary", "''", f"select *, {HIGHEST} as highest_category from ({_ledger_kpis_body()})", total="number", count="int", daily_avg="number", highest_category="text"),
+            _section("breakdown", "category", _breakdown_body(), category="text", total_spent="number", count="int", share_pct="number"),
+            _section("trends", "date_str", _trend_body(), date_str="text", amount="number"),
+        ]
+    ),
     "ledger_export_summary": O.with_(
         LEDGER_CATS,
         """
@@ -444,23 +527,35 @@ select 'Total', null, coalesce(cast("""
 from ledger order by date desc, id desc limit {L.PAGE_SIZE} offset {(PAGE_NO - 1) * L.PAGE_SIZE}""",
     "ledger_lookup": O.with_(O.LEDGER) + f"select * from ledger where id = {LOOKUP_ID}",
     "ledger_budget_status": O.with_(O.LEDGER)
-    + f"""select spent, {B} as budget, greatest(0.0, {B} - spent) as remaining,
-       least(100.0, spent / {B} * 100.0) as percent,
-       round(least(100.0, spent / {B} * 100.0), 1) as percent_label,
-       case when least(100.0, spent / {B} * 100.0) >= 95.0 then 'danger'
-            when least(100.0, spent / {B} * 100.0) >= 75.0 then 'warning' else 'ok' end as status
-from (select coalesce(cast("""
-    + O.money_sum("amount")
-    + """ as double), 0.0) as spent from ledger)""",
+    + f"select {_budget_columns(B)} from (select coalesce(cast({O.money_sum('amount')} as double), 0.0) as spent from ledger)",
     "ledger_budget_by_month": O.with_(O.LEDGER)
-    + f"""select month, spent, {B} as budget, greatest(0.0, {B} - spent) as remaining,
-       least(100.0, spent / {B} * 100.0) as percent,
-       round(least(100.0, spent / {B} * 100.0), 1) as percent_label,
-       case when least(100.0, spent / {B} * 100.0) >= 95.0 then 'danger'
-            when least(100.0, spent / {B} * 100.0) >= 75.0 then 'warning' else 'ok' end as status
-from (select strftime(date, '%Y-%m') as month, coalesce(cast("""
-    + O.money_sum("amount")
-    + """ as double), 0.0) as spent from ledger group by 1) order by month""",
+    + f"select month, {_budget_columns(B)} from ("
+    + f"select strftime(date, '%Y-%m') as month, coalesce(cast({O.money_sum('amount')} as double), 0.0) as spent from ledger group by 1) order by month",
+    "ledger_budget_months": O.with_(
+        f"""
+months as (select strftime(o_orderdate, '%Y-%m') as month, cast({O.money_sum("o_totalprice")} as double) as spent from orders group by 1),
+best as (select max(spent * cast({BUDGET_OF_BEST_MONTH} as double)) as b from months)"""
+    )
+    + f"select month, {_budget_columns('(select b from best)')} from months order by month",
+    "ledger_convert_each": O.with_(
+        O.LEDGER,
+        """
+coded as (select *, case category when 'view' then 'USD' when 'click' then 'JPY' when 'purchase' then 'INR'
+                             when 'error' then 'XYZ' end as currency from ledger)""",
+        O.RATES,
+    )
+    + "select l.*, case when l.amount > 0 then l.amount / r.rate * 0.011e0 end as amount_eur from coded l left join rates r on l.currency = r.code",
+    "ledger_change_log": O.with_(O.LEDGER, O.CHANGE_LOG)
+    + """select l.id,
+       case when c.id is not null then cast(c.amount as double) else l.amount end as amount,
+       case when c.id is not null then """
+    + O.strip("c.category")
+    + """ else l.category end as category,
+       case when c.id is not null then coalesce("""
+    + O.strip("c.description")
+    + """, '') else l.description end as description,
+       case when c.id is not null then c.date else l.date end as date
+from ledger l left join last_valid c on l.id = c.id""",
     "ledger_convert_usd": O.with_(O.LEDGER)
     + "select *, case when amount > 0 then amount / 1.0 * 0.012 end as amount_usd from ledger",
     "ledger_import": O.with_(O.LEDGER_IMPORT) + "select * from numbered",

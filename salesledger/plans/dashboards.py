@@ -1,7 +1,7 @@
-"""JSON dashboard documents (one row, one ``json`` column).
+"""Dashboard documents: rows of (section, key, json), one JSON object per row.
 
-The documents hold only aggregate tables (KPIs, top products, months,
-regions, categories, days), never fact rows.
+A section is a table of aggregates (KPIs, top products, months, regions,
+categories, days); no task gathers one.
 """
 
 from __future__ import annotations
@@ -9,50 +9,33 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import functions as F
 
 from salesledger.operators import ledger as L
 from salesledger.operators import sales as S
 from salesledger.operators.quality import clean_with_metrics
-from salesledger.sources.sinks import json_document, records
+from salesledger.sources.sinks import json_rows
 
 
 def sales_dashboard_json(raw: DataFrame, order_cols: Sequence[str | Column] = ("row_seq",)) -> DataFrame:
     """Cleaning metrics, KPIs and the three sales tables of one raw input."""
-    # one grouped pass over the raw rows, frozen: the counts and the four
-    # analyses all read that copy
     cleaned, metrics = clean_with_metrics(raw, order_cols=order_cols)
     analysis = S.run_analysis(cleaned, check_empty=False)
-    head = analysis.kpis.select(
-        F.lit("success").alias("status"),
-        metrics.select(F.struct("raw_rows", "cleaned_rows", "nulls_removed", "duplicates_removed")).scalar().alias(
-            "metrics"
-        ),
-        F.struct("total_revenue", "total_orders", "average_order_value").alias("kpis"),
-    )
-    return json_document(
-        head,
-        {
-            "top_products": records(analysis.top_products, [("revenue", False), ("product", True)]),
-            "monthly_trends": records(analysis.monthly_trends, [("month", True)]),
-            "regional_sales": records(analysis.regional_sales, [("revenue", False), ("region", True)]),
-        },
+    return (
+        json_rows(metrics.select("raw_rows", "cleaned_rows", "nulls_removed", "duplicates_removed"), "metrics")
+        .unionByName(json_rows(analysis.kpis, "kpis"))
+        .unionByName(json_rows(analysis.top_products, "top_products", "product"))
+        .unionByName(json_rows(analysis.monthly_trends, "monthly_trends", "month"))
+        .unionByName(json_rows(analysis.regional_sales, "regional_sales", "region"))
     )
 
 
 def ledger_dashboard_json(ledger: DataFrame) -> DataFrame:
-    """total, count, daily_avg, highest_category, breakdown, trends."""
+    """Totals with the highest category, the breakdown and the daily trend."""
     summary = L.ledger_summary(ledger)
-    head = summary.kpis.select(
-        "total",
-        "count",
-        "daily_avg",
-        summary.highest.select("highest_category").scalar().alias("highest_category"),
-    )
-    return json_document(
-        head,
-        {
-            "breakdown": records(summary.breakdown, [("total_spent", False), ("category", True)]),
-            "trends": records(summary.trends, [("date_str", True)]),
-        },
+    highest = summary.highest.select("highest_category").scalar()
+    head = summary.kpis.select("total", "count", "daily_avg", highest.alias("highest_category"))
+    return (
+        json_rows(head, "summary")
+        .unionByName(json_rows(summary.breakdown, "breakdown", "category"))
+        .unionByName(json_rows(summary.trends, "trends", "date_str"))
     )

@@ -274,5 +274,58 @@ changes as (
 )"""
 
 
+CHANGE_LOG = (
+    CHANGES
+    + """,
+change_log as (
+  select *, 1 as seq from changes
+  union all
+  select event_id, value - 20.0, 'Second Fix', cast(null as varchar), cast(ts as date), 2 from events where event_type = 'error'
+),
+last_valid as (
+  select * from change_log where amount > 0 and category is not null and date is not null
+  qualify row_number() over (partition by id order by seq desc) = 1
+)"""
+)
+
+RATES = """
+rates as (
+  select * from (values ('INR', 1.0e0), ('USD', 0.012e0), ('EUR', 0.011e0), ('GBP', 0.0095e0), ('AED', 0.044e0),
+                        ('SGD', 0.016e0), ('JPY', 1.88e0), ('CAD', 0.016e0)) as t(code, rate)
+)"""
+
+SPARSE = (
+    MESSY
+    + """,
+sparse as (
+  select order_id, """
+    + parse_date("date")
+    + """ as date, 'Unknown Product' as product, 'General' as category, cast(1 as bigint) as quantity,
+         """
+    + num("revenue", "0.0")
+    + " as unit_price, "
+    + num("revenue", "0.0")
+    + """ as revenue, 'Unknown Region' as region
+  from firsts
+  where """
+    + parse_date("date")
+    + """ is not null
+)"""
+)
+
+
+def json_fields(**fields: str) -> str:
+    """A JSON object's text: name=kind, where kind is text, int or number."""
+    parts = []
+    for name, kind in fields.items():
+        value = {
+            "text": f"cast(to_json({name}) as varchar)",
+            "int": f"cast({name} as varchar)",
+            "number": f"cast(cast({name} as decimal(28,4)) as varchar)",
+        }[kind]
+        parts.append(f"'\"{name}\":' || coalesce({value}, 'null')")
+    return "'{' || " + " || ',' || ".join(parts) + " || '}'"
+
+
 def with_(*ctes: str) -> str:
     return "with " + ",".join(ctes) + "\n"

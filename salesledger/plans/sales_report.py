@@ -6,9 +6,8 @@
     write_report({...}, root, report_id)            (S9)
 
 Cleaning and the quality counts share one grouped pass over the raw rows
-(one row per distinct id), frozen once with a reliable checkpoint (shared
-checkpoint folder); the counts, four aggregations and the writes read that
-copy instead of the raw input.
+(one row per distinct id), cleaned and written once as Parquet in the shared
+folder; the counts, the aggregations and the writes read that table.
 """
 
 from __future__ import annotations

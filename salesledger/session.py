@@ -9,8 +9,9 @@ folder; we read it and only set our own when it is missing (local runs).
 from __future__ import annotations
 
 import tempfile
+import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 CHECKPOINT_CONF = "spark.checkpoint.dir"
 
@@ -56,3 +57,12 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     if spark.sparkContext.getCheckpointDir() is None:
         spark.sparkContext.setCheckpointDir(current)
     return current
+
+
+def written_once(df: DataFrame) -> DataFrame:
+    """``df`` written as Parquet to the shared folder and read back: what follows
+    prunes its columns, nothing before it runs again, and lost executors cost
+    no recomputation.  The folder is the cluster's to clean."""
+    path = f"{ensure_checkpoint_dir(df.sparkSession).rstrip('/')}/table-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

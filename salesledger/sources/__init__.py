@@ -1,14 +1,13 @@
 from salesledger.sources.csv import SEQ_COL, read_csv_text
 from salesledger.sources.ledger_store import LEDGER_SCHEMA, LedgerTable
-from salesledger.sources.sinks import json_document, records, render_rows, write_csv, write_report
+from salesledger.sources.sinks import json_rows, render_rows, write_csv, write_report
 
 __all__ = [
     "LEDGER_SCHEMA",
     "LedgerTable",
     "SEQ_COL",
-    "json_document",
+    "json_rows",
     "read_csv_text",
-    "records",
     "render_rows",
     "write_csv",
     "write_report",

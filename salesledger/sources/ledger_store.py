@@ -4,13 +4,15 @@
 * ``read`` / ``newest_first`` scan it (filters and projections reach the
   Parquet reader).
 * ``import_rows`` numbers new rows after the high-water mark and appends
-  them; ids are never reused, even after deletes, because the mark is kept
-  in a small side log.  Side logs live next to the table (``<path>_meta``),
-  not inside it: an overwrite of the table deletes its whole folder.
-* ``replace`` rewrites the table (batch update, batch delete).  A table
-  cannot be overwritten by a plan that reads it, so the new content is
-  checkpointed first (reliable checkpoint in the shared
-  ``spark.checkpoint.dir``), which also cuts the lineage.
+  them; ids are never reused, even after deletes or a failed write, because
+  the mark is raised before the rows are written.
+* ``replace`` (batch update, batch delete) writes the new content to the next
+  version's folder and then commits it; the old version stays readable until
+  then, so a failure half-way leaves the table as it was.
+
+Versions are folders ``<path>/v<n>``; the log ``<path>_meta/log`` holds one
+small row (version, hwm) per commit, and its maxima are the current state.  One
+writer at a time.  Old versions are the caller's to remove.
 """
 
 from __future__ import annotations
@@ -25,7 +27,6 @@ from pyspark.sql.types import DateType, DoubleType, LongType, StringType, Struct
 
 from salesledger.operators.changes import LEDGER_FIELDS, apply_updates, delete_ids
 from salesledger.operators.ids import assign_ids
-from salesledger.session import ensure_checkpoint_dir
 
 LEDGER_SCHEMA = StructType(
     [
@@ -36,7 +37,7 @@ LEDGER_SCHEMA = StructType(
         StructField("date", DateType(), False),
     ]
 )
-_HWM_SCHEMA = "hwm long"
+_LOG_SCHEMA = "version long, hwm long"
 
 
 def _join(base: str, name: str) -> str:
@@ -56,58 +57,63 @@ class LedgerTable:
     def __init__(self, spark: SparkSession, path: str):
         self.spark = spark
         self.path = path
-        self.meta_path = f"{path.rstrip('/')}_meta"
-        self.hwm_path = _join(self.meta_path, "hwm")
+        self.log_path = _join(f"{path.rstrip('/')}_meta", "log")
+
+    # -- versions and the high-water mark ---------------------------------
+    def _state(self) -> tuple[int, int]:
+        """(current version, largest id ever handed out)."""
+        log = self.spark.read.schema(_LOG_SCHEMA).parquet(self.log_path)
+        version, hwm = log.agg(F.max("version"), F.max("hwm")).first()
+        return version, hwm
+
+    def _commit(self, version: int, hwm: int) -> None:
+        self.spark.createDataFrame([(version, hwm)], _LOG_SCHEMA).coalesce(1).write.mode("append").parquet(self.log_path)
+
+    def version_path(self, version: int) -> str:
+        return _join(self.path, f"v{version}")
+
+    def high_water_mark(self) -> int:
+        return self._state()[1]
 
     # -- declaration and scans -------------------------------------------
     def create_if_absent(self) -> LedgerTable:
-        if not _exists(self.spark, self.path):
-            self.spark.createDataFrame([], LEDGER_SCHEMA).write.mode("ignore").parquet(self.path)
+        if not _exists(self.spark, self.log_path):
+            self.spark.createDataFrame([], LEDGER_SCHEMA).write.mode("overwrite").parquet(self.version_path(1))
+            self._commit(1, 0)
         return self
 
     def read(self) -> DataFrame:
-        return self.spark.read.schema(LEDGER_SCHEMA).parquet(self.path)
+        return self.spark.read.schema(LEDGER_SCHEMA).parquet(self.version_path(self._state()[0]))
 
     def newest_first(self) -> DataFrame:
         return self.read().orderBy(F.desc("date"), F.desc("id"))
 
-    # -- high-water mark -------------------------------------------------
-    def high_water_mark(self) -> Column:
-        """Largest id ever handed out, as a scalar subquery (0 if none)."""
-        ids = self.read().select(F.max("id").alias("hwm"))
-        if _exists(self.spark, self.hwm_path):
-            ids = ids.unionByName(self.spark.read.schema(_HWM_SCHEMA).parquet(self.hwm_path))
-        return F.coalesce(ids.select(F.max("hwm")).scalar(), F.lit(0).cast("bigint"))
-
-    def _record_hwm(self, value: int) -> None:
-        self.spark.createDataFrame([(int(value),)], _HWM_SCHEMA).write.mode("append").parquet(self.hwm_path)
-
     # -- writes ----------------------------------------------------------
     def append(self, rows: DataFrame) -> int:
         """Append numbered rows; returns how many were written."""
-        obs = Observation("ledger_append")
-        out = rows.select(*LEDGER_FIELDS).observe(obs, F.count(F.lit(1)).alias("n"), F.max("id").alias("max_id"))
-        out.write.mode("append").parquet(self.path)
-        stats = obs.get
-        if stats.get("max_id") is not None:
-            self._record_hwm(stats["max_id"])
-        return int(stats.get("n") or 0)
-
-    def import_rows(self, cleaned: DataFrame, order_cols: Sequence[str | Column]) -> int:
+        version, hwm = self._state()
+        n, top = _write(rows, self.version_path(version), "append")
+        if top > hwm:
+            self._commit(version, top)
+        return n
+
+    def import_rows(self, cleaned: DataFrame, order_cols: Sequence[str | Column], start_after: int | None = None) -> int:
         """Number ``cleaned`` (amount, category, description, date, order
-        columns) after the high-water mark in ``order_cols`` order, append."""
-        start = self.high_water_mark()
-        numbered = assign_ids(cleaned, start, order_cols)
-        return self.append(numbered)
+        columns) after ``start_after`` (default: the high-water mark) in
+        ``order_cols`` order, append."""
+        version, hwm = self._state()
+        numbered = assign_ids(cleaned, hwm if start_after is None else max(hwm, start_after), order_cols)
+        top = numbered.agg(F.max("id")).first()[0]
+        if top is None:
+            return 0
+        self._commit(version, top)  # ids of a write that fails are skipped, never handed out again
+        return _write(numbered, self.version_path(version), "append")[0]
 
     def replace(self, new_content: DataFrame) -> None:
-        ensure_checkpoint_dir(self.spark)
-        # the mark over the current rows and every id handed out before
-        hwm = self.spark.range(1).select(self.high_water_mark()).first()[0]
-        frozen = new_content.select(*LEDGER_FIELDS).checkpoint(eager=True)
-        frozen.write.mode("overwrite").parquet(self.path)
-        if hwm:
-            self._record_hwm(hwm)
+        """Write the next version, then commit it: one write, no copy."""
+        version, hwm = self._state()
+        _, top = _write(new_content, self.version_path(version + 1), "overwrite")
+        self._commit(version + 1, max(hwm, top))
 
     def update(self, changes: DataFrame, order_col: str | None = None) -> None:
         """Changes that an edit form would accept, the last per id."""
@@ -115,3 +121,12 @@ class LedgerTable:
 
     def delete(self, ids: DataFrame) -> None:
         self.replace(delete_ids(self.read(), ids))
+
+
+def _write(rows: DataFrame, path: str, mode: str) -> tuple[int, int]:
+    """Write ledger rows; (rows written, largest id or 0), counted on the way."""
+    seen = Observation("ledger_write")
+    out = rows.select(*LEDGER_FIELDS).observe(seen, F.count(F.lit(1)).alias("n"), F.max("id").alias("top"))
+    out.write.mode(mode).parquet(path)
+    stats = seen.get
+    return int(stats.get("n") or 0), int(stats.get("top") or 0)

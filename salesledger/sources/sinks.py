@@ -1,14 +1,15 @@
-"""Sinks: CSV with header, named report tables, and JSON dashboard
-documents."""
+"""Sinks: CSV with header, named report tables, and dashboard documents as
+rows of JSON objects."""
 
 from __future__ import annotations
 
+import json
 import os
-from collections.abc import Mapping, Sequence
+from collections.abc import Mapping
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import DateType, StringType, TimestampNTZType, TimestampType
+from pyspark.sql.types import DataType, DateType, FractionalType, StringType, TimestampNTZType, TimestampType
 
 
 def write_csv(df: DataFrame, path: str, mode: str = "overwrite") -> None:
@@ -46,24 +47,28 @@ def write_report(tables: Mapping[str, DataFrame], root: str, report_id: str, fmt
     return paths
 
 
-def records(df: DataFrame, sort: Sequence[tuple[str, bool]]) -> Column:
-    """A scalar subquery: the rows of a small result table as an array of
-    structs, in ``sort`` order (``(column, ascending)`` pairs).
+def _json_value(c: Column, kind: DataType) -> Column:
+    """JSON text of a value.  Fractions have four places (money is exact there,
+    shares have two); numbers too large for that are written in full."""
+    if isinstance(kind, StringType):
+        quoted = F.to_json(F.array(c))
+        text = F.substr(quoted, F.lit(2), F.length(quoted) - 2)
+    elif isinstance(kind, FractionalType):
+        text = F.coalesce(c.try_cast("decimal(38,4)").cast("string"), c.cast("string"))
+    else:
+        text = c.cast("string")
+    return F.when(c.isNull(), F.lit("null")).otherwise(text)
 
-    For dashboard-sized tables (top-k, months, regions, categories); the
-    array is built in one task.
-    """
-    keys = []
-    for i, (c, asc) in enumerate(sort):
-        k = F.col(c) if asc else -F.col(c)
-        keys.append(k.alias(f"_k{i}"))
-    payload = F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("_row")
-    arr = df.agg(F.sort_array(F.collect_list(F.struct(*keys, payload))).alias("_a"))
-    return arr.select(F.transform("_a", lambda x: x.getField("_row"))).scalar()
 
+def json_rows(df: DataFrame, section: str, key_col: str | None = None) -> DataFrame:
+    """A table as rows of a document: ``section``, ``key`` (the row's
+    ``key_col``, '' without one) and ``json`` (the row as one object).
 
-def json_document(head: DataFrame, arrays: Mapping[str, Column]) -> DataFrame:
-    """One row, one ``json`` column: the one-row ``head`` fields plus named
-    arrays (from ``records``)."""
-    fields = [F.col(f"`{c}`") for c in head.columns] + [v.alias(k) for k, v in arrays.items()]
-    return head.select(F.to_json(F.struct(*fields)).alias("json"))
+    Every row is rendered where it is, so no task holds a whole section and
+    nothing is cut off; a reader orders a section by what its objects hold.
+    """
+    parts: list[Column] = []
+    for i, f in enumerate(df.schema):
+        parts += [F.lit(("{" if i == 0 else ",") + json.dumps(f.name) + ":"), _json_value(F.col(f"`{f.name}`"), f.dataType)]
+    key = F.coalesce(F.col(f"`{key_col}`").cast("string"), F.lit("")) if key_col else F.lit("")
+    return df.select(F.lit(section).alias("section"), key.alias("key"), F.concat(*parts, F.lit("}")).alias("json"))

@@ -4,6 +4,7 @@ import csv
 import datetime as dt
 import os
 
+import pytest
 from pyspark.sql import functions as F
 
 from salesledger.operators.changes import (
@@ -126,6 +127,23 @@ def test_ids_not_reused_after_successive_deletes(spark, tmp_dir):
     assert sorted(r.id for r in table.read().collect()) == [1, 2, 3, 6]
 
 
+def test_failed_rewrite_leaves_the_table_and_no_id_comes_twice(spark, tmp_dir):
+    table = LedgerTable(spark, os.path.join(tmp_dir, "ledger3")).create_if_absent()
+    schema = "amount double, category string, description string, date date, seq long"
+    rows = spark.createDataFrame([(1.0, "Food", "x", D(2026, 1, 1), 1), (2.0, "Rent", "y", D(2026, 1, 2), 2)], schema)
+    assert table.import_rows(rows, ["seq"]) == 2
+    broken = table.read().withColumn("amount", F.raise_error(F.lit("lost")).cast("double"))
+    with pytest.raises(Exception, match="lost"):
+        table.replace(broken)
+    assert sorted(r.id for r in table.read().collect()) == [1, 2]
+    assert table.import_rows(rows, ["seq"], start_after=10) == 2
+    assert sorted(r.id for r in table.read().collect()) == [1, 2, 11, 12]
+    assert table.import_rows(rows.limit(0), ["seq"]) == 0 and table.high_water_mark() == 12
+    assert LedgerTable(spark, table.path).create_if_absent().read().count() == 4  # an existing table stays
+    table.delete(table.read().select("id"))
+    assert table.read().count() == 0 and table.high_water_mark() == 12
+
+
 def test_existence_checks(spark):
     led = _ledger(spark)
     changes = spark.createDataFrame([(2, 1.0, "x", None, D(2026, 1, 1)), (9, 1.0, "x", None, D(2026, 1, 1)), (9, 2.0, "x", None, D(2026, 1, 1))], SCHEMA)

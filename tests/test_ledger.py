@@ -3,6 +3,7 @@
 import datetime as dt
 
 import pytest
+from pyspark.sql import functions as F
 
 from salesledger.operators import ledger as L
 from tests import model
@@ -115,3 +116,21 @@ def test_pages_concatenate_to_full_order(ledger):
 def test_positive_amounts(spark):
     df = spark.createDataFrame([(1, 0.0, "A", "", D(2026, 1, 1)), (2, 3.0, "A", "", D(2026, 1, 1))], SCHEMA)
     assert [r.id for r in L.positive_amounts(df).collect()] == [2]
+
+
+def test_budget_column_reaches_every_status(spark):
+    rows = [(1, 98.0, "a", "", D(2026, 1, 1)), (2, 80.0, "a", "", D(2026, 2, 1)), (3, 10.0, "a", "", D(2026, 3, 1))]
+    led = spark.createDataFrame(rows, SCHEMA)
+    found = L.budget_status(led, F.lit(100.0), by_month=True).collect()
+    assert [r.status for r in found] == ["danger", "warning", "ok"]
+    assert [r.percent for r in L.budget_status(led, F.lit(0.0), by_month=True).collect()] == [None] * 3
+
+
+def test_summary_equals_the_single_analyses(spark):
+    rows = [(1, 1e30, "a", "", D(2026, 1, 1)), (2, 0.00004, "b", "", D(2026, 1, 1)), (3, 2.5, None, "", D(2026, 1, 2)), (4, None, "b", "", None)]
+    led = spark.createDataFrame(rows, "id long, amount double, category string, description string, date date")
+    s = L.ledger_summary(led)
+    assert s.kpis.collect() == L.ledger_kpis(led).collect()
+    assert s.breakdown.collect() == L.category_breakdown(led).collect()
+    assert s.highest.collect() == L.highest_category(led).collect()
+    assert s.trends.collect() == L.daily_trend(led).collect()

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from salesledger.operators.dedup import keep_first
 from salesledger.sources import read_csv_text, write_csv, write_report
-from salesledger.sources.sinks import json_document, records
+from salesledger.sources.sinks import json_rows
 
 
 def _write_lines(path, n, start=0):
@@ -54,12 +54,15 @@ def test_sinks_roundtrip(spark, tmp_dir):
     assert spark.read.parquet(paths["t2"]).count() == 1
 
 
-def test_json_document_orders_records(spark):
-    head = spark.createDataFrame([(3.5, 2)], "total double, n long")
-    tbl = spark.createDataFrame([("x", 1.0), ("y", 3.0), ("z", 2.0)], "k string, v double")
-    doc = json_document(head, {"rows": records(tbl, [("v", False), ("k", True)])}).first().json
-    parsed = json.loads(doc)
-    assert parsed["total"] == 3.5 and [r["k"] for r in parsed["rows"]] == ["y", "z", "x"]
+def test_json_rows_render_every_kind_of_value(spark):
+    rows = [('q"uo\nte', 1.5, 2), (None, None, None), ("é", 1e40, -1), ("z", 0.00004, 0)]
+    df = spark.createDataFrame(rows, "k string, v double, n long")
+    out = json_rows(df, "s", "k").collect()
+    assert [r.section for r in out] == ["s"] * 4 and [r.key for r in out] == ['q"uo\nte', "", "é", "z"]
+    found = [json.loads(r.json) for r in out]
+    assert found[:3] == [{"k": k, "v": v, "n": n} for k, v, n in rows[:3]]
+    assert found[3] == {"k": "z", "v": 0.0, "n": 0}  # fractions have four places
+    assert json_rows(df.limit(0), "s").collect() == []
 
 
 def test_read_table_is_a_plain_scan(spark, tmp_dir):
