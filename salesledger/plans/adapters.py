@@ -103,11 +103,15 @@ def order_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     shuffled by order key here and by part key in ``with_part``; joining
     customer onto the line rows instead would shuffle them a third time.
     """
-    li = table(spark, sf_dir, "lineitem").select(*LINE_ORDER_COLS)
+    return with_orders(spark, sf_dir, table(spark, sf_dir, "lineitem").select(*LINE_ORDER_COLS))
+
+
+def with_orders(spark: SparkSession, sf_dir: str, lines: DataFrame) -> DataFrame:
+    """``lines`` ⋈ (orders ⋈ customer ⋈ nation ⋈ region) on the order key."""
     o = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderdate")
     cr = _customer_region(spark, sf_dir)
     orders_geo = o.join(cr, o.o_custkey == cr.c_custkey).select("o_orderkey", "o_orderdate", "r_name")
-    return li.join(orders_geo, li.l_orderkey == orders_geo.o_orderkey)
+    return lines.join(orders_geo, lines.l_orderkey == orders_geo.o_orderkey)
 
 
 def with_part(spark: SparkSession, sf_dir: str, lines: DataFrame) -> DataFrame:

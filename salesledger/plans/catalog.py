@@ -55,23 +55,16 @@ def q_sales_top_products(spark, d):
 
 
 def q_sales_first_line_per_order(spark, d):
-    # Keep-first by the numeric order key straight after the orders join: it
-    # reuses that join's partitioning when the join shuffles (no shuffle of
-    # its own), and the part join then sees one row per order.  The text id
-    # is the key's decimal form, so the groups are the same as by order_id;
-    # rows tied on every line column also share their part.
-    lines = A.order_lines(spark, d).select(
-        "l_orderkey",
-        F.struct(*A.LINE_ORDER_COLS).alias("row_seq"),
-        "l_partkey",
-        "l_quantity",
-        "l_extendedprice",
-        "l_discount",
-        "o_orderdate",
-        "r_name",
-    )
-    first = keep_first(lines, "l_orderkey", ["row_seq"])
-    return A.sales_line_columns(A.with_part(spark, d, first))
+    # Keep-first by the numeric order key ahead of all joins: tasks keep one
+    # row per order before the only shuffle of line rows, so a hot order is
+    # one row per task, and the orders join reuses that partitioning.  An
+    # order's lines share its row of every joined table but part, and each
+    # line has a part.  The text id is the key's decimal form, so the groups
+    # are the same as by order_id.
+    lines = A.table(spark, d, "lineitem").select(*A.LINE_ORDER_COLS)
+    payload = ("l_orderkey", "l_partkey", "l_quantity", "l_extendedprice", "l_discount")
+    first = keep_first(lines.select(*payload, F.struct(*A.LINE_ORDER_COLS).alias("row_seq")), "l_orderkey", ["row_seq"])
+    return A.sales_line_columns(A.with_part(spark, d, A.with_orders(spark, d, first)))
 
 
 def q_sales_chart_series(spark, d):
