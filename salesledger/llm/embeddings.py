@@ -8,7 +8,8 @@ filters, and what meets is verified by its cosine in double precision.
 
 The filter threshold rises with the number of vectors, so that a filter holds
 about ``PER_FILTER`` unrelated vectors at every size, and the codebooks grow so
-that each vector still passes about ``FILTERS`` of them.
+that each vector still passes about ``FILTERS`` of them. The share of a cap is
+that of the sphere of the vectors' own dimension.
 
 Links are never written out as pairs. A task turns what it found in a filter
 into one spanning link per vector; components follow from those. The number of
@@ -20,12 +21,12 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
-from statistics import NormalDist
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, FloatType
 
 from salesledger.llm.common import freeze, group_slices, whole_groups
 from salesledger.llm.components import connected_components, local_roots
@@ -34,17 +35,36 @@ COSINE = 0.95
 FILTERS = 64
 PER_FILTER = 128
 SEED = 7
+#: Cosine that a filter asks for at most: both ends of a link (18 degrees at
+#: most) fit its cap.
+WIDEST = 0.9
+#: Steps in which the share of a cap is integrated over its angle.
+ANGLES = 200_000
 #: Rows of one filter or component that are compared as a block.
 BLOCK = 1024
 KEYS = ["key", "i", "j"]
 
 
+def _cap(dim: int, share: float) -> tuple[float, float]:
+    """(threshold, share) of the cap that holds ``share`` of the unit sphere.
+
+    In few dimensions such a cap can be narrower than a link is long; it is then
+    widened to ``WIDEST``, and holds a larger share. On a line it is a half."""
+    if dim == 1:
+        return 0.5, 0.5
+    angle = (np.arange(ANGLES) + 0.5) * (math.pi / ANGLES)
+    inside = np.cumsum(np.sin(angle) ** (dim - 2))
+    inside /= inside[-1]
+    at = max(int(np.searchsorted(inside, share)), int(np.searchsorted(angle, math.acos(WIDEST))))
+    return math.cos(angle[at]), float(inside[at])
+
+
 class ProductCode:
     """Directions made of ``blocks`` codewords each, in ``dim`` dimensions."""
 
     def __init__(self, dim: int, n_vectors: int):
         self.dim = dim
-        share = min(0.05, PER_FILTER / max(1, n_vectors))  # of unrelated vectors that pass a filter
+        self.threshold, share = _cap(dim, min(0.05, PER_FILTER / max(1, n_vectors)))
         filters = FILTERS / share
         self.blocks = 1
         while filters ** (1 / self.blocks) > 512 and (self.blocks + 1) * 8 <= dim:
@@ -54,9 +74,8 @@ class ProductCode:
         self.rotation = np.linalg.qr(rng.standard_normal((dim, dim)))[0]
         edges = np.linspace(0, dim, self.blocks + 1).astype(int)
         self.parts = [slice(a, b) for a, b in zip(edges[:-1], edges[1:], strict=True)]
-        self.threshold = NormalDist().inv_cdf(1 - share) / math.sqrt(dim)
         trial = _unit(rng.standard_normal((256, dim)))
-        while True:  # caps of real codewords are a little smaller than normal tails say
+        while True:  # codewords are drawn, so their caps may hold fewer than their share
             self.books = [_book(rng, self.words, part.stop - part.start, dim) for part in self.parts]
             passed = len(self.passed(trial)[0]) / len(trial)
             if passed >= FILTERS or self.words > 4096:
@@ -187,7 +206,10 @@ def near_duplicates(vectors: DataFrame) -> DataFrame:
     nothing, its component and kept are null. Other columns are ignored; an
     empty table gives an empty result.
     """
-    x = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<float>").alias("embedding"))
+    kind = vectors.schema["embedding"].dataType
+    single = isinstance(kind, ArrayType) and isinstance(kind.elementType, FloatType)
+    numbers = F.col("embedding").cast("array<float>" if single else "array<double>")  # double ones keep their range and digits
+    x = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), numbers.alias("embedding"))
     finite = F.forall("embedding", lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) < float("inf")))
     usable = F.coalesce((F.size("embedding") > 0) & finite & F.exists("embedding", lambda v: v != 0), F.lit(False)) & F.col("vec_id").isNotNull()
     rows = freeze(x.select("vec_id", F.when(usable, F.col("embedding")).alias("embedding")))

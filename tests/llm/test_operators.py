@@ -5,6 +5,7 @@ from __future__ import annotations
 
 import hashlib
 import itertools
+import math
 import random
 import zlib
 from collections import Counter, defaultdict
@@ -319,6 +320,25 @@ def test_embeddings_equal_brute_force(spark):
     assert embeddings.near_duplicates(frame.limit(0)).count() == 0
 
 
+def test_double_embeddings_keep_range_and_digits(spark):
+    e = 1e-9  # below a float's digits
+    rows = [(1, [1e300, 0.0]), (2, [1e300, 1e299]), (3, [0.0, 1.0]), (4, [-0.0, 2.0]), (5, [0.0, 1.0 + e]), (6, [-1.0, 0.0])]
+    got = embeddings.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect()
+    assert {r["vec_id"]: (r["n_links"], r["component_id"]) for r in got} == {1: (1, 1), 2: (1, 1), 3: (2, 3), 4: (2, 3), 5: (2, 3), 6: (0, 6)}
+
+
+@pytest.mark.parametrize(("dim", "n"), [(1, 100), (2, 100), (2, 10**6), (3, 10**5), (8, 10**7), (16, 10**7), (64, 10**5)])
+def test_links_meet_in_a_filter_in_any_dimension(dim, n):
+    rng = np.random.default_rng(dim)
+    code = embeddings.ProductCode(dim, n)
+    a = embeddings._unit(rng.standard_normal((60, dim)))
+    side = rng.standard_normal((60, dim))
+    side -= (side * a).sum(axis=1, keepdims=True) * a
+    b = a if dim == 1 else 0.97 * a + math.sqrt(1 - 0.97**2) * embeddings._unit(side)
+    met = [set(zip(*(x.tolist() for x in code.passed(v)), strict=True)) for v in (a, b)]
+    assert len({row for row, _ in met[0] & met[1]}) >= 57
+
+
 def test_embedding_blocks_split_a_large_filter(spark, monkeypatch):
     rng = np.random.default_rng(4)
     x = rng.standard_normal(16) + rng.standard_normal((70, 16)) * 0.02
