@@ -9,7 +9,10 @@ filters, and what meets is verified by its cosine in double precision.
 The filter threshold rises with the number of vectors, so that a filter holds
 about ``PER_FILTER`` unrelated vectors at every size, and the codebooks grow so
 that each vector still passes about ``FILTERS`` of them. The share of a cap is
-that of the sphere of the vectors' own dimension.
+that of the sphere of the vectors' own dimension. The filters come from several
+codes, each with its own rotation, and codes are added until trial links at the
+least cosine meet. In each code a vector that passes few filters, or none, gets
+its best ones.
 
 Links are never written out as pairs. A task turns what it found in a filter
 into one spanning link per vector; components follow from those. The number of
@@ -32,8 +35,16 @@ from salesledger.llm.common import freeze, group_slices, whole_groups
 from salesledger.llm.components import connected_components, local_roots
 
 COSINE = 0.95
+#: Filters that a vector passes on average in the first ``LEAST_CODES`` codes,
+#: and the unrelated vectors that a filter holds.
 FILTERS = 64
 PER_FILTER = 128
+#: Codes are added until this share of ``TRIAL`` links at ``COSINE`` meets.
+RECALL = 0.995
+TRIAL = 2000
+LEAST_CODES, MOST_CODES = 4, 64
+#: Filters that a vector is given in each code at least.
+LEAST = 8
 SEED = 7
 #: Cosine that a filter asks for at most: both ends of a link (18 degrees at
 #: most) fit its cap.
@@ -60,41 +71,100 @@ def _cap(dim: int, share: float) -> tuple[float, float]:
 
 
 class ProductCode:
-    """Directions made of ``blocks`` codewords each, in ``dim`` dimensions."""
+    """Several independent codes. Their number follows from the share of trial
+    links, at the least cosine that counts, whose ends meet in a filter."""
 
     def __init__(self, dim: int, n_vectors: int):
         self.dim = dim
+        rng = np.random.default_rng(SEED)
+        a = _unit(rng.standard_normal((TRIAL, dim)))
+        b = a
+        if dim > 1:
+            side = rng.standard_normal((TRIAL, dim))
+            b = COSINE * a + math.sqrt(1 - COSINE**2) * _unit(side - (side * a).sum(axis=1, keepdims=True) * a)
+        self.codes: list[_Code] = []
+        met = np.zeros(TRIAL, bool)
+        while len(self.codes) < MOST_CODES and (len(self.codes) < LEAST_CODES or met.mean() < RECALL):
+            code = _Code(rng, dim, n_vectors)
+            self.codes.append(code)
+            for at in range(0, TRIAL, 256):
+                rows = slice(at, at + 256)
+                ends = [row * code.size + found for row, found in (code.passed(x[rows]) for x in (a, b))]
+                met[at + np.intersect1d(*ends, assume_unique=True) // code.size] = True
+        self.recall = float(met.mean())
+
+    def passed(self, unit: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(row, filter) for every filter that a row of ``unit`` passes."""
+        rows, keys, before = [], [], 0
+        for code in self.codes:
+            row, found = code.passed(unit)
+            rows.append(row)
+            keys.append(before + found)
+            before += code.size
+        return np.concatenate(rows), np.concatenate(keys)
+
+
+class _Code:
+    """Directions made of ``blocks`` codewords each, in ``dim`` dimensions."""
+
+    def __init__(self, rng: np.random.Generator, dim: int, n_vectors: int):
         self.threshold, share = _cap(dim, min(0.05, PER_FILTER / max(1, n_vectors)))
-        filters = FILTERS / share
+        wanted = FILTERS / LEAST_CODES
+        filters = wanted / share
         self.blocks = 1
         while filters ** (1 / self.blocks) > 512 and (self.blocks + 1) * 8 <= dim:
             self.blocks += 1
         self.words = math.ceil(filters ** (1 / self.blocks))
-        rng = np.random.default_rng(SEED)
         self.rotation = np.linalg.qr(rng.standard_normal((dim, dim)))[0]
         edges = np.linspace(0, dim, self.blocks + 1).astype(int)
         self.parts = [slice(a, b) for a, b in zip(edges[:-1], edges[1:], strict=True)]
         trial = _unit(rng.standard_normal((256, dim)))
         while True:  # codewords are drawn, so their caps may hold fewer than their share
             self.books = [_book(rng, self.words, part.stop - part.start, dim) for part in self.parts]
-            passed = len(self.passed(trial)[0]) / len(trial)
-            if passed >= FILTERS or self.words > 4096:
+            passed = len(self._above(self._scores(trial))[0]) / len(trial)
+            if passed >= wanted or self.words > 4096:
                 break
-            self.words = max(self.words + 1, math.ceil(self.words * (FILTERS / max(1.0, passed)) ** (1 / self.blocks)))
+            self.words = max(self.words + 1, math.ceil(self.words * (wanted / max(1.0, passed)) ** (1 / self.blocks)))
+        self.size = self.words**self.blocks
 
     def passed(self, unit: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(row, filter) for every filter that a row of ``unit`` passes."""
+        """(row, filter) for every filter that a row of ``unit`` passes; a row
+        that passes under ``LEAST`` gets its best ones instead."""
+        scores = self._scores(unit)
+        row, found = self._above(scores)
+        few = np.flatnonzero(np.bincount(row, minlength=len(unit)) < LEAST)
+        if not len(few):
+            return row, found
+        enough = ~np.isin(row, few)
+        best = self._best([s[few] for s in scores])
+        return np.concatenate([row[enough], np.repeat(few, best.shape[1])]), np.concatenate([found[enough], best.ravel()])
+
+    def _scores(self, unit: np.ndarray) -> list[np.ndarray]:
         turned = unit @ self.rotation
-        scores = [turned[:, part] @ book.T for part, book in zip(self.parts, self.books, strict=True)]
+        return [turned[:, part] @ book.T for part, book in zip(self.parts, self.books, strict=True)]
+
+    def _above(self, scores: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+        n = len(scores[0])
         best = np.stack([s.max(axis=1) for s in scores], axis=1)
-        rest = np.concatenate([np.cumsum(best[:, ::-1], axis=1)[:, ::-1][:, 1:], np.zeros((len(unit), 1))], axis=1)
-        row, total, code = np.arange(len(unit)), np.zeros(len(unit)), np.zeros(len(unit), np.int64)
+        rest = np.concatenate([np.cumsum(best[:, ::-1], axis=1)[:, ::-1][:, 1:], np.zeros((n, 1))], axis=1)
+        row, total, code = np.arange(n), np.zeros(n), np.zeros(n, np.int64)
         for k, s in enumerate(scores):
             sums = total[:, None] + s[row]
             at, word = np.nonzero(sums >= self.threshold - rest[row, k][:, None])
             row, total, code = row[at], sums[at, word], code[at] * self.words + word
         return row, code
 
+    def _best(self, scores: list[np.ndarray]) -> np.ndarray:
+        """The ``LEAST`` best filters of each row: the best sums of k + 1 blocks
+        begin with best sums of k."""
+        total, code = np.zeros((len(scores[0]), 1)), np.zeros((len(scores[0]), 1), np.int64)
+        for s in scores:
+            sums = (total[:, :, None] + s[:, None, :]).reshape(len(s), -1)
+            codes = (code[:, :, None] * self.words + np.arange(self.words)).reshape(len(s), -1)
+            top = np.argpartition(-sums, min(LEAST, sums.shape[1]) - 1, axis=1)[:, :LEAST]
+            total, code = np.take_along_axis(sums, top, axis=1), np.take_along_axis(codes, top, axis=1)
+        return code
+
 
 def _book(rng: np.random.Generator, words: int, part: int, dim: int) -> np.ndarray:
     book = rng.standard_normal((words, part))

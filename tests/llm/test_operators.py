@@ -339,6 +339,19 @@ def test_links_meet_in_a_filter_in_any_dimension(dim, n):
     assert len({row for row, _ in met[0] & met[1]}) >= 57
 
 
+@pytest.mark.parametrize(("dim", "n"), [(64, 10**6), (64, 10**7), (16, 10**7), (768, 10**7)])
+def test_links_at_the_least_cosine_meet_at_every_size(dim, n):
+    rng = np.random.default_rng(n + dim)
+    a = embeddings._unit(rng.standard_normal((500, dim)))
+    side = rng.standard_normal((500, dim))
+    side -= (side * a).sum(axis=1, keepdims=True) * a
+    b = 0.95 * a + math.sqrt(1 - 0.95**2) * embeddings._unit(side)
+    code = embeddings.ProductCode(dim, n)
+    met = [set(zip(*(x.tolist() for x in code.passed(v)), strict=True)) for v in (a, b)]
+    assert len({row for row, _ in met[0] & met[1]}) >= 490
+    assert {row for row, _ in met[0]} == set(range(500))  # none without a filter
+
+
 def test_embedding_blocks_split_a_large_filter(spark, monkeypatch):
     rng = np.random.default_rng(4)
     x = rng.standard_normal(16) + rng.standard_normal((70, 16)) * 0.02
