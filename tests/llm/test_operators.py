@@ -257,6 +257,19 @@ def test_main_text_of_pages(spark):
     assert html_main.extract(frame.limit(0)).count() == 0
 
 
+def texts_of(spark, bodies):
+    rows = [(k, f"http://t.example/{k}", f"<html><body>{b}</body></html>") for k, b in enumerate(bodies)]
+    return {r["page_id"]: r["text"] for r in html_main.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+
+
+def test_element_once_a_page_inside_a_repeated_one(spark):
+    own = [f"Own words {k} of a page." for k in range(8)]
+    lists = "<ul><li>Alpha {0}<li>Beta {0}<li><h2>Gamma {0}</h2><li>Delta {0}</ul>"
+    bodies = [lists.format(k) + f"<div id=q><a href=/a>Link one {k}</a> <a href=/b>Link two</a></div><p>{t}</p>" for k, t in enumerate(own)]
+    got = texts_of(spark, bodies)
+    assert all("Link" not in t and t.endswith(own[k]) for k, t in got.items())
+
+
 def brute_targets(sizes):
     sources = sorted((s for s in sizes if s is not None)) + ([None] if None in sizes else [])
     weight = {s: (3, 1, 2)[k % 3] for k, s in enumerate(sources)}
