@@ -262,6 +262,19 @@ def texts_of(spark, bodies):
     return {r["page_id"]: r["text"] for r in html_main.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
 
 
+def test_template_holds_inside_main_and_names_drop_no_main_text(spark):
+    own = [f"Own words {k} of a page, {'long ' * (k + 3)}text." for k in range(8)]
+    notice = "<p>Buy our paper today!</p>"
+    got = texts_of(spark, [f"<article>{notice}<p>{t}</p><div><p>Terms apply.</p></div></article>" for t in own])
+    assert got == dict(enumerate(own))
+    for open_, close in (("<div class='page has-sidebar'><article>", "</article></div>"), ("<article class='post tags-x'>", "</article>"), ("<form id=f><div>", "</div></form>")):
+        assert texts_of(spark, [f"{open_}<p>{t}</p>{close}<div class='sidebar'>{k}</div>" for k, t in enumerate(own)]) == dict(enumerate(own))
+    assert texts_of(spark, [f"<div class='post'><p>{k}</p></div><div id=z><p>{t}</p></div>" for k, t in enumerate(own)])[3] == f"3\n\n{own[3]}"
+    assert texts_of(spark, [f"<article><p>{k} words</p></article><div class='comments'><p>{t}</p></div>" for k, t in enumerate(own)])[3] == "3 words"
+    copies = texts_of(spark, [f"<article><p>{t}</p></article>" for t in own[:4] + own[:1] * 4])
+    assert [copies[k] for k in range(8)] == own[:4] + own[:1] * 4
+
+
 def test_element_once_a_page_inside_a_repeated_one(spark):
     own = [f"Own words {k} of a page." for k in range(8)]
     lists = "<ul><li>Alpha {0}<li>Beta {0}<li><h2>Gamma {0}</h2><li>Delta {0}</ul>"
