@@ -33,12 +33,10 @@ FOLDS, HELD_OUT = 3, 1
 #: Labelled documents that the models see at most, toxic and others: those
 #: with the least hash of the id.
 SAMPLE = {1: 4000, 0: 8000}
-#: Entries: most that are looked at, least toxic documents with one, least
-#: log-odds, most that the classifier and the label model use.
-CANDIDATES = 30_000
+#: Entries: least toxic documents with one, and least log-odds. All that pass
+#: are the classifier's.
 MIN_SUPPORT = 3
 MIN_ODDS = 2.5
-ENTRIES = 1000
 VOTERS = 128
 #: A toxic document counts as covered once it has so many voters.
 COVER = 3
@@ -71,7 +69,7 @@ class Model:
     def hits(self, text: str | None) -> set[str]:
         words = set(WORD.findall((text or "").lower()))
         found = words & self.weight.keys()
-        for n in sorted({len(w) - 1 for w in self.weight if w.endswith("-")}):
+        for n in STEMS:
             found |= {s for w in words if len(w) >= n and (s := w[:n] + "-") in self.weight}
         return found
 
@@ -80,22 +78,22 @@ class Model:
         return float(1 / (1 + np.exp(-np.clip(total, -40, 40))))
 
 
-def _count(batches: Iterator[pa.RecordBatch], wanted: set[str] | None) -> Iterator[pa.RecordBatch]:
-    seen: Counter = Counter()
+def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        for text in batch.column("text").to_pylist():
-            found = entries_of(text)
-            seen.update(found if wanted is None else found & wanted)
-    yield pa.RecordBatch.from_arrays([pa.array(list(seen), pa.string()), pa.array(list(seen.values()), pa.int64())], ["entry", "n"])
+        seen: dict[int, Counter] = {0: Counter(), 1: Counter()}
+        for text, toxic in zip(batch.column("text").to_pylist(), batch.column("toxic").to_pylist(), strict=True):
+            seen[toxic].update(entries_of(text))
+        found = sorted(seen[0].keys() | seen[1].keys())
+        yield pa.RecordBatch.from_arrays([pa.array(found, pa.string()), *(pa.array([seen[k][e] for e in found], pa.int64()) for k in (1, 0))], ["entry", "positive", "negative"])
 
 
-def _documents_with(docs: DataFrame, wanted: set[str] | None) -> DataFrame:
-    return docs.mapInArrow(lambda batches: _count(batches, wanted), "entry string, n long").groupBy("entry").agg(F.sum("n").alias("n"))
-
-
-def _as_dict(counts: DataFrame) -> dict[str, int]:
-    table = counts.toArrow()
-    return dict(zip(table.column("entry").to_pylist(), table.column("n").to_pylist(), strict=True))
+def _odds(sample: DataFrame, n_pos: int, n_neg: int) -> dict[str, float]:
+    """Log-odds of the entries with enough support and odds: both counts are
+    joined and tested in Spark, so that what comes here is what the model uses."""
+    counts = sample.mapInArrow(_count, "entry string, positive long, negative long").groupBy("entry").agg(F.sum("positive").alias("positive"), F.sum("negative").alias("negative"))
+    odds = F.log((F.col("positive") + 0.5) / (n_pos + 1)) - F.log((F.col("negative") + 0.5) / (n_neg + 1))
+    table = counts.where(F.col("positive") >= min(MIN_SUPPORT, n_pos)).withColumn("odds", odds).where(F.col("odds") >= MIN_ODDS).select("entry", "odds").toArrow()
+    return dict(zip(table.column("entry").to_pylist(), table.column("odds").to_pylist(), strict=True))
 
 
 def _sample(docs: DataFrame, labels: DataFrame) -> tuple[DataFrame, dict[int, int]]:
@@ -108,19 +106,42 @@ def _sample(docs: DataFrame, labels: DataFrame) -> tuple[DataFrame, dict[int, in
     return freeze(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).join(F.broadcast(ids), "doc_id").select("text", "toxic")), counts
 
 
-def _voters(has: np.ndarray, toxic: np.ndarray, odds: np.ndarray) -> list[int]:
+class Rows:
+    """A sparse 0/1 matrix: for each row its entries, sorted by row."""
+
+    def __init__(self, sizes: np.ndarray, entry: np.ndarray, width: int):
+        self.row, self.entry = np.repeat(np.arange(len(sizes)), sizes), entry
+        self.shape = (len(sizes), width)
+
+    def dot(self, w: np.ndarray) -> np.ndarray:
+        """Sum of ``w`` over each row's entries."""
+        return np.bincount(self.row, w[self.entry], self.shape[0])
+
+    def sums(self, v: np.ndarray) -> np.ndarray:
+        """Sum of ``v`` over each entry's rows."""
+        return np.bincount(self.entry, v[self.row], self.shape[1])
+
+    def columns(self, chosen: list[int]) -> np.ndarray:
+        """Some columns, dense."""
+        place = np.full(self.shape[1], -1)
+        place[chosen] = np.arange(len(chosen))
+        out, own = np.zeros((self.shape[0], len(chosen)), bool), place[self.entry] >= 0
+        out[self.row[own], place[self.entry[own]]] = True
+        return out
+
+
+def _voters(has: Rows, toxic: np.ndarray, odds: np.ndarray) -> list[int]:
     """Entries chosen one by one for the toxic documents they still cover."""
-    left = np.full(int(toxic.sum()), COVER, np.float32)
-    pos, chosen = has[toxic == 1].astype(np.float32), []
-    free = np.ones(has.shape[1], bool)
+    left = np.where(toxic == 1, COVER, 0)
+    free, chosen = np.ones(has.shape[1], bool), []
     while len(chosen) < VOTERS and free.any():
-        gain = ((left > 0).astype(np.float32) @ pos) * odds * free
-        best = int(gain.argmax())
-        if pos[left > 0, best].sum() < MIN_SUPPORT:
+        support = has.sums((left > 0).astype(np.float64))
+        best = int((support * odds * free).argmax())
+        if support[best] < MIN_SUPPORT:
             break
         chosen.append(best)
         free[best] = False
-        left = left - pos[:, best]
+        left[has.row[has.entry == best]] -= 1
     return chosen
 
 
@@ -146,22 +167,22 @@ def label_model(votes: np.ndarray, weight: np.ndarray, rounds: int = 30) -> tupl
     return posterior, np.stack([p0, p1]), say
 
 
-def linear(x: np.ndarray, y: np.ndarray, weight: np.ndarray, ridge: float = 0.02, steps: int = 300) -> tuple[np.ndarray, float]:
-    """Weights and constant of a logistic regression on float32 rows, by
+def linear(x: Rows, y: np.ndarray, weight: np.ndarray, ridge: float = 0.02, steps: int = 300) -> tuple[np.ndarray, float]:
+    """Weights and constant of a logistic regression on sparse rows, by
     accelerated descent."""
-    share = (weight / weight.sum()).astype(np.float32)
-    direction = np.ones(x.shape[1], np.float32)
+    share = weight / weight.sum()
+    direction = np.ones(x.shape[1])
     for _ in range(20):  # the steepest curve, by power iteration; the constant adds at most 1
-        direction = x.T @ (share * (x @ direction))
+        direction = x.sums(share * x.dot(direction))
         steepest = float(np.linalg.norm(direction)) or 1.0
         direction /= steepest
     rate = 4.0 / (steepest + 1.0)
     w, constant = np.zeros(x.shape[1]), -3.0
     ahead, ahead_constant = w.copy(), constant
     for step in range(1, steps + 1):
-        p = 1 / (1 + np.exp(-np.clip(x @ ahead.astype(np.float32) + ahead_constant, -30, 30)))
+        p = 1 / (1 + np.exp(-np.clip(x.dot(ahead) + ahead_constant, -30, 30)))
         off = share * (p - y)
-        new, new_constant = ahead - rate * (off @ x + ridge / len(x) * ahead), ahead_constant - rate * float(off.sum())
+        new, new_constant = ahead - rate * (x.sums(off) + ridge / x.shape[0] * ahead), ahead_constant - rate * float(off.sum())
         push = step / (step + 3)
         ahead, ahead_constant = new + push * (new - w), new_constant + push * (new_constant - constant)
         w, constant = new, new_constant
@@ -172,17 +193,11 @@ def train(docs: DataFrame, labels: DataFrame) -> Model:
     """The classifier for ``docs`` (doc_id, text) and ``labels`` (doc_id,
     toxic). Without toxic labels in the sample the fixed list alone votes."""
     sample, counts = _sample(docs, labels)
-    toxic_docs = sample.where("toxic = 1")
-    n_pos, n_neg = toxic_docs.count(), sample.where("toxic = 0").count()
+    n_pos, n_neg = sample.where("toxic = 1").count(), sample.where("toxic = 0").count()
     if not n_pos:
         return Model()
-    common = _documents_with(toxic_docs, None).where(F.col("n") >= min(MIN_SUPPORT, n_pos)).orderBy(F.desc("n"), "entry").limit(CANDIDATES)
-    positive = dict.fromkeys(LEXICON, 0) | _as_dict(common)
-    wanted = set(positive)
-    negative = _as_dict(_documents_with(sample.where("toxic = 0"), wanted))  # at most CANDIDATES and the fixed list
-    odds = {e: np.log((n + 0.5) / (n_pos + 1)) - np.log((negative.get(e, 0) + 0.5) / (n_neg + 1)) for e, n in positive.items()}
-    ranked = sorted((e for e, v in odds.items() if v >= MIN_ODDS), key=lambda e: (-odds[e] * positive[e] ** 0.5, e))[:ENTRIES]
-    entries = sorted(set(ranked) | set(LEXICON))
+    odds = _odds(sample, n_pos, n_neg)
+    entries = sorted(odds.keys() | set(LEXICON))
     probe = Model(0.0, dict.fromkeys(entries, 1.0))
     at = {e: k for k, e in enumerate(entries)}
 
@@ -192,18 +207,18 @@ def train(docs: DataFrame, labels: DataFrame) -> Model:
             yield pa.RecordBatch.from_arrays([batch.column("toxic"), pa.array(found, pa.list_(pa.int32()))], ["toxic", "found"])
 
     rows = sample.mapInArrow(hits, "toxic int, found array<int>").toArrow()  # entries of at most sum(SAMPLE) documents
-    has = np.zeros((rows.num_rows, len(entries)), bool)
     found = rows.column("found").combine_chunks()
-    has[np.repeat(np.arange(len(has)), np.diff(np.asarray(found.offsets))), found.flatten().to_numpy()] = True
+    has = Rows(np.diff(np.asarray(found.offsets)), found.flatten().to_numpy(), len(entries))
     toxic = rows.column("toxic").to_numpy()
     chosen = _voters(has, toxic, np.array([max(0.0, odds.get(e, 0.0)) for e in entries]))
-    fixed = has[:, [at[w] for w in LEXICON]].any(axis=1)
-    number = has[:, chosen].sum(axis=1) if chosen else np.zeros(len(has))
-    votes = np.column_stack([has[:, chosen], fixed, number >= 2, number >= 4]).astype(np.float64)
+    fixed = has.columns([at[w] for w in LEXICON]).any(axis=1)
+    cast = has.columns(chosen)
+    number = cast.sum(axis=1)
+    votes = np.column_stack([cast, fixed, number >= 2, number >= 4]).astype(np.float64)
     # the sample's classes weigh as in all labelled rows
     weight = np.where(toxic == 1, counts.get(1, 0) / max(1, n_pos), counts.get(0, 0) / max(1, n_neg))
     posterior, _, _ = label_model(votes, weight / weight.mean())
-    w, constant = linear(has.astype(np.float32), posterior, weight)
+    w, constant = linear(has, posterior, weight)
     return Model(constant, dict(zip(entries, w.tolist(), strict=True)))
 
 

@@ -412,6 +412,21 @@ def test_toxicity_learns_from_its_folds_alone(spark, no_docs):
     assert toxicity.score(no_docs, table).count() == 0
 
 
+def test_no_toxic_entry_is_cut_by_rank(spark):
+    rng = random.Random(3)
+    token = lambda: "".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(9))
+    common, rare = [token() for _ in range(1500)], [token() for _ in range(12)]
+    rows = []
+    for k in range(120):  # toxic: many frequent toxic words, rare ones in three documents each
+        rows.append((k, " ".join([*rng.sample(common, 150), *(w for j, w in enumerate(rare) if k // 3 == j), *rng.sample(WORDS, 5)])))
+    rows += [(k, " ".join(rng.choices(WORDS, k=20))) for k in range(120, 720)]
+    keep = [r for r in rows if zlib.crc32(str(r[0]).encode()) % 3 != 1]
+    seen = Counter(w for k, t in keep if k < 120 for w in t.split())
+    model = toxicity.train(spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame([(k, int(k < 120)) for k, _ in rows], "doc_id long, toxic int"))
+    found = {w for w in rare if seen[w] >= toxicity.MIN_SUPPORT}
+    assert found and found <= model.weight.keys() and all(model.weight[w] > 0 for w in found)
+
+
 def test_label_model_discounts_repeated_voters():
     rng = np.random.default_rng(1)
     y = rng.random(2000) < 0.3
