@@ -1,11 +1,14 @@
 """The registered queries and the pipeline on the smallest tables."""
 
 import os
+from collections import Counter
 
 import duckdb
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline
+from salesledger.llm import mixing
 from salesledger.llm.common import read
 from salesledger.llm.queries import ORACLE, QUERIES
 
@@ -40,3 +43,14 @@ def test_pipeline_stages(spark):
     assert max(r["count"] for r in mixed.groupBy("doc_id").count().collect()) <= 2
     packed = corpus_pipeline.run(spark, SF)
     assert packed.groupBy("sequence_id").agg({"length": "sum"}).where("`sum(length)` > 4096").count() == 0 and packed.count() > 0
+
+
+def test_pipeline_mix_is_off_by_half_a_document_at_most(spark):
+    rows = [(0, "a " * 900, "a"), (1, "b " * 700, "b")] + [(2 + k, "c " * (5 + k % 7), "c") for k in range(40)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    want = {r["source"]: (r["n"], r["most"]) for r in mixing.mix(docs).groupBy("source").agg(F.sum("taken").alias("n"), F.max("size").alias("most")).collect()}
+    got = Counter()
+    for r in corpus_pipeline.mix_sources(spark, docs, "").collect():
+        got[r["source"]] += len(r["text"].split())
+    assert all(abs(got[k] - n) <= most / 2 for k, (n, most) in want.items())
+    assert got["a"] % 900 == 0 and got["b"] % 700 == 0
