@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from salesledger.llm import embeddings, html_main, line_dedup, mixing, packing, quality, sharding, simhash, toxicity, warc
+from salesledger.llm import embeddings, hard_negatives, html_main, line_dedup, mixing, packing, prefix_trie, quality, sharding, simhash, top_k, toxicity, warc
 from salesledger.llm.common import read
 
 
@@ -64,7 +64,23 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.round_trip(read(spark, sf_dir, "pages"))
 
 
-QUERIES = {f.__name__: f for f in (op1_simhash, op2_quality_rules, op3_line_dedup, op4_best_fit_packing, op5_html_text, op6_source_mix, op7_embedding_duplicates, op8_toxicity, op9_kd_shards, op10_warc)}
+def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie.trie(prefix_trie.borrow_heads(prefix_trie.sequences(read(spark, sf_dir, "conversations"))))
+
+
+def op12_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return top_k.top_k(read(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0)
+
+
+def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    moved = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hard_negatives.mine(read(spark, sf_dir, "embeddings").withColumn("label", moved), F.col("vec_id") % 100 == 0)
+
+
+QUERIES = {
+    f.__name__: f
+    for f in (op1_simhash, op2_quality_rules, op3_line_dedup, op4_best_fit_packing, op5_html_text, op6_source_mix, op7_embedding_duplicates, op8_toxicity, op9_kd_shards, op10_warc, op11_prefix_trie, op12_top_k, op13_hard_negatives)
+}
 
 _W = r"[^\x20\x09-\x0D]+"
 _TERMINAL = quality.TERMINAL.replace("'", "''")
@@ -184,4 +200,70 @@ select page_id, payload_bytes, payload_digest,
 from f
 """
 
-ORACLE = {"op2_quality_rules": OP2_SQL, "op3_line_dedup": OP3_SQL, "op6_source_mix": OP6_SQL, "op7_embedding_duplicates": OP7_SQL, "op10_warc": OP10_SQL}
+# CRC-32 of a decimal number: the reflected polynomial, bit by bit over its digits.
+_CRC32 = """xor(list_reduce(list_prepend(4294967295::ubigint, list_transform(string_split({n}::varchar, ''), lambda d: ascii(d)::ubigint)),
+    lambda a, b: list_reduce([xor(a, b), 0, 0, 0, 0, 0, 0, 0, 0], lambda v, z: case when v & 1 = 1 then xor(v >> 1, 3988292384::ubigint) else v >> 1 end)), 4294967295::ubigint)"""
+
+OP11_SQL = f"""
+with e as (
+  select conv_id, turn, coalesce(role, '') r, coalesce(text, '') t from conversations where conv_id is not null
+), o as (
+  select conv_id, list([r, t] order by turn nulls first, substr(sha256(strlen(r)::varchar || ':' || r || t), 1, 32), strlen(t)) ts,
+    ({_CRC32.format(n="conv_id")} % 9)::int h
+  from e group by conv_id
+), b as (
+  select o.conv_id, list_concat(coalesce(f.ts[1:o.h], []), o.ts[o.h + 1:]) p from o left join o f on f.conv_id = o.conv_id - o.conv_id % 5
+), m as (
+  select conv_id, len(p) n, unnest(range(len(p) + 1)) depth, p from b
+), nodes as (
+  select p[1:depth] path, depth, min(conv_id) conv_id, count(*) n_convs, string_agg(conv_id::varchar, ',' order by conv_id) filter (n = depth) ends
+  from (select *, p[1:depth] as path from m) group by all
+), up as (
+  select path, depth, conv_id, n_convs, ends, path[1:depth - 1] above, case when depth = 0 then 0 else strlen(path[depth][2]) end bytes from nodes
+), kids as (
+  select above, count(*) n_children from up where depth > 0 group by above
+), full_nodes as (
+  select up.*, coalesce(n_children, 0) n_children from up left join kids on kids.above = up.path
+), sub as (
+  select path[1:a] top, sum((n_convs - 1) * bytes)::bigint saved_tokens, count(*) filter (n_children = 0) n_leaves
+  from (select *, unnest(range(depth + 1)) a from full_nodes) group by all
+)
+select f.conv_id, f.depth::bigint depth, case when f.depth > 0 then p.conv_id end parent_conv_id, f.n_convs, f.n_children, sub.n_leaves, sub.saved_tokens, sha256(coalesce(f.ends, '')) ends_sha256
+from full_nodes f join sub on sub.top = f.path left join full_nodes p on p.path = f.above and p.depth = f.depth - 1
+"""
+
+_INTEGERS = """select {columns}, list_transform(embedding, lambda x: floor({scale} * x::double)) e from embeddings
+  where vec_id is not null and embedding is not null and len(list_filter(embedding, lambda x: x is null or isnan(x) or isinf(x))) = 0"""
+
+OP12_SQL = f"""
+with v as (
+  {_INTEGERS.format(columns="vec_id", scale=1024)}
+), s as (
+  select q.vec_id query_id, c.vec_id, list_inner_product(q.e, c.e)::bigint score from v q join v c on q.vec_id <> c.vec_id and len(q.e) = len(c.e) where q.vec_id % 100 = 0
+)
+select query_id, (row_number() over (partition by query_id order by score desc, vec_id))::int as rank, vec_id, score from s qualify rank <= 10
+"""
+
+OP13_SQL = f"""
+with v as (
+  {_INTEGERS.format(columns="vec_id, case when vec_id % 7 = 0 then (label + 1) % 10 else label end as label", scale=256)} and label is not null
+), s as (
+  select q.vec_id anchor_id, c.vec_id, q.label = c.label same, list_inner_product(q.e, c.e)::bigint score from v q join v c on q.vec_id <> c.vec_id and len(q.e) = len(c.e) where q.vec_id % 100 = 0
+), p as (
+  select anchor_id, vec_id positive_id, score positive_score from s where same qualify row_number() over (partition by anchor_id order by score desc, vec_id) <= 5
+)
+select anchor_id, positive_id, (row_number() over (partition by anchor_id, positive_id order by score desc, vec_id))::int as rank, vec_id negative_id, positive_score, score negative_score
+from p join s using (anchor_id) where not same and 30 * positive_score <= 100 * score and 100 * score <= 90 * positive_score
+qualify rank <= 10
+"""
+
+ORACLE = {
+    "op2_quality_rules": OP2_SQL,
+    "op3_line_dedup": OP3_SQL,
+    "op6_source_mix": OP6_SQL,
+    "op7_embedding_duplicates": OP7_SQL,
+    "op10_warc": OP10_SQL,
+    "op11_prefix_trie": OP11_SQL,
+    "op12_top_k": OP12_SQL,
+    "op13_hard_negatives": OP13_SQL,
+}

@@ -24,7 +24,7 @@ def canon(columns, rows):
 @pytest.mark.parametrize("name", sorted(ORACLE))
 def test_query_equals_its_sql_twin(spark, name):
     db = duckdb.connect()
-    for table in ("documents", "pages", "embeddings"):
+    for table in ("documents", "pages", "embeddings", "conversations"):
         db.execute(f"create view {table} as select * from read_parquet('{SF}/{table}.parquet')")
     found = QUERIES[name](spark, SF)
     twin = db.execute(ORACLE[name])
