@@ -49,16 +49,9 @@ def _compat_key(name: str) -> str:
     return str(name).lower().replace("_", "").replace(" ", "")
 
 
-def sales_groups(
-    raw: DataFrame,
-    order_cols: Sequence[str | Column] = ("row_seq",),
-    null_tokens: Iterable[str] | None = DEFAULT_NULL_TOKENS,
-    payload: Sequence[str] = SALES_PAYLOAD,
-) -> DataFrame:
-    """One row per (stripped ``order_id``, ``_key_null``) of raw sales rows:
-    ``_n`` rows, ``_compat`` rows the dashboard counts as null, and the
-    ``payload`` columns of the group's first row by ``order_cols`` (ties
-    broken by the payload, so the choice is deterministic)."""
+def _keyed(raw: DataFrame, order_cols: Sequence[str | Column], null_tokens: Iterable[str] | None, payload: Sequence[str]) -> DataFrame:
+    """One raw table's rows: order_id, ``_key_null``, ``_compat_null``, the order and
+    the ``payload`` columns."""
     compat_cols = [c for c in raw.columns if _compat_key(c) in COMPAT_NULL_HEADER_KEYS]
     tokened = null_tokens_pass(raw, null_tokens)
     compat_null = F.lit(False)
@@ -69,9 +62,28 @@ def sales_groups(
     require_columns(df, SALES_REQUIRED)
     df = fill_sales_text(add_missing_sales_columns(df))
     key_null = F.col("order_id").isNull() | F.col("revenue").isNull()
-    df = df.withColumn("_key_null", key_null).withColumn("order_id", strip_ws(F.col("order_id").cast("string")))
+    order = [(F.col(c) if isinstance(c, str) else c).alias(f"_o{i}") for i, c in enumerate(order_cols)]
+    return df.select(strip_ws(F.col("order_id").cast("string")).alias("order_id"), key_null.alias("_key_null"), "_compat_null", *order, *[F.col(f"`{c}`") for c in payload])
+
 
-    order_fields = [(F.col(c) if isinstance(c, str) else c).alias(f"_o{i}") for i, c in enumerate(order_cols)]
+def sales_groups(
+    raw: DataFrame | Sequence[DataFrame],
+    order_cols: Sequence[str | Column] = ("row_seq",),
+    null_tokens: Iterable[str] | None = DEFAULT_NULL_TOKENS,
+    payload: Sequence[str] = SALES_PAYLOAD,
+) -> DataFrame:
+    """One row per (stripped ``order_id``, ``_key_null``) of raw sales rows:
+    ``_n`` rows, ``_compat`` rows the dashboard counts as null, and the
+    ``payload`` columns of the group's first row by ``order_cols`` (ties
+    broken by the payload, so the choice is deterministic).
+
+    ``raw`` may be several tables with headers of their own; each gets the
+    defaults of the columns that it lacks."""
+    tables = [raw] if isinstance(raw, DataFrame) else list(raw)
+    df = _keyed(tables[0], order_cols, null_tokens, payload)
+    for more in tables[1:]:
+        df = df.unionByName(_keyed(more, order_cols, null_tokens, payload))
+    order_fields = [F.col(f"_o{i}") for i in range(len(order_cols))]
     first = F.min(F.struct(*order_fields, F.struct(*[F.col(f"`{c}`") for c in payload]).alias("_row")))
     grouped = df.groupBy("order_id", "_key_null").agg(
         F.count(F.lit(1)).alias("_n"),
@@ -121,7 +133,7 @@ def metrics_from_groups(groups: DataFrame, date_formats: Sequence[str] = DEFAULT
 
 
 def quality_metrics(
-    raw: DataFrame,
+    raw: DataFrame | Sequence[DataFrame],
     order_cols: Sequence[str | Column] = ("row_seq",),
     null_tokens: Iterable[str] | None = DEFAULT_NULL_TOKENS,
     date_formats: Sequence[str] = DEFAULT_DATE_FORMATS,
@@ -133,7 +145,7 @@ def quality_metrics(
 
 
 def clean_with_metrics(
-    raw: DataFrame,
+    raw: DataFrame | Sequence[DataFrame],
     order_cols: Sequence[str | Column] = ("row_seq",),
     null_tokens: Iterable[str] | None = DEFAULT_NULL_TOKENS,
     date_formats: Sequence[str] = DEFAULT_DATE_FORMATS,

@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from salesledger.operators import ledger as L
 from salesledger.operators.cleaning import clean_expenses
 from salesledger.operators.totals import with_total_row
-from salesledger.sources.csv import SEQ_COL, read_csv_text
+from salesledger.sources.csv import SEQ_COL, all_rejects, scan_csv
 from salesledger.sources.ledger_store import LEDGER_SCHEMA, LedgerTable
 from salesledger.sources.sinks import render_rows, write_report
 
@@ -54,8 +54,21 @@ def export_ledger(table: LedgerTable, output_root: str, report_id: str, fmt: str
     return write_report(export_tables(table.read()), output_root, report_id, fmt)
 
 
-def import_csv(spark: SparkSession, table: LedgerTable, paths: str | Sequence[str]) -> int:
-    """Bulk import; returns the number of rows written."""
-    raw = read_csv_text(spark, paths)
-    cleaned = clean_expenses(raw, passthrough=[SEQ_COL])
-    return table.import_rows(cleaned, [SEQ_COL])
+def import_csv(spark: SparkSession, table: LedgerTable, paths: str | Sequence[str], rejects_path: str | None = None) -> int:
+    """Bulk import; returns the number of rows written.
+
+    The files may have different headers. A record that is no row (more cells
+    than the header, or a quote that is never closed) stops the import before
+    anything is written, unless there is a ``rejects_path``: then such records are
+    appended to the table there and the rows are imported."""
+    tables = scan_csv(spark, paths)
+    cleaned = [clean_expenses(t.rows, passthrough=[SEQ_COL]) for t in tables]
+    rejects = all_rejects(tables)
+    if rejects_path is not None:
+        rejects.write.mode("append").parquet(rejects_path)
+    elif first := rejects.head(1):
+        raise ValueError(f"{first[0]['file']} holds {first[0]['reason']}: {first[0]['record'][:200]}")
+    rows = cleaned[0]
+    for more in cleaned[1:]:
+        rows = rows.unionByName(more)
+    return table.import_rows(rows, [SEQ_COL])

@@ -1,6 +1,6 @@
 """Sales report, batch: CSV files → clean → analyse → report tables.
 
-    raw      = read_csv_text(paths)                 (S1, text + row_seq)
+    tables   = scan_csv(paths)                      (S1, text + row_seq, a table per header; rejects)
     cleaned, metrics = clean_with_metrics(raw)      (P1–P11, A11, A12, A15: one shuffle)
     analysis = run_analysis(cleaned)                (A1–A4)
     write_report({...}, root, report_id)            (S9)
@@ -17,11 +17,12 @@ from collections.abc import Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from salesledger.operators.quality import clean_with_metrics
 from salesledger.operators.sales import SalesAnalysis, chart_series, run_analysis
 from salesledger.operators.totals import with_total_row
-from salesledger.sources.csv import SEQ_COL, read_csv_text
+from salesledger.sources.csv import SEQ_COL, all_rejects, scan_csv
 from salesledger.sources.sinks import write_report
 
 
@@ -32,10 +33,13 @@ class SalesReport:
     cleaned: DataFrame
     analysis: SalesAnalysis
     metrics: DataFrame
+    rejects: DataFrame | None = None
 
     def tables(self) -> dict[str, DataFrame]:
+        """The report's sheets; with files as input also the records that are no
+        rows, and their number by file and reason."""
         a = self.analysis
-        return {
+        sheets = {
             "raw_data": self.raw.drop(SEQ_COL),
             "cleaned_data": self.cleaned,
             "kpis": a.kpis,
@@ -45,16 +49,28 @@ class SalesReport:
             "regional_sales": with_total_row(a.regional_sales, "region", ["revenue", "orders", "revenue_share_pct"]),
             "chart_top_products": chart_series(a.top_products, n=5),
         }
+        if self.rejects is not None:
+            sheets["rejects"] = self.rejects.drop(SEQ_COL)
+            sheets["reject_counts"] = self.rejects.groupBy("file", "reason").agg(F.count(F.lit(1)).alias("records"), F.sum("lines").alias("lines"))
+        return sheets
 
 
-def build_sales_report(spark: SparkSession, raw: DataFrame, report_id: str | None = None) -> SalesReport:
-    cleaned, metrics = clean_with_metrics(raw)
+def build_sales_report(
+    spark: SparkSession, raw: DataFrame | Sequence[DataFrame], report_id: str | None = None, rejects: DataFrame | None = None
+) -> SalesReport:
+    """A report on one raw table, or on several whose headers differ."""
+    tables = [raw] if isinstance(raw, DataFrame) else list(raw)
+    cleaned, metrics = clean_with_metrics(tables)
+    shown = tables[0]
+    for more in tables[1:]:
+        shown = shown.unionByName(more, allowMissingColumns=True)
     return SalesReport(
         report_id=report_id or uuid.uuid4().hex,
-        raw=raw,
+        raw=shown,
         cleaned=cleaned,
         analysis=run_analysis(cleaned),
         metrics=metrics,
+        rejects=rejects,
     )
 
 
@@ -65,6 +81,9 @@ def run_sales_report(
     report_id: str | None = None,
     fmt: str = "parquet",
 ) -> dict[str, str]:
-    """Read, clean, analyse and write every report table; returns the paths."""
-    report = build_sales_report(spark, read_csv_text(spark, input_paths), report_id)
+    """Read, clean, analyse and write every report table; returns the paths.
+    The files may have different headers; records that are no rows are in the
+    report's ``rejects`` and ``reject_counts``."""
+    tables = scan_csv(spark, input_paths)
+    report = build_sales_report(spark, [t.rows for t in tables], report_id, all_rejects(tables))
     return write_report(report.tables(), output_root, report.report_id, fmt)

@@ -1,26 +1,100 @@
 """CSV scan for sales and ledger uploads.
 
-All columns are read as text (no inference: types are decided by the
-cleaning rules), the header row names the columns, and every row gets a
-``row_seq`` that follows file order:
-``struct(file path, split start, monotonically_increasing_id)``.  The id
-alone is not enough: a file split into several partitions, or several files
-packed into one, would interleave.  ``row_seq`` is computed right after the
-scan, before any shuffle.
+All columns are read as text (types are decided by the cleaning rules), the
+header row names the columns, and every row gets a ``row_seq`` that follows file
+order: ``struct(file path, split start, position)``. The position alone is not
+enough: a file split into several partitions, or several files packed into
+one, would interleave.
+
+Files are read in splits, also where quoted cells hold newlines. One pass over
+the lines finds, for each file, its header and whether any line opens a quoted
+cell that it does not close. Files without such a line are plain: every line is
+a record, and Spark's reader takes their splits as they are. In the others, what a
+line does to the state "inside a quoted cell" depends on the state before it,
+so each line is a function of two states. The functions are composed along a
+split by running windows, and along a file over one row per split; that gives
+each line the record it belongs to, and the lines of a record are joined, also
+across splits.
+
+Records that cannot be rows are rejects, not errors and not silence: those
+with more cells than the header, and a last record whose quote is never closed.
 """
 
 from __future__ import annotations
 
+import csv
+import re
+from collections import defaultdict
 from collections.abc import Sequence
+from dataclasses import dataclass
+from decimal import Decimal
+from urllib.parse import unquote
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructField, StructType
 
 from salesledger.functions import strip_replacement_chars
+from salesledger.session import written_once
 
 SEQ_COL = "row_seq"
-BAD_COL = "_bad_record"
+TOO_LONG = "more cells than the header"
+UNCLOSED = "a quote that is never closed"
+# Lines that a header may span.
+HEADER_LINES = 100
+# A cell that ends a record, to tell how many cells it has.
+_END = "\u0001end\u0001"
+# States along a line: at a cell's start, in a bare cell, in a quoted cell, and
+# after a quote in one (the next character tells whether it was the last).
+_START, _BARE, _QUOTED, _QUOTE = range(4)
+_HASH_SPAN = Decimal(2**64)
+
+
+@dataclass
+class CsvTable:
+    """Files with one header: ``rows`` (the header's columns and ``row_seq``), and
+    ``rejects``: file, row_seq, reason, record (of an unclosed one the first
+    line), lines. Rows and rejects together are the files' records."""
+
+    names: list[str]
+    files: list[str]
+    rows: DataFrame
+    rejects: DataFrame
+
+
+def scan_csv(
+    spark: SparkSession, paths: str | Sequence[str], csv_only: bool = True, multiline: bool = True, strict: bool = False
+) -> list[CsvTable]:
+    """Read one file, a folder, or a list of either: a table for each distinct
+    header, in the order of its first file.
+
+    ``csv_only`` keeps only ``*.csv`` names in folders. Quoted newlines are part of
+    their cell; ``multiline=False`` takes every line as a record, for input
+    known to have none. Missing cells at the end of a row are null, blank lines
+    are no records, bytes that are not UTF-8 are dropped. An unreadable path, no
+    file at all, and a file without a header are a ``ValueError``. With ``strict``
+    a reject raises when the rows are read, whichever columns are used.
+    """
+    where = [paths] if isinstance(paths, str) else list(paths)
+    try:
+        layout = _layout(_lines(spark, where, csv_only), multiline)
+    except Exception as exc:  # noqa: BLE001 - one kind of error for every unreadable input
+        raise ValueError(f"cannot read CSV text from {paths}: {exc}") from exc
+    tables = []
+    for header, files in layout.items():
+        names = _names(spark, min(f for f, _ in files))
+        parts = []
+        for spread in (False, True):
+            own = [f for f, multi in files if multi == spread]
+            if own:
+                whole = len(own) == sum(map(len, layout.values()))
+                read = where if whole else [_as_path(f) for f in own]
+                parts.append((_spread if spread else _plain)(spark, read, csv_only and whole, names, strict))
+        rows, rejects = parts[0]
+        for r, j in parts[1:]:
+            rows, rejects = rows.unionByName(r), rejects.unionByName(j)
+        tables.append(CsvTable(names, sorted(f for f, _ in files), rows, rejects))
+    return sorted(tables, key=lambda t: t.files[0])
 
 
 def read_csv_text(
@@ -30,53 +104,218 @@ def read_csv_text(
     multiline: bool = True,
     with_seq: bool = True,
 ) -> DataFrame:
-    """Read one file, a folder, or a list of either; nothing is lost silently.
-
-    ``csv_only`` keeps only ``*.csv`` names in folders.  Quoted newlines are
-    part of their cell; ``multiline=False`` reads splits of large files in
-    parallel, for input known to have none.  Files whose header differs from
-    the first one's raise (``read_csv_groups`` reads those), and so does a row
-    with more cells than the header; missing cells at the end are null.  Bytes
-    that are not UTF-8 are dropped.
-    """
-    reader = (
-        spark.read.option("header", True)
-        .option("inferSchema", False)
-        .option("enforceSchema", False)
-        .option("encoding", "UTF-8")
-        .option("escape", '"')
-        .option("multiLine", multiline)
-    )
+    """The rows of files that share one header, read strictly; see :func:`scan_csv`.
+    Files with different headers are a ``ValueError`` (``read_csv_groups`` reads
+    those)."""
+    tables = scan_csv(spark, paths, csv_only, multiline, strict=True)
+    if len(tables) > 1:
+        shown = "; ".join(f"{t.files[0]}: {', '.join(t.names)}" for t in tables[:3])
+        raise ValueError(f"the files have {len(tables)} different headers: {shown}")
+    return tables[0].rows if with_seq else tables[0].rows.drop(SEQ_COL)
+
+
+def read_csv_groups(spark: SparkSession, paths: str | Sequence[str], multiline: bool = True) -> list[DataFrame]:
+    """One table per distinct header among ``paths``, each like ``read_csv_text``:
+    normalize the names, then ``unionByName``."""
+    return [t.rows for t in scan_csv(spark, paths, multiline=multiline, strict=True)]
+
+
+def all_rejects(tables: Sequence[CsvTable]) -> DataFrame:
+    """The rejects of several tables."""
+    rejects = tables[0].rejects
+    for t in tables[1:]:
+        rejects = rejects.unionByName(t.rejects)
+    return rejects
+
+
+# -- the layout of the files ---------------------------------------------------
+
+
+def _lines(spark: SparkSession, where: Sequence[str], csv_only: bool) -> DataFrame:
+    """(file, block, pos, line): the lines of files, in splits."""
+    reader = spark.read.option("lineSep", "\n")
     if csv_only:
         reader = reader.option("pathGlobFilter", "*.csv")
-    where = list(paths) if not isinstance(paths, str) else paths
-    try:
-        header = reader.csv(where).schema
-        checked = StructType([*header.fields, StructField(BAD_COL, StringType())])
-        df = reader.schema(checked).option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", BAD_COL).csv(where)
-    except Exception as exc:  # noqa: BLE001 - one kind of error for every unreadable input
-        raise ValueError(f"cannot read CSV text from {paths}: {exc}") from exc
-    # a bad record is a row with too few or too many cells; commas outside quotes tell which
-    commas = F.regexp_count(F.regexp_replace(BAD_COL, '"(?:[^"]|"")*"', ""), F.lit(","))
-    too_long = F.col(BAD_COL).isNotNull() & (commas >= len(header.fields))
-    message = F.concat(F.lit(f"a row has more than the header's {len(header.fields)} cells: "), F.col(BAD_COL))
-    first = header.fields[0].name
-    cols = {f.name: strip_replacement_chars(F.col(f"`{f.name}`")) for f in header if isinstance(f.dataType, StringType)}
-    cols[first] = F.when(too_long, F.raise_error(message).cast("string")).otherwise(cols[first])
-    if with_seq:
-        cols[SEQ_COL] = F.struct(
-            F.col("_metadata.file_path").alias("file"),
-            F.col("_metadata.file_block_start").alias("block"),
-            F.monotonically_increasing_id().alias("pos"),
+    place = [F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block")]
+    return reader.text(list(where)).select(*place, F.monotonically_increasing_id().alias("pos"), F.col("value").alias("line"))
+
+
+def _is_blank(line: Column) -> Column:
+    return F.trim(F.translate(line, "\r\t", "  ")) == ""
+
+
+def _ends_quoted(line: Column, inside: bool) -> Column:
+    """Whether a line that starts inside a quoted cell (or outside) ends inside one."""
+    pieces = F.split(line, '"')
+    head = F.element_at(pieces, 1)
+    at_start = (head == "") | head.endswith(",")
+    begin = F.lit(_QUOTED) if inside else F.when(at_start, _START).otherwise(_BARE)
+
+    def after_quote(state: Column, text: Column) -> Column:
+        return (
+            F.when(state.isin(_START, _QUOTE), _QUOTED)
+            .when((state == _QUOTED) & (text == ""), _QUOTE)
+            .when(text.endswith(","), _START)
+            .otherwise(_BARE)
         )
-    return df.withColumns(cols).drop(BAD_COL)
+
+    end = F.aggregate(F.slice(pieces, F.lit(2), F.size(pieces)), begin, after_quote)
+    return F.when(F.contains(line, F.lit('"')), end == _QUOTED).otherwise(F.lit(inside))
 
 
-def read_csv_groups(spark: SparkSession, paths: Sequence[str], multiline: bool = True) -> list[DataFrame]:
-    """One table per distinct header among the files ``paths``: read each
-    with its own header, normalize the names, then ``unionByName``."""
-    groups: dict[tuple[str, ...], list[str]] = {}
-    for path in paths:  # a header line per file, not its rows
-        names = spark.read.option("header", True).option("escape", '"').csv(path).columns
-        groups.setdefault(tuple(names), []).append(path)
-    return [read_csv_text(spark, files, multiline=multiline) for files in groups.values()]
+def _layout(lines: DataFrame, multiline: bool) -> dict[str, list[tuple[str, bool]]]:
+    """header's hash -> (file, whether a line opens a cell that it does not close).
+
+    One hash aggregation with a row per file. A file's first line is known by its
+    position and kept as a hash in the same number, as text would need a sort.
+    """
+    opens = _ends_quoted(F.col("line"), False) if multiline else F.lit(False)
+    text_hash = F.xxhash64(F.rtrim(F.translate("line", "\r", " "))).cast("decimal(38,0)") + F.lit(Decimal(2**63))
+    place = F.col("pos").bitwiseAND(F.lit((1 << 33) - 1)).cast("decimal(11,0)")
+    first = F.when(F.col("block") == 0, place * F.lit(_HASH_SPAN) + text_hash)
+    found = lines.where(~_is_blank(F.col("line"))).groupBy("file").agg(F.min(first).alias("first"), F.bool_or(opens).alias("multi")).collect()
+    if not found:
+        raise ValueError("no CSV file with a header")
+    without = {_as_path(f) for f in lines.inputFiles()} - {_as_path(r["file"]) for r in found}
+    if without:
+        raise ValueError(f"no header in {', '.join(sorted(without)[:3])}")
+    layout: dict[str, list[tuple[str, bool]]] = defaultdict(list)
+    for r in found:
+        layout[str(r["first"] % _HASH_SPAN)].append((r["file"], r["multi"]))
+    return layout
+
+
+def _as_path(uri: str) -> str:
+    uri = re.sub("^file:/+", "/", uri)
+    return re.sub(r"([\[\]{}*?\\])", r"\\\1", unquote(uri))
+
+
+def _names(spark: SparkSession, file: str) -> list[str]:
+    """The names in a file's header; empty and repeated ones take their place's number."""
+    lines = _lines(spark, [_as_path(file)], False).where(~_is_blank(F.col("line"))).select("line").head(HEADER_LINES)
+    cells = next(csv.reader(r["line"].rstrip("\r") + "\n" for r in lines))
+    if any("\r" in c for c in cells):
+        raise ValueError(f"{file} ends its lines with carriage returns alone")
+    names = [c.replace("\ufffd", "") for c in cells]
+    seen = [n.lower() for n in names]
+    return [f"_c{k}" if not n else f"{n}{k}" if seen.count(n.lower()) > 1 else n for k, n in enumerate(names)]
+
+
+# -- records to rows -------------------------------------------------------------
+
+
+def _schema(names: Sequence[str], bad: str) -> StructType:
+    """Columns by place: header names may repeat or clash with ours."""
+    return StructType([StructField(f"c{k}", StringType()) for k in range(len(names))] + [StructField(bad, StringType())])
+
+
+def _only(rows: DataFrame, fits: Column, strict: bool, message: str, record: str) -> DataFrame:
+    """The rows that fit; with ``strict`` others raise. A filter, so no projection removes it."""
+    if strict:
+        fits = F.when(fits, True).otherwise(F.raise_error(F.concat(F.col(f"{SEQ_COL}.file"), F.lit(f": {message}: "), F.col(record))).cast("boolean"))
+    return rows.where(fits)
+
+
+def _split(parsed: DataFrame, names: Sequence[str], bad: str, strict: bool) -> tuple[DataFrame, DataFrame]:
+    """(rows, rejects) of (c0, c1, ..., bad, row_seq, lines); ``bad`` is the text of
+    a record with too few or too many cells."""
+    cells = StructType([StructField(f"c{k}", StringType()) for k in range(len(names))])
+    with_end = F.from_csv(F.concat(F.col(bad), F.lit("," + _END)), F.lit(cells.simpleString()), {"escape": '"', "multiLine": "true"})
+    short = F.coalesce(F.array_contains(F.array(*[with_end.getField(f.name) for f in cells]), _END), F.lit(False))
+    fits = F.col(bad).isNull() | short
+    message = f"a row has more than the header's {len(names)} cells"
+    rows = _only(parsed, fits, strict, message, bad).select(*[strip_replacement_chars(F.col(f"c{k}")).alias(n) for k, n in enumerate(names)], SEQ_COL)
+    rejects = parsed.where(~fits).select(F.col(f"{SEQ_COL}.file").alias("file"), SEQ_COL, F.lit(TOO_LONG).alias("reason"), F.col(bad).alias("record"), "lines")
+    return rows, rejects
+
+
+def _plain(spark: SparkSession, where: Sequence[str], csv_only: bool, names: Sequence[str], strict: bool) -> tuple[DataFrame, DataFrame]:
+    """Files in which every line is a record."""
+    bad = "_bad"
+    # without column pruning every record's cells are counted, whichever columns are used
+    options = {"header": True, "encoding": "UTF-8", "escape": '"', "mode": "PERMISSIVE", "columnNameOfCorruptRecord": bad, "columnPruning": False}
+    reader = spark.read.schema(_schema(names, bad)).options(**options)
+    if csv_only:
+        reader = reader.option("pathGlobFilter", "*.csv")
+    seq = F.struct(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("pos"))
+    parsed = reader.csv(list(where)).withColumns({SEQ_COL: seq, "lines": F.lit(1).cast("long")})
+    # always true: the reader refuses queries that use the column of bad records alone
+    return _split(parsed.where(F.coalesce(F.length("c0"), F.lit(0)) >= 0), names, bad, strict)
+
+
+def _spread(spark: SparkSession, where: Sequence[str], csv_only: bool, names: Sequence[str], strict: bool) -> tuple[DataFrame, DataFrame]:
+    """Files with records over several lines."""
+    records = written_once(_records(written_once(_lines(spark, where, csv_only))))
+    bad = "_bad"
+    options = {"escape": '"', "multiLine": "true", "mode": "PERMISSIVE", "columnNameOfCorruptRecord": bad}
+    whole = _only(records, ~F.col("unclosed"), strict, UNCLOSED, "record")
+    cell = F.from_csv(F.regexp_replace("record", "\r$", ""), F.lit(_schema(names, bad).simpleString()), options)
+    parsed = whole.select(SEQ_COL, "lines", F.inline(F.array(cell)))  # a generator: parsed once for all columns
+    rows, rejects = _split(parsed, names, bad, strict)
+    unclosed = records.where("unclosed").select(F.col(f"{SEQ_COL}.file").alias("file"), SEQ_COL, F.lit(UNCLOSED).alias("reason"), "record", "lines")
+    return rows, rejects.unionByName(unclosed)
+
+
+def _state_after(rows: DataFrame, start: Column, group: Sequence[str], order: str, name: str) -> DataFrame:
+    """Add ``name``: the state after each row along ``order``, from ``start`` before
+    the first. A row leaves ``_out`` if it meets the state outside, ``_in`` if it
+    meets the state inside; so it keeps a state, turns it, or sets it."""
+    along = Window.partitionBy(*group).orderBy(order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    turns, sets = F.col("_out") & ~F.col("_in"), F.col("_out") == F.col("_in")
+    counted = rows.withColumn("_turns", F.sum(turns.cast("long")).over(along))
+    last_set = F.last(F.when(sets, F.struct(F.col("_out").alias("state"), "_turns")), ignorenulls=True).over(along)
+
+    def turned(state: Column, n: Column) -> Column:
+        return F.when(n % 2 == 1, ~state).otherwise(state)
+
+    state = F.coalesce(turned(F.col("_set.state"), F.col("_turns") - F.col("_set._turns")), turned(start, F.col("_turns")))
+    return counted.withColumn("_set", last_set).withColumn(name, state).drop("_turns", "_set")
+
+
+def _records(lines: DataFrame) -> DataFrame:
+    """(row_seq, record, lines, unclosed) of frozen ``lines``, without headers.
+
+    Windows run over one split, or over a file's splits (one row each); only
+    lines of records that span several are grouped.
+    """
+    split = ["file", "block"]
+    in_split, in_file = Window.partitionBy(*split).orderBy("pos"), Window.partitionBy("file").orderBy("block")
+    ends = lines.withColumns({"_out": _ends_quoted(F.col("line"), False), "_in": _ends_quoted(F.col("line"), True)})
+    both = _state_after(_state_after(ends, F.lit(False), split, "pos", "_from_out"), F.lit(True), split, "pos", "_from_in")
+    both = written_once(both.drop("_out", "_in"))  # either state that a split may start in
+    last = both.groupBy(*split).agg(F.max(F.struct("pos", F.col("_from_out").alias("_out"), F.col("_from_in").alias("_in"))).alias("last")).select(*split, "last._out", "last._in")
+    opened = _state_after(last, F.lit(False), ["file"], "block", "_left_open")
+    state = written_once(opened.select(*split, "_left_open", F.coalesce(F.lag("_left_open").over(in_file), F.lit(False)).alias("_start")))
+
+    placed = both.join(state.select(*split, "_start"), split).withColumn("inside", F.when(F.col("_start"), F.col("_from_in")).otherwise(F.col("_from_out")))
+    placed = placed.withColumn("was_inside", F.coalesce(F.lag("inside").over(in_split), F.col("_start")))
+    placed = placed.where(F.col("was_inside") | ~_is_blank(F.col("line"))).withColumn("_begins", ~F.col("was_inside"))
+    number = F.sum(F.col("_begins").cast("long")).over(in_split.rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    numbered = written_once(placed.select(*split, "pos", "line", number.alias("_no"), "_begins", "inside"))
+
+    # lines before a split's first record belong to the last record of the splits before it
+    totals = numbered.groupBy(*split).agg(F.max("_no").alias("_n")).join(state.select(*split, "_left_open"), split)
+    before = in_file.rowsBetween(Window.unboundedPreceding, -1)
+    all_splits = in_file.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    holder = F.when(F.col("_n") > 0, F.struct("block", F.col("_n").alias("no")))
+    owners = totals.select(
+        *split,
+        F.last(holder, ignorenulls=True).over(before).alias("_before"),
+        F.last(holder, ignorenulls=True).over(all_splits).alias("_last"),
+        F.first(holder, ignorenulls=True).over(all_splits).getField("block").alias("_first"),
+        F.last("_left_open").over(all_splits).alias("_open"),
+    )
+    own = F.struct(F.col("block"), F.col("_no").alias("no"))
+    owned = numbered.join(owners, split).withColumn("owner", F.when(F.col("_no") > 0, own).otherwise(F.col("_before")))
+    is_header = (F.col("owner.block") == F.col("_first")) & (F.col("owner.no") == 1)
+    unclosed = F.coalesce(F.col("_open"), F.lit(False)) & (F.col("owner") == F.col("_last"))
+    owned = owned.where(~is_header).withColumn("unclosed", unclosed)
+    seq = F.struct("file", "block", "pos").alias(SEQ_COL)
+    alone = owned.where("_begins and not inside and not unclosed").select(seq, F.col("line").alias("record"), F.lit(1).cast("long").alias("lines"), "unclosed")
+    # of an unclosed record, which may be the rest of a file, only the first line is kept
+    several = owned.where("not _begins or inside or unclosed").withColumn("line", F.when(~F.col("unclosed") | F.col("_begins"), F.col("line")))
+    kept = F.collect_list(F.when(F.col("line").isNotNull(), F.struct("block", "pos", "line"))).alias("ls")
+    joined = several.groupBy("file", "owner").agg(kept, F.count(F.lit(1)).alias("lines"), F.bool_or("unclosed").alias("unclosed"), F.min(F.struct("block", "pos")).alias("at"))
+    text = F.array_join(F.transform(F.sort_array("ls"), lambda x: x["line"]), "\n")
+    several = joined.select(F.struct("file", F.col("at.block").alias("block"), F.col("at.pos").alias("pos")).alias(SEQ_COL), text.alias("record"), "lines", "unclosed")
+    return alone.unionByName(several)
