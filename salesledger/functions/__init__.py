@@ -1,7 +1,6 @@
 """Column expressions with the exact semantics the operators rely on."""
 
 from salesledger.functions.dates import (
-    DEFAULT_DATE_FORMATS,
     coerce_date,
     coerce_timestamp,
     day_str,
@@ -11,6 +10,7 @@ from salesledger.functions.numeric import (
     MONEY_DECIMAL,
     coerce_int,
     coerce_number,
+    count_total,
     money_parts,
     money_total,
     total_of_parts,
@@ -30,7 +30,6 @@ from salesledger.functions.text import (
 )
 
 __all__ = [
-    "DEFAULT_DATE_FORMATS",
     "DEFAULT_NULL_TOKENS",
     "MONEY_DECIMAL",
     "coerce_date",
@@ -38,6 +37,7 @@ __all__ = [
     "coerce_number",
     "coerce_timestamp",
     "contains_ci",
+    "count_total",
     "day_str",
     "money_parts",
     "money_total",

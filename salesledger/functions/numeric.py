@@ -58,7 +58,8 @@ def round_half_even(c: Column | str, digits: int = 2) -> Column:
 
 
 def round_half_up(c: Column | str, digits: int = 1) -> Column:
-    """Display rounding (``toFixed``-like): half away from zero."""
+    """Display rounding: half away from zero, on the number's decimal digits (so
+    1.45 gives 1.5, where a browser's ``toFixed`` rounds the binary value to 1.4)."""
     return F.round(as_col(c), digits)
 
 
@@ -103,6 +104,11 @@ def money_total(c: Column | str) -> Column:
     return F.coalesce(exact.cast("double"), F.lit(0.0)) + rest
 
 
+def count_total(c: Column | str) -> Column:
+    """Sum of whole numbers, as a decimal: longs that add up beyond a long stay exact."""
+    return F.sum(as_col(c).cast("decimal(20,0)")).cast("decimal(38,0)")
+
+
 def money_sum(c: Column | str) -> Column:
     """``money_total``, 0.0 for no rows."""
     return F.coalesce(money_total(c), F.lit(0.0))

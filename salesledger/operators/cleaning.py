@@ -13,7 +13,6 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DateType, NumericType, StringType, TimestampNTZType, TimestampType
 
 from salesledger.functions import (
-    DEFAULT_DATE_FORMATS,
     DEFAULT_NULL_TOKENS,
     coerce_date,
     coerce_int,
@@ -23,6 +22,8 @@ from salesledger.functions import (
     strip_ws,
     title_case,
 )
+from salesledger.functions.dates import DateFormat
+from salesledger.operators.date_order import DAY_FIRST, with_day_first
 from salesledger.operators.dedup import keep_first
 from salesledger.operators.headers import (
     LEDGER_ALIASES,
@@ -90,7 +91,7 @@ def standardize_text(df: DataFrame, cols: Sequence[str]) -> DataFrame:
 
 
 def parse_dates(
-    df: DataFrame, col: str = "date", formats: Sequence[str] = DEFAULT_DATE_FORMATS, drop_bad: bool = True
+    df: DataFrame, col: str = "date", formats: Sequence[DateFormat] | None = None, drop_bad: bool = True
 ) -> DataFrame:
     """Parse to a date and drop rows whose date does not parse (with
     ``drop_bad=False`` they stay, with a null date).
@@ -104,7 +105,8 @@ def parse_dates(
     2-2.5x slower on the same rows.
     """
     typed = _is_typed(df, col, (DateType, TimestampType, TimestampNTZType))
-    parsed = coerce_date(col, formats, typed_input=typed)
+    day_first = F.col(DAY_FIRST) if DAY_FIRST in df.columns else False
+    parsed = coerce_date(col, formats, typed_input=typed, day_first=day_first)
     if typed:
         out = df.withColumn(col, parsed)
     else:
@@ -116,8 +118,10 @@ def clean_sales(
     df: DataFrame,
     order_cols: Sequence[str | Column] = ("row_seq",),
     null_tokens: Iterable[str] | None = DEFAULT_NULL_TOKENS,
-    date_formats: Sequence[str] = DEFAULT_DATE_FORMATS,
+    date_formats: Sequence[DateFormat] | None = None,
     keep_order_cols: bool = False,
+    orders: DataFrame | None = None,
+    orders_by: Column | None = None,
 ) -> DataFrame:
     """Raw sales rows → the 8 canonical, typed columns.
 
@@ -125,8 +129,11 @@ def clean_sales(
     coercion (a non-numeric revenue survives as 0.0), duplicates are removed
     before date parsing (a bad-date first copy takes its duplicates with it).
     ``order_cols`` defines "first" for duplicates: by default the reader's
-    file-order sequence.
+    file-order sequence. ``orders`` (see ``date_order``) decides for each value of
+    ``orders_by`` whether dates have the day first.
     """
+    if orders is not None:
+        df = with_day_first(df, orders, orders_by)
     df = normalize_headers(df, SALES_ALIASES, sales_header_key)
     require_columns(df, SALES_REQUIRED)
     df = null_tokens_pass(df, null_tokens)
@@ -135,7 +142,7 @@ def clean_sales(
     df = fill_sales_text(df)
     df = df.withColumn("order_id", strip_ws(F.col("order_id").cast("string")))
     order_names = [c for c in order_cols if isinstance(c, str)]
-    keep = [c for c in SALES_COLUMNS] + [c for c in order_names if c not in SALES_COLUMNS]
+    keep = [c for c in SALES_COLUMNS] + [c for c in order_names if c not in SALES_COLUMNS] + [DAY_FIRST] * (orders is not None)
     df = df.select(*keep)
     df = keep_first(df, "order_id", order_cols)
     df = finish_sales(df, date_formats)
@@ -143,7 +150,7 @@ def clean_sales(
     return df.select(*out)
 
 
-def finish_sales(df: DataFrame, date_formats: Sequence[str] = DEFAULT_DATE_FORMATS, drop_bad: bool = True) -> DataFrame:
+def finish_sales(df: DataFrame, date_formats: Sequence[DateFormat] | None = None, drop_bad: bool = True) -> DataFrame:
     """The rules that follow de-duplication, row by row: dates parsed (rows
     whose date does not parse are dropped, unless ``drop_bad`` is off), text
     standardised, numbers coerced with their defaults."""
@@ -162,17 +169,22 @@ def finish_sales(df: DataFrame, date_formats: Sequence[str] = DEFAULT_DATE_FORMA
 def clean_expenses(
     df: DataFrame,
     null_tokens: Iterable[str] | None = DEFAULT_NULL_TOKENS,
-    date_formats: Sequence[str] = DEFAULT_DATE_FORMATS,
+    date_formats: Sequence[DateFormat] | None = None,
     null_category: str = "Nan",
     passthrough: Sequence[str] = (),
+    orders: DataFrame | None = None,
+    orders_by: Column | None = None,
 ) -> DataFrame:
     """Ledger import rows → ``amount, category, description, date``.
 
     No de-duplication and no positivity rule (an unparseable amount is
     imported as 0.0).  A null category becomes ``null_category``; the
     default mirrors how a missing value prints as text and is then
-    title-cased.  ``date`` is a DateType; ``date_str`` renders it.
+    title-cased.  ``date`` is a DateType; ``date_str`` renders it. ``orders`` and
+    ``orders_by`` are those of ``clean_sales``.
     """
+    if orders is not None:
+        df = with_day_first(df, orders, orders_by)
     df = normalize_headers(df, LEDGER_ALIASES, ledger_header_key)
     require_columns(df, LEDGER_REQUIRED)
     df = null_tokens_pass(df, null_tokens)

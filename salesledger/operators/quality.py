@@ -28,7 +28,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DateType, TimestampNTZType, TimestampType
 
-from salesledger.functions import DEFAULT_DATE_FORMATS, DEFAULT_NULL_TOKENS, coerce_date, round_half_up, strip_ws
+from salesledger.functions import DEFAULT_NULL_TOKENS, coerce_date, round_half_up, strip_ws
+from salesledger.functions.dates import DateFormat
 from salesledger.operators.cleaning import (
     SALES_COLUMNS,
     add_missing_sales_columns,
@@ -36,6 +37,7 @@ from salesledger.operators.cleaning import (
     finish_sales,
     null_tokens_pass,
 )
+from salesledger.operators.date_order import DAY_FIRST, with_day_first
 from salesledger.operators.headers import SALES_ALIASES, SALES_REQUIRED, normalize_headers, require_columns, sales_header_key
 from salesledger.session import written_once
 
@@ -71,6 +73,8 @@ def sales_groups(
     order_cols: Sequence[str | Column] = ("row_seq",),
     null_tokens: Iterable[str] | None = DEFAULT_NULL_TOKENS,
     payload: Sequence[str] = SALES_PAYLOAD,
+    orders: Sequence[DataFrame] | None = None,
+    orders_by: Column | None = None,
 ) -> DataFrame:
     """One row per (stripped ``order_id``, ``_key_null``) of raw sales rows:
     ``_n`` rows, ``_compat`` rows the dashboard counts as null, and the
@@ -78,8 +82,12 @@ def sales_groups(
     broken by the payload, so the choice is deterministic).
 
     ``raw`` may be several tables with headers of their own; each gets the
-    defaults of the columns that it lacks."""
+    defaults of the columns that it lacks. ``orders`` has the date orders of each
+    (see ``date_order``)."""
     tables = [raw] if isinstance(raw, DataFrame) else list(raw)
+    if orders is not None:
+        tables = [with_day_first(t, o, orders_by) for t, o in zip(tables, orders, strict=True)]
+        payload = (*payload, DAY_FIRST)
     df = _keyed(tables[0], order_cols, null_tokens, payload)
     for more in tables[1:]:
         df = df.unionByName(_keyed(more, order_cols, null_tokens, payload))
@@ -101,7 +109,7 @@ def cleaned_from_groups(finished: DataFrame) -> DataFrame:
     return finished.filter(~F.col("_key_null") & F.col("date").isNotNull()).select(*SALES_COLUMNS)
 
 
-def metrics_from_groups(groups: DataFrame, date_formats: Sequence[str] = DEFAULT_DATE_FORMATS) -> DataFrame:
+def metrics_from_groups(groups: DataFrame, date_formats: Sequence[DateFormat] | None = None) -> DataFrame:
     """One row of cleaning counts from ``sales_groups`` output."""
     kept = ~F.col("_key_null")
     typed = isinstance(groups.schema["date"].dataType, (DateType, TimestampType, TimestampNTZType))
@@ -136,7 +144,7 @@ def quality_metrics(
     raw: DataFrame | Sequence[DataFrame],
     order_cols: Sequence[str | Column] = ("row_seq",),
     null_tokens: Iterable[str] | None = DEFAULT_NULL_TOKENS,
-    date_formats: Sequence[str] = DEFAULT_DATE_FORMATS,
+    date_formats: Sequence[DateFormat] | None = None,
 ) -> DataFrame:
     """One row of cleaning counts for ``raw`` (the reader's output).  Only
     the first row's date is carried through the grouping."""
@@ -148,8 +156,10 @@ def clean_with_metrics(
     raw: DataFrame | Sequence[DataFrame],
     order_cols: Sequence[str | Column] = ("row_seq",),
     null_tokens: Iterable[str] | None = DEFAULT_NULL_TOKENS,
-    date_formats: Sequence[str] = DEFAULT_DATE_FORMATS,
+    date_formats: Sequence[DateFormat] | None = None,
     freeze: bool = True,
+    orders: Sequence[DataFrame] | None = None,
+    orders_by: Column | None = None,
 ) -> tuple[DataFrame, DataFrame]:
     """(cleaned table, quality counts) from one grouped pass over ``raw``.
 
@@ -158,7 +168,7 @@ def clean_with_metrics(
     shared folder: counts and analyses read the columns they need of it, and
     no date or text is cleaned twice.
     """
-    finished = finish_sales(sales_groups(raw, order_cols, null_tokens), date_formats, drop_bad=False)
+    finished = finish_sales(sales_groups(raw, order_cols, null_tokens, orders=orders, orders_by=orders_by), date_formats, drop_bad=False)
     if freeze:
         finished = written_once(finished)
     return cleaned_from_groups(finished), metrics_from_groups(finished, date_formats)

@@ -13,7 +13,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from salesledger.functions import money_sum, money_total, month_key, safe_ratio
+from salesledger.functions import count_total, money_sum, money_total, month_key, safe_ratio
 from salesledger.operators.shares import with_share
 
 TOP_PRODUCTS_N = 10
@@ -39,7 +39,7 @@ def product_totals(df: DataFrame) -> DataFrame:
         df.groupBy("product")
         .agg(
             money_total("revenue").alias("revenue"),
-            F.sum("quantity").alias("quantity_sold"),
+            count_total("quantity").alias("quantity_sold"),
             F.count("order_id").alias("orders"),
         )
         .filter(F.col("product").isNotNull())
@@ -59,7 +59,7 @@ def monthly_trend(df: DataFrame) -> DataFrame:
         .agg(
             money_total("revenue").alias("revenue"),
             F.count("order_id").alias("orders"),
-            F.sum("quantity").alias("quantity_sold"),
+            count_total("quantity").alias("quantity_sold"),
         )
         .filter(F.col("month").isNotNull())
         .select("month", "revenue", "orders", "quantity_sold")

@@ -19,7 +19,8 @@ def with_total_row(df: DataFrame, label_col: str, sum_cols: Sequence[str], label
     types = {f.name: f.dataType for f in df.schema}
     aggs = []
     for c in sum_cols:
-        if isinstance(types[c], (DoubleType, FloatType, DecimalType)):
+        whole = isinstance(types[c], DecimalType) and types[c].scale == 0
+        if isinstance(types[c], (DoubleType, FloatType, DecimalType)) and not whole:
             aggs.append(F.coalesce(money_total(c).cast(types[c]), F.lit(0).cast(types[c])).alias(c))
         else:
             aggs.append(F.coalesce(F.sum(c), F.lit(0)).cast(types[c]).alias(c))

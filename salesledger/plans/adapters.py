@@ -204,6 +204,42 @@ def sparse_sales_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+# Priorities whose orders are rendered with the day first, as files of their own.
+DAY_FIRST_FILES = ("1-URGENT", "2-HIGH")
+
+
+def dated_orders_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders with their date as text in one of 14 layouts, the priority as the
+    ``file`` they come from; some files have the day first."""
+    o = table(spark, sf_dir, "orders")
+    day = F.col("o_orderdate")
+    day_first = F.col("o_orderpriority").isin(*DAY_FIRST_FILES)
+
+    def either(day_pattern: str, month_pattern: str):
+        return F.when(day_first, F.date_format(day, day_pattern)).otherwise(F.date_format(day, month_pattern))
+
+    layouts = [
+        F.date_format(day, "yyyy-MM-dd"),
+        F.date_format(day, "yyyy-MM-dd HH:mm:ss"),
+        F.concat(F.date_format(day, "yyyy-MM-dd'T'HH:mm:ss"), F.lit(".123456789Z")),
+        F.date_format(day, "MMM d yyyy"),
+        F.date_format(day, "d MMMM, yyyy"),
+        F.date_format(day, "yyyy/MM/dd HH:mm"),
+        F.concat(F.date_format(day, "EEE, dd MMM yyyy HH:mm:ss"), F.lit(" GMT")),
+        F.date_format(day, "yyyy-MM-dd hh:mm a"),
+        F.date_format(day, "yyyyMMdd'T'HHmmss"),
+        F.concat(F.date_format(day, "yyyy-MM-dd"), F.lit(" 10:30 UTC")),
+        either("dd/MM/yyyy", "MM/dd/yyyy"),
+        either("dd/MM/yyyy HH:mm", "MM/dd/yyyy HH:mm"),
+        either("d.M.yyyy", "M.d.yyyy"),
+        either("d/M/yy", "M/d/yy"),
+    ]
+    text = layouts[0]
+    for k, layout in enumerate(layouts[1:], 1):
+        text = F.when(F.col("o_orderkey") % len(layouts) == k, layout).otherwise(text)
+    return o.select(F.col("o_orderkey").alias("order_id"), F.col("o_orderpriority").alias("file"), text.alias("date"))
+
+
 def ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
     ev = table(spark, sf_dir, "events")
     return ev.select(

@@ -14,7 +14,8 @@ from pyspark.sql import functions as F
 from salesledger.operators import ledger as L
 from salesledger.operators import sales as S
 from salesledger.operators.changes import apply_updates, delete_ids, existing_ids, insert_rows, missing_ids
-from salesledger.operators.cleaning import clean_expenses, clean_sales
+from salesledger.operators.cleaning import clean_expenses, clean_sales, parse_dates
+from salesledger.operators.date_order import date_orders, with_day_first
 from salesledger.operators.dedup import keep_first
 from salesledger.operators.ids import assign_ids
 from salesledger.operators.quality import quality_metrics
@@ -24,6 +25,7 @@ from salesledger.plans import adapters as A
 from salesledger.plans import oracle as O
 from salesledger.plans.dashboards import ledger_dashboard_json, sales_dashboard_json
 from salesledger.plans.ledger_flows import expense_log
+from salesledger.session import written_once
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -125,6 +127,16 @@ def q_sales_dashboard_json(spark, d):
     return sales_dashboard_json(A.messy_sales_text(spark, d), order_cols=["row_seq"])
 
 
+def q_sales_date_orders(spark, d):
+    return date_orders(A.dated_orders_text(spark, d), "date", F.col("file"))
+
+
+def q_sales_date_layouts(spark, d):
+    raw = A.dated_orders_text(spark, d)
+    orders = written_once(date_orders(raw, "date", F.col("file")))
+    return parse_dates(with_day_first(raw, orders, F.col("file"))).select("order_id", "file", "date")
+
+
 # --------------------------------------------------------------- ledger ---
 def q_ledger_newest_first(spark, d):
     return L.newest_first(A.ledger(spark, d))
@@ -257,6 +269,8 @@ QUERIES: dict[str, Query] = {
     "sales_clean_top_products": q_sales_clean_top_products,
     "sales_clean_monthly_trend": q_sales_clean_monthly_trend,
     "sales_quality_metrics": q_sales_quality_metrics,
+    "sales_date_orders": q_sales_date_orders,
+    "sales_date_layouts": q_sales_date_layouts,
     "sales_sparse_clean": q_sales_sparse_clean,
     "sales_sparse_quality": q_sales_sparse_quality,
     "sales_dashboard_json": q_sales_dashboard_json,
@@ -328,7 +342,7 @@ def _monthly_body() -> str:
         """select strftime(date, '%Y-%m') as month, cast("""
         + O.money_sum("revenue")
         + """ as double) as revenue,
-       count(order_id) as orders, cast(sum(quantity) as bigint) as quantity_sold
+       count(order_id) as orders, cast(sum(quantity) as decimal(38,0)) as quantity_sold
 from sales group by 1 order by 1"""
     )
 
@@ -341,7 +355,7 @@ def _top_products_body(limit: int) -> str:
     return (
         """select product, cast("""
         + O.money_sum("revenue")
-        + """ as double) as revenue, cast(sum(quantity) as bigint) as quantity_sold,
+        + """ as double) as revenue, cast(sum(quantity) as decimal(38,0)) as quantity_sold,
        count(order_id) as orders
 from sales group by product order by revenue desc, product limit """
         + str(limit)
@@ -438,12 +452,12 @@ ORACLE: dict[str, str] = {
     + """select product, revenue, quantity_sold, orders, 'row' as row_kind from top
 union all
 select 'Total', coalesce(cast(sum(cast(revenue as decimal(28,4))) as double), 0.0),
-       cast(coalesce(sum(quantity_sold), 0) as bigint), cast(coalesce(sum(orders), 0) as bigint), 'total' from top""",
+       cast(coalesce(sum(quantity_sold), 0) as decimal(38,0)), cast(coalesce(sum(orders), 0) as bigint), 'total' from top""",
     "sales_monthly_with_total": O.with_(O.SALES_ORDERS, "\nm as (" + _monthly_body() + ")")
     + """select month, revenue, orders, quantity_sold, 'row' as row_kind from m
 union all
 select 'Total', coalesce(cast(sum(cast(revenue as decimal(28,4))) as double), 0.0),
-       cast(coalesce(sum(orders), 0) as bigint), cast(coalesce(sum(quantity_sold), 0) as bigint), 'total' from m""",
+       cast(coalesce(sum(orders), 0) as bigint), cast(coalesce(sum(quantity_sold), 0) as decimal(38,0)), 'total' from m""",
     "sales_regional_with_total": O.with_(O.SALES_ORDERS, "\nr as (" + _regional_body() + ")")
     + """select region, revenue, orders, revenue_share_pct, 'row' as row_kind from r
 union all
@@ -456,6 +470,12 @@ select 'Total', coalesce(cast(sum(cast(revenue as decimal(28,4))) as double), 0.
     "sales_clean_top_products": _top_products(CLEANED_AS_SALES),
     "sales_clean_monthly_trend": _monthly(CLEANED_AS_SALES),
     "sales_quality_metrics": O.with_(O.MESSY) + _quality("cleaned", "0"),
+    "sales_date_orders": f"""
+select file as date_group, count(*) filter (dated and is_day and d > 12) as n_day_first, count(*) filter (dated and not is_day and d > 12) as n_month_first,
+       count(*) filter (dated and d <= 12 and d <> m) as n_either, is_day as day_first, false as mixed, false as unclear
+from (select o_orderpriority as file, o_orderpriority in {A.DAY_FIRST_FILES} as is_day, o_orderkey % 14 >= 10 as dated,
+             day(o_orderdate) as d, month(o_orderdate) as m from orders) group by file, is_day""",
+    "sales_date_layouts": "select o_orderkey as order_id, o_orderpriority as file, cast(o_orderdate as date) as date from orders",
     "sales_sparse_clean": O.with_(O.SPARSE) + "select " + SALES_COLS + " from sparse",
     "sales_sparse_quality": O.with_(O.SPARSE) + _quality("sparse", NULL_KEYS),
     "sales_dashboard_json": O.with_(CLEANED_AS_SALES)

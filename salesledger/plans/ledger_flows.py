@@ -18,7 +18,10 @@ from pyspark.sql import functions as F
 
 from salesledger.operators import ledger as L
 from salesledger.operators.cleaning import clean_expenses
+from salesledger.operators.date_order import date_orders
+from salesledger.operators.headers import LEDGER_ALIASES, LEDGER_REQUIRED, header_mapping, ledger_header_key, normalize_headers, require_columns
 from salesledger.operators.totals import with_total_row
+from salesledger.session import written_once
 from salesledger.sources.csv import SEQ_COL, all_rejects, scan_csv
 from salesledger.sources.ledger_store import LEDGER_SCHEMA, LedgerTable
 from salesledger.sources.sinks import render_rows, write_report
@@ -54,6 +57,15 @@ def export_ledger(table: LedgerTable, output_root: str, report_id: str, fmt: str
     return write_report(export_tables(table.read()), output_root, report_id, fmt)
 
 
+def _cleaned_by_file(raw: DataFrame) -> DataFrame:
+    """Cleaned import rows; day first or month first is decided for each file."""
+    names = header_mapping(raw.columns, LEDGER_ALIASES, ledger_header_key)
+    require_columns(normalize_headers(raw, LEDGER_ALIASES, ledger_header_key), LEDGER_REQUIRED)
+    file = F.col(f"{SEQ_COL}.file")
+    orders = written_once(date_orders(raw, next(c for c, canonical in names.items() if canonical == "date"), file))
+    return clean_expenses(raw, passthrough=[SEQ_COL], orders=orders, orders_by=file)
+
+
 def import_csv(spark: SparkSession, table: LedgerTable, paths: str | Sequence[str], rejects_path: str | None = None) -> int:
     """Bulk import; returns the number of rows written.
 
@@ -62,7 +74,7 @@ def import_csv(spark: SparkSession, table: LedgerTable, paths: str | Sequence[st
     anything is written, unless there is a ``rejects_path``: then such records are
     appended to the table there and the rows are imported."""
     tables = scan_csv(spark, paths)
-    cleaned = [clean_expenses(t.rows, passthrough=[SEQ_COL]) for t in tables]
+    cleaned = [_cleaned_by_file(t.rows) for t in tables]
     rejects = all_rejects(tables)
     if rejects_path is not None:
         rejects.write.mode("append").parquet(rejects_path)

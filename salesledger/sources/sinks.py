@@ -9,7 +9,7 @@ from collections.abc import Mapping
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import DataType, DateType, FractionalType, StringType, TimestampNTZType, TimestampType
+from pyspark.sql.types import DataType, DateType, DecimalType, FractionalType, StringType, TimestampNTZType, TimestampType
 
 
 def write_csv(df: DataFrame, path: str, mode: str = "overwrite") -> None:
@@ -53,7 +53,7 @@ def _json_value(c: Column, kind: DataType) -> Column:
     if isinstance(kind, StringType):
         quoted = F.to_json(F.array(c))
         text = F.substr(quoted, F.lit(2), F.length(quoted) - 2)
-    elif isinstance(kind, FractionalType):
+    elif isinstance(kind, FractionalType) and not (isinstance(kind, DecimalType) and kind.scale == 0):
         text = F.coalesce(c.try_cast("decimal(38,4)").cast("string"), c.cast("string"))
     else:
         text = c.cast("string")

@@ -19,7 +19,7 @@ def test_sales_report_writes_all_tables(spark, tmp_dir):
     _write(os.path.join(src, "sales.csv"), HEADERS, ROWS)
     paths = run_sales_report(spark, src, os.path.join(tmp_dir, "out"), report_id="r1")
     assert set(paths) == {"raw_data", "cleaned_data", "kpis", "metrics", "top_products", "monthly_trends",
-                          "regional_sales", "chart_top_products", "rejects", "reject_counts"}
+                          "regional_sales", "chart_top_products", "rejects", "reject_counts", "date_orders"}
     assert spark.read.parquet(paths["rejects"]).count() == 0
     assert spark.read.parquet(paths["raw_data"]).count() == len(ROWS)
     reg = spark.read.parquet(paths["regional_sales"])

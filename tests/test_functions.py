@@ -165,3 +165,43 @@ def test_money_totals_lose_nothing(spark):
     assert total([1e30, 1.0]) == 1e30 and total([0.1] * 10) == 1.0 and total([]) == 0.0
     assert abs(total([0.00004] * 1000) - 0.04) < 1e-12
     assert spark.range(1).select(coerce_number(F.lit("1e999"), 0.0).alias("v")).first().v == 0.0
+
+
+def test_date_and_time_layouts_combine(spark):
+    texts = ["01/13/2026 10:30", "13/01/2026 10:30:00", "2026-01-13T10:00:00.123456789Z", "Jan 13 2026", "13 January, 2026", "2026/01/13 10:30", "13.01.2026",
+             "1/13/26", "2026-01-13 10:00 UTC", "Tue, 13 Jan 2026 10:00:00 GMT", "2026-01-13 10:30 PM", "20260113T100000", "January 13th, 2026", "2026-Jan-13",
+             "13-JAN-26", "1.13.2026 9:05:01 am", "2026-01-13T10:00:00-0530", "Tuesday, January 13, 2026 11:59 PM"]
+    bad = ["2026-01-13 25:00", "2026-01-13 13:30 PM", "13/13/2026", "2026-01-13 junk", "Jan 2026 13 4", "Foo 5 2026", "32 Jan 2026", "2026-01-13T", "", "1/13/026", "99999999"]
+    rows = spark.createDataFrame([(t,) for t in texts + bad], "t string").select("t", coerce_date("t").alias("d")).collect()
+    assert {r.t: str(r.d) for r in rows} == {t: "2026-01-13" for t in texts} | {t: "None" for t in bad}
+    sept = spark.range(1).select(coerce_date(F.lit("Sept 5, 2026")), coerce_date(F.lit("1/2/68")), coerce_date(F.lit("1/2/69"))).first()
+    assert [str(d) for d in sept] == ["2026-09-05", "2068-01-02", "1969-01-02"]
+
+
+def test_date_order_is_chosen_for_a_column(spark):
+    from salesledger.operators.date_order import date_orders, with_day_first
+    from salesledger.operators.cleaning import parse_dates
+
+    files = {
+        "day": ["13/01/2026", "12/01/2026 10:00", "5.2.26", "2026-03-04", None],
+        "month": ["01/13/2026", "12/01/2026"],
+        "mixed": ["01/13/2026", "13/01/2026", "12/01/2026"],
+        "unclear": ["12/01/2026", "1/1/2026"],
+        "none": ["2026-01-05", "x"],
+    }
+    df = spark.createDataFrame([(f, t) for f, ts in files.items() for t in ts], "file string, date string")
+    orders = date_orders(df, "date", F.col("file"))
+    got = {r.date_group: (r.n_day_first, r.n_month_first, r.n_either, r.day_first, r.mixed, r.unclear) for r in orders.collect()}
+    assert got == {
+        "day": (1, 0, 2, True, False, False),
+        "month": (0, 1, 1, False, False, False),
+        "mixed": (1, 1, 1, False, True, False),
+        "unclear": (0, 0, 1, False, False, True),
+        "none": (0, 0, 0, False, False, False),
+    }
+    parsed = parse_dates(with_day_first(df, orders, F.col("file")).withColumn("t", F.col("date")), drop_bad=False).collect()
+    dates = {(r.file, r.t): str(r.date) for r in parsed}
+    assert dates["day", "12/01/2026 10:00"] == "2026-01-12" and dates["day", "5.2.26"] == "2026-02-05"
+    assert {dates[f, "12/01/2026"] for f in ("month", "mixed", "unclear")} == {"2026-12-01"}
+    assert dates["mixed", "13/01/2026"] == "2026-01-13"
+    assert date_orders(df, "date").collect()[0].mixed
