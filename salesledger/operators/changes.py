@@ -9,23 +9,26 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
-from salesledger.functions import strip_ws
+from salesledger.functions import coerce_date, coerce_number, strip_ws
 
 LEDGER_FIELDS = ("id", "amount", "category", "description", "date")
 
 
 def normalize_changes(changes: DataFrame, order_col: str | None = None) -> DataFrame:
     """Write-side rules: text stripped, amount as double, missing
-    description as ''.  ``order_col`` is kept as ``_order``."""
+    description as ''.  An id, amount or date given as text that is none
+    becomes null.  ``order_col`` is kept as ``_order``."""
     kept = [F.col(order_col).alias("_order")] if order_col else []
+    text = {f.name for f in changes.schema if isinstance(f.dataType, StringType)}
     return changes.select(
         *kept,
-        F.col("id").cast("bigint").alias("id"),
-        F.col("amount").cast("double").alias("amount"),
+        (strip_ws("id").try_cast("bigint") if "id" in text else F.col("id").cast("bigint")).alias("id"),
+        coerce_number("amount", numeric_input="amount" not in text).alias("amount"),
         strip_ws(F.col("category").cast("string")).alias("category"),
         F.coalesce(strip_ws(F.col("description").cast("string")), F.lit("")).alias("description"),
-        F.col("date").cast("date").alias("date"),
+        coerce_date("date", typed_input="date" not in text).alias("date"),
     )
 
 
@@ -34,14 +37,16 @@ def valid_changes(changes: DataFrame) -> DataFrame:
     return changes.filter((F.col("amount") > 0) & F.col("category").isNotNull() & F.col("date").isNotNull())
 
 
-def latest_changes(changes: DataFrame, order_col: str | None = None) -> DataFrame:
-    """One change per id: the last by ``order_col``, as if applied in turn.
+def latest_changes(changes: DataFrame, order_col: str | None = None, only_valid: bool = False) -> DataFrame:
+    """One change per id: the last by ``order_col``, as if applied in turn;
+    ``only_valid`` leaves out what an edit form would not accept.
 
     Without an order a repeated id has no last change; the greatest of its
     rows by (date, amount, category, description) stands then, so that the
     result does not depend on partitioning.
     """
-    rows = normalize_changes(changes) if order_col is None else normalize_changes(changes, order_col)
+    rows = normalize_changes(changes, order_col)
+    rows = valid_changes(rows) if only_valid else rows
     order = [F.col("_order")] if order_col else []
     last = F.max(F.struct(*order, "date", "amount", "category", "description")).alias("_last")
     return rows.groupBy("id").agg(last).select("id", *[F.col(f"_last.{c}").alias(c) for c in LEDGER_FIELDS if c != "id"])
@@ -52,7 +57,7 @@ def apply_updates(ledger: DataFrame, changes: DataFrame, order_col: str | None =
     unknown ids are ignored (see ``missing_ids``).  Of several changes for an
     id the last counts (see ``latest_changes``).  ``only_valid`` leaves out
     what an edit form would not accept.  Spark picks the join from sizes."""
-    ch = latest_changes(valid_changes(changes) if only_valid else changes, order_col)
+    ch = latest_changes(changes, order_col, only_valid)
     ch = ch.select("id", F.lit(True).alias("_hit"), *[F.col(c).alias(f"_new_{c}") for c in LEDGER_FIELDS if c != "id"])
     joined = ledger.join(ch, "id", "left")
     hit = F.col("_hit").isNotNull()

@@ -16,6 +16,8 @@ from salesledger.functions.dates import date_part, year_last_parts
 from salesledger.functions.text import strip_ws
 
 DAY_FIRST = "_day_first"
+#: Groups up to which the choice is part of the expression.
+FEW = 1000
 
 
 def date_orders(df: DataFrame, col: str, by: Column | None = None) -> DataFrame:
@@ -35,9 +37,22 @@ def date_orders(df: DataFrame, col: str, by: Column | None = None) -> DataFrame:
     return counted.withColumns({"day_first": day & ~month, "mixed": day & month, "unclear": ~day & ~month & (F.col("n_either") > 0)})
 
 
+def day_first_groups(orders: DataFrame) -> list | None:
+    """The groups that have the day first, or None if there are over ``FEW``."""
+    found = orders.where("day_first").select("date_group").head(FEW + 1)
+    return None if len(found) > FEW else [r["date_group"] for r in found]
+
+
 def with_day_first(df: DataFrame, orders: DataFrame, by: Column | None = None) -> DataFrame:
     """``df`` with the choice for each row's group (``DAY_FIRST``), which
-    ``parse_dates`` follows. ``orders`` has a row per group; freeze it first."""
-    chosen = orders.select(F.col("date_group").alias("_group"), F.col("day_first").alias(DAY_FIRST))
-    keyed = df.withColumn("_by", F.lit(None).cast("string") if by is None else by)
-    return keyed.join(chosen, F.col("_by").eqNullSafe(F.col("_group")), "left").withColumn(DAY_FIRST, F.coalesce(DAY_FIRST, F.lit(False))).drop("_by", "_group")
+    ``parse_dates`` follows. ``orders`` has a row per group; freeze it first. A row-wise
+    step if few groups have the day first, else a join."""
+    group = F.lit(None).cast("string") if by is None else by
+    few = day_first_groups(orders)
+    if few is not None:
+        named = [g for g in few if g is not None]
+        chosen = F.coalesce(group.isin(named), F.lit(False)) if named else F.lit(False)
+        return df.withColumn(DAY_FIRST, chosen | group.isNull() if None in few else chosen)
+    choice = orders.select(F.col("date_group").alias("_group"), F.col("day_first").alias(DAY_FIRST))
+    joined = df.withColumn("_by", group).join(choice, F.col("_by").eqNullSafe(F.col("_group")), "left")
+    return joined.withColumn(DAY_FIRST, F.coalesce(DAY_FIRST, F.lit(False))).drop("_by", "_group")

@@ -206,8 +206,8 @@ class LedgerSummary:
 def ledger_summary(df: DataFrame) -> LedgerSummary:
     """KPIs, category breakdown, highest category and daily trend, all from
     one grouped scan of the facts, written once.  An empty ledger gives zeros,
-    'None' and empty tables."""
-    cells = written_once(day_category_totals(df))
+    'None' and empty tables. ``df`` may be ``day_category_totals`` already."""
+    cells = written_once(df if "_exact" in df.columns else day_category_totals(df))
     return LedgerSummary(
         kpis=ledger_kpis(cells),
         breakdown=category_breakdown(cells),

@@ -273,7 +273,7 @@ def ledger_import_text(spark: SparkSession, sf_dir: str) -> DataFrame:
         .when(t == "error", F.concat(F.lit(" "), F.col("props"), F.lit(" ")))
         .otherwise(F.col("props"))
         .alias("Notes"),
-        F.col("event_id").alias("row_seq"),
+        F.struct(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.col("event_id").alias("pos")).alias("row_seq"),
     )
 
 

@@ -17,15 +17,16 @@ from salesledger.operators.changes import apply_updates, delete_ids, existing_id
 from salesledger.operators.cleaning import clean_expenses, clean_sales, parse_dates
 from salesledger.operators.date_order import date_orders, with_day_first
 from salesledger.operators.dedup import keep_first
-from salesledger.operators.ids import assign_ids
+from salesledger.operators.ids import assign_ids_in_place
 from salesledger.operators.quality import quality_metrics
 from salesledger.operators.rates import base_rates, convert
 from salesledger.operators.totals import with_total_row
 from salesledger.plans import adapters as A
 from salesledger.plans import oracle as O
-from salesledger.plans.dashboards import ledger_dashboard_json, sales_dashboard_json
-from salesledger.plans.ledger_flows import expense_log
-from salesledger.session import written_once
+from salesledger.plans.dashboards import ledger_dashboard_json, sales_dashboard_json, summary_json
+from salesledger.plans.ledger_flows import expense_log, import_csv
+from salesledger.session import shared_path, written_once
+from salesledger.sources import LedgerTable, write_csv
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -37,6 +38,9 @@ LOOKUP_ID = 42
 BUDGET = L.DEFAULT_BUDGET
 B = f"cast({BUDGET} as double)"
 BUDGET_OF_BEST_MONTH = 1.02
+DEEP_PAGE_NO = 90
+# A cell's end with a line break, quotes and a comma.
+CSV_NOTE = '\n"noted", twice'
 
 
 # ---------------------------------------------------------------- sales ---
@@ -210,7 +214,7 @@ def _imported(spark, d):
 
 def _numbered(spark, d):
     hwm = A.ledger(spark, d).select(F.coalesce(F.max("id"), F.lit(0).cast("bigint"))).scalar()
-    return assign_ids(_imported(spark, d), hwm, ["row_seq"]).select("id", *L_FIELDS[1:])
+    return assign_ids_in_place(_imported(spark, d), hwm).select("id", *L_FIELDS[1:])
 
 
 L_FIELDS = ("id", "amount", "category", "description", "date")
@@ -253,6 +257,39 @@ def q_ledger_summary_json(spark, d):
     return ledger_dashboard_json(A.ledger(spark, d))
 
 
+def _stored(spark, d):
+    """The ledger as a table in the shared folder."""
+    table = LedgerTable(spark, shared_path(spark, "ledger")).create_if_absent()
+    table.append(A.ledger(spark, d))
+    return table
+
+
+def q_ledger_store_changes(spark, d):
+    table = _stored(spark, d)
+    table.update(A.ledger_change_log(spark, d), "seq")
+    table.delete(A.ledger(spark, d).filter(F.col("category") == "view").select("id"))
+    table.import_rows(_imported(spark, d), ["row_seq"], in_place=True)
+    return table.read()
+
+
+def q_ledger_store_page(spark, d):
+    return _stored(spark, d).page(DEEP_PAGE_NO, L.PAGE_SIZE)
+
+
+def q_ledger_store_summary(spark, d):
+    return summary_json(_stored(spark, d).summary())
+
+
+def q_ledger_csv_import(spark, d):
+    text = A.ledger_import_text(spark, d)
+    noted = text.withColumn("Notes", F.when(F.col("Type") == "click", F.concat("Notes", F.lit(CSV_NOTE))).otherwise(F.col("Notes")))
+    uploads = shared_path(spark, "uploads")
+    write_csv(noted.drop("row_seq"), uploads)
+    table = LedgerTable(spark, shared_path(spark, "ledger")).create_if_absent()
+    import_csv(spark, table, uploads)
+    return table.read().select("amount", "category", "description", "date")
+
+
 QUERIES: dict[str, Query] = {
     "sales_regional_share": q_sales_regional_share,
     "sales_kpis": q_sales_kpis,
@@ -299,6 +336,10 @@ QUERIES: dict[str, Query] = {
     "ledger_existing_ids": q_ledger_existing_ids,
     "ledger_batch_delete": q_ledger_batch_delete,
     "ledger_summary_json": q_ledger_summary_json,
+    "ledger_store_changes": q_ledger_store_changes,
+    "ledger_store_page": q_ledger_store_page,
+    "ledger_store_summary": q_ledger_store_summary,
+    "ledger_csv_import": q_ledger_csv_import,
 }
 
 
@@ -589,6 +630,23 @@ from ledger l left join changes c on l.id = c.id""",
     + "select distinct id from changes where id not in (select id from ledger)",
     "ledger_existing_ids": O.with_(O.LEDGER, O.CHANGES)
     + "select distinct id from changes where id in (select id from ledger)",
+    "ledger_store_changes": O.with_(O.LEDGER_IMPORT, O.CHANGE_LOG)
+    + """select l.id, case when c.id is not null then cast(c.amount as double) else l.amount end as amount,
+       case when c.id is not null then """
+    + O.strip("c.category")
+    + """ else l.category end as category,
+       case when c.id is not null then coalesce("""
+    + O.strip("c.description")
+    + """, '') else l.description end as description,
+       case when c.id is not null then c.date else l.date end as date
+from ledger l left join last_valid c on l.id = c.id where l.category <> 'view'
+union all select * from numbered""",
+    "ledger_store_page": O.with_(O.LEDGER) + f"select * from ledger order by date desc, id desc limit {L.PAGE_SIZE} offset {(DEEP_PAGE_NO - 1) * L.PAGE_SIZE}",
+    "ledger_csv_import": O.with_(O.LEDGER_IMPORT)
+    + f"""select amount, category, case when category = 'Click' then description || '{CSV_NOTE}' else description end as description, date
+from imported""",
     "ledger_batch_delete": O.with_(O.LEDGER)
     + "select * from ledger where id not in (select id from ledger where category = 'view')",
 }
+
+ORACLE["ledger_store_summary"] = ORACLE["ledger_summary_json"]

@@ -31,7 +31,11 @@ def sales_dashboard_json(raw: DataFrame, order_cols: Sequence[str | Column] = ("
 
 def ledger_dashboard_json(ledger: DataFrame) -> DataFrame:
     """Totals with the highest category, the breakdown and the daily trend."""
-    summary = L.ledger_summary(ledger)
+    return summary_json(L.ledger_summary(ledger))
+
+
+def summary_json(summary: L.LedgerSummary) -> DataFrame:
+    """A ledger summary as a document."""
     highest = summary.highest.select("highest_category").scalar()
     head = summary.kpis.select("total", "count", "daily_avg", highest.alias("highest_category"))
     return (

@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 from salesledger.operators import ledger as L
 from salesledger.operators.cleaning import clean_expenses
-from salesledger.operators.date_order import date_orders
+from salesledger.operators.date_order import date_orders, day_first_groups
 from salesledger.operators.headers import LEDGER_ALIASES, LEDGER_REQUIRED, header_mapping, ledger_header_key, normalize_headers, require_columns
 from salesledger.operators.totals import with_total_row
 from salesledger.session import written_once
@@ -57,13 +57,14 @@ def export_ledger(table: LedgerTable, output_root: str, report_id: str, fmt: str
     return write_report(export_tables(table.read()), output_root, report_id, fmt)
 
 
-def _cleaned_by_file(raw: DataFrame) -> DataFrame:
-    """Cleaned import rows; day first or month first is decided for each file."""
+def _cleaned_by_file(raw: DataFrame) -> tuple[DataFrame, bool]:
+    """Cleaned import rows, day first or month first decided for each file; and
+    whether that took row-wise steps alone."""
     names = header_mapping(raw.columns, LEDGER_ALIASES, ledger_header_key)
     require_columns(normalize_headers(raw, LEDGER_ALIASES, ledger_header_key), LEDGER_REQUIRED)
     file = F.col(f"{SEQ_COL}.file")
     orders = written_once(date_orders(raw, next(c for c, canonical in names.items() if canonical == "date"), file))
-    return clean_expenses(raw, passthrough=[SEQ_COL], orders=orders, orders_by=file)
+    return clean_expenses(raw, passthrough=[SEQ_COL], orders=orders, orders_by=file), day_first_groups(orders) is not None
 
 
 def import_csv(spark: SparkSession, table: LedgerTable, paths: str | Sequence[str], rejects_path: str | None = None) -> int:
@@ -80,7 +81,8 @@ def import_csv(spark: SparkSession, table: LedgerTable, paths: str | Sequence[st
         rejects.write.mode("append").parquet(rejects_path)
     elif first := rejects.head(1):
         raise ValueError(f"{first[0]['file']} holds {first[0]['reason']}: {first[0]['record'][:200]}")
-    rows = cleaned[0]
-    for more in cleaned[1:]:
+    rows = cleaned[0][0]
+    for more, _ in cleaned[1:]:
         rows = rows.unionByName(more)
-    return table.import_rows(rows, [SEQ_COL])
+    in_place = all(t.in_file_order for t in tables) and all(row_wise for _, row_wise in cleaned)
+    return table.import_rows(rows, [SEQ_COL], in_place=in_place)

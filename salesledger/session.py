@@ -59,10 +59,15 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     return current
 
 
+def shared_path(spark: SparkSession, name: str) -> str:
+    """A new path in the shared folder."""
+    return f"{ensure_checkpoint_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
 def written_once(df: DataFrame) -> DataFrame:
     """``df`` written as Parquet to the shared folder and read back: what follows
     prunes its columns, nothing before it runs again, and lost executors cost
     no recomputation.  The folder is the cluster's to clean."""
-    path = f"{ensure_checkpoint_dir(df.sparkSession).rstrip('/')}/table-{uuid.uuid4().hex}"
+    path = shared_path(df.sparkSession, "table")
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)

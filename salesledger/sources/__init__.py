@@ -1,6 +1,6 @@
 from salesledger.sources.csv import SEQ_COL, CsvTable, all_rejects, read_csv_groups, read_csv_text, scan_csv
 from salesledger.sources.ledger_store import LEDGER_SCHEMA, LedgerTable
-from salesledger.sources.sinks import json_rows, render_rows, write_csv, write_report
+from salesledger.sources.sinks import json_rows, render_rows, report_paths, write_csv, write_report
 
 __all__ = [
     "CsvTable",
@@ -12,6 +12,7 @@ __all__ = [
     "read_csv_groups",
     "read_csv_text",
     "render_rows",
+    "report_paths",
     "scan_csv",
     "write_csv",
     "write_report",

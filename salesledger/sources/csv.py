@@ -60,6 +60,7 @@ class CsvTable:
     files: list[str]
     rows: DataFrame
     rejects: DataFrame
+    in_file_order: bool  # the rows are a plain scan: tasks see them in file order
 
 
 def scan_csv(
@@ -93,7 +94,7 @@ def scan_csv(
         rows, rejects = parts[0]
         for r, j in parts[1:]:
             rows, rejects = rows.unionByName(r), rejects.unionByName(j)
-        tables.append(CsvTable(names, sorted(f for f, _ in files), rows, rejects))
+        tables.append(CsvTable(names, sorted(f for f, _ in files), rows, rejects, not any(multi for _, multi in files)))
     return sorted(tables, key=lambda t: t.files[0])
 
 

@@ -4,17 +4,20 @@ rows of JSON objects."""
 from __future__ import annotations
 
 import json
-import os
+import uuid
 from collections.abc import Mapping
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import DataType, DateType, DecimalType, FractionalType, StringType, TimestampNTZType, TimestampType
 
+from salesledger.sources.commit_log import CommitLog, join_path
+
 
 def write_csv(df: DataFrame, path: str, mode: str = "overwrite") -> None:
-    """CSV with a header row and no index column."""
-    df.write.mode(mode).option("header", True).option("escape", '"').csv(path)
+    """CSV with a header row and no index column; cells keep their outer blanks."""
+    options = {"header": True, "escape": '"', "ignoreLeadingWhiteSpace": False, "ignoreTrailingWhiteSpace": False}
+    df.write.mode(mode).options(**options).csv(path)
 
 
 def render_rows(df: DataFrame, date_format: str = "yyyy-MM-dd") -> DataFrame:
@@ -34,19 +37,37 @@ def render_rows(df: DataFrame, date_format: str = "yyyy-MM-dd") -> DataFrame:
 
 
 def write_report(tables: Mapping[str, DataFrame], root: str, report_id: str, fmt: str = "parquet") -> dict[str, str]:
-    """One table per report sheet under ``root/report_id=<id>/<name>``."""
+    """One table per report sheet; returns their paths.
+
+    The tables are written to a folder of their own, then one entry in the
+    report's log makes them the report: a failure between tables leaves the report
+    as it was. ``report_paths`` finds the current one."""
+    spark = next(iter(tables.values())).sparkSession
+    log, folder = _report_log(spark, root, report_id), uuid.uuid4().hex
     paths = {}
     for name, df in tables.items():
-        p = os.path.join(root, f"report_id={report_id}", name) if "://" not in root else f"{root}/report_id={report_id}/{name}"
-        w = df.write.mode("overwrite")
+        paths[name] = join_path(root, f"report_id={report_id}", folder, name)
         if fmt == "csv":
-            w.option("header", True).option("escape", '"').csv(p)
+            write_csv(df, paths[name])
         else:
-            w.format(fmt).save(p)
-        paths[name] = p
+            df.write.mode("overwrite").format(fmt).save(paths[name])
+    while not log.create(log.last() + 1, {"folder": folder, "tables": list(tables), "format": fmt}):
+        pass  # another run of the report came first; this one is newer
     return paths
 
 
+def report_paths(spark: SparkSession, root: str, report_id: str) -> dict[str, str]:
+    """The paths of the report's tables, as last published; empty if there are none."""
+    log = _report_log(spark, root, report_id)
+    last = log.last()
+    entries = log.read(last, last) if last >= 0 else []
+    return {name: join_path(root, f"report_id={report_id}", e["folder"], name) for e in entries for name in e["tables"]}
+
+
+def _report_log(spark: SparkSession, root: str, report_id: str) -> CommitLog:
+    return CommitLog(spark, join_path(root, f"report_id={report_id}", "versions"))
+
+
 def _json_value(c: Column, kind: DataType) -> Column:
     """JSON text of a value.  Fractions have four places (money is exact there,
     shares have two); numbers too large for that are written in full."""
