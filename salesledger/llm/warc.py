@@ -1,7 +1,7 @@
 """Deterministic sharded WARC writer, and its reader.
 
-Records are dealt out by ranges of page_id of about equal bytes, sorted in each
-range, and written as gzip members; a file is closed once its compressed size
+Records are dealt out by ranges of (page_id, digest) of about equal bytes, sorted
+in each range, and written as gzip members; a file is closed once its compressed size
 reaches the limit. Headers and digests are made anew from the payload and name
 no time or machine, so equal input gives equal files. A task writes under a
 temporary name with its own suffix; the manifest of what finished tasks wrote
@@ -15,14 +15,14 @@ import hashlib
 import re
 import uuid
 import zlib
+from bisect import bisect_right
 from collections.abc import Iterator
 from urllib.parse import quote
 
-import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyarrow import fs
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from salesledger.llm.common import freeze, shared_dir, small_batches
@@ -31,8 +31,10 @@ DATE = "2024-01-01T00:00:00Z"
 #: Payloads under this size are always written in full.
 REVISIT_BYTES = 100
 ROLL_BYTES = 128 << 20
-RANGE_BYTES = (4 << 20, 256 << 20)
-RANGE_BUCKETS = 4096
+#: A range's bytes, least and most, and the ranges looked for between them.
+RANGE_BYTES, RANGES = (4 << 20, 256 << 20), 64
+#: Ranges at most, as their first keys go to every task (some 100 bytes each).
+MOST_RANGES = 1 << 16
 LEVEL = 6
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 NAMESPACE = uuid.UUID("6ba7b811-9dad-11d1-80b4-00c04fd430c8")  # fixed value: the URL name space of RFC 4122
@@ -65,37 +67,32 @@ def _gzip(data: bytes) -> bytes:
     return pack.compress(data) + pack.flush()
 
 
-def range_cuts(rows: DataFrame, target: int) -> list[int]:
-    """Ids at which ranges of about ``target`` bytes begin, from histograms of
-    ids; a bucket over the target is looked at again on its own."""
-    least, most = rows.agg(F.min("page_id"), F.max("page_id")).first()
-    if least is None:
-        return []
-    open_, weights = [(least, most + 1)], {}
-    while open_:
-        edges = np.array(sorted(x for lo, hi in open_ for x in (lo, hi)), dtype=object)
-        inside = None
-        for lo, hi in open_:
-            width = max(1, -(-(hi - lo) // RANGE_BUCKETS))
-            bucket = F.lit(lo) + F.floor((F.col("page_id") - lo) / width).cast("long") * width
-            here = (F.col("page_id") >= lo) & (F.col("page_id") < hi)
-            part = F.when(here, F.struct(bucket.alias("at"), F.lit(width).cast("long").alias("width")))
-            inside = part if inside is None else F.coalesce(inside, part)
-        found = rows.where((F.col("page_id") >= int(edges[0])) & (F.col("page_id") < int(edges[-1]))).groupBy(inside.alias("b")).agg(F.sum("bytes").alias("n")).where("b is not null").collect()
-        open_ = []
-        for r in found:
-            at, width, n = r["b"]["at"], r["b"]["width"], int(r["n"])
-            if n > target and width > 1 and len(open_) < 64:
-                open_.append((at, at + width))
-            else:
-                weights[at] = n
-    cuts, held = [], 0
-    for at in sorted(weights):
-        if held and held + weights[at] > target:
-            cuts.append(at)
-            held = 0
-        held += weights[at]
-    return cuts
+def range_target(total: int) -> int:
+    """Bytes of a range: from the input's bytes alone, so that equal input gives
+    equal files on any cluster; at most ``MOST_RANGES`` ranges come of it."""
+    least, most = RANGE_BYTES
+    return max(min(most, max(least, total // RANGES)), -(-total // MOST_RANGES))
+
+
+def range_cuts(rows: DataFrame, target: int) -> list[tuple[bool, int, str]]:
+    """Keys (page_id not null, page_id or 0, digest) at which ranges begin, in
+    order; ``rows`` has page_id, digest and bytes.
+
+    A range holds the records that begin in one stretch of ``target`` bytes of the
+    sorted input, so it is longer than that by one record at most, where keys
+    do not repeat. Bytes before a record are summed over sorted partitions of
+    about equal rows and over one row per partition.
+    """
+    key = [F.col("page_id").isNotNull().alias("has_id"), F.coalesce("page_id", F.lit(0).cast("long")).alias("id"), "digest"]
+    keyed = rows.select(*key, "bytes")
+    n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = freeze(keyed.repartitionByRange(n, "has_id", "id", "digest").withColumn("at", F.spark_partition_id()))
+    per_part = dealt.groupBy("at").agg(F.sum("bytes").alias("n"))
+    offsets = per_part.select("at", F.coalesce(F.sum("n").over(Window.orderBy("at").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("offset"))
+    inside = Window.partitionBy("at").orderBy("has_id", "id", "digest").rowsBetween(Window.unboundedPreceding, -1)
+    before = dealt.withColumn("before", F.coalesce(F.sum("bytes").over(inside), F.lit(0))).join(F.broadcast(offsets), "at")  # a row per partition
+    starts = before.groupBy(F.expr(f"(before + offset) div {target}").alias("range")).agg(F.min(F.struct("has_id", "id", "digest")).alias("first"))
+    return sorted({tuple(r["first"]) for r in starts.select("first").collect()})[1:]
 
 
 def _writer(out: str, roll: int):
@@ -172,8 +169,10 @@ def write_archives(pages: DataFrame, out: str, roll_bytes: int = ROLL_BYTES, rev
     A null html is an empty payload, a null url ``urn:page:<page_id>``. Of
     records with equal payloads of ``revisit_bytes`` or more the least page_id
     is a response, the others revisit it; rows that repeat that page_id and
-    payload are responses too. Null page_ids never stand for others. Other
-    columns are ignored; an empty table writes no file.
+    payload are responses too. Null page_ids never stand for others. Rows with null
+    or equal page_ids are dealt out by their payload's digest; those that also
+    have equal payloads stay in one range. Other columns are ignored; an empty
+    table writes no file.
     """
     spark = pages.sparkSession
     small_batches(spark)
@@ -181,19 +180,19 @@ def write_archives(pages: DataFrame, out: str, roll_bytes: int = ROLL_BYTES, rev
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), payload.alias("payload"), F.sha2(payload, 256).alias("digest"))
     narrow = freeze(rows.select("page_id", "digest", F.octet_length("payload").cast("long").alias("bytes")))
     total = narrow.agg(F.sum("bytes")).first()[0] or 0
-    least, most = RANGE_BYTES
-    cuts = np.array(range_cuts(narrow, min(most, max(least, total // (2 * spark.sparkContext.defaultParallelism)))), np.int64)
+    cuts = range_cuts(narrow, range_target(total))
     equal = freeze(narrow.where(F.col("bytes") >= revisit_bytes).groupBy("digest").agg(F.min("page_id").alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1 and first is not null").drop("n"))
     revisits = narrow.where(F.col("bytes") >= revisit_bytes).join(equal, "digest").where("page_id is null or page_id <> first").select("page_id", "digest", "first").distinct()
 
     @F.pandas_udf("int")
-    def part(ids: pd.Series) -> pd.Series:
-        return pd.Series(np.searchsorted(cuts, ids.to_numpy(np.int64), side="right").astype(np.int32))
+    def part(ids: pd.Series, digests: pd.Series) -> pd.Series:
+        keys = ((not null, 0 if null else int(i), d) for null, i, d in zip(ids.isna(), ids, digests, strict=True))
+        return pd.Series([bisect_right(cuts, k) for k in keys], dtype="int32")
 
     columns = ["page_id", "url", "payload", "digest", "first"]
     both = rows.withColumn("first", F.lit(None).cast("long")).select(*columns).unionByName(revisits.withColumns({"url": F.lit(None).cast("string"), "payload": F.lit(None).cast("binary")}).select(*columns))
-    dealt = both.withColumn("part", part(F.coalesce("page_id", F.lit(-(1 << 63)).cast("long"))))
-    order = ["part", "page_id", "digest", F.col("payload").isNotNull()]
+    dealt = both.withColumn("part", part(F.col("page_id").cast("string"), "digest"))
+    order = ["part", "page_id", "digest", F.col("payload").isNotNull(), "url"]
     written = dealt.repartitionById(len(cuts) + 1, F.col("part")).sortWithinPartitions(*order).mapInArrow(_writer(out, roll_bytes), FILE)
     manifest = freeze(written)
     moved = manifest.mapInArrow(_mover(out), FILE).select("file", "records", "bytes", "sha256")
