@@ -9,8 +9,11 @@ pre-aggregate; only bucket sums of a bounded number come to the driver, and the
 tree itself has one cut per shard.
 
 Documents of equal text share the place of the one with the least doc_id, and
-so a shard, as long as the group is a small part of a shard; a larger group is
-dealt out by its documents' own places.
+so a shard. Groups that are a larger part of a shard (there is a bounded number
+of them) are weights at one point, which a cut could not halve: they are given
+to the emptiest shards first, largest first, and the tree then fills what room each
+shard has left. Only a group larger than a whole shard is dealt out, by its
+documents' own places.
 """
 
 from __future__ import annotations
@@ -23,8 +26,8 @@ from pyspark.sql import functions as F
 from salesledger.llm.common import freeze, order_bucket, rank_within
 
 DIMENSIONS = ["x_source", "x_lang", "x_size", "x_id"]
-#: Part of a shard's bytes up to which documents of equal text stay together.
-TOGETHER = 0.02
+#: Part of a shard's bytes beyond which a group of equal texts is placed first.
+LARGE = 0.02
 #: How near a cut's bytes come to the wanted ones, as part of the node's.
 TOLERANCE = 0.0005
 BUCKETS = 512
@@ -70,9 +73,10 @@ def _histogram(points: DataFrame, root: Node, spans: dict[int, dict[str, tuple[f
     return found
 
 
-def build_tree(points: DataFrame, shards: int) -> Node:
-    """The k-d tree over ``points`` (size and DIMENSIONS, each in [0, 1))."""
-    root = Node(range(shards))
+def build_tree(points: DataFrame, room: list[float]) -> Node:
+    """The k-d tree over ``points`` (size and DIMENSIONS, each in [0, 1)); a shard
+    is given bytes in proportion to its ``room``."""
+    root = Node(range(len(room)))
     whole: dict[str, int] = {}
     while open_ := {n.shards.start: n for n in _leaves(root) if len(n.shards) > 1}:
         first = _histogram(points, root, {k: dict.fromkeys(DIMENSIONS, (0.0, 1.0)) for k in open_})
@@ -85,7 +89,9 @@ def build_tree(points: DataFrame, shards: int) -> Node:
             whole = whole or dict(extent)
             node.dimension = max(DIMENSIONS, key=lambda d, e=extent: e[d] / max(1, whole[d]))
             total = sum(first.get((k, node.dimension), {}).values())
-            wanted[k], allowed[k] = total * (len(node.shards) // 2) / len(node.shards), total * TOLERANCE
+            middle = node.shards.start + len(node.shards) // 2
+            own, lower = sum(room[node.shards.start : node.shards.stop]), sum(room[node.shards.start : middle])
+            wanted[k], allowed[k] = total * (lower / own if own else 0.5), total * TOLERANCE
             spans[k] = {node.dimension: (0.0, 1.0)}
             hist[k] = first.get((k, node.dimension), {})
         for _ in range(MAX_PASSES):
@@ -119,6 +125,16 @@ def _unit(h: Column, bits: int) -> Column:
     return F.shiftrightunsigned(h, 64 - bits).cast("double") / float(1 << bits)
 
 
+def _place_large(groups: list, shards: int, target: float) -> tuple[list[int], list[float]]:
+    """(shard of each group, room left in each shard): the largest first, each
+    into the emptiest shard."""
+    held, at = [0] * shards, [0] * len(groups)
+    for k in sorted(range(len(groups)), key=lambda k: (-groups[k]["bytes"], groups[k]["text_hash"], groups[k]["text_crc32"])):
+        at[k] = min(range(shards), key=lambda s: (held[s], s))
+        held[at[k]] += groups[k]["bytes"]
+    return at, [max(0.0, target - h) for h in held]
+
+
 def shard(docs: DataFrame, shards: int = 16) -> DataFrame:
     """One row per row of ``docs`` (doc_id, text, source, lang): doc_id, size
     (UTF-8 bytes and 1), text_crc32, law, shard, slot (gapless from 0 in its
@@ -137,9 +153,13 @@ def shard(docs: DataFrame, shards: int = 16) -> DataFrame:
     total, least, most = narrow.agg(F.sum("size"), F.min("doc_id"), F.max("doc_id")).first()
     group = ["text_hash", "text_crc32", "size"]
     place = F.struct("doc_id", "source", "lang")
-    together = freeze(
-        narrow.groupBy(*group).agg(F.count(F.lit(1)).alias("n"), F.min(place).alias("first")).where((F.col("n") > 1) & (F.col("n") * F.col("size") <= TOGETHER * (total or 0) / shards)).select(*group, "first")
-    )
+    target = (total or 0) / shards
+    equal = narrow.groupBy(*group).agg(F.count(F.lit(1)).alias("n"), F.min(place).alias("first")).withColumn("bytes", F.col("n") * F.col("size"))
+    together = freeze(equal.where((F.col("n") > 1) & (F.col("bytes") <= target)))
+    large = together.where(F.col("bytes") > LARGE * target).select(*group, "bytes").collect()  # 1 / LARGE for each shard at most
+    at, room = _place_large(large, shards, target)
+    placed = narrow.sparkSession.createDataFrame([(*(g[c] for c in group), k) for g, k in zip(large, at, strict=True)], "text_hash long, text_crc32 long, size long, shard int")
+    together = together.join(F.broadcast(placed.withColumnRenamed("shard", "given")), group, "left").select(*group, "first", "given")
     joined = narrow.join(together, group, "left").withColumn("at", F.coalesce("first", place))
     own = F.xxhash64("doc_id")
     tie = _unit(F.xxhash64(F.when(F.col("first").isNull(), own).otherwise(F.col("text_hash")), F.lit(1)), 53)
@@ -147,13 +167,14 @@ def shard(docs: DataFrame, shards: int = 16) -> DataFrame:
     spread = max(1, (most or 0) - (least or 0) + 1)
     points = freeze(
         joined.select(
-            "doc_id", "size", "text_crc32", own.alias("own"),
+            "doc_id", "size", "text_crc32", "given", own.alias("own"),
             grid(_unit(F.xxhash64("at.source"), 20)).alias("x_source"),
             grid(_unit(F.xxhash64("at.lang"), 20)).alias("x_lang"),
             grid(F.log2(F.col("size").cast("double")) / 64).alias("x_size"),
             grid(F.coalesce((F.col("at.doc_id") - F.lit(least or 0)).cast("double") / spread, F.lit(0.0))).alias("x_id"),
         )
     )
-    dealt = points.select("doc_id", "size", "text_crc32", build_tree(points, shards).place().alias("shard"), "own", order_bucket(F.col("own")).alias("bucket"))
+    tree = build_tree(points.where("given is null"), room)
+    dealt = points.select("doc_id", "size", "text_crc32", F.coalesce("given", tree.place()).alias("shard"), "own", order_bucket(F.col("own")).alias("bucket"))
     ranked = rank_within(dealt, ["shard"], ["own", "doc_id", "text_crc32"], "bucket", "slot")
     return ranked.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))

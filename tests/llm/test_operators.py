@@ -13,6 +13,7 @@ from collections import Counter, defaultdict
 import numpy as np
 import pytest
 import xxhash
+from pyspark.sql import functions as F
 
 from salesledger.llm import embeddings, html_main, line_dedup, mixing, packing, quality, sharding, simhash, toxicity, warc
 from salesledger.llm.components import connected_components, local_roots
@@ -479,3 +480,38 @@ def test_warc_round_trip(spark, tmp_path):
     with pytest.raises(Exception):
         list(map(warc.parse, warc.records(__import__("io").BytesIO(bytes(bad[: len(bad) // 2])))))
     assert warc.round_trip(frame.limit(0)).count() == 0
+
+
+def test_warc_ranges_of_many_heavy_ids_and_of_hot_keys(spark, tmp_path):
+    spread = spark.range(10_000).select((F.col("id") * 1_000_003_000_017).alias("page_id"), F.lit("d").alias("digest"), F.lit(100).cast("long").alias("bytes"))
+    cuts = warc.range_cuts(spread, 250)  # each holds the records that begin in 250 bytes: two or three
+    assert len(cuts) == 3999 and cuts == sorted(cuts)
+    hot = [(None, f"{k:03}", 10) for k in range(300)] + [(7, f"{k:03}", 10) for k in range(300)] + [(k, "x", 10) for k in range(10, 40)] + [(50, "y", 5000)]
+    cuts = warc.range_cuts(spark.createDataFrame(hot, "page_id long, digest string, bytes long").repartition(5), 100)
+    keys = sorted(((i is not None, i or 0, d), n) for i, d, n in hot)
+    held = Counter()
+    for key, n in keys:
+        held[sum(c <= key for c in cuts)] += n
+    assert len(held) > 60 and sorted(held.values())[-2] <= 110
+    old, files = spark.conf.get("spark.sql.shuffle.partitions"), []
+    pages = spark.createDataFrame([(k % 50 if k % 3 else None, f"u{k}", f"text {k} " * 40) for k in range(400)], "page_id long, url string, html string")
+    for n in ("3", "11"):
+        spark.conf.set("spark.sql.shuffle.partitions", n)
+        files.append(sorted(map(tuple, warc.write_archives(pages.repartition(int(n)), str(tmp_path / n), roll_bytes=2000).collect())))
+    spark.conf.set("spark.sql.shuffle.partitions", old)
+    assert files[0] == files[1] and len(files[0]) > 5
+
+
+def test_large_groups_of_equal_texts_keep_a_shard(spark):
+    rng = random.Random(3)
+    rows = [(k, "w" * rng.randint(1, 400), "l", f"s{k % 5}") for k in range(4000)]
+    whole = sum(len(t) + 1 for _, t, *_ in rows)
+    copies = {f"{name} " * 60: int(part * whole / 16 / (len(name) * 60 + 61)) for name, part in (("half", 0.5), ("most", 0.9), ("some", 0.05), ("more", 0.3), ("huge", 2.5))}
+    rows += [(10_000 * (g + 1) + k, text, "l", None) for g, (text, n) in enumerate(copies.items()) for k in range(n)]
+    out = sharding.shard(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")).collect()
+    size, of = Counter(), defaultdict(set)
+    for r in out:
+        size[r["shard"]] += r["size"]
+        of[r["doc_id"] // 10_000].add(r["shard"])
+    assert [len(of[g]) for g in (1, 2, 3, 4)] == [1] * 4 and len(of[5]) > 2
+    assert max(size.values()) <= 1.05 * min(size.values()) and len(size) == 16
