@@ -27,7 +27,7 @@ GRID = 1 << GRID_BITS
 STEP = 1327217885
 BIG = "decimal(38,0)"
 SOURCE = ["nosource", "src"]
-MADE = ["size", "source_size", "target", "taken"]
+MADE = ["size", "source_size", "target", "taken", "first_slot"]
 
 
 def source_targets(sizes: DataFrame) -> DataFrame:
@@ -96,11 +96,14 @@ def schedule(targets: DataFrame, block: int) -> DataFrame:
 
 def mix(docs: DataFrame, carry: list[str] | None = None) -> DataFrame:
     """Columns ``carry`` of ``docs`` (doc_id, text, source, any others; all by
-    default) with size, source_size, target, taken; columns of these names are
-    replaced.
+    default) with size, source_size, target, taken, first_slot; columns of these
+    names are replaced.
 
     size: words of the text (null or empty: 0, never taken). taken: words that
-    the mix takes from the row, repeats counted, at most two times size. The
+    the mix takes from the row, repeats counted, at most two times size.
+    first_slot: the first slot of the mix that holds words of the row, null for
+    rows that are not taken, or only in the last blocks that even out a source's
+    count. Ordered by it, every stretch of the mix has each source near its share. The
     shuffle orders a source's documents by md5 of doc_id, so reruns agree; rows
     that repeat a doc_id are documents of their own, in order of size. A null
     source is a source of its own; null doc_ids hash as an empty string. An
@@ -118,7 +121,8 @@ def mix(docs: DataFrame, carry: list[str] | None = None) -> DataFrame:
     words, n = rows.agg(F.sum("size"), F.count(F.lit(1))).first()
     block = max(1, -(-(words or 0) // (BLOCKS_PER_DOCUMENT * max(1, n))))
     in_pass = lambda k: F.sum(F.when(F.col("pass") == k, F.col("words")).otherwise(0))
-    used = schedule(targets, block).groupBy(*SOURCE, "block").agg(in_pass(0).alias("u0"), in_pass(1).alias("u1"))
+    slot_in = lambda k: F.min(F.when((F.col("pass") == k) & (F.col("words") > 0), F.col("slot")))
+    used = schedule(targets, block).groupBy(*SOURCE, "block").agg(in_pass(0).alias("u0"), in_pass(1).alias("u1"), slot_in(0).alias("s0"), slot_in(1).alias("s1"))
     placed = running_total(rows.where("size > 0").select("row", *SOURCE, "size", "mark", "part"), SOURCE, ["mark", "size", "row"], "part", "size", "start")
     pieces = placed.select("row", *SOURCE, "size", "start", F.explode(F.expr(f"sequence(start div {block}, (start + size - 1) div {block})")).alias("block"))
 
@@ -126,7 +130,8 @@ def mix(docs: DataFrame, carry: list[str] | None = None) -> DataFrame:
         first = F.greatest("start", F.col("block") * block)
         return F.greatest(F.lit(0).cast("long"), F.least(F.col("start") + F.col("size"), F.col("block") * block + F.col(words)) - first)
 
-    taken = pieces.join(used, [*SOURCE, "block"]).groupBy("row").agg(F.sum(overlap("u0") + overlap("u1")).alias("taken"))
+    first = F.least(*(F.when(overlap(u) > 0, F.col(s)) for u, s in (("u0", "s0"), ("u1", "s1"))))
+    taken = pieces.join(used, [*SOURCE, "block"]).groupBy("row").agg(F.sum(overlap("u0") + overlap("u1")).alias("taken"), F.min(first).alias("first_slot"))
     per_source = targets.select(*SOURCE, F.col("total").alias("source_size"), "target")
     out = rows.select("own", "row", *SOURCE, "size").join(taken, "row", "left").join(per_source, SOURCE)
-    return out.select(*(F.col(f"own.`{c}`") for c in carry), "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"))
+    return out.select(*(F.col(f"own.`{c}`") for c in carry), "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"), "first_slot")

@@ -166,10 +166,28 @@ with d as (
   select d.*, t.total::bigint source_size, target, floor(target + 0.5)::bigint want,
     coalesce(sum(size) over (partition by d.source order by md5(coalesce(doc_id::varchar, '')), size rows between unbounded preceding and 1 preceding), 0)::bigint a
   from d join t on d.source is not distinct from t.source
+), k as (
+  select greatest(1, (sum(size) + {mixing.BLOCKS_PER_DOCUMENT} * count(*) - 1) // ({mixing.BLOCKS_PER_DOCUMENT} * count(*)))::bigint block from d
+), n as (
+  select source, total::bigint total, floor(target + 0.5)::bigint want, block, ((total + block - 1) // block)::bigint blocks from t, k
+), e as (
+  select *, want // total * blocks + (want - want // total * total + block - 1) // block as need from n where want > 0
+), g as (
+  select *, floor((sum(need) over upto - need)::double / sum(need) over ()::double * {mixing.GRID})::bigint lo, floor((sum(need) over upto)::double / sum(need) over ()::double * {mixing.GRID})::bigint hi
+  from e window upto as (order by source is null, source rows between unbounded preceding and current row)
+), i as (
+  select unnest(range((select sum(need) from e)::bigint)) slot
+), x as (
+  select g.*, slot, row_number() over (partition by source order by slot) - 1 as nth from (select slot, slot % {mixing.GRID} * {mixing.STEP} % {mixing.GRID} p from i) join g on p >= lo and p < hi
+), u as (
+  select source, slot, nth % blocks as blk, block, least(least(block, total - nth % blocks * block), want - (nth // blocks * total + nth % blocks * block)) words from x where nth < need
+), f as (
+  select o.doc_id, o.source, o.size, min(slot) first_slot from o join u on o.source is not distinct from u.source
+    and least(o.a + o.size, blk * block + words) > greatest(o.a, blk * block) group by all
 )
-select doc_id, size, source_size, target,
-  (greatest(0, least(a + size, want) - a) + greatest(0, least(a + size, want - source_size) - a))::bigint taken
-from o
+select o.doc_id, o.size, source_size, target,
+  (greatest(0, least(a + o.size, want) - a) + greatest(0, least(a + o.size, want - source_size) - a))::bigint taken, first_slot
+from o left join f on f.doc_id is not distinct from o.doc_id and f.source is not distinct from o.source and f.size = o.size
 """
 
 OP7_SQL = f"""
