@@ -46,6 +46,11 @@ MAIN = frozenset("article main".split())
 FURNITURE_NAMES = frozenset(
     "ad ads adbox advert advertisement alert banner breadcrumb breadcrumbs byline comment comments consent cookie cookies disclaimer disqus footer gdpr header masthead menu modal nav navbar navigation newsletter notice notification pager pagination popup popular promo promoted recommended related replies reply rss search share sharing sidebar social sponsor sponsored subscribe subscription tags toolbar topbar widget".split()
 )
+#: Of these, words that also say what a text is about: they name furniture only
+#: as the last word of a name, or before a word for the things in a list.
+TOPICS = frozenset("alert banner notice popular related recommended reply search share sharing social tags subscription".split())
+THINGS = frozenset("articles bar block box buttons content icons items links list news pages panel posts products reading results section stories topics videos".split())
+HEADING = frozenset("h1 h2 h3 h4 h5 h6".split())
 MAIN_NAMES = frozenset("article content entry main post story".split())
 TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:\"[^\"]*\"|'[^']*'|[^>\"'])*)(?:>|\Z)|<[!?][^>]*(?:>|\Z)", re.S)
 NAMED = re.compile(r"(?:^|\s)(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
@@ -67,6 +72,7 @@ class Block:
     roles: tuple[tuple[int, int], ...]
     text: str
     links: int
+    heading: bool = False
 
 
 @dataclass
@@ -76,17 +82,26 @@ class Page:
     blocks: list[Block] = field(default_factory=list)
     counts: Counter = field(default_factory=Counter)
     parents: dict[int, int] = field(default_factory=dict)
+    #: The elements around all content: the page, html and body.
+    outer: set[int] = field(default_factory=lambda: {0})
 
 
 def _hash(text: str) -> int:
     return xxhash.xxh64_intdigest(text.encode("utf-8", "surrogatepass")) >> 1
 
 
+def _is_furniture(name: str) -> bool:
+    """Whether a class or id names furniture."""
+    words = [w.lower() for w in SPLIT.split(name) if w]
+    sure = any(w in FURNITURE_NAMES and w not in TOPICS for w in words)
+    return sure or any(w in TOPICS and (not words[k + 1 :] or words[k + 1] in THINGS) for k, w in enumerate(words))
+
+
 def _label(tag: str, attributes: str, inside_main: bool) -> tuple[str, int]:
     names = [(k.lower(), a or b or c or "") for k, a, b, c in NAMED.findall(attributes)] if attributes else []
     words = {w.lower() for _, v in names for w in SPLIT.split(v) if w}
     role = 0
-    if tag in FURNITURE or (tag == "header" and not inside_main) or words & FURNITURE_NAMES:
+    if tag in FURNITURE or (tag == "header" and not inside_main) or any(_is_furniture(n) for _, v in names for n in v.split()):
         role = -1
     elif tag in MAIN or words & MAIN_NAMES:
         role = 1
@@ -105,7 +120,7 @@ def read_page(text: str) -> Page:
         if parts:
             joined = " ".join(html.unescape("".join(parts)).split())
             if joined:
-                page.blocks.append(Block(stack[-1].key, tuple((e.key, e.role) for e in stack), joined, min(links, len(joined))))
+                page.blocks.append(Block(stack[-1].key, tuple((e.key, e.role) for e in stack), joined, min(links, len(joined)), stack[-1].tag in HEADING))
             parts.clear()
         links = 0
 
@@ -155,6 +170,8 @@ def read_page(text: str) -> Page:
         page.counts[key] += 1
         page.parents[key] = stack[-1].key
         stack.append(Element(tag, key, role))
+        if tag in ("html", "body"):
+            page.outer.add(key)
     if at < len(text):
         add(text[at:])
     flush()
@@ -170,8 +187,8 @@ def main_blocks(page: Page, slots: dict[int, int]) -> list[str]:
     as furniture is dropped unless it holds most of the page's own text and none
     outside names itself main; and where elements name themselves main, only
     what stands in such counts, unless an element apart from them holds most."""
-    left = [b for b in page.blocks if slots.get(text_token(b)) != DROP and all(slots.get(k) != DROP for k, _ in b.roles)]
-    own = sum(len(b.text) - b.links for b in left)
+    judged = [(b, slots.get(text_token(b)) != DROP, [k for k, _ in b.roles if slots.get(k) == DROP]) for b in page.blocks]
+    own = sum(len(b.text) - b.links for b, varies, gone in judged if varies and not gone)
 
     def holding(blocks: list[Block], but: set[int]) -> set[int]:
         """Elements, other than ``but``, that hold most of the page's own text."""
@@ -184,6 +201,17 @@ def main_blocks(page: Page, slots: dict[int, int]) -> list[str]:
     def named(b: Block, role: int, but: set[int] = frozenset()) -> set[int]:
         return {k for k, r in b.roles if r == role and k not in but}
 
+    # a heading belongs to the slot that it stands in: in the main one it stays, also
+    # if many pages have the same
+    own_blocks = [b for b, varies, gone in judged if varies and not gone]
+    inside = holding(own_blocks, page.outer)
+    deepest = max(((k, d) for b in own_blocks for d, (k, _) in enumerate(b.roles) if k in inside), key=lambda x: x[1], default=(0, 0))[0]
+    main_slots = {k for b in own_blocks for k, r in b.roles if k in inside and (r == 1 or k == deepest)}
+    left = []
+    for b, varies, gone in judged:
+        head = b.heading and any(k in main_slots for k, _ in b.roles[:-1])
+        if not set(gone) - {b.key} if head else varies and not gone:
+            left.append(b)
     most = holding(left, {0})
     mains = [b for b in left if named(b, 1) and not named(b, -1, most)]
     spared = {k for k in most if all(k in {e for e, _ in b.roles} for b in mains)}
