@@ -1,14 +1,18 @@
-"""Line deduplication by winnowing over line hashes, DataFrame functions only.
+"""Line deduplication by fingerprints of windows of lines, DataFrame functions only.
 
 A window is the least run of consecutive lines from a line on, or up to a
-line, that has ``MIN_WORDS`` words; its fingerprint is the least line hash in
-it. Windows depend on their own lines alone, so two places that share a run of
-that many words select the same fingerprints inside it: none can be missed.
-Fingerprints that occur at two places or more name the windows to look at.
-Reaching both ways from a fingerprint, the windows from each line on and up to
-each line together cover a shared run to its very ends. Of places that agree
-on a window, the first (by doc_id, then position) stays, and the lines of all
-later ones go.
+line, that has ``MIN_WORDS`` words. Winnowing selects the least line hash of each
+window; windows depend on their own lines alone, so two places that share a run of
+that many words select the same hashes inside it, and only windows whose selected
+hash occurs at two places or more are looked at.
+
+What is joined then are whole windows by the hash of their lines, not positions of
+selected hashes: of places that agree on a window, the first (by doc_id, then
+position) stays, and the lines of all later ones go. The windows from each line on
+and up to each line cover a shared run to its very ends. Joining each position
+to the first copy of its hash and extending that match both ways would lose lines:
+where a run W is followed by x in the first copy and by t in the second and
+third, the t of the third is found by its window alone.
 """
 
 from __future__ import annotations

@@ -515,3 +515,45 @@ def test_large_groups_of_equal_texts_keep_a_shard(spark):
         of[r["doc_id"] // 10_000].add(r["shard"])
     assert [len(of[g]) for g in (1, 2, 3, 4)] == [1] * 4 and len(of[5]) > 2
     assert max(size.values()) <= 1.05 * min(size.values()) and len(size) == 16
+
+
+def test_html_keeps_headings_and_sections_of_the_article(spark):
+    rng = random.Random(8)
+    say = lambda: " ".join(rng.choice(WORDS) for _ in range(40)) + "."
+    rows, want = [], {}
+    for k in range(8):
+        a, b, c, d = say(), say(), say(), say()
+        rows.append((k, f"https://one.example/{k}", f"""<html><body><div id=wrap><h1>My site</h1><ul><li><a href=/>Home</a><li><a href=/x>More</a></ul>
+          <article><h1>Title {k} {say()[:9]}</h1><h2>Introduction</h2><p>{a}</p><p>Sign up for our letter today.</p><h2>Results</h2><p>{b}</p>
+          <section class='related-work'><h3>Related work</h3><p>{c}</p></section><div class='share-buttons'>Tell {say()[:12]}</div>
+          <div class='related posts'><h4>Related</h4><p>{say()[:30]}</p></div></article><p class=comments>{d}</p></div></body></html>"""))
+        want[k] = ["Introduction", a, "Results", b, "Related work", c]
+    got = {r["page_id"]: r["text"].split("\n\n") for r in html_main.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert {k: v[1:] for k, v in got.items()} == want and all(v[0].startswith("Title") for v in got.values())
+    assert [html_main._is_furniture(n) for n in ("related", "related-posts", "related-work", "social-security", "nav-main", "cookie-notice", "post-comments", "search", "content")] == [
+        True, True, False, False, True, True, True, True, False,
+    ]
+
+
+def test_line_dedup_finds_a_later_copy_of_a_longer_run_than_the_first_copy_shares(spark):
+    run, tail = [sentence(30) for _ in range(2)], sentence(20)
+    texts = ["\n".join([*run, sentence(20)]), "\n".join([*run, tail]), "\n".join([sentence(10), *run, tail, sentence(9)])]
+    got = {r["doc_id"]: r for r in line_dedup.remove_repeated_runs(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    # extending the match with the first copy alone would leave the tail, which only the second copy shares
+    assert [got[k]["removed_lines"] for k in range(3)] == [0, 2, 3]
+    assert got[2]["text"] == "\n".join([texts[2].split("\n")[0], texts[2].split("\n")[-1]])
+
+
+def test_mix_by_first_slot_keeps_every_stretch_near_the_shares(spark):
+    rows = [(k, "w " * (1 + k % 9), "abc"[k % 7 % 3]) for k in range(1500)]
+    out = [r for r in mixing.mix(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect() if r["first_slot"] is not None]
+    firsts = sorted((r["first_slot"], r["source"], r["size"]) for r in out)
+    whole = Counter()
+    for _, source, size in firsts:
+        whole[source] += size
+    for at in range(0, len(firsts) - 300, 300):
+        some = Counter()
+        for _, source, size in firsts[at : at + 300]:
+            some[source] += size
+        assert all(abs(some[s] / sum(some.values()) - whole[s] / sum(whole.values())) < 0.1 for s in whole)
+    assert {r["source"] for r in out} == set("abc") and all(r["taken"] > 0 for r in out)
