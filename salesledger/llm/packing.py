@@ -14,6 +14,7 @@ plan has for that length and rank.
 
 from __future__ import annotations
 
+import math
 import os
 import re
 import struct
@@ -38,6 +39,8 @@ END_ID = 1
 ROUNDS = 24
 #: Price change of a length that is a whole share behind.
 RATE = 0.5
+#: (grid of lengths, rounds) of the lower bound.
+BOUND_ROUNDS = ((1, 150), (16, 600))
 #: A configuration of the program fills this part of a sequence at least.
 FULL = 0.998
 #: Words whose ids a worker keeps, and the longest (bytes) that it keeps.
@@ -66,6 +69,8 @@ def _configurations(remain: np.ndarray, capacity: int) -> Iterator[tuple[dict[in
     they cover from ``remain``."""
     demand = remain.astype(np.float64)
     lengths = np.flatnonzero(remain)
+    if not len(lengths):
+        return
     price = np.zeros(capacity + 1)
     price[lengths] = lengths / capacity
     for turn in range(1, ROUNDS + 1):
@@ -95,6 +100,39 @@ def _configurations(remain: np.ndarray, capacity: int) -> Iterator[tuple[dict[in
         price[lengths] *= (lengths / capacity).sum() / price[lengths].sum()
 
 
+def lower_bound(counts: np.ndarray, capacity: int = CAPACITY) -> int:
+    """Sequences that any packing of ``counts[length]`` pieces needs, from the
+    configuration program's dual: at prices of the lengths at which no
+    configuration is worth over 1, all pieces together are worth no more than the
+    sequences that hold them. Multiplicative weights look for such prices, by the
+    best configuration of each round; once with the lengths as they are, and for
+    more rounds with lengths taken down to a grid, which leaves it a bound."""
+    return max(_dual_bound(counts, capacity, grid, rounds) for grid, rounds in BOUND_ROUNDS)
+
+
+def _dual_bound(counts: np.ndarray, capacity: int, grid: int, rounds: int) -> int:
+    units = capacity // grid
+    demand = np.bincount(np.arange(len(counts)) // grid, counts, minlength=units + 1)
+    demand[0] = 0
+    best = -(-int((np.arange(len(counts)) * counts).sum()) // capacity)
+    here = np.flatnonzero(demand)
+    if not len(here):
+        return best
+    weight = here * demand[here]
+    share = np.zeros(units + 1)
+    for turn in range(1, rounds + 1):
+        share[here] = weight / weight.sum() / demand[here]
+        take, room, held = knapsack(share, units), units, np.zeros(units + 1)
+        while room > 0 and (first := int(take[room])) > 0:
+            held[first] += 1
+            room -= first
+        worth = float((held * share).sum())
+        best = max(best, math.ceil(1 / worth - 1e-9))
+        gain = held[here] / demand[here]
+        weight = weight * np.exp(-gain / gain.max() * 2 / math.sqrt(turn))
+    return best
+
+
 def plan(counts: np.ndarray, capacity: int = CAPACITY) -> list[tuple[dict[int, int], int]]:
     """Configurations (lengths with counts) and how many sequences have each,
     for ``counts[length]`` pieces; every piece is in one."""

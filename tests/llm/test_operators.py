@@ -557,3 +557,17 @@ def test_mix_by_first_slot_keeps_every_stretch_near_the_shares(spark):
             some[source] += size
         assert all(abs(some[s] / sum(some.values()) - whole[s] / sum(whole.values())) < 0.1 for s in whole)
     assert {r["source"] for r in out} == set("abc") and all(r["taken"] > 0 for r in out)
+
+
+def test_packing_plans_are_near_the_dual_bound():
+    def of(lengths):
+        return np.bincount(lengths, minlength=4097)
+
+    rng = np.random.default_rng(0)
+    needs = lambda counts: sum(times for _, times in packing.plan(counts))
+    for lengths, exact in ((np.repeat(1366, 900), True), (np.repeat([1365, 1370], 300), True), (rng.choice([1500, 1900, 2100, 2500, 2900, 3300, 3900], 3000), False)):
+        counts = of(lengths)
+        bound = packing.lower_bound(counts)
+        assert bound > lengths.sum() / 4096 * 1.1  # the shape tells more than the sum
+        assert needs(counts) == bound if exact else bound <= needs(counts) <= 1.005 * bound
+    assert packing.lower_bound(np.zeros(4097, np.int64)) == 0 == needs(np.zeros(4097, np.int64))
