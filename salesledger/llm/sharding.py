@@ -158,8 +158,9 @@ def shard(docs: DataFrame, shards: int = 16) -> DataFrame:
     together = freeze(equal.where((F.col("n") > 1) & (F.col("bytes") <= target)))
     large = together.where(F.col("bytes") > LARGE * target).select(*group, "bytes").collect()  # 1 / LARGE for each shard at most
     at, room = _place_large(large, shards, target)
-    placed = narrow.sparkSession.createDataFrame([(*(g[c] for c in group), k) for g, k in zip(large, at, strict=True)], "text_hash long, text_crc32 long, size long, shard int")
-    together = together.join(F.broadcast(placed.withColumnRenamed("shard", "given")), group, "left").select(*group, "first", "given")
+    given = [F.struct(*(F.lit(g[c]).cast("long").alias(c) for c in group), F.lit(k).alias("given")) for g, k in zip(large, at, strict=True)]
+    placed = together.limit(0).select(*group, F.lit(0).alias("given")) if not given else narrow.sparkSession.range(1).select(F.inline(F.array(*given)))
+    together = together.join(F.broadcast(placed), group, "left").select(*group, "first", "given")
     joined = narrow.join(together, group, "left").withColumn("at", F.coalesce("first", place))
     own = F.xxhash64("doc_id")
     tie = _unit(F.xxhash64(F.when(F.col("first").isNull(), own).otherwise(F.col("text_hash")), F.lit(1)), 53)
