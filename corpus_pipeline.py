@@ -24,13 +24,17 @@ def _columns(found: DataFrame, docs: DataFrame) -> DataFrame:
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the classifier does not predict to be toxic."""
+    """Documents that the classifier does not predict to be toxic, each row as it
+    is: nulls, empty texts and repeated rows are scored like any other, so clean ones
+    stay. Without labels the built-in word lists judge alone; an empty table stays
+    empty."""
     return _columns(toxicity.score(docs, read(spark, sf_dir, "labels")).where("predicted = 0"), docs)
 
 
 def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Every document, without later copies of runs of lines; n_chars follows
-    the text."""
+    the text. A null text stays null; the first copy by (doc_id, null first, then a
+    hash of the text) stays; repeated rows are cleaned alike and none is dropped."""
     found = line_dedup.remove_repeated_runs(docs)
     if "n_chars" in docs.columns:
         found = found.withColumn("n_chars", F.length("text").cast("long"))
@@ -38,7 +42,9 @@ def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates."""
+    """One document of each group of near-duplicates: that with the least doc_id
+    (null last), of ties the least hash of its text, of equal rows one. Texts without
+    a word, nulls included, form one group."""
     return _columns(simhash.keep_one(docs), docs)
 
 
@@ -53,7 +59,8 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The places of all token pieces in sequences of 4096."""
+    """The places of all token pieces in sequences of 4096, a row per piece. A null
+    or empty text is its end id alone; rows that repeat a document are packed each."""
     return packing.pack(docs, tokenizer_path())
 
 
