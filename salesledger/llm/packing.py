@@ -44,7 +44,7 @@ BOUND_ROUNDS = ((1, 150), (16, 600))
 #: A configuration of the program fills this part of a sequence at least.
 FULL = 0.998
 #: Words whose ids a worker keeps, and the longest (bytes) that it keeps.
-CACHE_WORDS = 800_000
+CACHE_WORDS = 500_000
 CACHE_BYTES = 64
 #: Text that a worker encodes at once.
 GATHER_BYTES = 8 << 20
