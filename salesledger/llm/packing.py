@@ -2,12 +2,13 @@
 
 Token lengths are counted into a histogram of at most 4096 entries, the only
 thing that comes to the driver. A configuration is a set of lengths that fit
-one sequence. Multiplicative weights price the lengths: in each round a
-knapsack dynamic program over the prices gives the best configuration that
-holds a given length, lengths behind their share of the round are covered by
-theirs, and lengths ahead become cheaper, those behind dearer. Multiplicities
-are rounded down to whole sequences that never take more pieces than there
-are; what rounding leaves goes to the best fit, counted by length as well.
+one sequence. Multiplicative weights price the lengths, first for the program's
+dual, then for a fractional solution: in each round a knapsack dynamic program
+over the prices gives the best configuration that holds a given length, lengths
+behind their share of the round are covered by theirs if it is worth enough, and
+lengths ahead become cheaper, those behind dearer. The solution is rounded to
+whole sequences that never take more pieces than there are; what rounding leaves
+goes to the best fit, counted by length as well.
 Pieces are then ranked within their length and joined to the places that the
 plan has for that length and rank.
 """
@@ -36,13 +37,17 @@ from salesledger.llm.common import freeze, order_bucket, rank_within, small_batc
 
 CAPACITY = 4096
 END_ID = 1
-ROUNDS = 24
+#: Passes of the program over what is left, and rounds of each.
+PASSES, ROUNDS = 4, 40
 #: Price change of a length that is a whole share behind.
-RATE = 0.5
+RATE = 0.05
+#: How far below the best configuration's worth a length's own may lie, in the
+#: first pass; the n-th takes n times that.
+MARGIN = 0.03
+#: Smaller amounts of a fractional solution count as none.
+LEAST = 1e-6
 #: (grid of lengths, rounds) of the lower bound.
 BOUND_ROUNDS = ((1, 150), (16, 600))
-#: A configuration of the program fills this part of a sequence at least.
-FULL = 0.998
 #: Words whose ids a worker keeps, and the longest (bytes) that it keeps.
 CACHE_WORDS = 500_000
 CACHE_BYTES = 64
@@ -50,54 +55,108 @@ CACHE_BYTES = 64
 GATHER_BYTES = 8 << 20
 
 
-def knapsack(price: np.ndarray, capacity: int) -> np.ndarray:
-    """For each room 0..capacity: the length to take first in the dearest set
-    of lengths that fits (repeats allowed), 0 to leave the rest empty."""
+def _dearest(price: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray]:
+    """For each room 0..capacity: the worth of the dearest set of lengths that
+    fits (repeats allowed), and the length to take first, 0 for none."""
     value, take = np.zeros(capacity + 1), np.zeros(capacity + 1, np.int64)
+    priced = np.flatnonzero(price[: capacity + 1])
     for room in range(1, capacity + 1):
-        with_first = value[room - 1 :: -1][:room] + price[1 : room + 1]
-        best = int(with_first.argmax())
-        if with_first[best] > value[room - 1]:
-            value[room], take[room] = with_first[best], best + 1
+        fit = priced[: np.searchsorted(priced, room, "right")]
+        with_first = value[room - fit] + price[fit]
+        if len(fit) and with_first.max() > value[room - 1]:
+            value[room], take[room] = with_first.max(), fit[with_first.argmax()]
         else:
             value[room], take[room] = value[room - 1], take[room - 1]
-    return take
+    return value, take
 
 
-def _configurations(remain: np.ndarray, capacity: int) -> Iterator[tuple[dict[int, int], int]]:
-    """(lengths with counts, sequences) of the program's rounds; takes what
-    they cover from ``remain``."""
-    demand = remain.astype(np.float64)
-    lengths = np.flatnonzero(remain)
-    if not len(lengths):
-        return
+def knapsack(price: np.ndarray, capacity: int) -> np.ndarray:
+    """For each room 0..capacity: the length to take first in the dearest set
+    of lengths that fits (repeats allowed), 0 to leave the rest empty."""
+    return _dearest(price, capacity)[1]
+
+
+def _filled(take: np.ndarray, room: int, first: int = 0) -> dict[int, int]:
+    """The dearest set for ``room``, with ``first`` in it, as lengths with counts."""
+    held = {first: 1} if first else {}
+    room -= first
+    while room > 0 and (k := int(take[room])) > 0:
+        held[k] = held.get(k, 0) + 1
+        room -= k
+    return held
+
+
+def solve(counts: np.ndarray, capacity: int = CAPACITY) -> dict[tuple[tuple[int, int], ...], float]:
+    """A fractional solution of the configuration program: configurations as
+    (length, count) pairs, and how many sequences have each. No length is held
+    more than ``counts`` has it; what is held less is left to the rounding.
+
+    A pass starts from the dual's prices. In each of its rounds every length that is
+    behind its share gets sequences of the best configuration that holds it, if
+    that one is worth nearly as much as the best of all; else it waits and becomes
+    dearer. The next pass takes what the passes before left, with a wider margin."""
+    found: dict[tuple[tuple[int, int], ...], float] = defaultdict(float)
+    left = counts.astype(np.float64)
+    left[0] = 0
+    for turn in range(1, PASSES + 1):
+        if left.sum() < 1:
+            break
+        _one_pass(left, capacity, MARGIN * turn, found)
+    return found
+
+
+def _one_pass(left: np.ndarray, capacity: int, margin: float, found: dict[tuple[tuple[int, int], ...], float]) -> None:
+    """Adds a pass's configurations to ``found`` and takes what they hold from ``left``."""
+    demand = left.copy()
+    lengths = np.flatnonzero(demand)
     price = np.zeros(capacity + 1)
-    price[lengths] = lengths / capacity
+    price[lengths] = _start_prices(demand, lengths, capacity)
+    total = price.sum()
     for turn in range(1, ROUNDS + 1):
-        take = knapsack(np.where(remain > 0, price, 0.0), capacity)
-        due = np.ceil(demand * turn / ROUNDS) - (demand - remain)
-        for length in lengths[::-1]:
-            behind = min(due[length], remain[length])
-            if behind <= 0:
-                continue
-            held, room = {int(length): 1}, capacity - int(length)
-            while room > 0 and (first := int(take[room])) > 0:
-                held[first] = held.get(first, 0) + 1
-                room -= first
-            if room > capacity * (1 - FULL) and capacity - sum(k * v for k, v in held.items()) > capacity * (1 - FULL):
+        value, take = _dearest(np.where(left > 0, price, 0.0), capacity)
+        due = demand * turn / ROUNDS - (demand - left)
+        worth = price[lengths] + value[capacity - lengths]
+        near = worth >= (1 - margin) * value[capacity]
+        for length in lengths[near][np.argsort(-worth[near], kind="stable")].tolist():
+            if due[length] <= LEAST:
                 continue
-            most = min(int(remain[k]) // v for k, v in held.items())
-            times = min(most, -(-int(behind) // held[int(length)]))
-            if times < 1:
+            held = _filled(take, capacity, length)
+            times = min(due[length] / held[length], *(left[k] / v for k, v in held.items()))
+            if times <= LEAST:
                 continue
+            found[tuple(sorted(held.items()))] += times
             for k, v in held.items():
-                remain[k] -= v * times
                 due[k] -= v * times
-            yield held, times
-        ahead = np.zeros(capacity + 1)
-        ahead[lengths] = 1 - remain[lengths] / demand[lengths] - turn / ROUNDS
-        price = price * np.exp(-RATE * ahead)
-        price[lengths] *= (lengths / capacity).sum() / price[lengths].sum()
+                left[k] -= v * times
+        left[left <= LEAST] = 0
+        ahead = 1 - left[lengths] / demand[lengths] - turn / ROUNDS
+        price[lengths] *= np.exp(-RATE * ahead)
+        price[lengths] *= total / price[lengths].sum()
+
+
+def _start_prices(demand: np.ndarray, lengths: np.ndarray, capacity: int) -> np.ndarray:
+    grid, rounds = BOUND_ROUNDS[-1]
+    prices = _dual(demand, capacity, grid, rounds)[1]
+    classes = np.flatnonzero(prices)
+    if not len(classes):
+        return lengths / capacity
+    return np.interp(lengths / grid, classes + 0.5, np.maximum.accumulate(prices[classes]))
+
+
+def _rounded(found: dict[tuple[tuple[int, int], ...], float], remain: np.ndarray) -> list[tuple[dict[int, int], int]]:
+    """Whole sequences of a fractional solution: each configuration's whole part,
+    then one more of those with the largest fractions while their pieces last.
+    Takes what they hold from ``remain``."""
+    out = []
+    parts = [(held, int(times + LEAST), times) for held, times in found.items()]
+    largest = sorted(((held, 1, times) for held, whole, times in parts if times - whole > LEAST), key=lambda x: int(x[2]) - x[2])
+    for held, times, _ in parts + largest:
+        times = min(times, *(int(remain[k]) // v for k, v in held))
+        if times > 0:
+            out.append((dict(held), times))
+            for k, v in held:
+                remain[k] -= v * times
+    return out
 
 
 def lower_bound(counts: np.ndarray, capacity: int = CAPACITY) -> int:
@@ -107,30 +166,31 @@ def lower_bound(counts: np.ndarray, capacity: int = CAPACITY) -> int:
     sequences that hold them. Multiplicative weights look for such prices, by the
     best configuration of each round; once with the lengths as they are, and for
     more rounds with lengths taken down to a grid, which leaves it a bound."""
-    return max(_dual_bound(counts, capacity, grid, rounds) for grid, rounds in BOUND_ROUNDS)
+    tokens = int((np.arange(len(counts)) * counts).sum())
+    found = [_dual(counts, capacity, grid, rounds)[0] for grid, rounds in BOUND_ROUNDS]
+    return max(-(-tokens // capacity), math.ceil(max(found) - 1e-9))
 
 
-def _dual_bound(counts: np.ndarray, capacity: int, grid: int, rounds: int) -> int:
+def _dual(counts: np.ndarray, capacity: int, grid: int, rounds: int) -> tuple[float, np.ndarray]:
+    """The best bound that the rounds find, and its price for each length of the
+    grid, at which no configuration is worth over 1 (zeros if there is no piece)."""
     units = capacity // grid
     demand = np.bincount(np.arange(len(counts)) // grid, counts, minlength=units + 1)
     demand[0] = 0
-    best = -(-int((np.arange(len(counts)) * counts).sum()) // capacity)
+    best, prices, share = 0.0, np.zeros(units + 1), np.zeros(units + 1)
     here = np.flatnonzero(demand)
-    if not len(here):
-        return best
     weight = here * demand[here]
-    share = np.zeros(units + 1)
-    for turn in range(1, rounds + 1):
+    for turn in range(1, rounds + 1 if len(here) else 1):
         share[here] = weight / weight.sum() / demand[here]
-        take, room, held = knapsack(share, units), units, np.zeros(units + 1)
-        while room > 0 and (first := int(take[room])) > 0:
-            held[first] += 1
-            room -= first
-        worth = float((held * share).sum())
-        best = max(best, math.ceil(1 / worth - 1e-9))
+        value, take = _dearest(share, units)
+        if 1 / value[units] > best:
+            best, prices = 1 / value[units], share / value[units]
+        held = np.zeros(units + 1)
+        for k, v in _filled(take, units).items():
+            held[k] = v
         gain = held[here] / demand[here]
         weight = weight * np.exp(-gain / gain.max() * 2 / math.sqrt(turn))
-    return best
+    return best, prices
 
 
 def plan(counts: np.ndarray, capacity: int = CAPACITY) -> list[tuple[dict[int, int], int]]:
@@ -145,7 +205,7 @@ def plan(counts: np.ndarray, capacity: int = CAPACITY) -> list[tuple[dict[int, i
         bins[free].append((held, times))
         open_[free] = True
 
-    for held, times in list(_configurations(remain, capacity)):
+    for held, times in _rounded(solve(counts, capacity), remain):
         add(held, times)
     for length in np.flatnonzero(remain)[::-1].tolist():
         left = int(remain[length])

@@ -571,3 +571,17 @@ def test_packing_plans_are_near_the_dual_bound():
         assert bound > lengths.sum() / 4096 * 1.1  # the shape tells more than the sum
         assert needs(counts) == bound if exact else bound <= needs(counts) <= 1.005 * bound
     assert packing.lower_bound(np.zeros(4097, np.int64)) == 0 == needs(np.zeros(4097, np.int64))
+
+
+def test_packing_rounds_a_fractional_solution_that_holds_no_length_too_often():
+    rng = np.random.default_rng(4)
+    counts = np.bincount(rng.integers(1100, 1900, 3000), minlength=4097)
+    found, held = packing.solve(counts), np.zeros(4097)
+    for lengths, times in found.items():
+        assert times > 0 and sum(k * v for k, v in lengths) <= 4096
+        for k, v in lengths:
+            held[k] += v * times
+    assert (held <= counts + 1e-3).all() and any(t % 1 > 0.01 for t in found.values())
+    bound = packing.lower_bound(counts)
+    assert bound <= sum(found.values()) + (counts - held).sum()
+    assert bound <= sum(t for _, t in packing.plan(counts)) <= 1.05 * bound
