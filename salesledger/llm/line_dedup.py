@@ -1,18 +1,21 @@
-"""Line deduplication by fingerprints of windows of lines, DataFrame functions only.
+"""Line deduplication by winnowing over line hashes, DataFrame functions only.
 
 A window is the least run of consecutive lines from a line on, or up to a
 line, that has ``MIN_WORDS`` words. Winnowing selects the least line hash of each
-window; windows depend on their own lines alone, so two places that share a run of
-that many words select the same hashes inside it, and only windows whose selected
-hash occurs at two places or more are looked at.
-
-What is joined then are whole windows by the hash of their lines, not positions of
-selected hashes: of places that agree on a window, the first (by doc_id, then
-position) stays, and the lines of all later ones go. The windows from each line on
-and up to each line cover a shared run to its very ends. Joining each position
-to the first copy of its hash and extending that match both ways would lose lines:
-where a run W is followed by x in the first copy and by t in the second and
-third, the t of the third is found by its window alone.
+window, and the places of these minima are the document's fingerprints. Windows
+depend on their own lines alone, so two places that share a run of that many words
+select the same fingerprint at the same line of it.
+
+Positions are joined by their fingerprint; those whose fingerprint stands at one
+place alone go no further. The others are extended both ways: a position reaches
+left and right over each window that selected it, and every reach is held against
+the same reach of the other positions of its fingerprint. Of positions that agree
+on a reach the first (by doc_id, then position) keeps it, all later ones lose its
+lines. The reaches from each line on and up to each line cover a shared run to
+its very ends. A reach is matched on its own, with its own first copy: where a run
+W is followed by x in the first copy and by t in the second and third, an
+extension that only follows the first copy of the fingerprint would keep the t of
+the third.
 """
 
 from __future__ import annotations
@@ -36,7 +39,10 @@ def _lines(docs: DataFrame) -> DataFrame:
     return once.withColumn("c", F.sum("words").over(upto)).withColumn("b", F.col("c") - F.col("words"))
 
 
-def _windows(lines: DataFrame, min_words: int) -> DataFrame:
+def _positions(lines: DataFrame, min_words: int) -> DataFrame:
+    """(doc_id, rid, pos, h, reaches): the selected minima, each with the windows
+    that selected it, (first, last, words, lines, key). At most ``min_words``
+    windows start, and as many end, around a position."""
     doc = Window.partitionBy("doc_id", "rid")
     on = doc.orderBy("b").rangeBetween(0, min_words - 1)
     upto = doc.orderBy("c").rangeBetween(-(min_words - 1), 0)
@@ -44,7 +50,7 @@ def _windows(lines: DataFrame, min_words: int) -> DataFrame:
     def window(frame, words):
         return F.struct(
             F.min("pos").over(frame).alias("first"), F.max("pos").over(frame).alias("last"), words.alias("words"),
-            F.collect_list("h").over(frame).alias("hs"), F.min(F.struct("h", "pos")).over(frame).alias("mark"),
+            F.collect_list("h").over(frame).alias("hs"), F.min(F.struct("h", "pos")).over(frame).alias("least"),
         )
 
     both = lines.select(
@@ -54,23 +60,32 @@ def _windows(lines: DataFrame, min_words: int) -> DataFrame:
     )
     same = (F.col("x.first") == F.col("y.first")) & (F.col("x.last") == F.col("y.last"))
     found = both.select("doc_id", "rid", F.explode(F.when(same, F.array("x")).otherwise(F.array("x", "y"))).alias("w")).where(F.col("w.words") >= min_words)
-    return found.select(
-        "doc_id", "rid", F.col("w.first").alias("first"), F.col("w.last").alias("last"), F.col("w.words").alias("words"),
-        F.size("w.hs").alias("lines"), F.xxhash64("w.hs").alias("key"), F.col("w.mark.h").alias("mark"), F.col("w.mark.pos").alias("mark_pos"),
-    )
+    reach = F.struct(F.col("w.first").alias("first"), F.col("w.last").alias("last"), F.col("w.words").alias("words"), F.size("w.hs").alias("lines"), F.xxhash64("w.hs").alias("key"))
+    selected = found.select("doc_id", "rid", F.col("w.least.pos").alias("pos"), F.col("w.least.h").alias("h"), reach.alias("reach"))
+    return selected.groupBy("doc_id", "rid", "pos", "h").agg(F.collect_list("reach").alias("reaches"))
+
+
+def _shared(positions: DataFrame) -> DataFrame:
+    """The positions whose fingerprint stands at two places or more."""
+    place = F.struct("doc_id", "rid", "pos")
+    again = freeze(positions.groupBy("h").agg(F.min(place).alias("a"), F.max(place).alias("z")).where("a <> z").select("h"))
+    return positions.join(again, "h", "left_semi")
+
+
+def _extended(positions: DataFrame) -> DataFrame:
+    """(h, doc_id, rid, first, last, words, lines, key): every reach of every position."""
+    return positions.select("h", "doc_id", "rid", F.inline("reaches"))
 
 
 def repeated_lines(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     """(doc_id, rid, gone): for documents (doc_id, rid, text) with later
     copies of runs, the places of the lines to delete."""
-    windows = freeze(_windows(_lines(docs), min_words))
-    place = F.struct("doc_id", "rid", "mark_pos")
-    marks = freeze(windows.groupBy("mark").agg(F.min(place).alias("a"), F.max(place).alias("z")).where("a <> z").select("mark"))
+    positions = freeze(_positions(_lines(docs), min_words))
+    matches = freeze(_extended(_shared(positions)))
     start = F.struct("doc_id", "rid", "first")
-    met = windows.join(marks, "mark", "left_semi")
-    key = ["key", "lines", "words"]
-    firsts = freeze(met.groupBy(*key).agg(F.min(start).alias("kept"), F.max(start).alias("z")).where("kept <> z").select(*key, "kept"))
-    later = windows.join(firsts, key).where(start != F.col("kept"))
+    alike = ["h", "key", "lines", "words"]
+    firsts = freeze(matches.groupBy(*alike).agg(F.min(start).alias("kept"), F.max(start).alias("z")).where("kept <> z").select(*alike, "kept"))
+    later = matches.join(firsts, alike).where(start != F.col("kept"))
     gone = later.groupBy("doc_id", "rid").agg(F.collect_set(F.struct("first", "last")).alias("runs"))
     each = F.transform("runs", lambda r: F.sequence(r["first"], r["last"]))
     return gone.select("doc_id", "rid", F.array_distinct(F.flatten(each)).alias("gone"))

@@ -544,6 +544,26 @@ def test_line_dedup_finds_a_later_copy_of_a_longer_run_than_the_first_copy_share
     assert got[2]["text"] == "\n".join([texts[2].split("\n")[0], texts[2].split("\n")[-1]])
 
 
+def test_line_dedup_extends_selected_positions_both_ways(spark, monkeypatch):
+    run = [sentence(18) for _ in range(9)]
+    texts = ["\n".join([sentence(20), *run, sentence(20)]), "\n".join([sentence(12), *run, sentence(30)]), "\n".join([*run[:1], sentence(70)])]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    removed = lambda: [r["removed_lines"] for r in line_dedup.remove_repeated_runs(docs).orderBy("doc_id").collect()]
+    assert removed() == [0, 9, 0]
+
+    positions = line_dedup._positions(line_dedup._lines(docs.withColumn("rid", F.lit(0))), 50)
+    windows = positions.select(F.sum(F.size("reaches"))).first()[0]
+    assert positions.count() < windows and positions.groupBy("doc_id", "pos").count().where("count > 1").isEmpty()
+    shared = {(r["doc_id"], r["pos"]) for r in line_dedup._shared(positions).collect()}
+    assert {d for d, _ in shared} == {0, 1} and {p for d, p in shared if d == 0} == {p for d, p in shared if d == 1}
+
+    # a position alone is not the run: without reaching left and right the run's ends stay
+    alone = F.transform("reaches", lambda r: r.withField("first", F.col("pos")).withField("last", F.col("pos")))
+    whole = line_dedup._extended
+    monkeypatch.setattr(line_dedup, "_extended", lambda p: whole(p.withColumn("reaches", alone)))
+    assert 0 < removed()[1] < 9
+
+
 def test_mix_by_first_slot_keeps_every_stretch_near_the_shares(spark):
     rows = [(k, "w " * (1 + k % 9), "abc"[k % 7 % 3]) for k in range(1500)]
     out = [r for r in mixing.mix(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect() if r["first_slot"] is not None]
