@@ -3,12 +3,17 @@
 A page's tokens are its element starts and its blocks of text, told apart by
 the elements they stand in. Per host, elements that occur equally often on each
 page (the same occurrence vector, kept as a count of pages and a sum of hashes)
-form an equivalence class; classes found on enough pages, split by the class
-they stand in, nest into the host's template. The template's elements are the
-slots. A slot is dropped if its text is mostly links or the same on most pages,
-and a block of text if it is itself on most pages, also inside an element that
-names itself main. Names decide about the rest, but drop no element that holds
-most of a page's own text.
+form an equivalence class, split by the class they stand in. A class is valid if
+it is found on enough pages, and has two elements or more, or one that comes
+equally often on all its pages; valid classes nest into the host's template, and
+their elements are its slots. Elements that come now
+once and now thrice, each like no other, are what authors write: the template
+says nothing of them. A slot is dropped if its text is mostly links, or the same
+on most pages; the links of a class that repeats are judged as one, so that a
+list of links stays with the text that always comes with it. A block of text is
+dropped if it is itself on most pages, also inside an element that names itself
+main. Names decide about the rest, but drop no element that holds most of a
+page's own text.
 """
 
 from __future__ import annotations
@@ -294,50 +299,70 @@ def templates(pages: DataFrame) -> DataFrame:
     per = pages.mapInArrow(_tokens, TOKENS).groupBy("host", "token").agg(
         F.min("parent").alias("parent"), F.count(F.lit(1)).alias("pages"), F.sum(F.xxhash64("page", "n").cast(wide)).alias("vector"),
         F.sum("chars").alias("chars"), F.sum("links").alias("links"), F.min("role").alias("role"), F.approx_count_distinct("body").alias("bodies"),
+        F.min("n").alias("least"), F.max("n").alias("most"),
     )
     per = freeze(per)
     hosts = freeze(per.where("token = 0").select(F.col("host").alias("of"), F.when(F.col("pages") >= MIN_PAGES, F.col("host")).otherwise("").alias("to")))
     pooled = per.join(hosts, per["host"] == hosts["of"]).groupBy(F.col("to").alias("host"), "token").agg(
         F.min("parent").alias("parent"), F.sum("pages").alias("pages"), F.sum("vector").alias("vector"), F.sum("chars").alias("chars"), F.sum("links").alias("links"),
-        F.min("role").alias("role"), F.sum("bodies").alias("bodies"),
+        F.min("role").alias("role"), F.sum("bodies").alias("bodies"), F.min("least").alias("least"), F.max("most").alias("most"),
     )
     pooled = freeze(pooled)
     sizes = pooled.where("token = 0").select("host", F.col("pages").alias("of_pages"))
     frequent = pooled.join(sizes, "host").where((F.col("pages") >= MIN_PAGES) & (F.col("pages") >= SUPPORT * F.col("of_pages")))
     # at most 1 / SUPPORT times a page's own elements are frequent, so a host's row is bounded by its pages' size
     kind = F.struct("pages", "vector").alias("class")
-    entry = F.struct("token", "parent", kind, "chars", "links", "bodies", "of_pages", "pages")
+    entry = F.struct("token", "parent", kind, "chars", "links", "bodies", "of_pages", "pages", (F.col("least") == F.col("most")).alias("fixed"))
     nested = frequent.groupBy("host").agg(F.collect_list(entry).alias("tokens"))
     texts = _repeated(pages, hosts, sizes).groupBy("host").agg(F.collect_list("token").alias("texts"))
     both = nested.join(texts, "host", "left").select("host", "tokens", F.coalesce("texts", F.array().cast("array<long>")).alias("texts"))
     return both.mapInArrow(_nest, "host string, slots array<struct<token:long,what:int>>")
 
 
+def _template(by: dict[int, dict]) -> dict[int, int]:
+    """{element: class} for the valid classes of frequent elements.
+
+    An element is of its parent's class if both occur equally often on each
+    page, else of a class nested in that one, with the others there that share
+    its occurrence vector. What stands in an infrequent element has no class."""
+    if 0 not in by:
+        return {}
+    children: dict[int, list[int]] = {}
+    for k, t in by.items():
+        if k:
+            children.setdefault(t["parent"], []).append(k)
+    of, numbers, left = {0: 0}, {}, [0]
+    while left:
+        parent = left.pop()
+        for k in children.get(parent, ()):
+            if by[k]["class"] == by[parent]["class"]:
+                of[k] = of[parent]
+            else:
+                vector = (by[k]["class"]["pages"], by[k]["class"]["vector"])
+                of[k] = numbers.setdefault((of[parent], *vector), len(numbers) + 1)
+            left.append(k)
+    sizes = Counter(of.values())
+    return {k: c for k, c in of.items() if sizes[c] > 1 or by[k]["fixed"]}
+
+
 def _nest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Nest the classes, each split by the class its elements stand in, and
-    judge the slots that they make."""
+    """Judge the slots of each host's template."""
     kind = pa.list_(pa.struct([("token", pa.int64()), ("what", pa.int32())]))
     for batch in batches:
         out = []
         for tokens, texts in zip(batch.column("tokens").to_pylist(), batch.column("texts").to_pylist(), strict=True):
             by = {t["token"]: t for t in tokens}
-            classes: dict[tuple, list[int]] = {}
-            for t in tokens:
-                classes.setdefault((t["class"]["pages"], t["class"]["vector"]), []).append(t["token"])
-            valid = {0}
-            grown = True
-            while grown:
-                grown = False
-                for members in classes.values():
-                    # what stands in no valid element waits; the outer part of its class does not
-                    inner = {m for m in members if m not in valid and by[m]["parent"] in valid}
-                    if inner:
-                        valid |= inner
-                        grown = True
+            valid = _template(by)
+            chars, links = Counter(), Counter()
+            for k, c in valid.items():
+                own = k if by[k]["fixed"] else -c  # what repeats is judged as a class
+                chars[own] += by[k]["chars"]
+                links[own] += by[k]["links"]
             slots = []
-            for k in sorted(valid & by.keys()):
+            for k in sorted(valid):
                 t = by[k]
-                link_list = t["chars"] > 0 and t["links"] > MAX_LINKS * t["chars"]
+                own = k if t["fixed"] else -valid[k]
+                link_list = chars[own] > 0 and links[own] > MAX_LINKS * chars[own]
                 same = t["pages"] >= MIN_PAGES and t["bodies"] < (1 - MAX_SAME) * t["pages"] and by.get(0, t)["bodies"] >= (1 - MAX_SAME) * t["of_pages"]
                 slots.append({"token": k, "what": DROP if k and (link_list or same) else PLAIN})
             out.append(slots + [{"token": k, "what": DROP} for k in sorted(texts)])

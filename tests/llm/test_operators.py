@@ -564,6 +564,28 @@ def test_line_dedup_extends_selected_positions_both_ways(spark, monkeypatch):
     assert 0 < removed()[1] < 9
 
 
+def test_html_drops_an_element_by_its_class_in_the_template(spark, monkeypatch):
+    rng = random.Random(4)
+    say = lambda n=12: " ".join(rng.choice(WORDS) for _ in range(n))
+    rows, want = [], {}
+    for k in range(12):
+        menu = "".join(f"<li><a href='/{j}'>{say(3)}</a></li>" for j in range(4 + k % 3))
+        kept, body = [], ""
+        for _ in range(1 + k * 7 % 3):  # lists of links that an author wrote, as many as the text needs
+            kept += [say(30), say(3), say(4)]
+            body += f"<p>{kept[-3]}</p><ul class='plain'><li><a href='#'>{kept[-2]}</a></li><li><a href='#'>{kept[-1]}</a></li></ul>"
+        rows.append((k, f"http://a.test/{k}", f"<html><body><div class='top'><ul class='x'>{menu}</ul></div><div class='text'>{body}</div></body></html>"))
+        want[k] = "\n\n".join(kept)
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(3)
+    texts = lambda: {r["page_id"]: r["text"] for r in html_main.extract(pages).collect()}
+    assert texts() == want
+    frame = [{"token": k, "parent": max(0, k - 1), "class": {"pages": 4, "vector": v}, "fixed": f} for k, v, f in ((0, 1, True), (1, 1, True), (2, 7, False), (3, 1, True), (4, 9, False), (5, 9, False))]
+    assert html_main._template({t["token"]: t for t in frame}) == {0: 0, 1: 0, 3: 2, 4: 3, 5: 3}
+    # each element judged by itself, whatever class it is of: the author's lists are lost
+    monkeypatch.setattr(html_main, "_template", lambda by: {k: n for n, k in enumerate(sorted(by))})
+    assert texts() == {k: "\n\n".join(t.split("\n\n")[::3]) for k, t in want.items()}
+
+
 def test_mix_by_first_slot_keeps_every_stretch_near_the_shares(spark):
     rows = [(k, "w " * (1 + k % 9), "abc"[k % 7 % 3]) for k in range(1500)]
     out = [r for r in mixing.mix(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect() if r["first_slot"] is not None]
