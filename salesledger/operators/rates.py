@@ -33,15 +33,21 @@ def base_rates(spark: SparkSession) -> DataFrame:
     return spark.range(1).select(F.inline(F.array(*rows)))
 
 
-def refresh_rates(current: DataFrame, feed: DataFrame) -> DataFrame:
+def refresh_rates(current: DataFrame, feed: DataFrame, order_col: str | None = None) -> DataFrame:
     """Known currencies only; take the feed's rate where it is set and
-    non-zero (the highest of several), else keep the current one."""
-    feed = feed.select(F.col("currency"), F.col("rate").alias("_feed_rate")).filter(
-        F.col("currency").isin(list(KNOWN_CURRENCIES))
-    )
+    non-zero, else keep the current one.
+
+    Of several feed rates for a currency the last by ``order_col`` counts (the
+    highest of equally late ones; rows without an order are the earliest);
+    without an order column, the highest.
+    """
+    order = [F.col(order_col).alias("_order")] if order_col else []
+    feed = feed.select(*order, F.col("currency"), F.col("rate").alias("_feed_rate")).filter(F.col("currency").isin(list(KNOWN_CURRENCIES)))
     cur = current.filter(F.col("currency").isin(list(KNOWN_CURRENCIES)))
     # one row per code, so at most len(KNOWN_CURRENCIES) rows are broadcast
-    usable = feed.filter(~F.isnan("_feed_rate") & (F.col("_feed_rate") != 0)).groupBy("currency").agg(F.max("_feed_rate").alias("_feed_rate"))
+    set_rates = feed.filter(~F.isnan("_feed_rate") & (F.col("_feed_rate") != 0))
+    last = F.max(F.struct(*(["_order"] if order_col else []), "_feed_rate"))
+    usable = set_rates.groupBy("currency").agg(last.alias("_last")).select("currency", "_last._feed_rate")
     joined = cur.join(F.broadcast(usable), "currency", "left")
     return joined.select("currency", F.coalesce("_feed_rate", "rate").alias("rate"))
 

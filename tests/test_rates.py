@@ -47,3 +47,11 @@ def test_repeated_feed_rows_and_unknown_codes(spark):
     doubled = base_rates(spark).unionByName(base_rates(spark))
     cols = facts.withColumn("c", __import__("pyspark").sql.functions.lit("USD"))
     assert convert(cols, doubled, "amount", "c", "INR").count() == 1
+
+
+def test_last_feed_rate_counts_where_an_order_is_named(spark):
+    feed = spark.createDataFrame([("USD", 0.02, 1), ("USD", 0.013, 3), ("USD", 0.0, 4), ("EUR", 0.5, None), ("EUR", 0.012, 2)], "currency string, rate double, seen int")
+    last = {r.currency: r.rate for r in refresh_rates(base_rates(spark), feed, "seen").collect()}
+    assert last["USD"] == 0.013 and last["EUR"] == 0.012 and last["GBP"] == 0.0095 and len(last) == 8
+    highest = {r.currency: r.rate for r in refresh_rates(base_rates(spark), feed).collect()}
+    assert highest["USD"] == 0.02 and highest["EUR"] == 0.5
