@@ -8,7 +8,8 @@ and checkpointed to the shared checkpoint folder. The checkpoint matters: range
 bounds come from a random sample, so two evaluations may cut partitions
 differently; counting and numbering must see one frozen copy.
 
-``assign_ids_in_place`` takes rows in the order of the files they are read from.
+``assign_ids_in_place`` takes rows in the order of the files they are read from,
+or of files that were written from those in their order.
 No row moves: a first pass counts the rows of each split, running sums over
 that table (one row a split) give each split its first id, and a second pass adds
 a row's place in its split. Both passes must see the same splits; a row whose
@@ -24,6 +25,9 @@ from pyspark.sql import functions as F
 
 from salesledger.session import ensure_checkpoint_dir, written_once
 
+# A piece of a split: one task's rows of it from one place of the files that it reads
+# (a split that was written anew may come back in several).
+_PIECE = ["_pid", "_path", "_from", "_file", "_block"]
 _LOCAL_BITS = 33  # monotonically_increasing_id = partition << 33 | row in partition
 #: Splits up to which their first ids (some 30 bytes each) are broadcast.
 MOST_SPLITS = 1_000_000
@@ -84,8 +88,9 @@ def _after(start_after: int | Column) -> Column:
 def assign_ids_in_place(df: DataFrame, start_after: int | Column, id_col: str = "id", seq: str = "row_seq") -> DataFrame:
     """Add ``id_col`` = start_after + 1, + 2, … in file order.
 
-    ``df`` must come straight from a scan, by row-wise steps alone, with the
-    scan's ``seq`` = struct(file, block, …). Beyond ``MOST_SPLITS`` splits the
+    ``df`` must come straight from scans, by row-wise steps alone, with a ``seq`` =
+    struct(file, block, pos) that follows each scan's order; without ``pos`` a split must
+    be read in one piece. Beyond ``MOST_SPLITS`` splits the
     rows are ordered by ``assign_ids``."""
     placed, offsets = _placed(df, seq)
     if offsets is None:
@@ -103,17 +108,18 @@ def number_in_place(df: DataFrame, seq: str = "row_seq") -> tuple[DataFrame, int
 
 
 def _placed(df: DataFrame, seq: str) -> tuple[DataFrame, DataFrame | None]:
-    """(rows with their split and place, a row per split: _n, _first, _base)."""
-    placed = df.select("*", F.col(f"{seq}.file").alias("_file"), F.col(f"{seq}.block").alias("_block"), F.spark_partition_id().alias("_pid"), F.monotonically_increasing_id().alias("_mid"))
-    counts = written_once(placed.groupBy("_pid", "_file", "_block").agg(F.count(F.lit(1)).alias("_n"), F.min("_mid").alias("_first")))
+    """(rows with their piece and place, a row per piece: _n, _first, _base)."""
+    at = {"_file": F.col(f"{seq}.file"), "_block": F.col(f"{seq}.block"), "_pid": F.spark_partition_id(), "_path": F.input_file_name(), "_from": F.input_file_block_start()}
+    placed = df.withColumns(at | {"_mid": F.monotonically_increasing_id()})
+    least = F.min(f"{seq}.pos") if "pos" in df.schema[seq].dataType.fieldNames() else F.lit(0)
+    counts = written_once(placed.groupBy(*_PIECE).agg(F.count(F.lit(1)).alias("_n"), F.min("_mid").alias("_first"), least.alias("_at")))
     if counts.count() > MOST_SPLITS:
         return placed, None
-    return placed, counts.withColumn("_base", _sum_before("_file", "_block"))
+    return placed, counts.withColumn("_base", _sum_before("_file", "_block", "_at"))
 
 
 def _in_place(placed: DataFrame, offsets: DataFrame, start_after: int | Column, id_col: str) -> DataFrame:
-    split = ["_pid", "_file", "_block"]
-    joined = placed.join(F.broadcast(offsets.select(*split, "_first", "_base")), split, "left")
+    joined = placed.join(F.broadcast(offsets.select(*_PIECE, "_first", "_base")), _PIECE, "left")
     changed = F.raise_error(F.concat(F.lit("the splits of the input changed while its rows were numbered: "), F.col("_file")))
     place = F.when(F.col("_base").isNull(), changed.cast("long")).otherwise(F.col("_base") + F.col("_mid") - F.col("_first"))
-    return joined.withColumn(id_col, _after(start_after) + place + F.lit(1)).drop(*split, "_mid", "_first", "_base")
+    return joined.withColumn(id_col, _after(start_after) + place + F.lit(1)).drop(*_PIECE, "_mid", "_first", "_base")

@@ -84,5 +84,4 @@ def import_csv(spark: SparkSession, table: LedgerTable, paths: str | Sequence[st
     rows = cleaned[0][0]
     for more, _ in cleaned[1:]:
         rows = rows.unionByName(more)
-    in_place = all(t.in_file_order for t in tables) and all(row_wise for _, row_wise in cleaned)
-    return table.import_rows(rows, [SEQ_COL], in_place=in_place)
+    return table.import_rows(rows, [SEQ_COL], in_place=all(row_wise for _, row_wise in cleaned))

@@ -7,14 +7,14 @@ enough: a file split into several partitions, or several files packed into
 one, would interleave.
 
 Files are read in splits, also where quoted cells hold newlines. One pass over
-the lines finds, for each file, its header and whether any line opens a quoted
-cell that it does not close. Files without such a line are plain: every line is
-a record, and Spark's reader takes their splits as they are. In the others, what a
-line does to the state "inside a quoted cell" depends on the state before it,
-so each line is a function of two states. The functions are composed along a
-split by running windows, and along a file over one row per split; that gives
-each line the record it belongs to, and the lines of a record are joined, also
-across splits.
+the lines finds, for each split, its first line, whether any line opens a quoted
+cell that it does not close, and what the split does to the state "inside a quoted
+cell", which depends on the state before it. Files without such a line are plain:
+every line is a record, and Spark's reader takes their splits as they are. For the
+others the splits' functions are composed along a file (one row per split), and a
+second pass over the same splits puts the lines of each record together where they are;
+only records that cross a split's end are grouped. Their cells are parsed once and
+written in file order.
 
 Records that cannot be rows are rejects, not errors and not silence: those
 with more cells than the header, and a last record whose quote is never closed.
@@ -27,7 +27,6 @@ import re
 from collections import defaultdict
 from collections.abc import Sequence
 from dataclasses import dataclass
-from decimal import Decimal
 from urllib.parse import unquote
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -36,31 +35,29 @@ from pyspark.sql.types import StringType, StructField, StructType
 
 from salesledger.functions import strip_replacement_chars
 from salesledger.session import written_once
+from salesledger.sources.csv_lines import LEADING, RECORD_SCHEMA, SPLIT_SCHEMA, SPLITS_CHANGED, records, split_functions
 
 SEQ_COL = "row_seq"
 TOO_LONG = "more cells than the header"
 UNCLOSED = "a quote that is never closed"
+# Times that splits are cut anew, as when executors come or go between the passes.
+TRIES = 5
 # Lines that a header may span.
 HEADER_LINES = 100
 # A cell that ends a record, to tell how many cells it has.
 _END = "\u0001end\u0001"
-# States along a line: at a cell's start, in a bare cell, in a quoted cell, and
-# after a quote in one (the next character tells whether it was the last).
-_START, _BARE, _QUOTED, _QUOTE = range(4)
-_HASH_SPAN = Decimal(2**64)
 
 
 @dataclass
 class CsvTable:
-    """Files with one header: ``rows`` (the header's columns and ``row_seq``), and
-    ``rejects``: file, row_seq, reason, record (of an unclosed one the first
-    line), lines. Rows and rejects together are the files' records."""
+    """Files with one header: ``rows`` (the header's columns and ``row_seq``, in tasks
+    that see them in file order), and ``rejects``: file, row_seq, reason, record (of an
+    unclosed one the first line), lines. Rows and rejects together are the files' records."""
 
     names: list[str]
     files: list[str]
     rows: DataFrame
     rejects: DataFrame
-    in_file_order: bool  # the rows are a plain scan: tasks see them in file order
 
 
 def scan_csv(
@@ -78,7 +75,9 @@ def scan_csv(
     """
     where = [paths] if isinstance(paths, str) else list(paths)
     try:
-        layout = _layout(_lines(spark, where, csv_only), multiline)
+        lines = _lines(spark, where, csv_only)
+        splits = _splits(lines, multiline)
+        layout = _layout(lines, splits)
     except Exception as exc:  # noqa: BLE001 - one kind of error for every unreadable input
         raise ValueError(f"cannot read CSV text from {paths}: {exc}") from exc
     tables = []
@@ -90,11 +89,16 @@ def scan_csv(
             if own:
                 whole = len(own) == sum(map(len, layout.values()))
                 read = where if whole else [_as_path(f) for f in own]
-                parts.append((_spread if spread else _plain)(spark, read, csv_only and whole, names, strict))
+                if not spread:
+                    parts.append(_plain(spark, read, csv_only and whole, names, strict))
+                    continue
+                # fewer files may be cut into other splits
+                its_lines = lines if whole else _lines(spark, read, False)
+                parts.append(_spread(its_lines, splits if whole else _splits(its_lines, multiline), names, strict))
         rows, rejects = parts[0]
         for r, j in parts[1:]:
             rows, rejects = rows.unionByName(r), rejects.unionByName(j)
-        tables.append(CsvTable(names, sorted(f for f, _ in files), rows, rejects, not any(multi for _, multi in files)))
+        tables.append(CsvTable(names, sorted(f for f, _ in files), rows, rejects))
     return sorted(tables, key=lambda t: t.files[0])
 
 
@@ -141,40 +145,25 @@ def _lines(spark: SparkSession, where: Sequence[str], csv_only: bool) -> DataFra
     return reader.text(list(where)).select(*place, F.monotonically_increasing_id().alias("pos"), F.col("value").alias("line"))
 
 
-def _is_blank(line: Column) -> Column:
-    return F.trim(F.translate(line, "\r\t", "  ")) == ""
-
+def _has_quote(line: Column) -> Column:
+    return F.contains(line, F.lit('"'))
 
-def _ends_quoted(line: Column, inside: bool) -> Column:
-    """Whether a line that starts inside a quoted cell (or outside) ends inside one."""
-    pieces = F.split(line, '"')
-    head = F.element_at(pieces, 1)
-    at_start = (head == "") | head.endswith(",")
-    begin = F.lit(_QUOTED) if inside else F.when(at_start, _START).otherwise(_BARE)
 
-    def after_quote(state: Column, text: Column) -> Column:
-        return (
-            F.when(state.isin(_START, _QUOTE), _QUOTED)
-            .when((state == _QUOTED) & (text == ""), _QUOTE)
-            .when(text.endswith(","), _START)
-            .otherwise(_BARE)
-        )
+def _is_blank(line: Column) -> Column:
+    return F.trim(F.translate(line, "\r\t", "  ")) == ""
 
-    end = F.aggregate(F.slice(pieces, F.lit(2), F.size(pieces)), begin, after_quote)
-    return F.when(F.contains(line, F.lit('"')), end == _QUOTED).otherwise(F.lit(inside))
 
+def _splits(lines: DataFrame, multiline: bool) -> DataFrame:
+    """A row per split that has lines; see ``split_functions``."""
+    quoted = _has_quote(F.col("line")) if multiline else F.lit(False)
+    rows = lines.select("file", "block", F.col("line").cast("binary").alias("line"), quoted.alias("quoted"), _is_blank(F.col("line")).alias("blank"))
+    return written_once(rows.mapInArrow(split_functions, SPLIT_SCHEMA))
 
-def _layout(lines: DataFrame, multiline: bool) -> dict[str, list[tuple[str, bool]]]:
-    """header's hash -> (file, whether a line opens a cell that it does not close).
 
-    One hash aggregation with a row per file. A file's first line is known by its
-    position and kept as a hash in the same number, as text would need a sort.
-    """
-    opens = _ends_quoted(F.col("line"), False) if multiline else F.lit(False)
-    text_hash = F.xxhash64(F.rtrim(F.translate("line", "\r", " "))).cast("decimal(38,0)") + F.lit(Decimal(2**63))
-    place = F.col("pos").bitwiseAND(F.lit((1 << 33) - 1)).cast("decimal(11,0)")
-    first = F.when(F.col("block") == 0, place * F.lit(_HASH_SPAN) + text_hash)
-    found = lines.where(~_is_blank(F.col("line"))).groupBy("file").agg(F.min(first).alias("first"), F.bool_or(opens).alias("multi")).collect()
+def _layout(lines: DataFrame, splits: DataFrame) -> dict[str, list[tuple[str, bool]]]:
+    """header's hash -> (file, whether a line opens a cell that it does not close)."""
+    text = F.xxhash64(F.rtrim(F.translate(F.col("head").cast("string"), "\r", " ")))
+    found = splits.where("head is not null").groupBy("file").agg(F.min_by(text, "block").alias("first"), F.bool_or("_opens").alias("multi")).collect()
     if not found:
         raise ValueError("no CSV file with a header")
     without = {_as_path(f) for f in lines.inputFiles()} - {_as_path(r["file"]) for r in found}
@@ -182,7 +171,7 @@ def _layout(lines: DataFrame, multiline: bool) -> dict[str, list[tuple[str, bool
         raise ValueError(f"no header in {', '.join(sorted(without)[:3])}")
     layout: dict[str, list[tuple[str, bool]]] = defaultdict(list)
     for r in found:
-        layout[str(r["first"] % _HASH_SPAN)].append((r["file"], r["multi"]))
+        layout[str(r["first"])].append((r["file"], r["multi"]))
     return layout
 
 
@@ -217,13 +206,17 @@ def _only(rows: DataFrame, fits: Column, strict: bool, message: str, record: str
     return rows.where(fits)
 
 
-def _split(parsed: DataFrame, names: Sequence[str], bad: str, strict: bool) -> tuple[DataFrame, DataFrame]:
-    """(rows, rejects) of (c0, c1, ..., bad, row_seq, lines); ``bad`` is the text of
-    a record with too few or too many cells."""
+def _fits(names: Sequence[str], bad: str) -> Column:
+    """Whether a record has no more cells than the header; ``bad`` is the text of one
+    with too few or too many."""
     cells = StructType([StructField(f"c{k}", StringType()) for k in range(len(names))])
     with_end = F.from_csv(F.concat(F.col(bad), F.lit("," + _END)), F.lit(cells.simpleString()), {"escape": '"', "multiLine": "true"})
     short = F.coalesce(F.array_contains(F.array(*[with_end.getField(f.name) for f in cells]), _END), F.lit(False))
-    fits = F.col(bad).isNull() | short
+    return F.col(bad).isNull() | short
+
+
+def _split(parsed: DataFrame, names: Sequence[str], bad: str, fits: Column, strict: bool) -> tuple[DataFrame, DataFrame]:
+    """(rows, rejects) of (c0, c1, ..., bad, row_seq, lines)."""
     message = f"a row has more than the header's {len(names)} cells"
     rows = _only(parsed, fits, strict, message, bad).select(*[strip_replacement_chars(F.col(f"c{k}")).alias(n) for k, n in enumerate(names)], SEQ_COL)
     rejects = parsed.where(~fits).select(F.col(f"{SEQ_COL}.file").alias("file"), SEQ_COL, F.lit(TOO_LONG).alias("reason"), F.col(bad).alias("record"), "lines")
@@ -241,20 +234,38 @@ def _plain(spark: SparkSession, where: Sequence[str], csv_only: bool, names: Seq
     seq = F.struct(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("pos"))
     parsed = reader.csv(list(where)).withColumns({SEQ_COL: seq, "lines": F.lit(1).cast("long")})
     # always true: the reader refuses queries that use the column of bad records alone
-    return _split(parsed.where(F.coalesce(F.length("c0"), F.lit(0)) >= 0), names, bad, strict)
+    return _split(parsed.where(F.coalesce(F.length("c0"), F.lit(0)) >= 0), names, bad, _fits(names, bad), strict)
 
 
-def _spread(spark: SparkSession, where: Sequence[str], csv_only: bool, names: Sequence[str], strict: bool) -> tuple[DataFrame, DataFrame]:
-    """Files with records over several lines."""
-    records = written_once(_records(written_once(_lines(spark, where, csv_only))))
-    bad = "_bad"
+def _spread(lines: DataFrame, splits: DataFrame, names: Sequence[str], strict: bool) -> tuple[DataFrame, DataFrame]:
+    """Files with records over several lines. ``splits`` are those of ``lines``."""
+    bad, seq = "_bad", F.struct("file", "block", "pos").alias(SEQ_COL)
     options = {"escape": '"', "multiLine": "true", "mode": "PERMISSIVE", "columnNameOfCorruptRecord": bad}
-    whole = _only(records, ~F.col("unclosed"), strict, UNCLOSED, "record")
-    cell = F.from_csv(F.regexp_replace("record", "\r$", ""), F.lit(_schema(names, bad).simpleString()), options)
-    parsed = whole.select(SEQ_COL, "lines", F.inline(F.array(cell)))  # a generator: parsed once for all columns
-    rows, rejects = _split(parsed, names, bad, strict)
-    unclosed = records.where("unclosed").select(F.col(f"{SEQ_COL}.file").alias("file"), SEQ_COL, F.lit(UNCLOSED).alias("reason"), "record", "lines")
-    return rows, rejects.unionByName(unclosed)
+
+    def parsed(found: DataFrame, record: Column, *own: str) -> DataFrame:
+        cell = F.from_csv(F.regexp_replace(record, "\r$", ""), F.lit(_schema(names, bad).simpleString()), options)
+        cells = found.select(*own, F.inline(F.array(cell)))  # a generator: parsed once for all columns
+        return written_once(cells.withColumn("_fits", _fits(names, bad)))
+
+    for tried in range(1, TRIES + 1):
+        placed = written_once(_placed(splits))
+        found = _records(lines, placed)
+        try:
+            in_splits = parsed(found, F.when(F.col("part").isNull(), F.col("record")), *[c for c in found.columns if c != "record"])
+            break
+        except Exception as exc:  # noqa: BLE001 - raised by a task
+            if SPLITS_CHANGED not in str(exc) or tried == TRIES:
+                raise
+            splits = _splits(lines, True)
+    over = _crossing(in_splits.where("part is not null"))
+    across = parsed(over, F.when(~F.col("unclosed"), F.col("text")), *over.columns)
+    whole = in_splits.where("part is null").withColumn("unclosed", F.lit(False))
+    rows, rejects = _split(whole.select("*", seq), names, bad, F.col("_fits"), strict)
+    crossing = across.select("*", seq)
+    closed = _only(crossing, ~F.col("unclosed"), strict, UNCLOSED, "text")
+    more, too_long = _split(closed, names, bad, F.col("_fits"), strict)
+    unclosed = crossing.where("unclosed").select("file", SEQ_COL, F.lit(UNCLOSED).alias("reason"), F.col("text").alias("record"), "lines")
+    return rows.unionByName(more), rejects.unionByName(too_long).unionByName(unclosed)
 
 
 def _state_after(rows: DataFrame, start: Column, group: Sequence[str], order: str, name: str) -> DataFrame:
@@ -273,50 +284,64 @@ def _state_after(rows: DataFrame, start: Column, group: Sequence[str], order: st
     return counted.withColumn("_set", last_set).withColumn(name, state).drop("_turns", "_set")
 
 
-def _records(lines: DataFrame) -> DataFrame:
-    """(row_seq, record, lines, unclosed) of frozen ``lines``, without headers.
+def _placed(splits: DataFrame) -> DataFrame:
+    """(split, file, block, start, header, unclosed, n_lines, owner): what ``records`` must
+    know of a split, and the block in which the record of its leading lines begins.
 
-    Windows run over one split, or over a file's splits (one row each); only
-    lines of records that span several are grouped.
-    """
-    split = ["file", "block"]
-    in_split, in_file = Window.partitionBy(*split).orderBy("pos"), Window.partitionBy("file").orderBy("block")
-    ends = lines.withColumns({"_out": _ends_quoted(F.col("line"), False), "_in": _ends_quoted(F.col("line"), True)})
-    both = _state_after(_state_after(ends, F.lit(False), split, "pos", "_from_out"), F.lit(True), split, "pos", "_from_in")
-    both = written_once(both.drop("_out", "_in"))  # either state that a split may start in
-    last = both.groupBy(*split).agg(F.max(F.struct("pos", F.col("_from_out").alias("_out"), F.col("_from_in").alias("_in"))).alias("last")).select(*split, "last._out", "last._in")
-    opened = _state_after(last, F.lit(False), ["file"], "block", "_left_open")
-    state = written_once(opened.select(*split, "_left_open", F.coalesce(F.lag("_left_open").over(in_file), F.lit(False)).alias("_start")))
-
-    placed = both.join(state.select(*split, "_start"), split).withColumn("inside", F.when(F.col("_start"), F.col("_from_in")).otherwise(F.col("_from_out")))
-    placed = placed.withColumn("was_inside", F.coalesce(F.lag("inside").over(in_split), F.col("_start")))
-    placed = placed.where(F.col("was_inside") | ~_is_blank(F.col("line"))).withColumn("_begins", ~F.col("was_inside"))
-    number = F.sum(F.col("_begins").cast("long")).over(in_split.rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    numbered = written_once(placed.select(*split, "pos", "line", number.alias("_no"), "_begins", "inside"))
-
-    # lines before a split's first record belong to the last record of the splits before it
-    totals = numbered.groupBy(*split).agg(F.max("_no").alias("_n")).join(state.select(*split, "_left_open"), split)
+    Windows run over a file's splits, one row each."""
+    in_file = Window.partitionBy("file").orderBy("block")
+    opened = _state_after(splits, F.lit(False), ["file"], "block", "_left_open")
+    started = opened.withColumn("start", F.coalesce(F.lag("_left_open").over(in_file), F.lit(False)))
+    counted = started.withColumn("_n", F.when(F.col("start"), F.col("n_in")).otherwise(F.col("n_out")))
     before = in_file.rowsBetween(Window.unboundedPreceding, -1)
     all_splits = in_file.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     holder = F.when(F.col("_n") > 0, F.struct("block", F.col("_n").alias("no")))
-    owners = totals.select(
-        *split,
+    owners = counted.select(
+        "file",
+        "block",
+        "start",
+        "_n",
+        "n_lines",
         F.last(holder, ignorenulls=True).over(before).alias("_before"),
-        F.last(holder, ignorenulls=True).over(all_splits).alias("_last"),
+        F.last(holder, ignorenulls=True).over(all_splits).getField("block").alias("_last"),
         F.first(holder, ignorenulls=True).over(all_splits).getField("block").alias("_first"),
         F.last("_left_open").over(all_splits).alias("_open"),
     )
-    own = F.struct(F.col("block"), F.col("_no").alias("no"))
-    owned = numbered.join(owners, split).withColumn("owner", F.when(F.col("_no") > 0, own).otherwise(F.col("_before")))
-    is_header = (F.col("owner.block") == F.col("_first")) & (F.col("owner.no") == 1)
-    unclosed = F.coalesce(F.col("_open"), F.lit(False)) & (F.col("owner") == F.col("_last"))
-    owned = owned.where(~is_header).withColumn("unclosed", unclosed)
-    seq = F.struct("file", "block", "pos").alias(SEQ_COL)
-    alone = owned.where("_begins and not inside and not unclosed").select(seq, F.col("line").alias("record"), F.lit(1).cast("long").alias("lines"), "unclosed")
-    # of an unclosed record, which may be the rest of a file, only the first line is kept
-    several = owned.where("not _begins or inside or unclosed").withColumn("line", F.when(~F.col("unclosed") | F.col("_begins"), F.col("line")))
-    kept = F.collect_list(F.when(F.col("line").isNotNull(), F.struct("block", "pos", "line"))).alias("ls")
-    joined = several.groupBy("file", "owner").agg(kept, F.count(F.lit(1)).alias("lines"), F.bool_or("unclosed").alias("unclosed"), F.min(F.struct("block", "pos")).alias("at"))
-    text = F.array_join(F.transform(F.sort_array("ls"), lambda x: x["line"]), "\n")
-    several = joined.select(F.struct("file", F.col("at.block").alias("block"), F.col("at.pos").alias("pos")).alias(SEQ_COL), text.alias("record"), "lines", "unclosed")
-    return alone.unionByName(several)
+    # lines before a split's first record belong to the last record of the splits before it
+    leading_header = (F.col("_before.block") == F.col("_first")) & (F.col("_before.no") == 1)
+    header = F.when(F.col("block") == F.col("_first"), 1).when(leading_header, 0).otherwise(-1)
+    unclosed = F.when(F.col("_open") & (F.col("block") == F.col("_last")), F.col("_n")).when(F.col("_open") & (F.col("_before.block") == F.col("_last")), 0).otherwise(-1)
+    return owners.select(
+        F.monotonically_increasing_id().alias("split"), "file", "block", "start", header.cast("long").alias("header"), unclosed.cast("long").alias("unclosed"), "n_lines", F.col("_before.block").alias("owner")
+    )
+
+
+def _records(lines: DataFrame, placed: DataFrame) -> DataFrame:
+    """(file, block, pos, record, lines, part, text, owner, unclosed), without headers,
+    in file order. A record that crosses a split's end comes in parts (see
+    ``records``): its ``text``, the block that it begins in, whether it is never closed."""
+    known = lines.join(F.broadcast(placed.drop("owner")), ["file", "block"], "left")
+    rows = known.select("split", "start", "header", "unclosed", "n_lines", "pos", F.col("line").cast("binary").alias("line"), _has_quote(F.col("line")).alias("quoted"), _is_blank(F.col("line")).alias("blank"))
+    found = rows.mapInArrow(records, RECORD_SCHEMA).withColumn("record", F.col("record").cast("string"))
+    back = found.join(F.broadcast(placed.select("split", "file", "block", F.col("unclosed").alias("_unclosed"), F.col("owner").alias("_owner"))), "split")
+    leading, part = F.col("part") == LEADING, F.col("part").isNotNull()
+    return back.select(
+        "file",
+        "block",
+        "pos",
+        "record",
+        "lines",
+        "part",
+        F.when(part, F.col("record")).alias("text"),
+        F.when(leading, F.col("_owner")).when(part, F.col("block")).alias("owner"),
+        F.when(leading, F.col("_unclosed") == 0).when(part, F.col("_unclosed") > 0).alias("unclosed"),
+    )
+
+
+def _crossing(parts: DataFrame) -> DataFrame:
+    """(file, block, pos, text, lines, unclosed) of the records that cross a split's
+    end: at most one begins in a split."""
+    kept = F.collect_list(F.when(F.col("text").isNotNull(), F.struct("block", "text")))
+    joined = parts.groupBy("file", "owner").agg(kept.alias("ls"), F.sum("lines").alias("lines"), F.bool_or("unclosed").alias("unclosed"), F.min_by("pos", "block").alias("pos"))
+    text = F.array_join(F.transform(F.sort_array("ls"), lambda x: x["text"]), "\n")
+    return joined.select("file", F.col("owner").alias("block"), "pos", text.alias("text"), "lines", "unclosed")

@@ -1,5 +1,6 @@
 """CSV in splits: records over several lines, rejects, headers of many files."""
 
+import csv
 import io
 import os
 import random
@@ -7,7 +8,10 @@ import random
 import pandas as pd
 import pytest
 
-from salesledger.sources import read_csv_text, scan_csv
+from salesledger.operators.cleaning import clean_expenses
+from salesledger.plans.ledger_flows import import_csv
+from salesledger.sources import LedgerTable, ledger_store, read_csv_text, scan_csv
+from salesledger.sources import csv as csv_source
 from salesledger.sources.csv import TOO_LONG, UNCLOSED
 
 
@@ -78,6 +82,17 @@ def test_rejects_are_kept_whichever_columns_are_used(spark, tmp_dir):
     assert table.rows.count() + table.rejects.count() == 5
 
 
+def test_splits_that_change_between_the_passes_are_cut_anew(spark, tmp_dir, small_splits):
+    text = "a,b\n" + "".join(f'{k},"two\nlines"\n' for k in range(150))
+    lines = csv_source._lines(spark, [put(tmp_dir, "a.csv", text)], True)
+    splits = csv_source._splits(lines, True)
+    assert splits.count() > 2 and splits.agg({"n_lines": "sum"}).first()[0] == 301
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "1400")  # every second split stays as a start
+    rows, rejects = csv_source._spread(lines, splits, ["a", "b"], True)
+    assert [tuple(r)[:2] for r in rows.orderBy("row_seq").collect()] == [(str(k), "two\nlines") for k in range(150)]
+    assert rejects.count() == 0
+
+
 def test_a_quote_never_closed_is_one_reject(spark, tmp_dir, small_splits):
     rest = "".join(f"{k},b{k},7\n" for k in range(10, 200))
     path = put(tmp_dir, "a.csv", f'Order ID,Product,Revenue\n1,a,5\n2,"Wid,5\n{rest}')
@@ -116,3 +131,39 @@ def test_unreadable_input_is_a_value_error(spark, tmp_dir):
     put(tmp_dir, "empty.csv", "")
     with pytest.raises(ValueError, match="no header in .*empty.csv"):
         scan_csv(spark, tmp_dir)
+
+
+def test_records_over_lines_are_parsed_once_and_numbered_in_place(spark, tmp_dir, monkeypatch):
+    def moved(*_):
+        raise AssertionError("rows were sorted to number them")
+
+    monkeypatch.setattr(ledger_store, "number_rows", moved)
+    rng, want = random.Random(5), []
+    for name in "ba":
+        rows = []
+        for k in range(160):
+            note = f"{name}{k}" + ("\n" + "z" * rng.randint(0, 9000) + '\n"",' if rng.random() < 0.1 else "")
+            bad = rng.random() < 0.2
+            rows.append(["no date" if bad else "2026-01-02", "t", str(k), note])
+            want += [] if bad else [note]
+        with open(os.path.join(tmp_dir, f"{name}.csv"), "w", newline="") as f:
+            csv.writer(f, lineterminator="\n").writerows([["When", "Type", "Spent", "No\ntes"], *rows])
+    want = want[len(want) - sum(n[0] == "a" for n in want) :] + want[: sum(n[0] == "b" for n in want)]
+    # splits end inside of records, and a split's records come back in several pieces
+    conf = {"spark.sql.files.maxPartitionBytes": "4000", "spark.sql.files.openCostInBytes": "1", "spark.sql.files.maxRecordsPerFile": "7"}
+    old = {k: spark.conf.get(k) for k in conf}
+    for k, v in conf.items():
+        spark.conf.set(k, v)
+    try:
+        [table] = scan_csv(spark, tmp_dir)
+        plan = table.rows._jdf.queryExecution().executedPlan().toString()
+        assert "from_csv" not in plan and "Exchange" not in plan
+        noted = table.rows.withColumnRenamed("No\ntes", "Notes")
+        ledger = LedgerTable(spark, os.path.join(tmp_dir, "ledger")).create_if_absent()
+        assert ledger.import_rows(clean_expenses(noted, passthrough=["row_seq"]), ["row_seq"], in_place=True) == len(want)
+        assert [r.description for r in ledger.read().orderBy("id").collect()] == want
+        other = LedgerTable(spark, os.path.join(tmp_dir, "other")).create_if_absent()
+        assert import_csv(spark, other, tmp_dir) == len(want)
+    finally:
+        for k, v in old.items():
+            spark.conf.set(k, v)
